@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, pii, token_frames, url_filter
+from pyspark.sql import functions as F
+
+from tidewell.llm import decontaminate, language, mixing, pii, quality, token_frames, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -13,10 +15,27 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark, sf_dir):
+    return quality.score_quality(_table(spark, sf_dir, "documents"))
+
+
+def op5_mix(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix_copy", "mix_copies", F.round("mix_rate", 6).alias("mix_rate"), "mix_key")
+
+
 def op6_personal_data(spark, sf_dir):
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark, sf_dir):
+    return language.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_frames(spark, sf_dir):
     import public_tokenizers
 
@@ -27,7 +46,7 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits", "items")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_personal_data, op8_token_frames, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames, op9_decontaminate)}
 
 #: Left for operators that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.mix_sql()}
