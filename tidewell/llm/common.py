@@ -39,6 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    # what this step has shuffled is of no use once its rows are written
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

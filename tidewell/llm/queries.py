@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, language, mixing, pii, quality, token_frames, url_filter, warc
+from tidewell.llm import decontaminate, language, mixing, pii, quality, substring_dedup, token_frames, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -46,7 +46,11 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits", "items")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames, op9_decontaminate)}
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames, op9_decontaminate, op10_substring_dedup)}
 
 #: Left for operators that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.mix_sql()}
