@@ -120,10 +120,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, block
     return merged.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", "items")
 
 
-def _join_block(docs: DataFrame, items: DataFrame, k: int, keyed: bool = False) -> DataFrame:
-    rows = [(r.item_id, r.text) for r in items.collect()]  # at most block_bytes
+def _broadcast_index(docs: DataFrame, items: DataFrame, k: int):
+    rows = [(r.item_id, r.text) for r in items.collect()]  # at most about block_bytes
     vocabulary = sorted({w for _, t in rows for w in plain_words(t)})
-    index = docs.sparkSession.sparkContext.broadcast(prefix_index(rows, k, corpus_counts(docs, vocabulary) if vocabulary else {}))
+    return docs.sparkSession.sparkContext.broadcast(prefix_index(rows, k, corpus_counts(docs, vocabulary) if vocabulary else {}))
+
+
+def _join_block(docs: DataFrame, items: DataFrame, k: int, keyed: bool = False) -> DataFrame:
+    index = _broadcast_index(docs, items, k)
 
     def run(batches):
         held = index.value
@@ -143,3 +147,23 @@ def _join_block(docs: DataFrame, items: DataFrame, k: int, keyed: bool = False)
     return docs.mapInArrow(run, TYPE + (", text_key string" if keyed else ""))
 
 
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no k-word window of the benchmark. Texts are never shuffled."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = int(-(-2 * size // block_bytes)) if size > block_bytes else 1
+    placed = items if blocks == 1 else materialize(items.withColumn("block", F.pmod(F.hash("item_id", "text"), F.lit(blocks))), "benchmark")
+    names, kinds, left = docs.columns, dict(docs.dtypes), docs
+    for i in range(blocks):
+        index = _broadcast_index(left, placed if blocks == 1 else placed.where(F.col("block") == i), k)
+
+        def run(batches, index=index):
+            for b in batches:
+                clean = [not scan(plain_words(t.as_py()), index.value)[1] for t in b.column("text")]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        left = left.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return left

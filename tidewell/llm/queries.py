@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, language, mixing, pii, quality, substring_dedup, token_frames, url_filter, warc
+from tidewell.llm import decontaminate, language, mixing, near_dedup, pii, quality, substring_dedup, token_frames, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.find_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames, op9_decontaminate, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames, op9_decontaminate, op10_substring_dedup)}
 
 #: Left for operators that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.mix_sql()}
