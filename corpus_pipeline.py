@@ -1,13 +1,61 @@
-"""The corpus pipeline: stages that each read what the one before has kept."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing, token output.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before
+has kept, and is written as Parquet before the next begins. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewell.llm import decontaminate, mixing, near_dedup, quality, token_frames
+from tidewell.llm.common import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the adaptive thresholds keep."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    return near_dedup.keep_one(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks, in a global random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and a row for each document in them."""
+    import public_tokenizers
+
+    return token_frames.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("mixing", mixed),
+    ("token output", tokens),
+]
+
+#: The adaptive thresholds aside, near-dedup and tokenization have no SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs
