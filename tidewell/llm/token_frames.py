@@ -13,8 +13,11 @@ tokens each holds, so a reader fetches the tail, then only the frames it needs.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
+from itertools import pairwise
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,33 +41,88 @@ def vocabulary(tokenizer_path: str) -> str:
 
 
 class _ChunkIds(dict):
-    """Token ids of one chunk without ASCII white space, as bytes.
+    """Token ids of chunks without ASCII white space, as bytes.
 
     The vocabulary drops white space and never joins text across it, so the
-    ids of a text are those of its chunks one after the other.
+    ids of a text are those of its chunks one after the other. Words that are
+    new to the memo are encoded many at a time: joined by spaces, with one
+    pre-token a word, and cut where the tokens end a word. When the memo is
+    full its words move to a second one, from which those met again come back.
     """
 
-    def __init__(self, definition: str, dtype: str, most: int = 300_000):
+    def __init__(self, definition: str, dtype: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.dtype, self.most = Tokenizer.from_str(definition), dtype, most
+        self.tokenizer, self.dtype, self.most, self.old = Tokenizer.from_str(definition), dtype, most, {}
+        model = json.loads(definition).get("model", {})
+        self.suffix = model.get("end_of_word_suffix")
+        ids = model.get("vocab") or {}
+        self.ends = np.zeros(max(ids.values(), default=0) + 1 + len(self.tokenizer.get_vocab()), bool)
+        if self.suffix:
+            self.ends[[i for t, i in ids.items() if t.endswith(self.suffix)]] = True
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        out = np.array(ids, self.dtype).tobytes()
+        out = self.old.get(chunk)
+        if out is None:
+            ids = self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+            out = np.array(ids, self.dtype).tobytes()
         if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
             self[chunk] = out
         return out
 
+    def learn(self, lists: list[list[bytes]]) -> None:
+        """Put the chunks of some texts in the memo."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        new = set().union(*lists).difference(self)
+        if self.old:
+            found = new.intersection(self.old)
+            self.update((c, self.old[c]) for c in found)
+            new -= found
+        if not self.suffix:
+            return
+        cores, parts = set(), []
+        for c in new:
+            if len(c) <= 64:
+                if m := _WORD.fullmatch(c):
+                    core, tail = m[1].lower(), m[2]
+                elif c.isascii():
+                    continue
+                else:
+                    text = c.decode("utf-8", "surrogatepass")
+                    body = text.rstrip(_TAIL)
+                    low = body.lower()
+                    if not (body.isalpha() and low.isalpha() and len(low) == len(body) and is_normalized("NFC", body)):
+                        continue
+                    core, tail = body.encode(), text[len(body) :].encode()
+                parts.append((c, core, tail))
+                if core not in self and core not in self.old:
+                    cores.add(core)
+        cores = sorted(cores)
+        for at in range(0, len(cores), 2000):
+            group = cores[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, np.int64)
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids)):
+                raw, step = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+                edges = [0, *(cuts * step).tolist()]
+                self.update(zip(group, (raw[i:j] for i, j in pairwise(edges)), strict=True))
+        for c, core, tail in parts:
+            self[c] = self[core] + self[tail] if tail else self[core]
+
+
+#: A word of ASCII letters with ASCII signs after it (no apostrophe, which can begin a pre-token of its own).
+_WORD = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def splits_at_spaces(definition: str) -> bool:
     """Whether chunks can be encoded one by one: every pre-token is free of white space, and none is kept."""
     pre = json.loads(definition).get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in str(first.get("pattern"))
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in str((first.get("pattern") or {}).get("Regex"))
 
 
 def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None = None) -> DataFrame:
@@ -87,11 +145,11 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
     def run(batches):
         ids_of, edges = _ChunkIds(definition, dtype), np.array(bounds, np.int64)
         for b in batches:
-            docs_, texts, out = b.column("doc_id"), b.column("text"), []
-            for t in texts:
-                t = t.as_py() or ""
-                chunks = t.encode("utf-8", "surrogatepass").split() if by_chunk else [t.encode("utf-8", "surrogatepass")] if t else []
-                out.append(b"".join(map(ids_of.__getitem__, chunks)) + end)
+            docs_, raw = b.column("doc_id"), [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
+            chunks = [t.split() for t in raw] if by_chunk else [[t] if t else [] for t in raw]
+            if by_chunk:
+                ids_of.learn(chunks)
+            out = [b"".join(map(ids_of.__getitem__, c)) + end for c in chunks]
             shard = np.searchsorted(edges, docs_.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), docs_.cast(pa.int64()), pa.array(out, pa.binary())], schema=IDS)
 
