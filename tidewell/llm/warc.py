@@ -41,30 +41,38 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return joined.select("record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url", "payload_bytes", "payload_digest", "payload")
 
 
+def _chunk_rows(batches, size: int):
+    """Rows of the chunked record table, as dicts, from batches of planned records. A revisit is one row without data."""
+    for b in batches:
+        heads = b.select(CHUNKS.names[:6]).to_pylist()
+        for head, payload in zip(heads, b.column("payload"), strict=True):
+            if head["record_type"] == "revisit":
+                yield head | {"chunk_no": 0, "last": True, "data": b"", "digest_so_far": head["payload_digest"]}
+                continue
+            view, so_far = memoryview(payload.as_buffer()), hashlib.sha256()
+            n = max(1, -(-len(view) // size))
+            for k in range(n):
+                part = view[k * size : (k + 1) * size]
+                so_far.update(part)
+                yield head | {"chunk_no": k, "last": k == n - 1, "data": bytes(part), "digest_so_far": so_far.hexdigest()}
+
+
+def _batched(rows, most: int = 1 << 20):
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row["data"] or b"") + 200
+        if size >= most:
+            yield pa.RecordBatch.from_pylist(held, CHUNKS)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, CHUNKS)
+
+
 def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The chunked record table. A revisit is one row without data."""
+    """The chunked record table of planned records."""
     small_batches(records.sparkSession)
-
-    def run(batches):
-        names = CHUNKS.names[:6]
-        for b in batches:
-            heads = b.select(names).to_pylist()
-            for head, payload in zip(heads, b.column("payload"), strict=True):
-                if head["record_type"] == "revisit":
-                    yield pa.RecordBatch.from_pylist([head | {"chunk_no": 0, "last": True, "data": b"", "digest_so_far": head["payload_digest"]}], CHUNKS)
-                    continue
-                view = memoryview(payload.as_buffer()) if payload.is_valid else memoryview(b"")
-                so_far, rows = hashlib.sha256(), []
-                n = max(1, -(-len(view) // size))
-                for k in range(n):
-                    part = view[k * size : (k + 1) * size]
-                    so_far.update(part)
-                    rows.append(head | {"chunk_no": k, "last": k == n - 1, "data": bytes(part), "digest_so_far": so_far.hexdigest()})
-                    if len(rows) == 16 or k == n - 1:
-                        yield pa.RecordBatch.from_pylist(rows, CHUNKS)
-                        rows = []
-
-    return records.mapInArrow(run, CHUNKS_TYPE)
+    return records.mapInArrow(lambda batches: _batched(_chunk_rows(batches, size)), CHUNKS_TYPE)
 
 
 def _http(n: int) -> bytes:
@@ -104,24 +112,39 @@ class WarcWriter:
         return self.uri, self.n
 
 
+def _write_rows(rows, to: str, file_bytes: int):
+    now, size = None, 0
+    for row in rows:
+        if now is not None and size >= file_bytes and row["chunk_no"] == 0:
+            yield now.close()
+            now = None
+        if now is None:
+            now, size = WarcWriter(f"{to}/pages-{uuid.uuid4().hex}.warc.gz"), 0
+        now.add(row)
+        size += len(row["data"])
+    if now is not None:
+        yield now.close()
+
+
+def _files(found):
+    for path, n in found:
+        yield pa.RecordBatch.from_pylist([{"path": path, "n": n}])
+
+
 def write(chunks: DataFrame, to: str, file_bytes: int = 256 << 20) -> DataFrame:
-    """Write archives of about file_bytes of payload; return (path, n). A repeated task writes under a new name, so only files named here count."""
+    """Write archives of about file_bytes of payload from a chunked record table; return (path, n). A repeated task writes under a new name, so only files named here count."""
 
-    def run(batches):
-        now, size = None, 0
+    def rows(batches):
         for b in batches:
-            for row in b.to_pylist():
-                if now is not None and size >= file_bytes and row["chunk_no"] == 0:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("path", "n"), now.close(), strict=True))])
-                    now = None
-                if now is None:
-                    now, size = WarcWriter(f"{to}/pages-{uuid.uuid4().hex}.warc.gz"), 0
-                now.add(row)
-                size += len(row["data"])
-        if now is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "n"), now.close(), strict=True))])
+            yield from b.to_pylist()
+
+    return materialize(chunks.mapInArrow(lambda batches: _files(_write_rows(rows(batches), to, file_bytes)), "path string, n long"), "warc-files")
 
-    return materialize(chunks.mapInArrow(run, "path string, n long"), "warc-files")
+
+def write_records(records: DataFrame, to: str, file_bytes: int = 256 << 20, size: int = CHUNK) -> DataFrame:
+    """write(chunked(records)) in one worker: each chunk goes into the archive as soon as it is cut."""
+    small_batches(records.sparkSession)
+    return materialize(records.mapInArrow(lambda batches: _files(_write_rows(_chunk_rows(batches, size), to, file_bytes)), "path string, n long"), "warc-files")
 
 
 class _Inflated:
@@ -201,19 +224,8 @@ def read(files: DataFrame, with_data: bool = True) -> DataFrame:
     def run(batches):
         for b in batches:
             for path in b.column("path").to_pylist():
-                rows, held = [], 0
-                for row in records(path):
-                    if not with_data:
-                        if not row["last"]:
-                            continue
-                        row["data"] = None
-                    rows.append(row)
-                    held += len(row["data"] or b"") + 200
-                    if held >= 1 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, CHUNKS)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, CHUNKS)
+                rows = records(path)
+                yield from _batched(rows if with_data else (r | {"data": None} for r in rows if r["last"]))
 
     return files.repartition(n).mapInArrow(run, CHUNKS_TYPE)
 
@@ -229,5 +241,5 @@ def archive(pages: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no archive and no row.
     """
     spark = pages.sparkSession
-    files = write(chunked(plan_records(pages)), shared_dir(spark, "warc"))
+    files = write_records(plan_records(pages), shared_dir(spark, "warc"))
     return read(files, with_data=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
