@@ -152,7 +152,7 @@ class _Inflated:
 
     def __init__(self, uri: str, block: int = 1 << 18):
         fs, path = open_fs(uri)
-        self.file, self.block, self.inflate, self.buffer, self.raw = fs.open_input_stream(path, compression=None), block, zlib.decompressobj(31), bytearray(), b""
+        self.file, self.block, self.inflate, self.buffer, self.raw, self.open = fs.open_input_stream(path, compression=None), block, zlib.decompressobj(31), bytearray(), b"", False
 
     def _more(self) -> bool:
         if self.inflate.eof:
@@ -160,9 +160,12 @@ class _Inflated:
         if not self.raw:
             self.raw = self.file.read(self.block)
             if not self.raw:
+                if self.open:
+                    raise ValueError("the archive ends inside a record")
                 return False
         self.buffer += self.inflate.decompress(self.raw, self.block)
-        self.raw = self.inflate.unconsumed_tail if not self.inflate.eof else b""
+        self.open = not self.inflate.eof
+        self.raw = self.inflate.unconsumed_tail if self.open else b""
         return True
 
     def until(self, mark: bytes) -> bytes | None:
