@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Bounds a Python worker's memory whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -45,6 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, needed: list[str]):
+    """docs with every column that an operator does not need renamed, so that none clashes with its own, and a function that undoes this."""
+    inner = {c: c if c in needed else f"_x{i}_" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
+    return renamed, lambda df: df.select(*(F.col(n).alias(c) for c, n in inner.items()))
+
+
 def open_fs(uri: str):
     """File system and path of a URI or plain path, for use on the driver and in workers."""
     from pyarrow import fs

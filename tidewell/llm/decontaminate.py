@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import covered, materialize, plain_words, small_batches
+from tidewell.llm.common import covered, materialize, plain_words, shielded, small_batches
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 TYPE = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<int>, items array<string>"
@@ -156,7 +156,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 10, block_
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = int(-(-2 * size // block_bytes)) if size > block_bytes else 1
     placed = items if blocks == 1 else materialize(items.withColumn("block", F.pmod(F.hash("item_id", "text"), F.lit(blocks))), "benchmark")
-    names, kinds, left = docs.columns, dict(docs.dtypes), docs
+    left, restore = shielded(docs, ["text"])
+    names, kinds = left.columns, dict(left.dtypes)
     for i in range(blocks):
         index = _broadcast_index(left, placed if blocks == 1 else placed.where(F.col("block") == i), k)
 
@@ -166,4 +167,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 10, block_
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         left = left.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
-    return left
+    return restore(left)

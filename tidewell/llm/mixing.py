@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import shielded
+
 #: Relative target weights of sources; any other source has 1.
 TARGETS = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
 
@@ -38,22 +40,39 @@ def uniform(seed: int, *cols):
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _mixed(docs: DataFrame, targets: dict[str, float], epochs: float, seed: int, most_broadcast: int) -> DataFrame:
+    table = rates(docs, targets, epochs)
+    few = docs.select("source").distinct().limit(most_broadcast + 1).count() <= most_broadcast
+    joined = docs.join(F.broadcast(table) if few else table, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    copies = joined.withColumn("mix_u", uniform(seed, name)).withColumn("mix_copies", F.expr("cast(size(filter(cdf, c -> c <= mix_u)) as long)"))
+    out = copies.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)"))).withColumnRenamed("rate", "mix_rate")
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("mix_copy").cast("string"))))
+    return out.drop("mix_source", "cdf", "mix_u").repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+
+
+ADDED = ["mix_copy", "mix_copies", "mix_rate", "mix_key"]
+
+
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = 1.0, seed: int = 7, most_broadcast: int = 20_000) -> DataFrame:
     """Each document (doc_id, text, source, any other columns) as often as its draw says, in a global random order.
 
     Adds mix_copy (from 1), mix_copies, mix_rate and mix_key, which orders the
-    mix. The draw depends on the seed and doc_id alone, so a repeated task and
-    repeated rows draw alike. Null sources form a source of their own, a null
-    doc_id draws like an empty one, and an empty table gives an empty mix. The
-    table of rates is broadcast only if it has at most most_broadcast rows.
+    mix; input columns of these names are replaced. The draw depends on the
+    seed and doc_id alone, so a repeated task and repeated rows draw alike.
+    Null sources form a source of their own, a null doc_id draws like an empty
+    one, and an empty table gives an empty mix. The table of rates is broadcast
+    only if it has at most most_broadcast rows.
     """
-    table = rates(docs, targets, epochs)
-    few = docs.select("source").distinct().limit(most_broadcast + 1).count() <= most_broadcast
-    joined = docs.join(F.broadcast(table) if few else table, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
-    copies = joined.withColumn("mix_u", uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("mix_copies", F.expr("cast(size(filter(cdf, c -> c <= mix_u)) as long)"))
-    out = copies.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)")))
-    out = out.withColumnRenamed("rate", "mix_rate").withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string"))))
-    return out.drop("mix_source", "cdf", "mix_u").repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    inner, _ = shielded(docs.drop(*ADDED), ["doc_id", "text", "source"])
+    names = dict(zip(inner.columns, docs.drop(*ADDED).columns, strict=True))
+    return _mixed(inner, targets, epochs, seed, most_broadcast).select(*(F.col(n).alias(c) for n, c in names.items()), *ADDED)
+
+
+def resample(docs: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = 1.0, seed: int = 7, most_broadcast: int = 20_000) -> DataFrame:
+    """mix() with the columns of docs alone."""
+    inner, restore = shielded(docs, ["doc_id", "text", "source"])
+    return restore(_mixed(inner, targets, epochs, seed, most_broadcast))
 
 
 def mix_sql(targets: dict[str, float] = TARGETS, epochs: float = 1.0, seed: int = 7, max_rate: float = 50.0) -> str:

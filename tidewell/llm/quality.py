@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WordHash, covered, materialize, small_batches, window_hash, words
+from tidewell.llm.common import WordHash, covered, materialize, shielded, small_batches, window_hash, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
@@ -131,6 +131,6 @@ def score_quality(docs: DataFrame, least_group: int = 50, fences: float = 6.0) -
 
 def keep_good(docs: DataFrame, least_group: int = 50, fences: float = 6.0) -> DataFrame:
     """The rows of docs, with all their columns, that score_quality keeps. Texts are read twice and never shuffled."""
-    names = docs.columns
-    limits = thresholds(sketches(with_counts(docs, ["lang", "source"])), least_group, fences)
-    return judge(with_counts(docs, names), limits).where("kept").select(*names)
+    inner, restore = shielded(docs, ["text", "lang", "source"])
+    limits = thresholds(sketches(with_counts(inner, ["lang", "source"])), least_group, fences)
+    return restore(judge(with_counts(inner, inner.columns), limits).where("kept"))
