@@ -15,8 +15,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+import types
 import uuid
-from itertools import pairwise
+from itertools import filterfalse, pairwise
 from unicodedata import is_normalized
 
 import numpy as np
@@ -50,12 +52,15 @@ class _ChunkIds(dict):
     full its words move to a second one, from which those met again come back.
     """
 
-    def __init__(self, definition: str, dtype: str, most: int = 350_000):
+    def __init__(self, definition: str, dtype: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.dtype, self.most, self.old = Tokenizer.from_str(definition), dtype, most, {}
-        model = json.loads(definition).get("model", {})
+        plain = json.loads(definition)
+        model = plain.get("model", {})
+        # lower-case ASCII words need neither normalizer nor pre-tokenizer
+        self.plain = Tokenizer.from_str(json.dumps(plain | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.suffix = model.get("end_of_word_suffix")
         ids = model.get("vocab") or {}
         self.ends = np.zeros(max(ids.values(), default=0) + 1 + len(self.tokenizer.get_vocab()), bool)
@@ -76,42 +81,71 @@ class _ChunkIds(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        new = set().union(*lists).difference(self)
+        new: set[bytes] = set()
+        for ws in lists:
+            new.update(filterfalse(self.__contains__, ws))
         if self.old:
             found = new.intersection(self.old)
             self.update((c, self.old[c]) for c in found)
             new -= found
         if not self.suffix:
             return
-        cores, parts = set(), []
-        for c in new:
-            if len(c) <= 64:
-                if m := _WORD.fullmatch(c):
-                    core, tail = m[1].lower(), m[2]
-                elif c.isascii():
+        plain = {c for c in new if c.isalpha() and c.islower() and len(c) <= 64}
+        new -= plain
+        other, parts = set(filter(_LATIN.fullmatch, new)), []
+        for c in new - other:
+            if len(c) > 64:
+                continue
+            if m := _WORD.fullmatch(c):
+                core, tail = m[1].lower(), m[2]
+            elif c.isascii():
+                continue
+            else:
+                text = c.decode("utf-8", "surrogatepass")
+                body = text.rstrip(_TAIL)
+                low = body.lower()
+                if not (body.isalpha() and low.isalpha() and len(low) == len(body) and is_normalized("NFC", body)):
                     continue
-                else:
-                    text = c.decode("utf-8", "surrogatepass")
-                    body = text.rstrip(_TAIL)
-                    low = body.lower()
-                    if not (body.isalpha() and low.isalpha() and len(low) == len(body) and is_normalized("NFC", body)):
-                        continue
-                    core, tail = body.encode(), text[len(body) :].encode()
-                parts.append((c, core, tail))
-                if core not in self and core not in self.old:
-                    cores.add(core)
-        cores = sorted(cores)
-        for at in range(0, len(cores), 2000):
-            group = cores[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, np.int64)
-            cuts = np.nonzero(self.ends[ids])[0] + 1
-            if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids)):
-                raw, step = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-                edges = [0, *(cuts * step).tolist()]
-                self.update(zip(group, (raw[i:j] for i, j in pairwise(edges)), strict=True))
+                core, tail = body.encode(), text[len(body) :].encode()
+            parts.append((c, core, tail))
+            if core not in self and core not in self.old:
+                (plain if core.isascii() else other).add(core)
+        for tokenizer, cores in ((self.plain, sorted(plain)), (self.tokenizer, sorted(other))):
+            for at in range(0, len(cores), 4000):
+                self._encode(tokenizer, cores[at : at + 4000])
         for c, core, tail in parts:
             self[c] = self[core] + self[tail] if tail else self[core]
 
+    def _encode(self, tokenizer, words: list[bytes]) -> None:
+        """Memorize words of one pre-token each; if their number doesn't come out, they are left to __missing__."""
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.nonzero(self.ends[ids])[0] + 1
+        if len(cuts) == len(words) and (not len(ids) or cuts[-1] == len(ids)):
+            raw, step = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            self.update(zip(words, (raw[i:j] for i, j in pairwise([0, *(cuts * step).tolist()])), strict=True))
+
+
+#: Lower-case words of a-z and the letters of Latin-1: one pre-token each, with nothing to normalize.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
+
+#: A run of ASCII signs that stands between ASCII letters, digits or white space: a pre-token of its own.
+_SIGNS = re.compile(rb"(?<![^\sA-Za-z0-9])([!-&(-/:-@\[-`{-~]+)(?![^\sA-Za-z0-9])")
+
+
+def chunks_of(text: str | None) -> list[bytes]:
+    """Chunks whose ids, one after the other, are those of the text. Lower-casing A-Z first changes nothing but the names of special tokens, so it is left where one may stand."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return raw.split() if b"<|" in raw else _SIGNS.sub(rb" \1 ", raw.lower()).split()
+
+
+def memo(definition: str, dtype: str) -> _ChunkIds:
+    """The Python worker's memo, kept from task to task."""
+    held = sys.modules.setdefault("_tidewell_memo", types.ModuleType("_tidewell_memo")).__dict__
+    key = (hash(definition), dtype)
+    if held.get("key") != key:
+        held["key"], held["ids"] = key, _ChunkIds(definition, dtype)
+    return held["ids"]
+
 
 #: A word of ASCII letters with ASCII signs after it (no apostrophe, which can begin a pre-token of its own).
 _WORD = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
@@ -143,10 +177,10 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
         bounds = sorted({int(b) for b in docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] or []})
 
     def run(batches):
-        ids_of, edges = _ChunkIds(definition, dtype), np.array(bounds, np.int64)
+        ids_of, edges = memo(definition, dtype), np.array(bounds, np.int64)
         for b in batches:
-            docs_, raw = b.column("doc_id"), [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
-            chunks = [t.split() for t in raw] if by_chunk else [[t] if t else [] for t in raw]
+            docs_, texts = b.column("doc_id"), [t.as_py() for t in b.column("text")]
+            chunks = list(map(chunks_of, texts)) if by_chunk else [[t.encode("utf-8", "surrogatepass")] if t else [] for t in texts]
             if by_chunk:
                 ids_of.learn(chunks)
             out = [b"".join(map(ids_of.__getitem__, c)) + end for c in chunks]
