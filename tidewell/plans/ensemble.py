@@ -300,9 +300,11 @@ def _(v):
 
 
 @query("f15_messages", """
+o AS (SELECT count(*) AS n FROM theta_post JOIN (SELECT comp, min(value) AS lo, max(value) AS hi FROM theta GROUP BY ALL) b USING (comp) WHERE value < lo OR value > hi),
+u AS (SELECT count(*) AS n FROM (SELECT model_id FROM members GROUP BY ALL HAVING count(*) > 1))
 SELECT 'ERROR' AS level, '1 component(s) collapsed' AS text
-UNION ALL SELECT 'WARN', (SELECT count(*)::VARCHAR FROM theta_post JOIN (SELECT comp, min(value) AS lo, max(value) AS hi FROM theta GROUP BY ALL) b USING (comp) WHERE value < lo OR value > hi) || ' value(s) outside the prior''s range'
-UNION ALL SELECT 'INFO', (SELECT count(*)::VARCHAR FROM (SELECT model_id FROM members GROUP BY ALL HAVING count(*) > 1)) || ' model(s) occur more than once'
+UNION ALL SELECT 'WARN', n || ' value(s) outside the prior''s range' FROM o WHERE n > 0
+UNION ALL SELECT 'INFO', n || ' model(s) occur more than once' FROM u WHERE n > 0
 UNION ALL SELECT 'WARN', 'rank 3 is below 4' UNION ALL SELECT 'WARN', 'the posterior looks bimodal'""")
 def _(v):
     return members.messages(members.spread_retention(v.theta, v.theta_post), members.physical_bounds(v.theta, v.theta_post), members.duplicate_models(v.members, v.theta, v.theta_post), 3, 10, 4, 0.37)

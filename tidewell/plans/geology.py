@@ -38,7 +38,7 @@ def _(v):
 
 
 @query("a25_width_ratio_text", SPREAD + """,
-al AS (SELECT experiment, cluster, metric, stddev_samp(value) AS s FROM dl GROUP BY ALL UNION ALL SELECT experiment, cluster, metric, stddev_samp(value) FROM ds GROUP BY ALL),
+al AS (SELECT experiment, cluster, metric, CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END AS s FROM dl GROUP BY ALL UNION ALL SELECT experiment, cluster, metric, CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END FROM ds GROUP BY ALL),
 pv AS (SELECT metric, avg(s) FILTER (WHERE experiment = 1) AS a, avg(s) FILTER (WHERE experiment = 2) AS b FROM al GROUP BY ALL)
 SELECT metric, round(a, 4) AS spread_a, round(b, 4) AS spread_b, round(b / nullif(a, 0), 6) AS width_ratio, CASE WHEN a = 0 THEN '—' WHEN b / a > 1 THEN 'broadens' ELSE 'tightens' END AS interpretation FROM pv""")
 def _(v):

@@ -69,15 +69,15 @@ def _(v):
 
 
 def _cube_files(v):
-    p = v.table("part").where("p_partkey < 1000")
+    p = v.table("part").where("p_partkey < 200")
     t = p.groupBy((F.col("p_partkey") % 10).alias("d")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.col("p_size").cast("string").alias("s")))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: F.concat(F.lit("2*"), x["s"])), " ")
     return t.select(F.concat(F.lit("deck"), F.col("d").cast("string")).alias("path"), F.concat(F.lit("-- cube\nNOECHO\nPORO\n"), body, F.lit(" -- values\n/\n")).alias("text"))
 
 
-@query("s08_read_cubes", "r AS (SELECT 'deck' || (p_partkey % 10) AS path, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) - 1 AS n, p_size::DOUBLE AS value FROM part WHERE p_partkey < 1000) SELECT path, 2 * n + t AS flat, value FROM r, range(0, 2) x(t)")
+@query("s08_read_cubes", "r AS (SELECT 'deck' || (p_partkey % 10) AS path, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) - 1 AS n, p_size::DOUBLE AS value FROM part WHERE p_partkey < 200) SELECT path, 2 * n + t AS flat, value FROM r, range(0, 2) x(t)")
 def _(v):
-    return decks.cubes(_cube_files(v), "PORO", 200)
+    return decks.cubes(_cube_files(v), "PORO", 40)
 
 
 @query("s09_read_grids", "SELECT 'grid' || s_suppkey AS path, s_suppkey + 2 AS nx, 3::BIGINT AS ny, 4::BIGINT AS nz, 1::BIGINT AS n_faults, true AS has_coord, false AS has_zcorn FROM supplier")
