@@ -204,6 +204,30 @@ def axis_means(df: DataFrame, axis: str, metrics: dict[str, tuple[Column, str]],
     return comparison_rows(reduce(DataFrame.unionByName, parts))
 
 
+def axis_by_cluster(df: DataFrame, axis: str, metric: str, column: str, direction: str, old: int = 1, new: int = 2) -> DataFrame:
+    """Rows of one axis for each cluster: means of a column for the old and new experiment."""
+    g = df.groupBy("cluster").agg(F.avg(F.when(F.col("experiment") == old, F.col(column))).alias("value_old"), F.avg(F.when(F.col("experiment") == new, F.col(column))).alias("value_new"))
+    return comparison_rows(g.select(F.lit(axis).alias("axis"), F.lit(metric).alias("metric"), F.concat(F.lit("cluster_"), F.col("cluster").cast("string")).alias("scope"), "value_old", "value_new", F.lit(direction).alias("direction")))
+
+
+def axis_compliance(summary: DataFrame, old: str, new: str) -> DataFrame:
+    """Shares of passing members of two setups, all clusters together."""
+    flags = [c for c in summary.columns if c.startswith("share_")]
+    long = summary.where("cluster = -1").unpivot(["setup"], flags, "metric", "v")
+    pick = lambda s: F.max(F.when(F.col("setup") == s, F.col("v")))
+    return comparison_rows(long.groupBy("metric").agg(pick(old).alias("value_old"), pick(new).alias("value_new")).select(F.lit("history").alias("axis"), "metric", F.lit("all").alias("scope"), "value_old", "value_new", F.lit(">").alias("direction")))
+
+
+def axis_correlations(corr: DataFrame) -> DataFrame:
+    """Significant correlations as rows: the size of r is the new value, there is no old one."""
+    none = F.lit(None).cast("double")
+    return corr.where("significant").select(F.lit("production").alias("axis"), F.concat_ws(" ~ ", "predictor", "response").alias("metric"), F.lit("all").alias("scope"), none.alias("value_old"), F.abs("r").alias("value_new"), F.lit("~").alias("direction"), F.lit("SIGNIFICANT").alias("status"), none.alias("delta"), none.alias("ratio"))
+
+
+def summary_comparison(axes: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, axes)
+
+
 def histogram(rows: DataFrame, by: list[str], value: str = "value", bins: int = 15) -> DataFrame:
     """Counts of equal bins over each group's range; the last bin is closed."""
     w = Window.partitionBy(*by)

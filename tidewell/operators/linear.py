@@ -51,6 +51,38 @@ def matrix_rank(x: np.ndarray) -> int:
     return int(np.sum(s > s.max(initial=0.0) * max(x.shape) * np.finfo(float).eps))
 
 
+def singular_values(sim: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
+    """(k, s, energy, kept) of the centred members-by-positions matrix over the root of members less one. Members and positions are few, so they meet in one task."""
+    pos = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf.pivot(index="member_id", columns="pos", values="value").to_numpy()
+        _, s, _ = np.linalg.svd((d - d.mean(0)) / np.sqrt(max(len(d) - 1, 1)), full_matrices=False)
+        cum = np.cumsum(s**2) / max(float(np.sum(s**2)), 1e-300)
+        r = len(truncated_svd(d - d.mean(0), energy)[1])
+        return pd.DataFrame({"k": np.arange(1, len(s) + 1), "s": s, "energy": cum, "kept": np.arange(len(s)) < r})
+
+    return sim.select("member_id", pos.alias("pos"), "value").groupBy(F.lit(1).alias("g")).applyInPandas(values, "k long, s double, energy double, kept boolean")
+
+
+def component_rank(theta: DataFrame) -> DataFrame:
+    """Rank of the centred members-by-components matrix."""
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.pivot(index="member_id", columns="comp", values="value").to_numpy()
+        return pd.DataFrame({"rank": [matrix_rank(z - z.mean(0))], "full": [min(len(z) - 1, z.shape[1])]})
+
+    return theta.select("member_id", "comp", "value").groupBy(F.lit(1).alias("g")).applyInPandas(rank, "rank long, full long")
+
+
+def perturbation_table(members: DataFrame, truth: DataFrame, seed: int = 42, keys=KEY) -> DataFrame:
+    """(member_id, pos, eps): the draws of the update, members and positions in their order."""
+    ids = [r.member_id for r in members.select("member_id").distinct().orderBy("member_id").collect()]
+    rows = truth.select(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).alias("pos"), "sigma").orderBy("pos").collect()
+    e = perturbations(np.array([r.sigma for r in rows]), len(ids), seed)
+    return members.sparkSession.createDataFrame(_long(e, ids, [r.pos for r in rows], ("member_id", "pos", "eps")), "member_id long, pos string, eps double")
+
+
 def gain_matrix(z: np.ndarray, d: np.ndarray, sigma: np.ndarray, energy: float = 0.99, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(gain, all singular values, number kept) of the update in the ensemble's subspace, for a diagonal noise sigma^2.
 

@@ -462,3 +462,30 @@ def _(v):
     val = tagged.where("split = 'val'").select("member_id", "cluster_id", F.col("value").alias("z")).join(v.forecast.where("metric = 'qty'").select("member_id", "metric", "well", "time", F.col("value").alias("d")), "member_id")
     err = F.abs(F.col("d_mean") + F.col("slope") * (F.col("z") - F.col("z_mean")) - F.col("d")) / F.when(F.col("sigma") > 1, F.col("sigma")).otherwise(1.0)
     return val.join(p, ["cluster_id", "metric", "well", "time"]).groupBy("member_id").agg(verdict(F.median(err)).alias("verdict"))
+
+
+@query("m03_singular_values", """
+mm AS (SELECT member_id, max(value) FILTER (WHERE time = 1997) AS x, max(value) FILTER (WHERE time = 1998) AS y FROM rates WHERE metric = 'qty' AND well = 'A' GROUP BY ALL),
+c AS (SELECT var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM mm),
+e AS (SELECT (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2) AS l1, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c ** 2) AS l2 FROM c)
+SELECT 1::BIGINT AS k, round(sqrt(l1), 5) AS s, round(l1 / (l1 + l2), 7) AS energy, true AS kept FROM e UNION ALL SELECT 2, round(sqrt(l2), 5), 1.0, l1 / (l1 + l2) < 0.9 FROM e""")
+def _(v):
+    d = v.rates.where("metric = 'qty' and well = 'A' and time in (1997, 1998)")
+    return rounded(linear.singular_values(d, 0.9), {"s": 5, "energy": 7})
+
+
+@query("m11_component_rank", "SELECT 4::BIGINT AS rank, 4::BIGINT AS full")
+def _(v):
+    return linear.component_rank(v.theta)
+
+
+@query("m05_input_violations", "SELECT 0::BIGINT AS null_keys, 0::BIGINT AS bad_values, 0::BIGINT AS repeated_keys")
+def _(v):
+    from tidewell.schemas import violations
+
+    return violations(v.rates, ["member_id", "kind", "metric", "well", "time"], ["value"])
+
+
+@query("m06_perturbations")
+def _(v):
+    return linear.perturbation_table(v.members, series.diag_sigma(v.observed))

@@ -463,6 +463,24 @@ def _(v):
     return rounded(out)
 
 
+@query("a43_axis_clusters", AX.format(rows="SELECT 'diversity' AS axis, 'mean_net' AS metric, 'cluster_' || cluster AS scope, avg(net_sand_penetrated) FILTER (WHERE experiment = 1) AS a, avg(net_sand_penetrated) FILTER (WHERE experiment = 2) AS b, '<' AS direction FROM descriptors GROUP BY cluster"))
+def _(v):
+    return rounded(geo.axis_by_cluster(v.descriptors, "diversity", "mean_net", "net_sand_penetrated", "<"))
+
+
+@query("a43_summary_comparison", COMPLY + "," + PERMODEL + "," + RESP + """,
+rm AS (SELECT member_id AS seed, sum(o) AS oil, avg(w / (o + w)) AS cut FROM resp GROUP BY ALL),
+lk AS (SELECT pm.*, rm.oil, rm.cut, n_bodies_26::DOUBLE AS bodies FROM pm JOIN rm USING (seed) LEFT JOIN c1 USING (seed)),
+pr AS (""" + PAIRS + """),
+sh AS (SELECT metric, setup, v FROM (UNPIVOT (SELECT setup, avg(f1::INT) AS share_pass_field_cum_5pct, avg(f2::INT) AS share_pass_field_annual_10pct, avg(f3::INT) AS share_pass_well_top80_20pct, avg(f4::INT) AS share_pass_all_three FROM ok GROUP BY setup) ON COLUMNS(* EXCLUDE (setup)) INTO NAME metric VALUE v)),
+ho AS (SELECT metric, max(v) FILTER (WHERE setup = 'setup1') AS a, max(v) FILTER (WHERE setup = 'setup2') AS b FROM sh GROUP BY metric)
+SELECT 'history' AS axis, metric, round(a, 6) AS value_old, round(b, 6) AS value_new, CASE WHEN abs(b - a) < greatest(1e-9, 1e-3 * greatest(abs(a), abs(b))) THEN 'NEUTRAL' WHEN b > a THEN 'BETTER' ELSE 'WORSE' END AS status FROM ho
+UNION ALL SELECT 'production', predictor || ' ~ ' || response, NULL, round(abs(c), 6), 'SIGNIFICANT' FROM pr WHERE abs(c) > t""")
+def _(v):
+    axes = [geo.axis_compliance(geo.compliance_summary(geo.compliance(v.setups)), "setup1", "setup2"), geo.axis_correlations(geo.response_correlations(_linked(v), list(_P), ["oil", "cut"], ["seed"]))]
+    return rounded(geo.summary_comparison(axes).select("axis", "metric", "value_old", "value_new", "status"))
+
+
 SE = "SELECT seed, well, a.kh_penetrated AS o, b.kh_penetrated AS n FROM (SELECT * FROM descriptors WHERE experiment = 1) a JOIN (SELECT * FROM descriptors WHERE experiment = 2) b USING (seed, well)"
 
 
