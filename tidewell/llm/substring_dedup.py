@@ -10,15 +10,15 @@ only the shard that can hold its equal:
    windows mostly the same one: a run of them is a span.
 2. Spans whose anchor occurs once have no equal. The rest are cut from the
    texts, and equal ones are counted once with their number.
-3. A shard holds all spans of some anchors. A generalized suffix automaton of
-   the shard counts the occurrences of each of its substrings; streaming the
-   spans through it gives for each place the longest suffix of at least the
+3. A shard holds spans of some anchors. A generalized suffix automaton of the
+   shard counts the occurrences of each of its substrings; streaming the spans
+   through it gives for each place the longest suffix of at least the
    threshold's length and how often it occurs.
 4. Places with two or more occurrences are the removed spans.
 
-Anchors with very many different spans would make one shard large; their spans
-are cut into single windows, each a shard of its own whose occurrences are
-plain counts, so no group grows with the corpus.
+An anchor whose different spans do not fit in one shard is dealt over several.
+What repeats within a shard is settled there; each different window of such a
+shard is then counted once across shards, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from tidewell.llm.common import WordHash, covered, materialize, small_batches, w
 
 #: Words of an anchor's sequence.
 ANCHOR = 6
-#: Different spans of one anchor up to which they share an automaton; words after which a new automaton is begun.
-MOST_SPANS, SHARD_WORDS = 1000, 20_000
+#: Bytes of different spans after which a new automaton is begun; an anchor with more than that is dealt over several.
+SHARD_BYTES = 128 << 10
 
 _LOW = np.uint64((1 << 26) - 1)
 
@@ -192,51 +192,54 @@ def _spans(b, at, anchor, first, span):
     return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "k1", "k2", "own")), pa.array(anchor, pa.int64()), pa.array(first, pa.int64()), pa.array(span, pa.binary())], names=["doc_id", "k1", "k2", "own", "anchor", "first", "span"])
 
 
+SHARD_ROWS = "s1 long, s2 long, bits long, w1 long, w2 long, n long"
+
+
 def _by_automata(grouped: DataFrame, length: int) -> DataFrame:
-    """(s1, s2, bits) of spans that come sorted by anchor: whole anchors are gathered into shards of about SHARD_WORDS words."""
+    """Rows (s1, s2, bits) of the windows of a span that repeat within its shard, and rows (w1, w2, n) of the windows of
+    anchors dealt over several shards, with the one span and bit where such a window occurs once in its shard.
+
+    The spans come sorted by anchor and part; whole parts are gathered into shards of about SHARD_BYTES.
+    """
 
     def run(batches):
+        import xxhash
+
         shard, held, at = [], 0, None
 
         def results():
-            bits = shard_repeats([(s, n) for _, _, s, n in shard], length)
-            found = [(x[0], x[1], m) for x, m in zip(shard, bits, strict=True) if m]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["s1", "s2", "bits"])
+            rows, seen = [], set()
+            for (s1, s2, span, n, dealt), bits in zip(shard, shard_repeats([x[2:4] for x in shard], length), strict=True):
+                if bits:
+                    rows.append((s1, s2, bits, None, None, None))
+                if not dealt:
+                    continue
+                ws = span.split(b" ")
+                for i in range(len(ws) - length + 1):
+                    d = xxhash.xxh3_128_digest(b" ".join(ws[i : i + length]))
+                    w = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+                    if not bits >> i & 1:
+                        rows.append((s1, s2, 1 << i, *w, n))
+                    elif w not in seen:
+                        seen.add(w)
+                        rows.append((None, None, None, *w, 2))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], names=["s1", "s2", "bits", "w1", "w2", "n"])
 
         for b in batches:
-            for s1, s2, anchor, span, n in zip(*(b.column(c).to_pylist() for c in ("s1", "s2", "anchor", "span", "n")), strict=True):
-                if held >= SHARD_WORDS and anchor != at:
+            for s1, s2, anchor, part, dealt, span, n in zip(*(b.column(c).to_pylist() for c in ("s1", "s2", "anchor", "part", "dealt", "span", "n")), strict=True):
+                if held >= SHARD_BYTES and (anchor, part) != at:
                     yield results()
                     shard, held = [], 0
-                at = anchor
-                shard.append((s1, s2, span, n))
-                held += span.count(b" ") + 1
+                at = anchor, part
+                shard.append((s1, s2, span, n, dealt))
+                held += len(span)
         if shard:
             yield results()
 
-    return grouped.mapInArrow(run, "s1 long, s2 long, bits long")
-
-
-def _window_keys(grouped: DataFrame, length: int) -> DataFrame:
-    """Spans cut into single windows, each named by a 128-bit hash of its words."""
-
-    def run(batches):
-        import xxhash
-
-        for b in batches:
-            cols = ([], [], [], [], [], [])
-            for s1, s2, span, n in zip(*(b.column(c).to_pylist() for c in ("s1", "s2", "span", "n")), strict=True):
-                ws = span.split(b" ")
-                for i in range(len(ws) - length + 1):
-                    d = xxhash.xxh3_128_digest(b" ".join(ws[i : i + length]))
-                    for c, v in zip(cols, (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), s1, s2, i, n), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["w1", "w2", "s1", "s2", "i", "n"])
-
-    return grouped.mapInArrow(run, "w1 long, w2 long, s1 long, s2 long, i long, n long")
+    return grouped.mapInArrow(run, SHARD_ROWS)
 
 
-def repeated_spans(docs: DataFrame, length: int = 35, most_spans: int = MOST_SPANS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 35, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(groups, places): how often each text occurs, and (doc_id, k1, k2, starts) of the windows that occur elsewhere too.
 
     Of equal texts one stands for all in the shards; their own windows are
@@ -245,7 +248,8 @@ def repeated_spans(docs: DataFrame, length: int = 35, most_spans: int = MOST_SPA
     slim = docs.select("doc_id", "k1", "k2").where("text is not null") if "text" in docs.columns else docs
     groups = materialize(slim.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper")), "texts")
     found = materialize(_all_anchors(docs, length), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a"))
+    # tables of counts are written before they are joined, so that both sides of a join come from shuffles and a frequent key can be split
+    again = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchor-counts")
     lists = found.join(again, F.col("anchor") == F.col("a")).groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
     # a text with copies is read once, and only to be compared with others
     lists = lists.join(groups, ["k1", "k2"]).where(F.col("copies").eqNullSafe(1) | F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2", F.array_distinct("runs").alias("runs"), (F.col("copies") == 1).alias("own"))
@@ -255,13 +259,15 @@ def repeated_spans(docs: DataFrame, length: int = 35, most_spans: int = MOST_SPA
     names = [F.xxhash64("span").alias("s1"), F.xxhash64(F.lit(1), "span").alias("s2")]
     spans = materialize(_cut_spans(listed, length), "spans")
     kinds = materialize(spans.groupBy("anchor", "span").agg(F.count("*").alias("n")).select(*names, "anchor", "span", "n"), "span-kinds")
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("t")).select(F.col("anchor").alias("a"), "m", "t")
-    sized = kinds.join(sizes, F.col("anchor") == F.col("a"))
-    shared = sized.where((F.col("m") <= most_spans) & (F.col("t") > 1)).select("s1", "s2", "anchor", "span", "n").repartition("anchor").sortWithinPartitions("anchor")
-    single = _window_keys(sized.where(F.col("m") > most_spans).select("s1", "s2", "span", "n"), length)
-    counts = single.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
-    alone = single.join(counts, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).groupBy("s1", "s2").agg(F.sum(F.expr("shiftleft(1L, cast(i as int))")).alias("bits"))
-    bits = materialize(_by_automata(shared, length).unionByName(alone), "repeats")
+    sizes = materialize(kinds.groupBy("anchor").agg(F.sum(F.octet_length("span")).alias("m"), F.sum("n").alias("t")).select(F.col("anchor").alias("a"), "m", "t"), "anchor-sizes")
+    sized = kinds.join(sizes, F.col("anchor") == F.col("a")).where("t > 1")
+    parts = F.ceil(F.col("m") / F.lit(shard_bytes))
+    dealt = sized.select("s1", "s2", "anchor", F.pmod(F.xxhash64("s1", "s2"), parts).alias("part"), (parts > 1).alias("dealt"), "span", "n").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    found = materialize(_by_automata(dealt, length), "repeats")
+    windows = found.where("w1 is not null")
+    counts = materialize(windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2")), "window-counts")
+    across = windows.where("s1 is not null").join(counts, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).select("s1", "s2", "bits")
+    bits = materialize(found.where("w1 is null").select("s1", "s2", "bits").union(across).groupBy("s1", "s2").agg(F.sum("bits").alias("bits")), "bits")
     places = spans.where("own").select("doc_id", "k1", "k2", "first", *names).join(bits, ["s1", "s2"])
     starts = F.expr("transform(filter(sequence(0, 62), i -> (shiftright(bits, i) & 1L) = 1L), i -> first + i)")
     return groups, places.select("doc_id", "k1", "k2", starts.alias("starts")).groupBy("doc_id", "k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
