@@ -31,6 +31,9 @@ from tidewell.llm.common import materialize, open_fs, shared_dir, small_batches
 #: Fixed values of the zstd seekable format.
 SKIP_INDEX, SKIP_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
+#: Files of one output; with fewer, each holds about 32 MB of text.
+MOST_SHARDS = 20_000
+
 IDS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 FILES = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -132,10 +135,24 @@ _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
 _SIGNS = re.compile(rb"(?<![^\sA-Za-z0-9])([!-&(-/:-@\[-`{-~]+)(?![^\sA-Za-z0-9])")
 
 
-def chunks_of(text: str | None) -> list[bytes]:
+#: s for an ASCII sign but the apostrophe, a space for ASCII letters, digits and white space, x for all else.
+_KIND = bytes(115 if 33 <= b < 127 and b != 39 and not chr(b).isalnum() else 32 if b < 128 and (chr(b).isalnum() or b in b" \t\n\r\x0b\x0c") else 120 for b in range(256))
+_SIGN_LIST = [bytes([b]) for b in range(128) if _KIND[b] == 115]
+
+
+def chunks_of(raw: bytes) -> list[bytes]:
     """Chunks whose ids, one after the other, are those of the text. Lower-casing A-Z first changes nothing but the names of special tokens, so it is left where one may stand."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw.split() if b"<|" in raw else _SIGNS.sub(rb" \1 ", raw.lower()).split()
+    if b"<|" in raw:
+        return raw.split()
+    raw, kinds = raw.lower(), raw.translate(_KIND)
+    if b"s" not in kinds:
+        return raw.split()
+    if b"ss" in kinds or b"sx" in kinds or b"xs" in kinds:
+        return _SIGNS.sub(rb" \1 ", raw).split()
+    for sign in _SIGN_LIST:  # each stands alone between letters, digits and white space
+        if sign in raw:
+            raw = raw.replace(sign, b" " + sign + b" ")
+    return raw.split()
 
 
 def memo(definition: str, dtype: str) -> _ChunkIds:
@@ -173,14 +190,14 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
     bounds: list[int] = []
     if shards is None or shards > 1:
         n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-        shards = shards or max(8, int((size or 0) >> 25), n >> 22)
-        bounds = sorted({int(b) for b in docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] or []})
+        shards = shards or min(MOST_SHARDS, max(8, int((size or 0) >> 25), n >> 22))
+        bounds = sorted({int(b) for b in docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 4 * shards))).first()[0] or []})
 
     def run(batches):
         ids_of, edges = memo(definition, dtype), np.array(bounds, np.int64)
         for b in batches:
-            docs_, texts = b.column("doc_id"), [t.as_py() for t in b.column("text")]
-            chunks = list(map(chunks_of, texts)) if by_chunk else [[t.encode("utf-8", "surrogatepass")] if t else [] for t in texts]
+            docs_, texts = b.column("doc_id"), b.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            chunks = list(map(chunks_of, texts)) if by_chunk else [[t] if t else [] for t in texts]
             if by_chunk:
                 ids_of.learn(chunks)
             out = [b"".join(map(ids_of.__getitem__, c)) + end for c in chunks]
