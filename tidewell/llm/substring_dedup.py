@@ -174,10 +174,10 @@ def _cut_spans(listed: DataFrame, length: int) -> DataFrame:
             at, out_anchor, out_first, out_span = [], [], [], []
             for i, (t, runs) in enumerate(zip(b.column("text"), b.column("runs"), strict=True)):
                 ws = words(t.as_py())
-                for r in runs.as_py():
-                    first, more = r["run"] >> 6, r["run"] & 63
+                for anchor, r in sorted({(r["anchor"], r["run"]) for r in runs.as_py()}, key=lambda x: x[1]):  # repeated rows of a document give each run again
+                    first, more = r >> 6, r & 63
                     at.append(i)
-                    out_anchor.append(r["anchor"])
+                    out_anchor.append(anchor)
                     out_first.append(first)
                     out_span.append(b" ".join(ws[first : first + more + length]))
                 if len(at) > 20_000:
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, shard_bytes: int = SHARD_B
     again = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchor-counts")
     lists = found.join(again, F.col("anchor") == F.col("a")).groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
     # a text with copies is read once, and only to be compared with others
-    lists = lists.join(groups, ["k1", "k2"]).where(F.col("copies").eqNullSafe(1) | F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2", F.array_distinct("runs").alias("runs"), (F.col("copies") == 1).alias("own"))
+    lists = lists.join(groups, ["k1", "k2"]).where(F.col("copies").eqNullSafe(1) | F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2", "runs", (F.col("copies") == 1).alias("own"))
     lists = materialize(lists, "runs")
     d, l = docs.alias("d"), lists.alias("l")
     listed = d.join(l, (F.col("d.k1") == F.col("l.k1")) & (F.col("d.k2") == F.col("l.k2")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id"))).select("d.doc_id", "d.k1", "d.k2", "d.text", "l.runs", "l.own")
