@@ -88,8 +88,10 @@ def test_agreement_and_signatures():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200, 260)] + [(5, 1), (9, 5), (1, 7), (3, 3), (None, 4)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()}
-    assert got == {i: 200 for i in range(200, 261)} | {1: 1, 5: 1, 7: 1, 9: 1}
+    df = spark.createDataFrame(edges, "a BIGINT, b BIGINT").repartition(4)
+    for most in (1000, 20):
+        got = {r.node: r.component for r in connected_components(df, most).collect()}
+        assert got == {i: 200 for i in range(200, 261)} | {1: 1, 5: 1, 7: 1, 9: 1}
     assert connected_components(spark.createDataFrame([], "a BIGINT, b BIGINT")).count() == 0
 
 
