@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Bounds a Python worker's memory whatever the length of the texts.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -81,7 +81,7 @@ def plain_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """Memo of a 64-bit hash for each word; emptied when it grows large."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -55,7 +55,7 @@ class _ChunkIds(dict):
     full its words move to a second one, from which those met again come back.
     """
 
-    def __init__(self, definition: str, dtype: str, most: int = 300_000):
+    def __init__(self, definition: str, dtype: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
