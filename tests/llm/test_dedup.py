@@ -59,6 +59,55 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     assert got == brute_components(table)
 
 
+def test_near_dedup_star_of_edited_copies(spark):
+    """Copies that are linked with their original alone, which has the largest id."""
+    r = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(204)]
+    table = [(5000, " ".join(base))]
+    for i in range(1200):
+        ws = list(base)
+        for j in r.choice(25, 5, replace=False):
+            ws[4 + 8 * j] = f"edit{i}-{j}"
+        table.append((i, " ".join(ws)))
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in table}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(share(i, 5000) >= 0.75 for i in range(1200))
+    assert np.mean([share(int(a), int(b)) < 0.75 for a, b in r.integers(0, 1200, (300, 2)) if a != b]) > 0.95
+    df = spark.createDataFrame(table, "doc_id BIGINT, text STRING").repartition(4)
+    assert {r.component_id for r in near_dedup.find_near_duplicates(df).collect()} == {0}
+
+
+def test_joins_within_a_region(monkeypatch):
+    """Every agreeing pair of a region counts, however many rows lie between its two."""
+    monkeypatch.setattr(near_dedup, "REGION_BLOCK", 16)
+    r = np.random.default_rng(12)
+    rows = r.integers(0, 16, (150, near_dedup.TAIL))
+    for i in range(0, 150, 3):
+        rows[i] = np.where(r.random(near_dedup.TAIL) < 0.8, rows[r.integers(0, 150)], rows[i])
+    tails = [bytes((x[::2] << 4 | x[1::2]).astype(np.uint8)) for x in rows]
+    need = 39
+
+    def components(pairs):
+        forest = near_dedup.Forest()
+        for i, j in pairs:
+            forest.join(i, j)
+        return [forest.root(i) for i in range(150)]
+
+    want = components((i, j) for i in range(150) for j in range(i) if (rows[i] == rows[j]).sum() >= need)
+    assert len(set(want)) < 150
+    assert components(near_dedup._joins_of_few([int.from_bytes(t, "big") for t in tails], need)) == want
+    assert components(near_dedup._joins_of_many(np.frombuffer(b"".join(tails), "<u8").reshape(150, -1), need)) == want
+
+
+def test_overlaps():
+    r = np.random.default_rng(13)
+    stock = r.integers(0, 2**64, 3000, np.uint64)
+    sets = [np.unique(r.choice(stock, n)) for n in (0, 1, 50, 700, 2500, 9000)] + [np.unique(np.concatenate([stock[:40], r.choice(stock, 30)])) for _ in range(60)]
+    sets += [np.unique(r.integers(0, 2**64, 300_000, np.uint64)) for _ in range(2)]
+    got = near_dedup.overlaps(sets)
+    assert all(got[i, j] == (len(np.intersect1d(sets[i], sets[j])) if i != j else 0) for i in range(len(sets)) for j in range(len(sets)))
+
+
 def test_near_dedup_repeated_rows_nulls_and_empty(spark):
     more = [r for r in rows() if r[0] < 4] + [(None, "no id at all here", None, None, None, *"abcdefg")]
     df = docs(spark, more)

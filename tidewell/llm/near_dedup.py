@@ -2,15 +2,16 @@
 
 Each text has a signature of N_HASH minima. Each of TREES orders reads the
 signature from another place on, so it begins with values that no other order
-begins with. All signatures are sorted in every order; candidates of a row are
-its neighbours there that share at least DEPTH values. In a crowded region the
-nearest neighbours share many more, so the depth in use follows the region.
-Candidates whose signatures agree well enough form candidate components; within
-these, links are confirmed on the full sets of shingles.
+begins with. All signatures are sorted in every order; a region is all rows that
+begin with the same DEPTH values there.
+All rows of such a region whose signatures agree well enough join a candidate
+component; within these, all links are confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,14 +21,16 @@ from tidewell.llm.common import WordHash, materialize, shielded, small_batches,
 from tidewell.llm.components import Forest, connected_components, sorted_intersection
 
 N_HASH, TREES, DEPTH, TAIL = 128, 32, 4, 64
-#: Rows of a region looked at before each row, and those kept at most.
-NEAR, ENOUGH = 32, 2
+#: Rows of a region from which it is compared in blocks of REGION_BLOCK; smaller ones go row by row.
+SMALL_REGION, REGION_BLOCK = 24, 512
 #: Agreement of the tail's half-bytes from which a pair is a candidate; a pair at the threshold is 3 deviations above.
 AGREE = 0.60
 #: Forest rows sorted in one task, at most about.
 ROWS_A_PART = 2_000_000
 #: Texts compared in one task at a time.
 BLOCK = 256
+#: Shingles on each side where all blocks of a component meet; a text counts as LEAST_COST at least.
+MEET_COST, LEAST_COST = 400_000, 400
 #: Rows of ids up to which a table of them is sent to every executor (about 28 MB as Spark holds it); beyond that it is joined by a shuffle.
 MOST_BROADCAST = 250_000
 
@@ -116,31 +119,87 @@ def agreement(a: int, b: int) -> int:
     return TAIL - (x & _ONES).bit_count()
 
 
+def _joins_of_few(tails: list[int], need: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) that connect what pairs that agree in `need` half-bytes connect. Rows already joined aren't compared."""
+    label, out = list(range(len(tails))), []
+    for i, t in enumerate(tails):
+        for j in range(i - 1, -1, -1):
+            if label[i] != label[j] and agreement(tails[j], t) >= need:
+                out.append((i, j))
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return out
+
+
+def _joins_of_many(tails: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """The same for rows of TAIL / 16 unsigned 64-bit numbers, in blocks; blocks of one and the same component aren't compared."""
+    forest, out, n = Forest(), [], len(tails)
+    ones = np.uint64(0x1111111111111111)
+    label = np.arange(n)
+    for start in range(0, n, REGION_BLOCK):
+        stop = min(start + REGION_BLOCK, n)
+        for first in range(start, -1, -REGION_BLOCK):
+            last = min(first + REGION_BLOCK, n)
+            here, there = label[start:stop], label[first:last]
+            if (there == there[0]).all():
+                rows = start + np.nonzero(here != there[0])[0]
+            else:
+                rows = np.arange(start, stop)
+            if not len(rows):
+                continue
+            differ = np.zeros((len(rows), last - first), np.uint8)
+            for w in range(tails.shape[1]):
+                x = tails[rows, w][:, None] ^ tails[None, first:last, w]
+                x |= x >> np.uint64(2)
+                x |= x >> np.uint64(1)
+                x &= ones
+                differ += np.bitwise_count(x)
+            i, j = np.nonzero(differ <= TAIL - need)
+            i, j = rows[i], first + j
+            apart = label[i] != label[j]
+            if not apart.any():
+                continue
+            i, j = i[apart], j[apart]
+            # one pair of each two components that meet here
+            _, one = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
+            for p, q in zip(i[one].tolist(), j[one].tolist(), strict=True):
+                if forest.join(int(label[p]), int(label[q])):
+                    out.append((p, q))
+            seen, back = np.unique(label[:stop], return_inverse=True)
+            label[:stop] = np.fromiter((forest.root(int(x)) for x in seen), np.int64, len(seen))[back]
+    return out
+
+
 def neighbour_pairs(rows: DataFrame, least: float = AGREE) -> DataFrame:
-    """(a, b) of rows near each other in an order. The rows come sorted; only NEAR of them are held."""
+    """(a, b) that connect what all agreeing pairs of each region connect. Rows come sorted, a region in one task."""
     cut, need = 1 + 2 * DEPTH, int(np.ceil(least * TAIL))
 
+    def joins(tails, nodes):
+        if len(nodes) < SMALL_REGION:
+            found = _joins_of_few([int.from_bytes(t, "big") for t in tails], need)
+        else:
+            found = _joins_of_many(np.frombuffer(b"".join(tails), "<u8").reshape(len(nodes), -1), need)
+        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in found if nodes[i] != nodes[j]]
+
     def run(batches):
-        region, held = None, []
+        region, tails, nodes = None, [], []
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            a, b = [], []
+            out = []
             for place, node in zip(batch.column("place").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                head, tail = place[:cut], int.from_bytes(place[cut:], "big")
+                head = place[:cut]
                 if head != region:
-                    region, held = head, [(tail, node)]
-                    continue
-                found = 0
-                for t, other in reversed(held):
-                    if other != node and agreement(t, tail) >= need:
-                        a.append(max(node, other))
-                        b.append(min(node, other))
-                        found += 1
-                        if found == ENOUGH:
-                            break
-                held.append((tail, node))
-                if len(held) > NEAR:
-                    del held[0]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if len(nodes) > 1:
+                        out += joins(tails, nodes)
+                    region, tails, nodes = head, [], []
+                tails.append(place[cut:])
+                nodes.append(node)
+            yield table(out)
+        if len(nodes) > 1:
+            yield table(joins(tails, nodes))
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -203,16 +262,117 @@ def _with_text(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return _light(nodes).join(texts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
 
 
-def _confirm(candidates: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sorted arrays without repeats, n x n. Slices of the hash range bound the memory."""
+    n, total = len(sets), sum(map(len, sets))
+    out = np.zeros((n, n), np.int32)
+    parts = max(1, -(-total // 500_000))
+    edges = [np.uint64(k * (2**64 // parts)) for k in range(1, parts)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(edges, np.uint64)), [len(s)]]).astype(np.int64) for s in sets]
+    for k in range(parts):
+        pieces = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        value, row = np.concatenate(pieces), np.repeat(np.arange(n), [len(p) for p in pieces])
+        order = np.argsort(value, kind="stable")
+        value, row = value[order], row[order]
+        new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.empty(0, bool)
+        column = np.cumsum(new) - 1
+        times = np.bincount(column) if len(value) else np.empty(0, np.int64)
+        # columns of few rows: their pairs one by one; columns of many rows: products of dense slices
+        often = times[column] >= 32 if len(value) else np.empty(0, bool)
+        c, r = column[~often], row[~often]
+        for d in range(1, 32):
+            same = np.nonzero(c[d:] == c[:-d])[0]
+            if not len(same):
+                break
+            pair = r[same] * n + r[same + d]
+            if len(pair) * 8 < n * n:
+                np.add.at(out.reshape(-1), pair, 1)
+            else:
+                out += np.bincount(pair, minlength=n * n).reshape(n, n).astype(np.int32)
+        c, r = column[often], row[often]
+        if len(c):
+            c = np.unique(c, return_inverse=True)[1]
+            for at in range(0, int(c[-1]) + 1, 2048):
+                lo, hi = np.searchsorted(c, [at, at + 2048])
+                dense = np.zeros((n, int(c[hi - 1]) - at + 1), np.float32)
+                dense[r[lo:hi], c[lo:hi] - at] = 1
+                # rows are ascending within a column, so that the pairs above fill the upper half alone
+                out += np.triu(dense @ dense.T, 1).astype(np.int32)
+    return out + out.T
+
+
+def cross_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two labels, one pair of nodes with 100 * intersection >= percent * union, if there is any."""
+    both = overlaps(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ok = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both)
+    ok &= labels[:, None] > labels[None, :]
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return nodes[:0], nodes[:0]
+    _, one = np.unique(np.stack([labels[i], labels[j]]), axis=1, return_index=True)
+    return nodes[i[one]], nodes[j[one]]
+
+
+def _meet_all(labelled: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between nodes of one component whose labels differ; each meets all others, in pairs of blocks. None if all have one label."""
+    split = labelled.groupBy(F.col("component").alias("_c")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("_c")
+    left = materialize(labelled.join(split, F.col("component") == F.col("_c"), "left_semi"), "open")
+    if not left.limit(1).count():
+        return None
+    sizes = sets.select(F.col("doc_id").alias("_s"), "n_shingles")
+    cost = left.join(sizes, F.col("node") == F.col("_s")).groupBy("node", "component", "label").agg(F.greatest(F.max("n_shingles"), F.lit(LEAST_COST)).alias("cost"))
+    cost = materialize(cost, "costs")
+    # a label of many texts has blocks of its own; labels of few share blocks (label null), each label in one
+    whole = cost.groupBy("component", "label").agg(F.sum("cost").alias("all")).withColumn("own", F.when(F.col("all") * 4 > MEET_COST, F.col("label")))
+    sizes = whole.groupBy("component", "own").agg(F.ceil(F.sum("all") / MEET_COST).alias("n_blocks"))
+    sizes = sizes.select(F.col("component").alias("_c"), F.col("own").alias("_o"), "n_blocks")
+    dealer = whole.join(sizes, (F.col("component") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o"))).select(F.col("component").alias("_k"), F.col("label").alias("_l"), "own", "n_blocks")
+    salted = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("n_blocks"))
+    block = F.concat_ws("-", F.coalesce(F.col("own").cast("string"), F.lit("few")), salted.cast("string"))
+    placed = cost.join(dealer, (F.col("component") == F.col("_k")) & (F.col("label") == F.col("_l"))).select("node", "component", "label", block.alias("block"))
+    placed = materialize(placed, "placed")
+    blocks = placed.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (blocks.select(F.col("component").alias(f"c{i}"), F.col("block").alias(f"b{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2))
+    # blocks of one and the same label have nothing to settle
+    meets = x.join(y, F.col("c1") == F.col("c2")).where("b1 <= b2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    meets = meets.select("c1", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("_block"))
+    dealt = placed.join(meets, (F.col("component") == F.col("c1")) & (F.col("block") == F.col("_block"))).select("node", "component", "label", "b1", "b2")
+    met = _with_text(materialize(dealt, "meets"), texts).repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
+
+    def run(batches):
+        hashes, at, members = WordHash(), None, {}
+
+        def result():
+            nodes, labels = np.array(list(members)), np.array([m[0] for m in members.values()])
+            a, b = cross_links(nodes, labels, [m[1] for m in members.values()], percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "b1", "b2")), strict=True)
+            for key, node, label, text in zip(keys, batch.column("node").to_pylist(), batch.column("label").to_pylist(), batch.column("text"), strict=True):
+                if key != at:
+                    if members:
+                        yield result()
+                    at, members = key, {}
+                members[node] = label, shingles(text.as_py(), hashes)
+        if members:
+            yield result()
+
+    return materialize(met.mapInArrow(run, "a long, b long"), "links")
+
+
+def _confirm(candidates: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect what the exact links within candidate components connect.
 
     Components up to BLOCK texts are compared as a whole. Larger ones are dealt
     over blocks; the blocks' own components then send their smallest node to
-    the next, smaller set of blocks, until each component fits in one. Last,
-    candidate pairs whose ends are still apart are confirmed one by one.
+    the next, smaller set of blocks, until each component fits in one or
+    nothing is linked any more. That joins most of a group of like copies. What
+    is still apart after it, in a large component, then meets all of the rest.
     """
     left, links, large = candidates, None, False
-    for level in range(40):
+    for level in count():
         sizes = left.groupBy("component").agg(F.count("*").alias("size"))
         dealt = left.join(sizes.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c")).where("size > 1")
         dealt = materialize(dealt.select("node", "component", "size", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("size") / BLOCK)).alias("block")), "blocks")
@@ -226,27 +386,17 @@ def _confirm(candidates: DataFrame, pairs: DataFrame, texts: DataFrame, percent:
         large = True
         heads = found.where("a = b").select(F.col("a").alias("_a"))
         rest = materialize(many.join(heads, F.col("node") == F.col("_a")).select("node", "component"), "heads")
-        if rest.count() == n:  # nothing is linked any more: the pairs below decide
+        if 2 * rest.count() > n:  # little is linked any more: the rest is settled below
             break
         left = rest
     links = links.where("a <> b")
     if large:
-        now = materialize(connected_components(links), "components")
-        x, y = now.select(F.col("node").alias("_a"), F.col("component").alias("ca")), now.select(F.col("node").alias("_b"), F.col("component").alias("cb"))
-        apart = pairs.join(x, F.col("a") == F.col("_a"), "left").join(y, F.col("b") == F.col("_b"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        now = materialize(connected_components(links), "components").select(F.col("node").alias("_n"), F.col("component").alias("label"))
         big = candidates.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select(F.col("component").alias("_c"))
-        inside = candidates.join(big, F.col("component") == F.col("_c"), "left_semi").select(F.col("node").alias("_m"))
-        apart = materialize(apart.select("a", "b").join(inside, F.col("a") == F.col("_m"), "left_semi"), "apart")
-        ta, tb = texts.select(F.col("node").alias("_a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("_b"), F.col("text").alias("text_b"))
-
-        def run(batches):
-            hashes = WordHash()
-            for batch in batches:
-                ok = [linked(shingles(s.as_py(), hashes), shingles(t.as_py(), hashes), percent) for s, t in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        more = apart.join(ta, F.col("a") == F.col("_a")).join(tb, F.col("b") == F.col("_b")).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-        links = links.union(materialize(more, "links"))
+        inside = candidates.join(big, F.col("component") == F.col("_c"), "left_semi")
+        labelled = materialize(inside.join(now, F.col("node") == F.col("_n"), "left").select("node", "component", F.coalesce("label", "node").alias("label")), "labels")
+        more = _meet_all(labelled, sets, texts, percent)
+        links = links if more is None else links.union(more)
     return links
 
 
@@ -266,12 +416,13 @@ def find_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keepers = named.join(groups.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "node"), (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("doc_id") == F.col("node")))
     rows = materialize(forest_rows(keepers.select("node", "sig")), "forest")
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_A_PART)
-    ordered = rows.repartitionByRange(int(width), "place", "node").sortWithinPartitions("place", "node")
+    # by the head alone: a region must not be cut
+    ordered = rows.repartitionByRange(int(width), F.substring("place", 1, 1 + 2 * DEPTH)).sortWithinPartitions("place", "node")
     pairs = materialize(neighbour_pairs(ordered).distinct(), "pairs")
     candidates = materialize(connected_components(pairs), "candidates")
     member = _light(candidates.select(F.col("node").alias("_m")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(member, F.col("node") == F.col("_m"), "left_semi")
-    links = _confirm(candidates, pairs, texts, percent)
+    links = _confirm(candidates, sets, texts, percent)
     final = connected_components(links).select(F.col("node").alias("_n"), "component")
     known = groups.join(final, F.col("node") == F.col("_n"), "left").where("copies > 1 or component is not null").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "node").alias("component"))
     known = materialize(known, "known")
