@@ -81,6 +81,20 @@ def test_quality_thresholds(spark):
     assert quality.keep_good(df.limit(0)).count() == 0 and quality.score_quality(df.limit(0)).count() == 0
 
 
+def test_quality_of_a_source_with_a_third_of_junk(spark):
+    def lines(i, n):
+        return "\n".join([f"line {i} {j} has its own words {j * j}" for j in range(n)])
+
+    clean = [row(i, lines(i, 20), "en", f"s{i % 3}") for i in range(300)]
+    symbols = [row(1000 + i, " ".join(f"w{i}{j} ###" for j in range(40)), "en", "hot") for i in range(33)]
+    repeats = [row(2000 + i, lines(i, 30) + "\nx" * 25, "en", "lines") for i in range(33)]
+    rest = [row(3000 + i, lines(3000 + i, 20), "en", ["hot", "lines"][i % 2]) for i in range(134)]
+    df = spark.createDataFrame(clean + symbols + repeats + rest, DOCS)
+    out = {r.doc_id: r for r in quality.score_quality(df).collect()}
+    assert not any(out[r[0]].base_failed for r in symbols + repeats)
+    assert not any(out[r[0]].kept for r in symbols + repeats) and all(out[r[0]].kept for r in clean + rest)
+
+
 def test_sketches_merge(spark):
     df = spark.createDataFrame([row(i, "x " * 9 + "y" * (i + 1), "en", f"s{i % 7}") for i in range(400)], DOCS)
     counted = quality.with_counts(df, ["lang", "source"])

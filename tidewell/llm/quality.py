@@ -87,11 +87,15 @@ def quantiles(sketch: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
 def thresholds(sketch: DataFrame, least_group: int = 50, fences: float = 6.0) -> DataFrame:
     """(lang, source, one limit a metric): upper quartile plus `fences` interquartile ranges, not under the metric's floor.
 
+    Junk in over a quarter of a group is its upper quartile and would loosen
+    that limit beyond any value. So the limit is at most the median plus twice
+    `fences` distances from the lower quartile to the median, which holds up
+    to a half of junk.
     A group under least_group documents takes its language's limits, a language
     under that the corpus's: their sketches are merged, not counted anew.
     """
-    at = [0.25, 0.75]
-    limit = F.col("q1") + F.lit(fences) * (F.col("q1") - F.col("q0"))
+    at = [0.25, 0.75, 0.5]
+    limit = F.least(F.col("q1") + F.lit(fences) * (F.col("q1") - F.col("q0")), F.col("q2") + F.lit(2 * fences) * (F.col("q2") - F.col("q0")))
 
     def wide(keys, tag):
         q = quantiles(sketch, keys, at)
