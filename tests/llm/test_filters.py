@@ -121,6 +121,16 @@ def test_mixing_hits_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_a_rare_source(spark):
+    """A source with a thousandth of the text and half of the target is repeated some 500 times."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("usual").alias("source"), F.lit("0123456789").alias("text"))
+    n = {r.source: r for r in mixing.mix(df).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "mix_copy").alias("d"), F.max("mix_rate").alias("rate"), F.variance("mix_copies").alias("v")).collect()}
+    assert n["rare"].rate == pytest.approx(500.0) and n["rare"].n == n["rare"].d
+    assert n["rare"].n / 10_000 == pytest.approx(1.0, rel=0.05) and n["usual"].n / 10_000 == pytest.approx(1.0, rel=0.05)
+    times = [r.mix_copies for r in mixing.mix(df).where("source = 'rare'").select("doc_id", "mix_copies").distinct().collect()]
+    assert len(times) == 20 and 200 < sum((t - 500) ** 2 for t in times) / 20 < 1100
+
+
 def test_mixing_odd_rows(spark):
     df = docs(spark, [row(None, None), row(1, "twice"), row(1, "twice")])
     out = mixing.resample(df, epochs=3.0)

@@ -13,12 +13,17 @@ from tidewell.llm.common import shielded
 TARGETS = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
 
 
-def rates(docs: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = 1.0, max_rate: float = 50.0) -> DataFrame:
-    """(mix_source, rate, cdf): mean repetitions of a document of each source, and the Poisson distribution's steps.
+#: Rate up to which one Poisson distribution is summed. Its steps would vanish at large rates, so a larger rate is drawn in pieces of PIECE.
+MAX_RATE, PIECE = 50.0, 25.0
+
+
+def rates(docs: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = 1.0, max_rate: float = MAX_RATE) -> DataFrame:
+    """(mix_source, rate, pieces, cdf): mean repetitions of a document of each source, and the steps of the Poisson distribution of a piece.
 
     Sizes are characters of whole texts, so the expected size of source s in
     the mix is its weight's share of epochs times the corpus. A source without
-    any text has rate 1; rates are held to max_rate.
+    any text has rate 1. A rate over max_rate is the sum of several equal
+    pieces, each of which is drawn by itself; any other is one piece.
     """
     weight = F.lit(1.0)
     for s, w in sorted(targets.items()):
@@ -26,12 +31,14 @@ def rates(docs: DataFrame, targets: dict[str, float] = TARGETS, epochs: float =
     sizes = docs.groupBy(F.col("source").cast("string").alias("mix_source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
     sizes = sizes.withColumn("weight", weight)
     total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight")).withColumn("_k", F.lit(1))
-    rate = F.when(F.col("size") > 0, F.least(F.lit(max_rate), F.lit(epochs) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size"))).otherwise(1.0)
+    rate = F.when(F.col("size") > 0, F.lit(epochs) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size")).otherwise(1.0)
     last = int(max_rate + 12 * math.sqrt(max_rate) + 20)
-    # p(k) = exp(-rate) rate^k / k!, summed step by step
-    steps = F.expr(f"""aggregate(sequence(1, {last}), struct(exp(-rate) AS p, array(exp(-rate)) AS cdf),
-        (s, k) -> struct(s.p * rate / k AS p, array_append(s.cdf, element_at(s.cdf, -1) + s.p * rate / k) AS cdf), s -> s.cdf)""")
-    return sizes.withColumn("_k", F.lit(1)).join(total, "_k").select("mix_source", rate.alias("rate")).withColumn("cdf", steps)
+    # p(k) = exp(-part) part^k / k!, summed step by step
+    steps = F.expr(f"""aggregate(sequence(1, {last}), struct(exp(-part) AS p, array(exp(-part)) AS cdf),
+        (s, k) -> struct(s.p * part / k AS p, array_append(s.cdf, element_at(s.cdf, -1) + s.p * part / k) AS cdf), s -> s.cdf)""")
+    rated = sizes.withColumn("_k", F.lit(1)).join(total, "_k").select("mix_source", rate.alias("rate"))
+    rated = rated.withColumn("pieces", F.when(F.col("rate") > max_rate, F.ceil(F.col("rate") / PIECE)).otherwise(F.lit(1)).cast("long"))
+    return rated.withColumn("part", F.col("rate") / F.col("pieces")).withColumn("cdf", steps).drop("part")
 
 
 def uniform(seed: int, *cols):
@@ -45,10 +52,14 @@ def _mixed(docs: DataFrame, targets: dict[str, float], epochs: float, seed: int,
     few = docs.select("source").distinct().limit(most_broadcast + 1).count() <= most_broadcast
     joined = docs.join(F.broadcast(table) if few else table, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    copies = joined.withColumn("mix_u", uniform(seed, name)).withColumn("mix_copies", F.expr("cast(size(filter(cdf, c -> c <= mix_u)) as long)"))
+    # the first piece draws by seed and name alone, the others by their number too
+    first = F.expr("cast(size(filter(cdf, c -> c <= mix_u)) as long)")
+    draws = F.transform(F.sequence(F.lit(1).cast("long"), F.col("pieces") - 1), lambda i: uniform(seed, name, i))
+    more = F.aggregate(draws, F.lit(0).cast("long"), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
+    copies = joined.withColumn("mix_u", uniform(seed, name)).withColumn("mix_copies", first + F.when(F.col("pieces") > 1, more).otherwise(0))
     out = copies.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)"))).withColumnRenamed("rate", "mix_rate")
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("mix_copy").cast("string"))))
-    return out.drop("mix_source", "cdf", "mix_u").repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    return out.drop("mix_source", "pieces", "cdf", "mix_u").repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
 
 
 ADDED = ["mix_copy", "mix_copies", "mix_rate", "mix_key"]
