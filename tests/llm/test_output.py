@@ -99,6 +99,15 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_page_ids(spark):
+    """Rows of one page_id with different payloads, one or both of them copies of earlier pages."""
+    a, b, c, d = ("<p>" + x * 200 for x in "abcd")
+    table = [(1, "http://x/1", a), (2, "http://x/2", b), (5, "http://x/5", a), (5, "http://x/6", c), (7, "http://x/7", a), (7, "http://x/8", b), (9, "http://x/9", d)]
+    plan = warc.plan_records(spark.createDataFrame(table, "page_id BIGINT, url STRING, html STRING"))
+    got = sorted((r.record_id, r.url[-1], r.record_type, r.refers_to) for r in plan.collect())
+    assert got == [(1, "1", "response", None), (2, "2", "response", None), (5, "5", "revisit", 1), (5, "6", "response", None), (7, "7", "revisit", 1), (7, "8", "revisit", 2), (9, "9", "response", None)]
+
+
 def test_chunked_record_table(spark):
     big = "0123456789" * 30_000
     df = spark.createDataFrame([(1, "u", big, "", ""), (2, "u", big, "", ""), (3, "u", None, "", "")], PAGES)

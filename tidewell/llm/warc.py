@@ -35,8 +35,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     p = p.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     first = p.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("key")).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     # only pages with a copy meet the table of first pages; the rest never leave their partition
-    marked = p.select("record_id", "payload_digest").where(F.col("payload_bytes") >= LEAST_REVISIT).join(first, F.col("payload_digest") == F.col("key")).where("record_id > first_id").select(F.col("record_id").alias("again_id"), "first_id").distinct()
-    joined = p.join(marked, F.col("record_id") == F.col("again_id"), "left")
+    marked = p.select("record_id", "payload_digest").where(F.col("payload_bytes") >= LEAST_REVISIT).join(first, F.col("payload_digest") == F.col("key")).where("record_id > first_id").select(F.col("record_id").alias("again_id"), "key", "first_id").distinct()
+    # by digest too: rows that share a page_id can have different payloads
+    joined = p.join(marked, (F.col("record_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("key")), "left")
     again = F.col("first_id").isNotNull()
     return joined.select("record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url", "payload_bytes", "payload_digest", "payload")
 
