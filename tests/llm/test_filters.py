@@ -208,6 +208,12 @@ def test_language(spark):
     assert language.identify_languages(df.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    table = [row(i, f"text of language number {i % 230}", f"l{i % 230}") for i in range(2300)]
+    _, y = language.training_windows(spark.createDataFrame(table, DOCS))
+    assert len(set(y)) == 230
+
+
 def test_network_tables_agree():
     import numpy as np
 

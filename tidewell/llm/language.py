@@ -118,19 +118,17 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_windows(docs: DataFrame, per_language: int = 400, per_document: int = 4, languages: int = 200) -> tuple[np.ndarray, list[str]]:
-    """Bounded sample of labelled windows: per_language documents of each of the most common languages, the first by a hash of
+def training_windows(docs: DataFrame, per_language: int = 400, per_document: int = 4) -> tuple[np.ndarray, list[str]]:
+    """Bounded sample of labelled windows: per_language documents of each language, the first by a hash of
     their id, with per_document windows spread over each text."""
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2 * per_language / n)).otherwise(share)
+    table = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * per_language / n)) for lang, n in counts.items()], "_l string, _share double")
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     spread = F.array(*(F.expr(f"substring(text, 1 + cast(greatest(0, length(text) - {WINDOW}) * {i / max(1, per_document - 1)} as int), {WINDOW})") for i in range(per_document)))
-    sample = rows.where(u < share).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts")).collect()
+    sample = rows.join(table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts")).collect()
     x, y, seen = [], [], dict.fromkeys(counts, 0)
     for r in sorted(sample, key=lambda r: (r.u, r.doc_id, r.parts)):
         if seen[r.lang] < per_language:
@@ -147,8 +145,9 @@ def fit(docs: DataFrame, per_language: int = 400, epochs: int = 8) -> ByteConv |
     if not len(x):
         return None
     classes = sorted(set(y))
+    place = {c: i for i, c in enumerate(classes)}
     model = ByteConv(classes)
-    model.train(x, np.array([classes.index(c) for c in y]), epochs)
+    model.train(x, np.array([place[c] for c in y]), epochs)
     return model
 
 
