@@ -32,6 +32,23 @@ def test_token_round_trip(spark, name):
     assert token_frames.token_output(spark.createDataFrame([], DOCS), P.path(name)).count() == 0
 
 
+def test_one_doc_id_fills_several_shards(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    table = [(7, f"word {i} of many") for i in range(300)] + [(i, "one") for i in range(40)] + [(None, f"n{i}") for i in range(9)]
+    table = spark.createDataFrame(table, "doc_id long, text string")
+    ids = token_frames.encode(table, token_frames.vocabulary(WORDS), shards=12, fan=4).cache()
+    bounds = token_frames.shard_bounds(table, 12, fan=4)
+    assert len(bounds) == 11 and list(bounds) == sorted(bounds)
+    held = {(r.doc_id, r.shard): r["count"] for r in ids.groupBy("doc_id", "shard").count().collect()}
+    assert len([s for d, s in held if d == 7]) >= 8 and max(held.values()) < 100
+    got = token_frames.token_output(table, WORDS, shards=12).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 9 + list(range(7)) + [7] * 301 + list(range(8, 40))
+    want = sorted(zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for x in [*(f"word {i} of many" for i in range(300)), "one"])
+    assert sorted(r.ids_crc32 for r in got if r.doc_id == 7) == want
+
+
 def test_frames_are_read_alone_and_checked(tmp_path):
     path = str(tmp_path / "a.zst")
     w = token_frames.ShardWriter(path, "<u2", frame_bytes=64)
@@ -66,11 +83,22 @@ def test_chunks_give_the_ids_of_whole_texts():
     r = random.Random(3)
     texts = ["".join(r.choice("abAB12,.'-<|é— \n\téÉß") for _ in range(60)) for _ in range(400)]
     texts += ["don't it's <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "İ ΑΣ. ﬁ K", "x\u0301 \u0301 e\u0301t", "a\u00a0b\u2003c \x1c\x1d"]
+    texts += ["", " ", "Ẹ́É̇ Å Å ×÷ÀÞÿß", "l'été,—là «oui».***¿qué?1234567²", "rock'n'roll'd've'!'s,'ll", "a≮b ≠", "'" * 9 + "s"]
     for at in range(0, len(texts), 50):
-        chunks = [token_frames.chunks_of(x.encode()) for x in texts[at : at + 50]]
-        ids.learn(chunks)
-        for text, c in zip(texts[at : at + 50], chunks, strict=True):
-            assert np.frombuffer(b"".join(map(ids.__getitem__, c)), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+        part = texts[at : at + 50]
+        for text, got in zip(part, ids.of([x.encode() for x in part]), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    d = token_frames.vocabulary(WORDS)
+    t, ids = Tokenizer.from_str(d), token_frames._ChunkIds(d, "<u2")
+    monkeypatch.setattr(token_frames, "PIECE", 37)
+    texts = [f"{'word ' * i}{'x' * i * 9}, É{i}." * (1 + i % 3) for i in range(40)]
+    for text, got in zip(texts, ids.of([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 PAGES = "page_id BIGINT, url STRING, html STRING, payload STRING, record_type STRING"

@@ -18,8 +18,7 @@ import struct
 import sys
 import types
 import uuid
-from itertools import filterfalse, pairwise
-from unicodedata import is_normalized
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,12 @@ from tidewell.llm.common import materialize, open_fs, shared_dir, small_batches
 #: Fixed values of the zstd seekable format.
 SKIP_INDEX, SKIP_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
-#: Files of one output; with fewer, each holds about 32 MB of text.
-MOST_SHARDS = 20_000
+#: Bytes of text, and rows, of one file, about.
+SHARD_TEXT, SHARD_ROWS = 32 << 20, 4 << 20
+#: Bounds of shards that are drawn in one step; more are drawn from within each of these ranges.
+FAN = 10_000
 
-IDS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+IDS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("turn", pa.int64()), ("ids", pa.binary())])
 FILES = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -46,23 +47,24 @@ def vocabulary(tokenizer_path: str) -> str:
 
 
 class _ChunkIds(dict):
-    """Token ids of chunks without ASCII white space, as bytes.
-
-    The vocabulary drops white space and never joins text across it, so the
-    ids of a text are those of its chunks one after the other. Words that are
-    new to the memo are encoded many at a time: joined by spaces, with one
-    pre-token a word, and cut where the tokens end a word. When the memo is
-    full its words move to a second one, from which those met again come back.
+    """Token ids of chunks, as bytes.
+
+    The vocabulary drops white space and never joins text across the places
+    where cut() cuts, so the ids of a text are those of its chunks one after the
+    other. Words that are new to the memo are encoded many at a time: joined by
+    spaces, with one pre-token a word, and cut where the tokens end a word. When
+    the memo is full its words move to a second one, from which those met again
+    come back.
     """
 
-    def __init__(self, definition: str, dtype: str, most: int = 200_000):
+    def __init__(self, definition: str, dtype: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.dtype, self.most, self.old = Tokenizer.from_str(definition), dtype, most, {}
         plain = json.loads(definition)
         model = plain.get("model", {})
-        # lower-case ASCII words need neither normalizer nor pre-tokenizer
+        # lower-case words need neither normalizer nor pre-tokenizer, but bytes must be named as the vocabulary names them
         self.plain = Tokenizer.from_str(json.dumps(plain | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.suffix = model.get("end_of_word_suffix")
         ids = model.get("vocab") or {}
@@ -79,80 +81,119 @@ class _ChunkIds(dict):
             self[chunk] = out
         return out
 
-    def learn(self, lists: list[list[bytes]]) -> None:
-        """Put the chunks of some texts in the memo."""
+    def learn(self, chunks: list[bytes]) -> None:
+        """Put different chunks that are not in the memo there, as far as they are words."""
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        new: set[bytes] = set()
-        for ws in lists:
-            new.update(filterfalse(self.__contains__, ws))
         if self.old:
-            found = new.intersection(self.old)
-            self.update((c, self.old[c]) for c in found)
-            new -= found
-        if not self.suffix:
-            return
-        plain = {c for c in new if c.isalpha() and c.islower() and len(c) <= 64}
-        new -= plain
-        other, parts = set(filter(_LATIN.fullmatch, new)), []
-        for c in new - other:
-            if len(c) > 64:
-                continue
-            if m := _WORD.fullmatch(c):
-                core, tail = m[1].lower(), m[2]
-            elif c.isascii():
-                continue
-            else:
-                text = c.decode("utf-8", "surrogatepass")
-                body = text.rstrip(_TAIL)
-                low = body.lower()
-                if not (body.isalpha() and low.isalpha() and len(low) == len(body) and is_normalized("NFC", body)):
-                    continue
-                core, tail = body.encode(), text[len(body) :].encode()
-            parts.append((c, core, tail))
-            if core not in self and core not in self.old:
-                (plain if core.isascii() else other).add(core)
-        for tokenizer, cores in ((self.plain, sorted(plain)), (self.tokenizer, sorted(other))):
-            for at in range(0, len(cores), 4000):
-                self._encode(tokenizer, cores[at : at + 4000])
-        for c, core, tail in parts:
-            self[c] = self[core] + self[tail] if tail else self[core]
-
-    def _encode(self, tokenizer, words: list[bytes]) -> None:
+            found = {c: v for c, v in zip(chunks, map(self.old.get, chunks), strict=True) if v is not None}
+            self.update(found)
+            chunks = [c for c in chunks if c not in found]
+        if self.suffix:
+            new = list(filter(_LATIN.fullmatch, chunks))
+            for at in range(0, len(new), 4000):
+                self._encode(new[at : at + 4000])
+
+    def _encode(self, new: list[bytes]) -> None:
         """Memorize words of one pre-token each; if their number doesn't come out, they are left to __missing__."""
-        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        text = b" ".join(new).decode("latin-1").translate(_BYTE_NAMES)
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         cuts = np.nonzero(self.ends[ids])[0] + 1
-        if len(cuts) == len(words) and (not len(ids) or cuts[-1] == len(ids)):
+        if len(cuts) == len(new) and (not len(ids) or cuts[-1] == len(ids)):
             raw, step = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-            self.update(zip(words, (raw[i:j] for i, j in pairwise([0, *(cuts * step).tolist()])), strict=True))
+            self.update(zip(new, (raw[i:j] for i, j in pairwise([0, *(cuts * step).tolist()])), strict=True))
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts. Each different chunk of a piece of them is looked up once."""
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if b"<|" not in t]
+        for i in set(range(len(texts))).difference(plain):  # special tokens may stand here: only cut at white space
+            out[i] = b"".join(map(self.__getitem__, texts[i].split()))
+        for owners, parts in _pieces([(i, texts[i]) for i in plain]):
+            chunks, ends = cut(parts)
+            coded = chunks.dictionary_encode()
+            kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known = list(map(self.get, kinds))
+            new = [i for i, ids in enumerate(known) if ids is None]
+            self.learn([kinds[i] for i in new])
+            for i in new:
+                known[i] = self[kinds[i]]
+            ids = pa.array(known, pa.binary()).take(coded.indices)
+            if not len(ids):
+                continue
+            at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[[0, *ends]].tolist()
+            raw = memoryview(ids.buffers()[2]) if ids.buffers()[2] is not None else memoryview(b"")
+            for owner, (i, j) in zip(owners, pairwise(at), strict=True):
+                out[owner] = out[owner] + raw[i:j] if out[owner] else bytes(raw[i:j])
+        return out
 
 
 #: Lower-case words of a-z and the letters of Latin-1: one pre-token each, with nothing to normalize.
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
 
-#: A run of ASCII signs that stands between ASCII letters, digits or white space: a pre-token of its own.
-_SIGNS = re.compile(rb"(?<![^\sA-Za-z0-9])([!-&(-/:-@\[-`{-~]+)(?![^\sA-Za-z0-9])")
-
-
-#: s for an ASCII sign but the apostrophe, a space for ASCII letters, digits and white space, x for all else.
-_KIND = bytes(115 if 33 <= b < 127 and b != 39 and not chr(b).isalnum() else 32 if b < 128 and (chr(b).isalnum() or b in b" \t\n\r\x0b\x0c") else 120 for b in range(256))
-_SIGN_LIST = [bytes([b]) for b in range(128) if _KIND[b] == 115]
-
-
-def chunks_of(raw: bytes) -> list[bytes]:
-    """Chunks whose ids, one after the other, are those of the text. Lower-casing A-Z first changes nothing but the names of special tokens, so it is left where one may stand."""
-    if b"<|" in raw:
-        return raw.split()
-    raw, kinds = raw.lower(), raw.translate(_KIND)
-    if b"s" not in kinds:
-        return raw.split()
-    if b"ss" in kinds or b"sx" in kinds or b"xs" in kinds:
-        return _SIGNS.sub(rb" \1 ", raw).split()
-    for sign in _SIGN_LIST:  # each stands alone between letters, digits and white space
-        if sign in raw:
-            raw = raw.replace(sign, b" " + sign + b" ")
-    return raw.split()
+#: Names of those bytes that do not stand for themselves in a byte-level vocabulary: 256 and more, in their order.
+_BYTE_NAMES = {b: 256 + 33 + i for i, b in enumerate([*range(127, 161)])} | {173: 256 + 33 + 34}
+
+#: Bytes that are cut together, and how much text at a time.
+PIECE = 4 << 20
+
+
+def _pieces(texts: list[tuple[int, bytes]]):
+    """(owners, parts) of about PIECE bytes; a longer text is cut at white space, into several parts with one owner."""
+    owners, parts, size = [], [], 0
+    for owner, text in texts:
+        at = 0
+        while at < len(text) or not at:
+            end = len(text)
+            if end - at > PIECE:
+                space = _SPACE.search(text, at + PIECE)
+                end = space.end() if space else end
+            owners.append(owner)
+            parts.append(text[at:end])
+            size += end - at
+            at = max(end, 1)
+            if size >= PIECE:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
+
+
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+#: Kinds of bytes: white space, letter, digit, ASCII sign but the apostrophe (which can begin a pre-token of its own), anything else.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+_KIND = np.array([SPACE if b in b" \t\n\r\x0b\x0c" else OTHER if b > 126 or b < 33 or b == 39 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)], np.uint8)
+#: Whether a chunk begins at a byte of kind b after one of kind a, at 8 a + b.
+_BEGINS = np.array([b < 5 and b != SPACE and (a == SPACE or (a != b and a < OTHER and b < OTHER) or a == b == DIGIT) for a in range(8) for b in range(8)])
+
+
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Chunks whose ids, one after the other, are those of the texts, and how many chunks there are to the end of each text.
+
+    Cuts lie at white space, and where letters, digits and signs meet: there
+    every pre-token ends. Chunks with any other character are left whole.
+    Letters are lower-cased: A to Z and those of Latin-1, which no context changes.
+    """
+    x = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    kind = _KIND[x]
+    at = np.nonzero(x == 0xC3)[0]
+    if len(at):
+        second = x[at + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        at, second = at[letter] + 1, second[letter]
+        kind[at] = kind[at - 1] = LETTER
+        x = x.copy()
+        x[at] += ((second < 0x9F) * 32).astype(np.uint8)
+    begins = np.empty(len(x), bool)
+    begins[:1] = kind[:1] != SPACE
+    np.take(_BEGINS, kind[:-1] << 3 | kind[1:], out=begins[1:])
+    full = kind != SPACE
+    data = x[full]
+    offsets = np.append(np.flatnonzero(begins[full]), len(data)).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return chunks, np.searchsorted(np.flatnonzero(begins), np.cumsum([len(t) + 1 for t in texts]))
 
 
 def memo(definition: str, dtype: str) -> _ChunkIds:
@@ -164,9 +205,17 @@ def memo(definition: str, dtype: str) -> _ChunkIds:
     return held["ids"]
 
 
-#: A word of ASCII letters with ASCII signs after it (no apostrophe, which can begin a pre-token of its own).
-_WORD = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+def _gathered(batches):
+    """Batches of about PIECE bytes, so that a word is looked up once for more texts."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= PIECE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def splits_at_spaces(definition: str) -> bool:
@@ -176,10 +225,35 @@ def splits_at_spaces(definition: str) -> bool:
     return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in str((first.get("pattern") or {}).get("Regex"))
 
 
-def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None = None) -> DataFrame:
-    """(shard, doc_id, ids): the ids of every whole text and the end id; shards are ranges of doc_id.
+def shard_bounds(docs: DataFrame, shards: int, fan: int = FAN) -> np.ndarray:
+    """Largest doc_id of each shard but the last, ascending. A doc_id that fills several shards is named as often."""
+    coarse = min(shards, fan)
+
+    def at(n):
+        return F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 4 * n))
+
+    bounds = (docs.agg(at(coarse)).first()[0] or []) if coarse > 1 else []
+    fine = -(-shards // coarse)
+    if fine > 1:
+        edges = np.array(bounds, np.int64)
+
+        def run(batches):
+            for b in batches:
+                b = b.filter(b.column("doc_id").is_valid())
+                part = np.searchsorted(edges, b.column("doc_id").to_numpy(), side="left")
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column("doc_id")], names=["part", "doc_id"])
+
+        within = docs.select("doc_id").mapInArrow(run, "part long, doc_id long").groupBy("part").agg(at(fine).alias("b")).select("b").collect()
+        # a range that begins where it ends has no rows of its own, but its share of those of that doc_id
+        bounds = [*bounds, *(x for r in within for x in r.b), *np.repeat(edges[1:][edges[1:] == edges[:-1]], fine - 1).tolist()]
+    return np.sort(np.array(bounds, np.int64))
 
-    A null text is an empty one; a null doc_id sorts first.
+
+def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None = None, fan: int = FAN) -> DataFrame:
+    """(shard, doc_id, turn, ids): the ids of every whole text and the end id; shards are ranges of doc_id.
+
+    A null text is an empty one; a null doc_id sorts first. A doc_id that fills
+    several shards is dealt over them by a hash of the ids, its rows' turn.
     """
     from tokenizers import Tokenizer
 
@@ -187,25 +261,29 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
     dtype = "<u2" if max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1) <= 65536 else "<u4"
     by_chunk = splits_at_spaces(definition)
     end = np.array([end_id], dtype).tobytes()
-    bounds: list[int] = []
-    if shards is None or shards > 1:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if shards is None:
         n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-        shards = shards or min(MOST_SHARDS, max(8, int((size or 0) >> 25), n >> 22))
-        bounds = sorted({int(b) for b in docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 4 * shards))).first()[0] or []})
+        shards = max(8, int((size or 0) // SHARD_TEXT), n // SHARD_ROWS)
+    edges = shard_bounds(docs, shards, fan)
+    spread = {int(d): int(n) for d, n in zip(*np.unique(edges, return_counts=True), strict=True) if n > 1}
 
     def run(batches):
-        ids_of, edges = memo(definition, dtype), np.array(bounds, np.int64)
-        for b in batches:
+        import xxhash
+
+        ids_of = memo(definition, dtype)
+        for b in _gathered(batches):
             docs_, texts = b.column("doc_id"), b.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-            chunks = list(map(chunks_of, texts)) if by_chunk else [[t] if t else [] for t in texts]
-            if by_chunk:
-                ids_of.learn(chunks)
-            out = [b"".join(map(ids_of.__getitem__, c)) + end for c in chunks]
-            shard = np.searchsorted(edges, docs_.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), docs_.cast(pa.int64()), pa.array(out, pa.binary())], schema=IDS)
+            out = [ids + end for ids in (ids_of.of(texts) if by_chunk else [ids_of[t] if t else b"" for t in texts])]
+            known = docs_.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            shard, turn = np.searchsorted(edges, known, side="left"), np.zeros(len(out), np.int64)
+            for i in np.nonzero(np.isin(known, list(spread)))[0] if spread else ():
+                turn[i] = xxhash.xxh64_intdigest(out[i]) >> 1
+                shard[i] += int(turn[i]) * spread[int(known[i])] >> 63
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), docs_.cast(pa.int64()), pa.array(turn, pa.int64()), pa.array(out, pa.binary())], schema=IDS)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard long, doc_id long, ids binary")
-    return out.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "ids")
+    out = docs.mapInArrow(run, "shard long, doc_id long, turn long, ids binary")
+    return out.repartitionById(len(edges) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "turn", "ids")
 
 
 class ShardWriter:
@@ -304,7 +382,7 @@ class ShardReader:
 
 
 def write(ids: DataFrame, to: str, dtype: str = "<u2", frame_bytes: int = 256 << 10) -> DataFrame:
-    """Write sorted (shard, doc_id, ids) as one file a shard; return the files with their counts.
+    """Write sorted rows of encode() as one file a shard; return the files with their counts.
 
     A repeated task writes under a new name; only files named in the returned
     table belong to the output.
@@ -356,7 +434,7 @@ def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shards:
     Returns doc_id, start (ids of all documents before it in ascending doc_id
     order), n_tokens (with the end id) and ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers). Null or empty texts have the end
-    id alone; equal doc_ids follow each other in the order of their ids; an
+    id alone; equal doc_ids follow each other in an order that their ids fix; an
     empty table gives no file and no row.
     """
     definition = vocabulary(tokenizer_path)
