@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +26,42 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors can reach.
 
-    It lies in the folder named by ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a local folder is set, removed at exit.
+    It lies in the folder named by ``spark.checkpoint.dir``, whose scheme is
+    resolved as Spark does. Only where that is unset and all runs on one machine
+    (tests) a local folder is set, removed at exit.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir(spark.sparkContext.master)
+    return qualified(spark, f"{base.rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}")
+
+
+@cache
+def _local_dir(master: str) -> str:
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="tidewell-")
+    atexit.register(shutil.rmtree, base, True)
+    return f"file://{base}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it: a plain one lies in the default file system, which need not be the local one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path, before = shared_dir(spark, name), spark.conf.get(_CLEANUP, None)
     # what this step has shuffled is of no use once its rows are written
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.option("compression", "zstd").parquet(path)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,9 +73,12 @@ def shielded(docs: DataFrame, needed: list[str]):
 
 
 def open_fs(uri: str):
-    """File system and path of a URI or plain path, for use on the driver and in workers."""
+    """File system and path of a URI, for use on the driver and in workers. Without scheme it is local, so folders come from shared_dir()."""
     from pyarrow import fs
 
+    for name in ("s3a://", "s3n://"):
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
+
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
