@@ -53,20 +53,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed
 """
 
 
-def quality_sql(least_group: int = 50, fences: float = 6.0) -> str:
-    metrics = {m: e for m, (e, _) in quality.METRICS.items()}
-    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, ({e.replace(' / ', '::DOUBLE / ')})::DOUBLE AS v FROM c WHERE n_words > 0" for m, e in metrics.items())
-    limits = ", ".join(f"greatest({floor}::DOUBLE, CASE WHEN o.n_own >= {least_group} THEN o.{m} WHEN l.n_own >= {least_group} THEN l.{m} ELSE a.{m} END) AS limit_{m}" for m, (_, floor) in quality.METRICS.items())
-    fine = " AND ".join(f"NOT coalesce(({e.replace(' / ', '::DOUBLE / ')}) > limit_{m}, false)" for m, e in metrics.items())
-    wide = ", ".join(f"max(CASE WHEN metric = '{m}' THEN q1 + {fences} * (q1 - q0) END) AS {m}" for m in metrics)
+def quality_sql(least_group: int = 50) -> str:
+    exact = lambda e: f"({e.replace(' / ', '::DOUBLE / ')})"
+    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {exact(e)}::DOUBLE AS v FROM c WHERE n_words > 0" for m, (_, e, _, _) in quality.METRICS.items())
+    limits = ", ".join(f"CASE WHEN o.n_own >= {least_group} THEN o.{m} WHEN l.n_own >= {least_group} THEN l.{m} ELSE a.{m} END AS limit_{m}" for m in quality.METRICS)
+    fine = " AND ".join(f"NOT coalesce({exact(e)} > limit_{m}, false)" for m, (e, _, _, _) in quality.METRICS.items())
+
+    rounded = ", ".join(f"round(limit_{m}, 6) AS limit_{m}" for m in quality.METRICS)
+
+    def limit(m, times, least):
+        return f"max(CASE WHEN metric = '{m}' THEN pow({quality.GAMMA}::DOUBLE, least(q2 + {times} * greatest({least}, q2 - q0), q1 + {2 * times} * greatest({least}, q1 - q0))) END) AS {m}"
+
+    wide = ", ".join(limit(m, times, least) for m, (_, _, times, least) in quality.METRICS.items())
 
     def level(name, keys):
         k = "".join(f"{x}, " for x in keys)
         part = f"PARTITION BY {k}metric"
+        at = ", ".join(f"min(CASE WHEN cum >= {q} * total THEN bucket END) AS q{i}" for i, q in enumerate((0.25, 0.5, 0.75)))
         return f"""
 {name}_m AS (SELECT {k}metric, bucket, sum(n) AS n FROM sk GROUP BY {k}metric, bucket),
-{name}_c AS (SELECT {k}metric, bucket, sum(n) OVER ({part} ORDER BY bucket NULLS FIRST) AS cum, sum(n) OVER ({part}) AS total FROM {name}_m),
-{name}_q AS (SELECT {k}metric, max(total) AS total, min(CASE WHEN cum >= 0.25 * total THEN coalesce(pow({quality.GAMMA}::DOUBLE, bucket - 0.5), 0) END) AS q0, min(CASE WHEN cum >= 0.75 * total THEN coalesce(pow({quality.GAMMA}::DOUBLE, bucket - 0.5), 0) END) AS q1 FROM {name}_c GROUP BY {k}metric),
+{name}_c AS (SELECT {k}metric, bucket, sum(n) OVER ({part} ORDER BY bucket) AS cum, sum(n) OVER ({part}) AS total FROM {name}_m),
+{name}_q AS (SELECT {k}metric, max(total) AS total, {at} FROM {name}_c GROUP BY {k}metric),
 {name} AS (SELECT {k}max(total) AS n_own, {wide} FROM {name}_q {'GROUP BY ' + ', '.join(keys) if keys else ''}),"""
 
     return f"""
@@ -77,9 +84,9 @@ rw AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i +
 li AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_SPACE_WORDS}') GROUP BY rid),
 c AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rw.n, 0) AS n_repeat_words FROM d LEFT JOIN rw USING (rid) LEFT JOIN li USING (rid)),
 v AS ({values}),
-sk AS (SELECT lang, source, metric, CASE WHEN v > 0 THEN ceil(ln(v) / ln({quality.GAMMA}::DOUBLE))::BIGINT END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+sk AS (SELECT lang, source, metric, ceil(ln(v) / ln({quality.GAMMA}::DOUBLE))::BIGINT AS bucket, count(*) AS n FROM v GROUP BY ALL),
 {level("own", ["lang", "source"])}{level("bylang", ["lang"])}{level("everything", [])}
 lim AS (SELECT o.lang, o.source, {limits} FROM own o LEFT JOIN bylang l ON l.lang IS NOT DISTINCT FROM o.lang CROSS JOIN everything a),
 j AS (SELECT c.*, lim.* EXCLUDE (lang, source), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM c.lang AND lim.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fine} AS kept FROM j
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fine} AS kept, {rounded} FROM j
 """

@@ -25,7 +25,7 @@ def op3_warc(spark, sf_dir):
 
 def op4_quality(spark, sf_dir):
     out = quality.score_quality(_table(spark, sf_dir, "documents"))
-    return out.drop(*(c for c in out.columns if c.startswith("limit_")))
+    return out.select(*(F.round(c, 6).alias(c) if c.startswith("limit_") else c for c in out.columns))
 
 
 def op5_mix(spark, sf_dir):
