@@ -1,7 +1,8 @@
 """WARC output and input by way of a chunked record table.
 
-A payload travels as rows (record_id, chunk_no, data) with the digest of all
-chunks so far, so neither writer nor reader ever holds a whole record. Files are gzip
+A payload is cut into rows (record_id, chunk_no, data) before it leaves the
+JVM. Writer and reader see one chunk at a time and carry the digest of all
+chunks so far; only the scan of the input holds a whole value. Files are gzip
 with one member a record, as is usual for WARC.
 """
 
@@ -25,37 +26,66 @@ CHUNKS = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("r
 CHUNKS_TYPE = "record_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, chunk_no long, last boolean, data binary, digest_so_far string"
 
 
+#: Bits of a digest that choose a word of 64 bits, and so the greatest number of rows of the table of marks.
+MARK_BITS = 18
+
+
+def _marks(marked: DataFrame) -> DataFrame:
+    """(word, bits): a set bit for each digest in marked, 64 bits a row, 2 ** MARK_BITS rows at most."""
+    word, bit = _mark_of(F.col("key"))
+    return marked.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _mark_of(digest):
+    n = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.shiftright(n, 32 - MARK_BITS), n.bitwiseAND(F.lit(63)).cast("int")
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
     """Add payload, its digest and size, record_type and refers_to to pages (page_id, url, html).
 
     Copies are found by digest with partial counts first; small payloads have
     keys of their own, so an empty payload that many pages share stays spread.
+    A table of marks, whose size has a fixed bound, goes to every executor and
+    tells which pages cannot be copies: these stay where they are. Only the rest
+    meets the table of copies in a shuffle, all of it if marks are crowded.
     """
     p = pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = p.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("key")).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    # only pages with a copy meet the table of first pages; the rest never leave their partition
-    marked = p.select("record_id", "payload_digest").where(F.col("payload_bytes") >= LEAST_REVISIT).join(first, F.col("payload_digest") == F.col("key")).where("record_id > first_id").select(F.col("record_id").alias("again_id"), "key", "first_id").distinct()
+    slim = materialize(p.where(F.col("payload_bytes") >= LEAST_REVISIT).select("record_id", F.col("payload_digest").alias("key")), "warc-digests")
+    first = slim.groupBy(F.col("key").alias("first_key")).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    marked = slim.join(materialize(first, "warc-first"), F.col("key") == F.col("first_key")).where("record_id > first_id")
+    marked = materialize(marked.select(F.col("record_id").alias("again_id"), "key", "first_id").distinct(), "warc-copies")
+    word, bit = _mark_of(F.col("payload_digest"))
+    seen = p.join(F.broadcast(_marks(marked)), word == F.col("word"), "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     # by digest too: rows that share a page_id can have different payloads
-    joined = p.join(marked, (F.col("record_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("key")), "left")
+    met = seen.where(maybe).join(marked, (F.col("record_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("key")), "left")
     again = F.col("first_id").isNotNull()
-    return joined.select("record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url", "payload_bytes", "payload_digest", "payload")
+    columns = ["record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url", "payload_bytes", "payload_digest", F.when(~again, F.col("payload")).alias("payload")]
+    return met.select(*columns).union(seen.where(~maybe).withColumn("first_id", F.lit(None).cast("long")).select(*columns))
+
 
+def _cut(records: DataFrame, size: int) -> DataFrame:
+    """Rows of the chunked record table but for digest_so_far: cut where the records are, in order. A revisit is one row without data."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(F.col("payload").cast("binary"), F.lit(b""))) / size)).cast("int")
+    rows = records.withColumn("_n", n).withColumn("_k", F.explode(F.expr("sequence(0, _n - 1)")))
+    data = F.coalesce(F.expr(f"substring(cast(payload as binary), _k * {size} + 1, {size})"), F.lit(b""))
+    return rows.select(*CHUNKS.names[:6], F.col("_k").cast("long").alias("chunk_no"), (F.col("_k") == F.col("_n") - 1).alias("last"), data.alias("data"))
 
-def _chunk_rows(batches, size: int):
-    """Rows of the chunked record table, as dicts, from batches of planned records. A revisit is one row without data."""
+
+def _digested(batches):
+    """The cut rows as dicts, each with the digest of its record's chunks so far."""
+    so_far = None
     for b in batches:
-        heads = b.select(CHUNKS.names[:6]).to_pylist()
-        for head, payload in zip(heads, b.column("payload"), strict=True):
-            if head["record_type"] == "revisit":
-                yield head | {"chunk_no": 0, "last": True, "data": b"", "digest_so_far": head["payload_digest"]}
+        for row in b.to_pylist():
+            if row["record_type"] == "revisit":
+                yield row | {"digest_so_far": row["payload_digest"]}
                 continue
-            view, so_far = memoryview(payload.as_buffer()), hashlib.sha256()
-            n = max(1, -(-len(view) // size))
-            for k in range(n):
-                part = view[k * size : (k + 1) * size]
-                so_far.update(part)
-                yield head | {"chunk_no": k, "last": k == n - 1, "data": bytes(part), "digest_so_far": so_far.hexdigest()}
+            if row["chunk_no"] == 0:
+                so_far = hashlib.sha256()
+            so_far.update(row["data"])
+            yield row | {"digest_so_far": so_far.hexdigest()}
 
 
 def _batched(rows, most: int = 1 << 20):
@@ -73,7 +103,7 @@ def _batched(rows, most: int = 1 << 20):
 def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
     """The chunked record table of planned records."""
     small_batches(records.sparkSession)
-    return records.mapInArrow(lambda batches: _batched(_chunk_rows(batches, size)), CHUNKS_TYPE)
+    return _cut(records, size).mapInArrow(lambda batches: _batched(_digested(batches)), CHUNKS_TYPE)
 
 
 def _http(n: int) -> bytes:
@@ -143,9 +173,9 @@ def write(chunks: DataFrame, to: str, file_bytes: int = 256 << 20) -> DataFrame:
 
 
 def write_records(records: DataFrame, to: str, file_bytes: int = 256 << 20, size: int = CHUNK) -> DataFrame:
-    """write(chunked(records)) in one worker: each chunk goes into the archive as soon as it is cut."""
+    """write(chunked(records)) in one worker: each chunk goes into the archive as soon as it comes."""
     small_batches(records.sparkSession)
-    return materialize(records.mapInArrow(lambda batches: _files(_write_rows(_chunk_rows(batches, size), to, file_bytes)), "path string, n long"), "warc-files")
+    return materialize(_cut(records, size).mapInArrow(lambda batches: _files(_write_rows(_digested(batches), to, file_bytes)), "path string, n long"), "warc-files")
 
 
 class _Inflated:
