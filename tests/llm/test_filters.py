@@ -30,14 +30,60 @@ def test_url_parts_and_rules(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_url_model(spark):
-    table = url_filter.labelled_urls(spark)
-    held = spark.createDataFrame([(0, "https://www.best-casino-win.com/fr/1"), (1, "https://old-museum.org/fr/1"), (2, "http://m.spam-farm.net/it/9"), (3, "http://erthnd.example.com/fr/61")], "page_id BIGINT, url STRING")
-    got = {r.page_id: r.verdict for r in url_filter.filter_urls(held, table).collect()}
+def brute_url(url, rules=url_filter.RULES):
+    """(host, path, rule, verdict of the rule) by str methods alone."""
+    tail = url.partition("://")[2] if url and "://" in url else ""
+    cut = min((i for i in map(tail.find, "/?#") if i >= 0), default=len(tail))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in tail[:cut])
+    path = tail[cut : min((i for i in (tail.find(c, cut) for c in "?#") if i >= 0), default=len(tail))]
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=(None, None, None))
+    return host, path, best[0] and best[0] + best[1], best[2]
+
+
+def test_urls_of_pages_against_brute_force(spark, sf_dir):
+    """Every page: host, path and rule by definition, the verdict by the rule, else by the model's formula."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    table = [(r.url, r.label) for r in url_filter.labelled_urls(spark).collect()]
+    w = url_filter.train([url_filter.ngrams(h, p) for h, p, l in sorted((*brute_url(u)[:2], l) for u, l in table)], [l for *_, l in sorted((*brute_url(u)[:2], l) for u, l in table)])
+    want = []
+    for r in pages.collect():
+        host, path, rule, verdict = brute_url(r.url)
+        want.append((r.page_id, host, path, rule, verdict or ("block" if url_filter.score(w, url_filter.ngrams(host, path)) >= 0.5 else "allow")))
+    got = [(r.page_id, r.host, r.path, r["rule"], r.verdict) for r in url_filter.filter_urls(pages).collect()]
+    assert sorted(got) == sorted(want) and any(x[3] for x in got) and {x[4] for x in got} == {"allow", "block"}
+
+
+def test_urls_of_pages_against_sql(spark, sf_dir):
+    import duckdb
+
+    cases = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for h, p, _ in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1])))
+    sql = f"""WITH t AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS tail FROM '{sf_dir}/pages.parquet'),
+    u AS (SELECT page_id, lower(regexp_extract(tail, '^[^/?#]*')) AS host, regexp_extract(substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM t)
+    SELECT page_id, host, path, CASE {cases} END AS rule FROM u"""
+    got = url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(duckdb.sql(sql).fetchall(), key=repr)
+
+
+def test_url_model_on_unseen_hosts(spark, sf_dir):
+    import zlib
+
+    table = [(*brute_url(r.url)[:2], r.label) for r in url_filter.labelled_urls(spark).collect()]
+    pages = {brute_url(r.url)[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert not {h for h, _, _ in table} & pages and not any(".example." in h for h, _, _ in table)
+    fold = [zlib.crc32(h.encode()) % 5 for h, _, _ in table]
+    right = 0
+    for k in range(5):
+        seen = [r for r, f in zip(table, fold, strict=True) if f != k]
+        w = url_filter.train([url_filter.ngrams(h, p) for h, p, _ in seen], [l for _, _, l in seen])
+        right += sum((url_filter.score(w, url_filter.ngrams(h, p)) >= 0.5) == bool(l) for (h, p, l), f in zip(table, fold, strict=True) if f == k)
+    assert right / len(table) > 0.7
+    held = spark.createDataFrame([(0, "https://www.big-casino-jackpot.com/view/1"), (1, "https://old-museum.org/view/1"), (2, "http://m.cheap-viagra-shop.net/item/9"), (3, "http://erthnd.example.com/fr/61")], "page_id BIGINT, url STRING")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(held).collect()}
     assert got == {0: "block", 1: "allow", 2: "block", 3: "allow"}
-    again = url_filter.filter_urls(held, table.union(spark.createDataFrame([(None, 1), ("http://x", None)], "url STRING, label INT")))
-    assert again.count() == 4
-    assert url_filter.filter_urls(held, table.limit(0)).count() == 4
+    again = url_filter.labelled_urls(spark).union(spark.createDataFrame([(None, 1), ("http://x", None)], "url STRING, label INT"))
+    assert url_filter.filter_urls(held, again).count() == 4
+    assert url_filter.filter_urls(held, again.limit(0)).count() == 4
 
 
 # Quality

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,28 +14,15 @@ from tidewell.llm.common import small_batches
 #: (host, path, verdict). A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-#: Words of hosts and paths that make up the small labelled URL table.
-GOOD = ["news", "blog", "docs", "wiki", "library", "school", "museum", "weather", "recipes", "garden", "history", "science", "travel", "health", "music", "sports", "forum", "archive", "journal", "books"]
-BAD = ["spam", "casino", "poker", "pills", "viagra", "xxx", "adult", "porn", "loans", "payday", "warez", "torrent", "crack", "malware", "phish", "clickbait", "bets", "lottery", "ads", "track", "spam-farm", "casino-win", "cheap-pills", "free-bets", "ads-track", "win-prize", "hot-deals", "free-porn"]
-SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+#: 240 urls made up by hand for this package, beside this file: 90 to be blocked (gambling, pills, adult, loans, piracy, fraud,
+#: spam, advertising) and 150 ordinary ones. Fronts, top domains and plain paths alternate alike in both, so only names tell them apart.
+LABELLED = "labelled_urls.csv"
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): 1 is to be blocked. Any other small table of this shape may take its place.
-
-    Both labels come in the same shapes of host, domain, language and page
-    number, so that only the names tell them apart.
-    """
-    made = ["".join(SYLLABLES[(i * 7 + j * (i % 11 + 3)) % len(SYLLABLES)] for j in range(2 + i % 3)) for i in range(120)]
-    rows = []
-    for label, names in ((0, GOOD + made), (1, BAD)):
-        for i, w in enumerate(names):
-            for j in range(4 if label == 0 else 16):
-                k = i * 5 + j * 3
-                front, tld, lang, end = ("", "www.", "blog.", "m.")[j % 4], ("com", "net", "org")[(i + j) % 3], ("en", "de", "fr", "es")[(i + j // 4) % 4], ("", "/", ".html")[k % 3]
-                rows.append((f"http{'s' * (k % 2)}://{front}{w}.example.{tld}/{lang}/{k * 37 % 1000}{end}", label))
-            rows.append((f"https://{w}{i}.{('com', 'net', 'org')[i % 3]}/{GOOD[i % len(GOOD)] if label == 0 else w}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+    """(url, label): 1 is to be blocked. Any other small table of this shape may take its place."""
+    lines = files(__package__).joinpath(LABELLED).read_text(encoding="utf-8").splitlines()[1:]
+    return spark.createDataFrame([(url, int(label)) for url, _, label in (x.rpartition(",") for x in lines)], "url string, label int")
 
 
 def split_url(url):
