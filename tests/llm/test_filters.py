@@ -306,15 +306,15 @@ def brute_hits(table, items, k=10):
                 if (key := tuple(w[a : a + n])) in wins:
                     hit.update(range(a, a + n))
                     names |= wins[key]
-        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 400])
+@pytest.mark.parametrize("block", [8 << 20, 400])
 def test_decontamination(spark, block):
     table = [(r[0], r[1]) for r in rows()]
     long = sorted((t for _, t in table if t and 200 < len(t) < 1000))
-    items = [("1", long[0][10:160]), ("2", "one, TWO three"), ("10", long[1]), ("3", None), ("4", "..."), ("5", long[0][10:160]), ("6", "a " * 30), ("7", "no such words in any document at all, really none of them"), ("8", "É ß")]
+    items = [("1", long[0][10:160]), ("2", "one, TWO three"), ("10", long[1]), ("3", None), ("4", "..."), ("5", long[0][10:160]), ("6", "a " * 30), ("7", "no such words in any document at all, really none of them"), ("8", "É ß"), (None, "one two three"), (None, long[2][:90]), ("9", long[2][:90])]
     df = docs(spark, [row(1, dict(table)[1]), row(None, "one two three")])
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id STRING, text STRING, hits STRING")
     got = decontaminate.find_contamination(df, bench, block_bytes=block)

@@ -77,15 +77,22 @@ def test_forest(edges):
         assert f.root(x) == min(group)
 
 
-@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), max_size=4), st.integers(1, 4))
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), max_size=9), max_size=5), st.integers(1, 6))
 @settings(max_examples=200, deadline=None)
 def test_contamination(doc, items, k):
     rows = [(str(i), " ".join(t)) for i, t in enumerate(items)]
     ws = [w.encode() for w in doc]
-    hit, names = decontaminate.scan(ws, decontaminate.prefix_index(rows, k, {b"a": 5, b"b": 2}))
+    block = decontaminate.Block(rows, k)
+    r = np.random.default_rng(len(doc))
+    tokens = {s: block.all_tokens(s) for s in block.sizes()}
+    block.order({s: (t, r.integers(0, 3, len(t))) for s, t in tokens.items()})
+    hit, at = block.ready().scan(ws, most=7)
+    names = {block.names[i] for i in at}
     want, found = set(), set()
     for i, t in enumerate(items):
         n = min(k, len(t))
+        if not n:
+            continue
         for s in {tuple(t[j : j + n]) for j in range(len(t) - n + 1)}:
             for j in range(len(doc) - n + 1):
                 if tuple(doc[j : j + n]) == s:
