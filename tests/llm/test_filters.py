@@ -267,6 +267,19 @@ def test_language(spark):
     assert language.identify_languages(df.limit(0)).count() == 0
 
 
+def test_language_of_held_out_documents(spark, sf_dir):
+    """On the given texts: a share of documents is never learned from, and is told right."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = language.identify_languages(df).alias("o").join(df.select("doc_id", "lang", F.length("text").alias("size")), "doc_id").where("held_out and lang is not null and size > 100").collect()
+    assert len(out) > 20 and sum(r.lang_pred == r.lang for r in out) / len(out) > 0.95
+
+
+def test_a_repeated_document_does_not_crowd_the_sample(spark):
+    table = [row(4, "the same again and again", "xx")] * 500 + [row(4, f"other text {i} of one id", "xx") for i in range(500)] + [row(i, f"some text {i}", "yy") for i in range(30)]
+    x, y = language.training_windows(spark.createDataFrame(table, DOCS), per_language=10)
+    assert y.count("xx") == 10 and y.count("yy") == 10 and len({w.tobytes() for w in x[:10]}) == 10
+
+
 def test_every_language_is_learned(spark):
     table = [row(i, f"text of language number {i % 230}", f"l{i % 230}") for i in range(2300)]
     _, y = language.training_windows(spark.createDataFrame(table, DOCS))

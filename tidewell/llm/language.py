@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import small_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 UNKNOWN = "und"
+#: Languages up to which their shares are sent to every executor.
+MOST_BROADCAST = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -128,14 +130,16 @@ def training_windows(docs: DataFrame, per_language: int = 400, per_document: int
     table = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * per_language / n)) for lang, n in counts.items()], "_l string, _share double")
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     spread = F.array(*(F.expr(f"substring(text, 1 + cast(greatest(0, length(text) - {WINDOW}) * {i / max(1, per_document - 1)} as int), {WINDOW})") for i in range(per_document)))
-    sample = rows.join(table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts")).collect()
-    x, y, seen = [], [], dict.fromkeys(counts, 0)
-    for r in sorted(sample, key=lambda r: (r.u, r.doc_id, r.parts)):
-        if seen[r.lang] < per_language:
-            seen[r.lang] += 1
-            for part in r.parts:
-                x.append(encode(part)[0])
-                y.append(r.lang)
+    # the join's rows are few and slim: of ids whose hashes are small, their windows alone
+    sample = rows.join(F.broadcast(table) if len(counts) <= MOST_BROADCAST else table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts"))
+    # rows that repeat a document are one; the limit holds before anything is gathered, whatever the ids
+    first = Window.partitionBy("lang").orderBy("u", "doc_id", "parts")
+    sample = sample.distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).collect()
+    x, y = [], []
+    for r in sorted(sample, key=lambda r: (r.lang, r["_n"])):
+        for part in r.parts:
+            x.append(encode(part)[0])
+            y.append(r.lang)
     return np.stack(x), y
 
 

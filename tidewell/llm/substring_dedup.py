@@ -174,7 +174,7 @@ def _cut_spans(listed: DataFrame, length: int) -> DataFrame:
             at, out_anchor, out_first, out_span = [], [], [], []
             for i, (t, runs) in enumerate(zip(b.column("text"), b.column("runs"), strict=True)):
                 ws = words(t.as_py())
-                for anchor, r in sorted({(r["anchor"], r["run"]) for r in runs.as_py()}, key=lambda x: x[1]):  # repeated rows of a document give each run again
+                for anchor, r in sorted(((r["anchor"], r["run"]) for r in runs.as_py()), key=lambda x: x[1]):
                     first, more = r >> 6, r & 63
                     at.append(i)
                     out_anchor.append(anchor)
@@ -250,7 +250,8 @@ def repeated_spans(docs: DataFrame, length: int = 35, shard_bytes: int = SHARD_B
     found = materialize(_all_anchors(docs, length), "anchors")
     # tables of counts are written before they are joined, so that both sides of a join come from shuffles and a frequent key can be split
     again = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchor-counts")
-    lists = found.join(again, F.col("anchor") == F.col("a")).groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+    # as a set: a row that is repeated names the same runs each time
+    lists = found.join(again, F.col("anchor") == F.col("a")).groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
     # a text with copies is read once, and only to be compared with others
     lists = lists.join(groups, ["k1", "k2"]).where(F.col("copies").eqNullSafe(1) | F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2", "runs", (F.col("copies") == 1).alias("own"))
     lists = materialize(lists, "runs")
