@@ -275,9 +275,9 @@ def test_language_of_held_out_documents(spark, sf_dir):
 
 
 def test_a_repeated_document_does_not_crowd_the_sample(spark):
-    table = [row(4, "the same again and again", "xx")] * 500 + [row(4, f"other text {i} of one id", "xx") for i in range(500)] + [row(i, f"some text {i}", "yy") for i in range(30)]
+    table = [row(7, "the same again and again", "xx")] * 500 + [row(7, f"other text {i} of one id", "xx") for i in range(500)] + [row(7, "ever the same", "zz")] * 900 + [row(i, f"some text {i}", "yy") for i in range(30)]
     x, y = language.training_windows(spark.createDataFrame(table, DOCS), per_language=10)
-    assert y.count("xx") == 10 and y.count("yy") == 10 and len({w.tobytes() for w in x[:10]}) == 10
+    assert y.count("xx") == 10 and y.count("yy") == 10 and y.count("zz") == 1 and len({w.tobytes() for w in x[:10]}) == 10
 
 
 def test_every_language_is_learned(spark):

@@ -121,14 +121,16 @@ def held_out():
 
 
 def training_windows(docs: DataFrame, per_language: int = 400, per_document: int = 4) -> tuple[np.ndarray, list[str]]:
-    """Bounded sample of labelled windows: per_language documents of each language, the first by a hash of
-    their id, with per_document windows spread over each text."""
+    """Bounded sample of labelled windows: per_language different documents of each language, the first by a hash of
+    id and text, with per_document windows spread over each text."""
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    # by id and text: rows that share an id or repeat a text must not fill or empty a language's sample
+    key = F.xxhash64("doc_id", "text")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), []
-    table = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * per_language / n)) for lang, n in counts.items()], "_l string, _share double")
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+    table = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * per_language / max(1, n))) for lang, n in counts.items()], "_l string, _share double")
+    u = F.pmod(key, F.lit(1 << 52)) / float(1 << 52)
     spread = F.array(*(F.expr(f"substring(text, 1 + cast(greatest(0, length(text) - {WINDOW}) * {i / max(1, per_document - 1)} as int), {WINDOW})") for i in range(per_document)))
     # the join's rows are few and slim: of ids whose hashes are small, their windows alone
     sample = rows.join(F.broadcast(table) if len(counts) <= MOST_BROADCAST else table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts"))
