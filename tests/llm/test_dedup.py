@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.common_rows import DOCS, docs, rows
 from tidewell.llm import near_dedup, substring_dedup
@@ -77,6 +78,56 @@ def test_near_dedup_star_of_edited_copies(spark):
     assert {r.component_id for r in near_dedup.find_near_duplicates(df).collect()} == {0}
 
 
+@pytest.mark.parametrize("crowded", [1, 7, 40])
+def test_crowded_regions_lose_nothing(spark, monkeypatch, crowded):
+    """Copies of several templates whose regions are all over the bound: components are those of the exact links."""
+    monkeypatch.setattr(near_dedup, "NEIGHBOURS", 2)
+    r = np.random.default_rng(5)
+    table = []
+    for t in range(3):
+        base = [f"t{t}w{j}" for j in range(90)]
+        for i in range(60):
+            at = r.choice(90, 1 + i % 4, replace=False)
+            table.append((len(table), " ".join(f"e{i}" if j in at else w for j, w in enumerate(base))))
+    table += [(1000 + i, " ".join(f"alone{i}x{j}" for j in range(30))) for i in range(40)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.find_near_duplicates(df, crowded=crowded).collect()}
+    assert got == {d: c for d, (_, c, _) in brute_components(table).items()}
+
+
+def test_crowded_pairs_join_what_a_region_joins(spark):
+    r = np.random.default_rng(6)
+    sigs = r.integers(0, 65536, (120, near_dedup.N_HASH)).astype(np.uint16)
+    for i in range(120):
+        sigs[i, 10:24] = sigs[0, 10:24]  # one region of several orders, whatever the rest
+        if i > 20:
+            sigs[i] = np.where(r.random(near_dedup.N_HASH) < 0.7, sigs[r.integers(0, i)], sigs[i])
+            sigs[i, 10:24] = sigs[0, 10:24]
+    rows = near_dedup.forest_rows(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "node long, sig binary")).cache()
+    ordered = rows.repartition(F.substring("place", 1, 9)).sortWithinPartitions("place", "node")
+
+    def components(pairs):
+        forest = near_dedup.Forest()
+        for p in pairs:
+            forest.join(p.a, p.b)
+        return [forest.root(i) for i in range(120)]
+
+    whole = near_dedup.neighbour_pairs(ordered)
+    assert whole.where("place is not null").count() == 0
+    want = components(whole.collect())
+    cut = near_dedup.neighbour_pairs(ordered, crowded=10).cache()
+    many = cut.where("place is not null").selectExpr("place", "a as node")
+    assert many.count() >= 120
+    assert components([*cut.where("b is not null").collect(), *near_dedup.crowded_pairs(many, crowded=10).collect()]) == want and len(set(want)) > 5
+
+
+def test_documents_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(40)) for x in "abc")
+    table = [(3, a), (3, b), (5, a + " end"), (6, "start " + b), (7, c)]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.find_near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (6, 3), (7, 7)}
+
+
 def test_joins_within_a_region(monkeypatch):
     """Every agreeing pair of a region counts, however many rows lie between its two."""
     monkeypatch.setattr(near_dedup, "REGION_BLOCK", 16)

@@ -3,13 +3,17 @@
 Each text has a signature of N_HASH minima. Each of TREES orders reads the
 signature from another place on, so it begins with values that no other order
 begins with. All signatures are sorted in every order; a region is all rows that
-begin with the same DEPTH values there.
-All rows of such a region whose signatures agree well enough join a candidate
-component; within these, all links are confirmed on the full sets of shingles.
+begin with the same DEPTH values there. Its rows are candidates of each other.
+A region with many rows is read deeper: each row there first meets its neighbours
+in the order, with which it shares the longest prefix, and only what these leave
+apart is compared with the whole region, in blocks over many tasks.
+Candidates whose signatures agree well enough join a candidate component; within
+these, all links are confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from itertools import count
 
 import numpy as np
@@ -23,6 +27,9 @@ from tidewell.llm.components import Forest, connected_components, sorted_interse
 N_HASH, TREES, DEPTH, TAIL = 128, 32, 4, 64
 #: Rows of a region from which it is compared in blocks of REGION_BLOCK; smaller ones go row by row.
 SMALL_REGION, REGION_BLOCK = 24, 512
+#: Rows of a region that one task compares. In a larger one, a row meets NEIGHBOURS rows before it in the order, then the
+#: rest in pairs of blocks of about CROWDED rows.
+CROWDED, NEIGHBOURS = 4096, 32
 #: Agreement of the tail's half-bytes from which a pair is a candidate; a pair at the threshold is 3 deviations above.
 AGREE = 0.60
 #: Forest rows sorted in one task, at most about.
@@ -131,11 +138,11 @@ def _joins_of_few(tails: list[int], need: int) -> list[tuple[int, int]]:
     return out
 
 
-def _joins_of_many(tails: np.ndarray, need: int) -> list[tuple[int, int]]:
-    """The same for rows of TAIL / 16 unsigned 64-bit numbers, in blocks; blocks of one and the same component aren't compared."""
+def _joins_of_many(tails: np.ndarray, need: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The same for rows of TAIL / 16 unsigned 64-bit numbers, in blocks; blocks of one and the same component aren't compared. Rows of one label are joined already."""
     forest, out, n = Forest(), [], len(tails)
     ones = np.uint64(0x1111111111111111)
-    label = np.arange(n)
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
     for start in range(0, n, REGION_BLOCK):
         stop = min(start + REGION_BLOCK, n)
         for first in range(start, -1, -REGION_BLOCK):
@@ -165,27 +172,33 @@ def _joins_of_many(tails: np.ndarray, need: int) -> list[tuple[int, int]]:
             for p, q in zip(i[one].tolist(), j[one].tolist(), strict=True):
                 if forest.join(int(label[p]), int(label[q])):
                     out.append((p, q))
-            seen, back = np.unique(label[:stop], return_inverse=True)
-            label[:stop] = np.fromiter((forest.root(int(x)) for x in seen), np.int64, len(seen))[back]
+            seen, back = np.unique(label, return_inverse=True)
+            label = np.fromiter((forest.root(int(x)) for x in seen), np.int64, len(seen))[back]
     return out
 
 
-def neighbour_pairs(rows: DataFrame, least: float = AGREE) -> DataFrame:
-    """(a, b) that connect what all agreeing pairs of each region connect. Rows come sorted, a region in one task."""
-    cut, need = 1 + 2 * DEPTH, int(np.ceil(least * TAIL))
+def _need(least: float) -> int:
+    return int(np.ceil(least * TAIL))
+
+
+def _tails(tails: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(tails), "<u8").reshape(len(tails), -1)
+
+
+def neighbour_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDED) -> DataFrame:
+    """(a, b, place): pairs that connect what all agreeing pairs of each region connect; of a region with more than `crowded`
+    rows, its rows instead, as a and place. Rows come sorted, a region in one task, which holds `crowded` of them at most."""
+    cut, need = 1 + 2 * DEPTH, _need(least)
 
     def joins(tails, nodes):
-        if len(nodes) < SMALL_REGION:
-            found = _joins_of_few([int.from_bytes(t, "big") for t in tails], need)
-        else:
-            found = _joins_of_many(np.frombuffer(b"".join(tails), "<u8").reshape(len(nodes), -1), need)
-        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in found if nodes[i] != nodes[j]]
+        found = _joins_of_few([int.from_bytes(t, "big") for t in tails], need) if len(nodes) < SMALL_REGION else _joins_of_many(_tails(tails), need)
+        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j]), None) for i, j in found if nodes[i] != nodes[j]]
 
     def run(batches):
-        region, tails, nodes = None, [], []
+        region, tails, nodes, many = None, [], [], False
 
         def table(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "place"])
 
         for batch in batches:
             out = []
@@ -194,16 +207,80 @@ def neighbour_pairs(rows: DataFrame, least: float = AGREE) -> DataFrame:
                 if head != region:
                     if len(nodes) > 1:
                         out += joins(tails, nodes)
-                    region, tails, nodes = head, [], []
+                    region, tails, nodes, many = head, [], [], False
+                if many:
+                    out.append((node, None, place))
+                    continue
                 tails.append(place[cut:])
                 nodes.append(node)
+                if len(nodes) > crowded:
+                    out += [(n, None, head + t) for n, t in zip(nodes, tails, strict=True)]
+                    tails, nodes, many = [], [], True
             yield table(out)
         if len(nodes) > 1:
             yield table(joins(tails, nodes))
 
+    return rows.mapInArrow(run, "a long, b long, place binary")
+
+
+def _nearest(rows: DataFrame, need: int) -> DataFrame:
+    """(a, b): each sorted row and the nearest of the rows before it, in its region, with which it agrees."""
+    cut = 1 + 2 * DEPTH
+
+    def run(batches):
+        region, held = None, deque(maxlen=NEIGHBOURS)
+        for batch in batches:
+            a, b = [], []
+            for place, node in zip(batch.column("place").to_pylist(), batch.column("node").to_pylist(), strict=True):
+                if place[:cut] != region:
+                    region = place[:cut]
+                    held.clear()
+                tail = int.from_bytes(place[cut:], "big")
+                other = next((n for t, n in reversed(held) if agreement(t, tail) >= need), node)
+                if other != node:
+                    a.append(max(node, other))
+                    b.append(min(node, other))
+                held.append((tail, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     return rows.mapInArrow(run, "a long, b long")
 
 
+def crowded_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDED) -> DataFrame:
+    """(a, b) that connect what all agreeing pairs of the regions of rows (place, node) connect, with no region in one task."""
+    need, cut = _need(least), 1 + 2 * DEPTH
+    near = materialize(_nearest(rows.repartitionByRange("place", "node").sortWithinPartitions("place", "node"), need).distinct(), "nearest")
+    labels = materialize(connected_components(near), "nearest-components").select(F.col("node").alias("_n"), F.col("component").alias("label"))
+    region = F.substring("place", 1, cut).alias("component")
+    labelled = materialize(rows.join(labels, F.col("node") == F.col("_n"), "left").select("node", region, F.coalesce("label", "node").alias("label"), F.substring("place", cut + 1, TAIL).alias("tail"), F.lit(1).alias("cost")), "crowded")
+    met = _meetings(labelled, crowded)
+    if met is None:
+        return near
+    met = met.repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
+
+    def run(batches):
+        at, tails, nodes, labels = None, [], [], []
+
+        def result():
+            found = _joins_of_many(_tails(tails), need, np.array(labels))
+            rows = [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in found if nodes[i] != nodes[j]]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *key, node, label, tail in zip(*(batch.column(c).to_pylist() for c in ("component", "b1", "b2", "node", "label", "tail")), strict=True):
+                if key != at:
+                    if nodes:
+                        yield result()
+                    at, tails, nodes, labels = key, [], [], []
+                tails.append(tail)
+                nodes.append(node)
+                labels.append(label)
+        if nodes:
+            yield result()
+
+    return near.union(materialize(met.mapInArrow(run, "a long, b long"), "crowded-pairs"))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, with the sizes looked at first."""
     small, large = sorted((len(a), len(b)))
@@ -220,7 +297,7 @@ def block_links(members: list[tuple[int, np.ndarray]], percent: int) -> Forest:
         forest.root(node)
         joined, apart = [(node, s)], []
         for g in groups:
-            if any(linked(s, other, percent) for _, other in g):
+            if any(n == node or linked(s, other, percent) for n, other in g):
                 forest.join(node, g[0][0])
                 joined += g
             else:
@@ -233,11 +310,11 @@ def _confirm_blocks(placed: DataFrame, percent: int) -> DataFrame:
     """(a, b): node and smallest node of its component within the block, also for nodes alone."""
 
     def run(batches):
-        hashes, at, members = WordHash(), None, {}
+        hashes, at, members = WordHash(), None, []
 
         def result():
-            forest = block_links(list(members.items()), percent)
-            rows = [(x, forest.root(x)) for x in members]
+            forest = block_links(members, percent)
+            rows = [(x, forest.root(x)) for x in {node for node, _ in members}]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
 
         for batch in batches:
@@ -245,8 +322,8 @@ def _confirm_blocks(placed: DataFrame, percent: int) -> DataFrame:
                 if (comp, block) != at:
                     if members:
                         yield result()
-                    at, members = (comp, block), {}
-                members[node] = shingles(text.as_py(), hashes)
+                    at, members = (comp, block), []
+                members.append((node, shingles(text.as_py(), hashes)))
         if members:
             yield result()
 
@@ -314,38 +391,45 @@ def cross_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], p
     return nodes[i[one]], nodes[j[one]]
 
 
-def _meet_all(labelled: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) between nodes of one component whose labels differ; each meets all others, in pairs of blocks. None if all have one label."""
+def _meetings(labelled: DataFrame, most: int) -> DataFrame | None:
+    """The rows (node, component, label, cost, ...) with the pairs of blocks b1, b2 in which they meet all rows of other
+    labels of their component; None if all have one label. A block costs about `most`."""
     split = labelled.groupBy(F.col("component").alias("_c")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("_c")
     left = materialize(labelled.join(split, F.col("component") == F.col("_c"), "left_semi"), "open")
     if not left.limit(1).count():
         return None
-    sizes = sets.select(F.col("doc_id").alias("_s"), "n_shingles")
-    cost = left.join(sizes, F.col("node") == F.col("_s")).groupBy("node", "component", "label").agg(F.greatest(F.max("n_shingles"), F.lit(LEAST_COST)).alias("cost"))
-    cost = materialize(cost, "costs")
     # a label of many texts has blocks of its own; labels of few share blocks (label null), each label in one
-    whole = cost.groupBy("component", "label").agg(F.sum("cost").alias("all")).withColumn("own", F.when(F.col("all") * 4 > MEET_COST, F.col("label")))
-    sizes = whole.groupBy("component", "own").agg(F.ceil(F.sum("all") / MEET_COST).alias("n_blocks"))
+    whole = left.groupBy("component", "label").agg(F.sum("cost").alias("all")).withColumn("own", F.when(F.col("all") * 4 > most, F.col("label")))
+    sizes = whole.groupBy("component", "own").agg(F.ceil(F.sum("all") / most).alias("n_blocks"))
     sizes = sizes.select(F.col("component").alias("_c"), F.col("own").alias("_o"), "n_blocks")
     dealer = whole.join(sizes, (F.col("component") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o"))).select(F.col("component").alias("_k"), F.col("label").alias("_l"), "own", "n_blocks")
     salted = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("n_blocks"))
     block = F.concat_ws("-", F.coalesce(F.col("own").cast("string"), F.lit("few")), salted.cast("string"))
-    placed = cost.join(dealer, (F.col("component") == F.col("_k")) & (F.col("label") == F.col("_l"))).select("node", "component", "label", block.alias("block"))
+    placed = left.join(dealer, (F.col("component") == F.col("_k")) & (F.col("label") == F.col("_l"))).select(*left.columns, block.alias("block"))
     placed = materialize(placed, "placed")
     blocks = placed.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     x, y = (blocks.select(F.col("component").alias(f"c{i}"), F.col("block").alias(f"b{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2))
     # blocks of one and the same label have nothing to settle
     meets = x.join(y, F.col("c1") == F.col("c2")).where("b1 <= b2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
     meets = meets.select("c1", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("_block"))
-    dealt = placed.join(meets, (F.col("component") == F.col("c1")) & (F.col("block") == F.col("_block"))).select("node", "component", "label", "b1", "b2")
-    met = _with_text(materialize(dealt, "meets"), texts).repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
+    return materialize(placed.join(meets, (F.col("component") == F.col("c1")) & (F.col("block") == F.col("_block"))).select(*left.columns, "b1", "b2"), "meets")
+
+
+def _meet_all(labelled: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between nodes of one component whose labels differ; each meets all others, in pairs of blocks. None if all have one label."""
+    sizes = sets.select(F.col("doc_id").alias("_s"), "n_shingles")
+    cost = labelled.join(sizes, F.col("node") == F.col("_s")).groupBy("node", "component", "label").agg(F.greatest(F.max("n_shingles"), F.lit(LEAST_COST)).alias("cost"))
+    dealt = _meetings(materialize(cost, "costs"), MEET_COST)
+    if dealt is None:
+        return None
+    met = _with_text(dealt.drop("cost"), texts).repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
 
     def run(batches):
-        hashes, at, members = WordHash(), None, {}
+        hashes, at, members = WordHash(), None, []
 
         def result():
-            nodes, labels = np.array(list(members)), np.array([m[0] for m in members.values()])
-            a, b = cross_links(nodes, labels, [m[1] for m in members.values()], percent)
+            nodes, labels, found = zip(*members, strict=True)
+            a, b = cross_links(np.array(nodes), np.array(labels), list(found), percent)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -354,8 +438,8 @@ def _meet_all(labelled: DataFrame, sets: DataFrame, texts: DataFrame, percent: i
                 if key != at:
                     if members:
                         yield result()
-                    at, members = key, {}
-                members[node] = label, shingles(text.as_py(), hashes)
+                    at, members = key, []
+                members.append((node, label, shingles(text.as_py(), hashes)))
         if members:
             yield result()
 
@@ -400,7 +484,7 @@ def _confirm(candidates: DataFrame, sets: DataFrame, texts: DataFrame, percent:
     return links
 
 
-def find_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def find_near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROWDED) -> DataFrame:
     """Components of the texts of docs (doc_id, text) whose sets of 5-word shingles agree to `percent` per cent or more.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id that can be
@@ -412,13 +496,17 @@ def find_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     small_batches(docs.sparkSession)
     sets = materialize(with_sets(docs), "sets")
     named = sets.where("n_shingles > 0 and doc_id is not null")
-    groups = materialize(named.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("node")), "groups")
-    keepers = named.join(groups.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "node"), (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("doc_id") == F.col("node")))
-    rows = materialize(forest_rows(keepers.select("node", "sig")), "forest")
+    # equal sets have equal signatures; rows that repeat one are not carried further
+    groups = materialize(named.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "groups")
+    # a doc_id with several different sets is one node
+    rows = materialize(forest_rows(groups.select("node", "sig")), "forest")
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_A_PART)
     # by the head alone: a region must not be cut
     ordered = rows.repartitionByRange(int(width), F.substring("place", 1, 1 + 2 * DEPTH)).sortWithinPartitions("place", "node")
-    pairs = materialize(neighbour_pairs(ordered).distinct(), "pairs")
+    found = materialize(neighbour_pairs(ordered, crowded=crowded).distinct(), "pairs")
+    pairs, many = found.where("b is not null").select("a", "b"), found.where("place is not null").select("place", F.col("a").alias("node"))
+    if many.limit(1).count():
+        pairs = pairs.union(crowded_pairs(many, crowded=crowded))
     candidates = materialize(connected_components(pairs), "candidates")
     member = _light(candidates.select(F.col("node").alias("_m")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(member, F.col("node") == F.col("_m"), "left_semi")
