@@ -179,9 +179,9 @@ def _(v):
     return rounded(geo.per_well_correlations(_by_well(v), "mean_ntg_along_well", "cum_oil"), {"r": 7, "threshold": 8})
 
 
-@query("a38_cube_difference", "SELECT a.model AS seed, " + ", ".join(f"round(avg(a.{c}), 8) AS mean_{c}_a, round(avg(b.{c}), 8) AS mean_{c}_b, round(var_pop(a.{c}), 6) AS var_{c}_a, round(var_pop(b.{c}), 6) AS var_{c}_b, round(avg(b.{c}) - avg(a.{c}), 8) AS delta_{c}" for c in ("poro", "permx", "ntg")) + ", round(avg((a.ntg = 1)::INT), 8) AS frac_net_a, round(avg((b.ntg = 1)::INT), 8) AS frac_net_b, round(avg((a.ntg <> b.ntg)::INT), 8) AS frac_netflag_changed, round(avg((b.ntg = 1)::INT) - avg((a.ntg = 1)::INT), 8) AS delta_frac_net FROM cells a JOIN cells b ON b.model = a.model + 3 AND b.flat = a.flat WHERE a.model < 3 GROUP BY a.model")
+@query("a38_cube_difference", "SELECT a.model AS seed, " + ", ".join(f"round(avg(a.{c}), 8) AS mean_{c}_a, round(avg(b.{c}), 8) AS mean_{c}_b, round(var_pop(a.{c}), 6) AS var_{c}_a, round(var_pop(b.{c}), 6) AS var_{c}_b, round(avg(b.{c}) - avg(a.{c}), 8) AS delta_{c}" for c in ("poro", "permx", "ntg")) + ", round(avg((a.ntg = 1)::INT), 8) AS frac_net_a, round(avg((b.ntg = 1)::INT), 8) AS frac_net_b, round(avg((a.ntg <> b.ntg)::INT), 8) AS frac_netflag_changed, round(avg((b.ntg = 1)::INT) - avg((a.ntg = 1)::INT), 8) AS delta_frac_net FROM cells a JOIN cells b ON b.model = a.model + 1 AND b.flat = a.flat WHERE a.model % 2 = 0 GROUP BY a.model")
 def _(v):
-    pairs = v.spark.range(3).select(F.col("id").alias("seed"), F.col("id").alias("model_a"), (F.col("id") + 3).alias("model_b"))
+    pairs = v.cells.where("model % 2 = 0").select(F.col("model").alias("seed"), F.col("model").alias("model_a"), (F.col("model") + 1).alias("model_b")).distinct()
     out = geo.cube_difference(v.cells, v.cells, pairs)
     return rounded(out, {c: 6 if c.startswith("var") else 8 for c in out.columns})
 
@@ -317,7 +317,7 @@ def _(v):
 
 
 TRACK = """
-tk AS (SELECT p_partkey % 4 AS model, 'W' || (p_partkey // 40) AS well, (p_partkey // 4) % 10 AS seq, 5.0::DOUBLE + ((p_partkey // 4) % 10) * (3 + p_partkey % 4) AS x, 4.0::DOUBLE + ((p_partkey // 4) % 10) * 2.5 AS y, 1.0::DOUBLE + ((p_partkey // 4) % 10) * 3.0 AS z, ((p_partkey // 4) % 10) * 5.0::DOUBLE AS md FROM part WHERE p_partkey < 160),
+tk AS (SELECT p_partkey % 4 AS model, 'W' || (p_partkey // 40) AS well, (p_partkey // 4) % 10 AS seq, 5.0::DOUBLE + ((p_partkey // 4) % 10) * (3 + p_partkey % 4) AS x, 4.0::DOUBLE + ((p_partkey // 4) % 10) * 2.5 AS y, 1.0::DOUBLE + ((p_partkey // 4) % 10) * 3.0 AS z, ((p_partkey // 4) % 10) * 5.0::DOUBLE AS md FROM part),
 bx AS (SELECT model, well, min_by(md, seq) AS a, max_by(md, seq) AS b, count(*) AS m FROM tk GROUP BY ALL HAVING count(*) >= 2 AND max_by(md, seq) > min_by(md, seq)),
 pt AS (SELECT model, well, s, CASE WHEN s = n - 1 THEN b ELSE a + (b - a) * s / (n - 1) END AS q_md FROM (SELECT *, greatest(2, ceil((b - a) / 0.5) + 1)::INT AS n FROM bx) q, range(0, 2000) r(s) WHERE s < n),
 sg AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lead(md) OVER w AS md2 FROM tk WINDOW w AS (PARTITION BY model, well ORDER BY seq)),
@@ -328,7 +328,7 @@ sp AS (SELECT pt.model, pt.well, s, q_md AS md, x + (x2 - x) * (q_md - md) / (md
 def _tracks(v):
     k = F.col("p_partkey")
     seq = F.floor(k / 4) % 10
-    return v.table("part").where("p_partkey < 160").select((k % 4).alias("model"), F.concat(F.lit("W"), F.floor(k / 40).cast("string")).alias("well"), seq.alias("seq"), (5.0 + seq * (3 + k % 4)).alias("x"), (4.0 + seq * 2.5).alias("y"), (1.0 + seq * 3.0).alias("z"), (seq * 5.0).cast("double").alias("md"))
+    return v.table("part").select((k % 4).alias("model"), F.concat(F.lit("W"), F.floor(k / 40).cast("string")).alias("well"), seq.alias("seq"), (5.0 + seq * (3 + k % 4)).alias("x"), (4.0 + seq * 2.5).alias("y"), (1.0 + seq * 3.0).alias("z"), (seq * 5.0).cast("double").alias("md"))
 
 
 @query("m21_sample_track", TRACK + "SELECT model, well, s, round(md, 6) AS md, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM sp")
@@ -336,11 +336,12 @@ def _(v):
     return rounded(geometry.sample_track(_tracks(v)).withColumn("s", F.col("s").cast("long")))
 
 
-PILLAR = "pl AS (SELECT i, j, i * 10.0::DOUBLE + j AS x, j * 8.0::DOUBLE + 0.5 * i AS y FROM range(0, 7) a(i), range(0, 6) b(j))"
+PILLAR = "pl AS (SELECT c_custkey % 40 AS i, c_custkey // 40 AS j, (c_custkey % 40) * 10.0::DOUBLE + c_custkey // 40 AS x, (c_custkey // 40) * 8.0::DOUBLE + 0.5 * (c_custkey % 40) AS y FROM customer)"
 
 
 def _pillars(v):
-    return v.spark.range(42).select((F.col("id") % 7).cast("int").alias("i"), F.floor(F.col("id") / 7).cast("int").alias("j")).select("i", "j", (F.col("i") * 10.0 + F.col("j")).alias("x"), (F.col("j") * 8.0 + 0.5 * F.col("i")).alias("y"))
+    key = F.col("c_custkey")
+    return v.table("customer").select((key % 40).cast("int").alias("i"), F.floor(key / 40).cast("int").alias("j")).select("i", "j", (F.col("i") * 10.0 + F.col("j")).alias("x"), (F.col("j") * 8.0 + 0.5 * F.col("i")).alias("y"))
 
 
 def _layers(v):
@@ -354,7 +355,7 @@ def _(v):
 
 LOCATE = TRACK + "," + PILLAR + """,
 qd AS (SELECT a.i, a.j, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2, d.x AS x3, d.y AS y3 FROM pl a JOIN pl b ON b.i = a.i + 1 AND b.j = a.j JOIN pl c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN pl d ON d.i = a.i AND d.j = a.j + 1),
-cr AS (SELECT model, well, s, i, j, (x - (x0 + x1 + x2 + x3) / 4) ** 2 + (y - (y0 + y1 + y2 + y3) / 4) ** 2 AS dist, [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0), (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1), (x3 - x2) * (y - y2) - (y3 - y2) * (x - x2), (x0 - x3) * (y - y3) - (y0 - y3) * (x - x3)] AS c FROM sp, qd),
+cr AS (SELECT model, well, s, i, j, (x - (x0 + x1 + x2 + x3) / 4) ** 2 + (y - (y0 + y1 + y2 + y3) / 4) ** 2 AS dist, [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0), (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1), (x3 - x2) * (y - y2) - (y3 - y2) * (x - x2), (x0 - x3) * (y - y3) - (y0 - y3) * (x - x3)] AS c FROM sp JOIN qd ON x >= least(x0, x1, x2, x3) AND x <= greatest(x0, x1, x2, x3) AND y >= least(y0, y1, y2, y3) AND y <= greatest(y0, y1, y2, y3)),
 ij AS (SELECT model, well, s, i, j FROM cr WHERE list_min(c) >= 0 OR list_max(c) <= 0 QUALIFY row_number() OVER (PARTITION BY model, well, s ORDER BY dist, j, i) = 1),
 att AS (SELECT sp.*, ij.i, ij.j FROM sp LEFT JOIN ij USING (model, well, s)),
 kb AS (SELECT att.*, (SELECT min(k) FROM range(0, 5) r(k) WHERE z >= k * 6.0 + i AND z <= k * 6.0 + 6 + i) AS k FROM att)
@@ -542,9 +543,9 @@ def _(v):
     return rounded(v.forecast.select("member_id", "metric", "value").join(v.members.where("seed % 2 = 0"), "member_id").groupBy("metric", "seed", "cluster_id").agg(F.sum("value").alias("total")), 2)
 
 
-@query("j03_training_set", "SELECT t.member_id, comp, round(t.value, 6) AS z, well, time, round(f.value, 4) AS d FROM theta t JOIN forecast f USING (member_id) WHERE f.metric = 'qty' AND comp = 'price' AND member_id IN (SELECT member_id FROM members WHERE model_id < 30)")
+@query("j03_training_set", "SELECT t.member_id, comp, round(t.value, 6) AS z, well, time, round(f.value, 4) AS d FROM theta t JOIN forecast f USING (member_id) WHERE f.metric = 'qty' AND comp = 'price'")
 def _(v):
-    t = v.theta.where("comp = 'price'").join(v.members.where("model_id < 30").select("member_id"), "member_id", "left_semi")
+    t = v.theta.where("comp = 'price'")
     return rounded(t.select("member_id", "comp", F.col("value").alias("z")).join(v.forecast.where("metric = 'qty'").select("member_id", "well", "time", F.col("value").alias("d")), "member_id"), {"d": 4})
 
 
@@ -577,14 +578,14 @@ def _(v):
 
 @query("j10_observation_lookup", """
 ob AS (SELECT o_custkey AS k, o_orderdate::DATE AS t, o_totalprice AS p FROM orders),
-want AS (SELECT DISTINCT c_custkey AS k, make_date(y::INT, m::INT, 1) AS t FROM customer, range(1996, 1999) a(y), range(1, 13, 4) b(m) WHERE c_custkey < 200),
+want AS (SELECT DISTINCT c_custkey AS k, make_date(y::INT, m::INT, 1) AS t FROM customer, range(1996, 1999) a(y), range(1, 13, 4) b(m)),
 ex AS (SELECT k, t, min(p) AS p FROM ob GROUP BY ALL), mo AS (SELECT k, year(t) AS y, month(t) AS m, min_by(p, (t, p)) AS p FROM ob GROUP BY ALL)
 SELECT want.k, want.t, round(coalesce(ex.p, mo.p, 0), 2) AS p FROM want LEFT JOIN ex ON ex.k = want.k AND ex.t = want.t LEFT JOIN mo ON mo.k = want.k AND mo.y = year(want.t) AND mo.m = month(want.t)""")
 def _(v):
     from tidewell.sources.tables import lookup_observations
 
     ob = v.table("orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("t"), F.col("o_totalprice").alias("p"))
-    c = v.table("customer").where("c_custkey < 200").select(F.col("c_custkey").alias("k")).distinct()
+    c = v.table("customer").select(F.col("c_custkey").alias("k")).distinct()
     want = c.withColumn("y", F.explode(F.sequence(F.lit(1996), F.lit(1998)))).withColumn("m", F.explode(F.array(F.lit(1), F.lit(5), F.lit(9)))).select("k", F.make_date("y", "m", F.lit(1)).alias("t"))
     return rounded(lookup_observations(want, ob, ["k"], "t", "p"), 2)
 

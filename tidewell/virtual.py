@@ -108,11 +108,11 @@ class Virtual:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """Cubes of 4 x 5 x 3 cells for a few models, by integer arithmetic."""
-        n = self.spark.range(0, 6 * 60)
-        model, flat = (F.col("id") / 60).cast("int").cast("long"), (F.col("id") % 60)
-        h = (flat * 7919 + model * 104729 + 17 * (flat % 7) * (flat % 11)) % 1000
-        c = n.select(model.alias("model"), flat.alias("flat"), (flat % 4).cast("int").alias("i"), (F.floor(flat / 4) % 5).cast("int").alias("j"), F.floor(flat / 20).cast("int").alias("k"), h.alias("h"))
+        """Cubes of 4 x 5 x 3 cells, a cell a part and a model every 60 parts."""
+        key = F.col("p_partkey")
+        model, flat = F.floor(key / 60), key % 60
+        h = (flat * 7919 + model * 104729 + 17 * (flat % 7) * (flat % 11) + 31 * F.col("p_size")) % 1000
+        c = self.table("part").select(model.alias("model"), flat.alias("flat"), (flat % 4).cast("int").alias("i"), (F.floor(flat / 4) % 5).cast("int").alias("j"), F.floor(flat / 20).cast("int").alias("k"), h.alias("h"))
         return c.select("model", "flat", "i", "j", "k", (F.col("h") / 4000.0).alias("poro"), (F.col("h") * F.col("h") / 1000.0).alias("permx"), F.when(F.col("h") % 3 > 0, 1.0).otherwise(0.0).alias("ntg"))
 
 
@@ -136,6 +136,6 @@ setup_totals AS (SELECT member_id, cluster_id, sum(value) AS total, max(value) A
 setups AS (SELECT 'setup' || f AS setup, member_id AS model_id, cluster_id, abs(total / (SELECT avg(total) FROM setup_totals) - 1) * 100 / f AS dev_field_cum_pct, abs(top / (SELECT avg(top) FROM setup_totals) - 1) * 100 / f AS dev_field_annual_max_pct, abs(low / (SELECT avg(low) FROM setup_totals) - 1) * 100 / f AS dev_well_top80_max_pct FROM setup_totals, (VALUES (1), (2)) v(f)),
 descriptors AS (SELECT d.*, m.cluster_id AS cluster FROM (SELECT (CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END)::BIGINT AS experiment, l_suppkey AS seed, l_returnflag AS well, sum(l_quantity) AS net_sand_penetrated, sum(l_extendedprice) AS kh_penetrated, avg(l_discount) AS frac_channel_cells, avg(l_tax) AS mean_ntg_along_well FROM lineitem GROUP BY ALL) d JOIN members m ON m.member_id = d.seed),
 connectivity AS (SELECT d.*, m.cluster_id AS cluster FROM (SELECT (CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END)::BIGINT AS experiment, l_suppkey AS seed, count(DISTINCT l_partkey) AS n_bodies_26, max(l_extendedprice) / sum(l_extendedprice) AS frac_sand_in_largest_26, max(l_quantity) AS top1_n_cells, avg(l_linenumber) AS mean_inj_connections_per_producer FROM lineitem GROUP BY ALL) d JOIN members m ON m.member_id = d.seed),
-cell_ids AS (SELECT (id // 60)::BIGINT AS model, (id % 60)::BIGINT AS flat FROM range(0, 360) r(id)),
-cells AS (SELECT model, flat, (flat % 4)::INT AS i, ((flat // 4) % 5)::INT AS j, (flat // 20)::INT AS k, h / 4000.0::DOUBLE AS poro, h * h / 1000.0::DOUBLE AS permx, CASE WHEN h % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ntg FROM (SELECT *, (flat * 7919 + model * 104729 + 17 * (flat % 7) * (flat % 11)) % 1000 AS h FROM cell_ids))
+cell_ids AS (SELECT (p_partkey // 60)::BIGINT AS model, (p_partkey % 60)::BIGINT AS flat, p_size FROM part),
+cells AS (SELECT model, flat, (flat % 4)::INT AS i, ((flat // 4) % 5)::INT AS j, (flat // 20)::INT AS k, h / 4000.0::DOUBLE AS poro, h * h / 1000.0::DOUBLE AS permx, CASE WHEN h % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ntg FROM (SELECT *, (flat * 7919 + model * 104729 + 17 * (flat % 7) * (flat % 11) + 31 * p_size) % 1000 AS h FROM cell_ids))
 """
