@@ -1,7 +1,8 @@
 """Correlation, localization, ensemble update, distances, proxies and regressions.
 
-Sums over members stay in Spark. Only matrices of components by observations,
-small by nature, meet in one task, for a decomposition.
+Sums over members stay in Spark. Positions are dealt over blocks, each a task's;
+what the blocks give, members by members, is summed, and only such a matrix
+meets in one place, for a decomposition. Members by positions never do.
 """
 
 from __future__ import annotations
@@ -51,36 +52,96 @@ def matrix_rank(x: np.ndarray) -> int:
     return int(np.sum(s > s.max(initial=0.0) * max(x.shape) * np.finfo(float).eps))
 
 
-def singular_values(sim: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
-    """(k, s, energy, kept) of the centred members-by-positions matrix over the root of members less one. Members and positions are few, so they meet in one task."""
-    pos = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+def _position(keys):
+    return F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
 
-    def values(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.pivot(index="member_id", columns="pos", values="value").to_numpy()
-        _, s, _ = np.linalg.svd((d - d.mean(0)) / np.sqrt(max(len(d) - 1, 1)), full_matrices=False)
-        cum = np.cumsum(s**2) / max(float(np.sum(s**2)), 1e-300)
-        r = len(truncated_svd(d - d.mean(0), energy)[1])
-        return pd.DataFrame({"k": np.arange(1, len(s) + 1), "s": s, "energy": cum, "kept": np.arange(len(s)) < r})
 
-    return sim.select("member_id", pos.alias("pos"), "value").groupBy(F.lit(1).alias("g")).applyInPandas(values, "k long, s double, energy double, kept boolean")
+def position_blocks(sim: DataFrame, keys=KEY, block: int = 512, **constants) -> DataFrame:
+    """(block, pos, ids, values, ...): one row a position with its members' ids and values in the order of the ids, and `constants`
+    (aggregates); a block holds about `block` positions."""
+    pair = F.array_sort(F.collect_list(F.struct("member_id", "value")))
+    g = sim.groupBy(_position(keys).alias("pos")).agg(pair.alias("p"), *(c.alias(n) for n, c in constants.items()))
+    n = max(1, -(-sim.select(*keys).distinct().count() // block))
+    return g.select(F.pmod(F.xxhash64("pos"), F.lit(int(n))).alias("block"), "pos", F.col("p.member_id").alias("ids"), F.col("p.value").alias("values"), *constants)
 
 
-def component_rank(theta: DataFrame) -> DataFrame:
-    """Rank of the centred members-by-components matrix."""
+def _centred(pdf: pd.DataFrame) -> np.ndarray:
+    """Members by positions of a block, less the means, over the root of members less one."""
+    d = np.stack(pdf["values"].to_numpy()).T if len(pdf) else np.empty((0, 0))
+    return (d - d.mean(0)) / np.sqrt(max(len(d) - 1, 1))
+
+
+def _summed(blocks: DataFrame, part) -> np.ndarray:
+    """Sum over the blocks of the matrices that part(pdf) gives: rows are summed apart, so what is gathered is one matrix."""
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = part(pdf)
+        return pd.DataFrame({"i": np.arange(len(m)), "row": list(m)})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "row": [np.sum(np.stack(pdf["row"].to_numpy()), 0)]})
+
+    out = blocks.groupBy("block").applyInPandas(rows, "i long, row array<double>").groupBy("i").applyInPandas(total, "i long, row array<double>").collect()
+    return np.array([r.row for r in sorted(out, key=lambda r: r.i)]) if out else np.empty((0, 0))
+
+
+def _spectrum(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left singular vectors, singular values) of a matrix from its product with its transpose, the largest first."""
+    w, u = np.linalg.eigh(gram)
+    return u[:, ::-1], np.sqrt(np.maximum(w[::-1], 0.0))
+
+
+def _kept(s: np.ndarray, energy: float) -> int:
+    total = float(np.sum(s**2))
+    return min(int(np.searchsorted(np.cumsum(s**2) / total, energy)) + 1, len(s)) if total > 0 else 0
+
+
+def singular_values(sim: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
+    """(k, s, energy, kept) of the centred members-by-positions matrix over the root of members less one."""
+    blocks = position_blocks(sim, keys)
+    members = sim.select("member_id").distinct().count()
+    positions = sim.select(*keys).distinct().count()
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.pivot(index="member_id", columns="comp", values="value").to_numpy()
-        return pd.DataFrame({"rank": [matrix_rank(z - z.mean(0))], "full": [min(len(z) - 1, z.shape[1])]})
+    def gram(pdf: pd.DataFrame) -> np.ndarray:
+        c = _centred(pdf)
+        return c @ c.T
 
-    return theta.select("member_id", "comp", "value").groupBy(F.lit(1).alias("g")).applyInPandas(rank, "rank long, full long")
+    _, s = _spectrum(_summed(blocks, gram))
+    s = s[: min(members, positions)]
+    cum = np.cumsum(s**2) / max(float(np.sum(s**2)), 1e-300)
+    r = _kept(s, energy)
+    rows = [(k + 1, float(x), float(e), k < r) for k, (x, e) in enumerate(zip(s, cum, strict=True))]
+    return sim.sparkSession.createDataFrame(rows, "k long, s double, energy double, kept boolean")
+
+
+def component_rank(theta: DataFrame) -> DataFrame:
+    """Rank of the centred members-by-components matrix, by its components-by-components covariance scaled to correlations."""
+    comps = [r.comp for r in theta.select("comp").distinct().orderBy("comp").collect()]
+    wide = theta.groupBy("member_id").pivot("comp", comps).agg(F.first("value"))
+    pairs = [(i, j) for i in range(len(comps)) for j in range(i, len(comps))]
+    row = wide.agg(F.count("*").alias("n"), *(F.covar_samp(f"`{comps[i]}`", f"`{comps[j]}`").alias(f"c{i}_{j}") for i, j in pairs)).first()
+    c = np.zeros((len(comps), len(comps)))
+    for i, j in pairs:
+        c[i, j] = c[j, i] = row[f"c{i}_{j}"] or 0.0
+    scale = np.sqrt(np.diag(c))
+    scale[scale == 0] = 1.0
+    w = np.linalg.eigvalsh(c / scale[:, None] / scale[None]) if len(comps) else np.empty(0)
+    # squares of singular values, so the resolution is that of sums
+    rank = int(np.sum(w > w.max(initial=0.0) * max(row.n, len(comps)) * np.finfo(float).eps * 16))
+    return theta.sparkSession.createDataFrame([(rank, min(max(row.n - 1, 0), len(comps)))], "rank long, full long")
+
+
+def perturbation(seed: int, *cols) -> F.Column:
+    """A normal draw with deviation 1 that any engine shares: by the sine and cosine rule, from two uniform draws of seed and columns."""
+    u, v = portable_uniform(seed, *cols), portable_uniform(seed + 1, *cols)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
 
 
 def perturbation_table(members: DataFrame, truth: DataFrame, seed: int = 42, keys=KEY) -> DataFrame:
-    """(member_id, pos, eps): the draws of the update, members and positions in their order."""
-    ids = [r.member_id for r in members.select("member_id").distinct().orderBy("member_id").collect()]
-    rows = truth.select(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).alias("pos"), "sigma").orderBy("pos").collect()
-    e = perturbations(np.array([r.sigma for r in rows]), len(ids), seed)
-    return members.sparkSession.createDataFrame(_long(e, ids, [r.pos for r in rows], ("member_id", "pos", "eps")), "member_id long, pos string, eps double")
+    """(member_id, pos, eps): the draws of the update, made where they are used."""
+    obs = truth.select(_position(keys).alias("pos"), "sigma")
+    rows = members.select("member_id").distinct().crossJoin(F.broadcast(obs))  # the table of draws is this product
+    return rows.select("member_id", "pos", (F.col("sigma") * perturbation(seed, "member_id", "pos")).alias("eps"))
 
 
 def gain_matrix(z: np.ndarray, d: np.ndarray, sigma: np.ndarray, energy: float = 0.99, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -111,35 +172,72 @@ def _long(matrix: np.ndarray, rows, cols, names: tuple[str, str, str]) -> pd.Dat
     return pd.DataFrame({names[0]: np.repeat(np.asarray(rows), len(cols)), names[1]: np.tile(np.asarray(cols), len(rows)), names[2]: matrix.ravel()})
 
 
+GAIN = "comp string, pos string, gain double"
+
+
+def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
+    """(comp, pos, gain) of the update in the ensemble's subspace, for a diagonal noise.
+
+    With the centred members-by-positions matrix D and components matrix Z, both
+    over the root of members less one: D = U S V'. U and S come from D D', which
+    is summed over blocks of positions; V' R V, of kept by kept values, likewise;
+    the gain's columns are then made block by block.
+    """
+    keys = list(keys)
+    obs = truth.select(*keys, "sigma")
+    d = sim.select("member_id", *keys, "value").join(obs, keys)
+    blocks = position_blocks(d, keys, sigma=F.max("sigma"))
+    ids = [r.member_id for r in theta.select("member_id").distinct().orderBy("member_id").collect()]
+    wide = theta.select("member_id", "comp", "value").toPandas().pivot(index="member_id", columns="comp", values="value").sort_index()  # members by components
+    comps, n = list(wide.columns), len(ids)
+    if n < 2:
+        raise ValueError("an update needs two members or more")
+    z = wide.to_numpy(float)
+    z = (z - z.mean(0)) / np.sqrt(n - 1)
+
+    def block(pdf: pd.DataFrame) -> np.ndarray:
+        if any(list(x) != ids for x in pdf["ids"]):
+            raise ValueError("members or observations don't match")
+        return _centred(pdf)
+
+    def gram(pdf: pd.DataFrame) -> np.ndarray:
+        c = block(pdf)
+        return c @ c.T
+
+    u, s = _spectrum(_summed(blocks, gram))
+    r = _kept(s, energy)
+    # values under the resolution of the sums have no direction of their own
+    r = min(r, int(np.sum(s > s.max(initial=0.0) * np.sqrt(n * np.finfo(float).eps))))
+    if r == 0:
+        return theta.sparkSession.createDataFrame([], GAIN)
+    back = u[:, :r] / s[:r]
+
+    def noise(pdf: pd.DataFrame) -> np.ndarray:
+        v = block(pdf).T @ back
+        return (v * pdf["sigma"].to_numpy()[:, None] ** 2).T @ v
+
+    inner = np.diag(s[:r] ** 2) + _summed(blocks, noise)
+    left = np.linalg.solve(inner.T, (z.T @ u[:, :r] * s[:r]).T).T  # components by kept values
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _long(left @ (block(pdf).T @ back).T, comps, pdf["pos"].to_numpy(), ("comp", "pos", "gain"))
+
+    return blocks.groupBy("block").applyInPandas(columns, GAIN)
+
+
 def ensemble_update(theta: DataFrame, sim: DataFrame, truth: DataFrame, mask: DataFrame | None = None, energy: float = 0.99, seed: int = 42, perturb: bool = True, keys=KEY) -> DataFrame:
-    """Posterior parameters (member_id, comp, comp_pos, value).
+    """Posterior parameters (member_id, comp, comp_pos, value): the gain, masked, meets the innovations in a join.
 
-    One grouped task gets the two member tables (members by components and by
-    observations) and returns the gain, long; the innovations meet it in a join.
-    The noise of truth (d_obs, sigma) is diagonal.
+    The noise of truth (d_obs, sigma) is diagonal; draws depend on seed, member and position.
     """
     keys = list(keys)
-    obs = truth.select(*keys, "d_obs", "sigma")
-    d = sim.select("member_id", *keys, "value").join(obs.select(*keys), keys, "left_semi")
-    pos = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
-    rows = theta.select("member_id", F.lit("z").alias("what"), "comp", F.lit(0.0).alias("sigma"), "value").unionByName(d.select("member_id", F.lit("d").alias("what"), pos.alias("comp"), F.lit(0.0).alias("sigma"), "value")).unionByName(obs.select(F.lit(-1).cast("long").alias("member_id"), F.lit("s").alias("what"), pos.alias("comp"), "sigma", F.col("d_obs").alias("value")))
-
-    def gain(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf[pdf.what == "z"].pivot(index="member_id", columns="comp", values="value").sort_index()
-        y = pdf[pdf.what == "d"].pivot(index="member_id", columns="comp", values="value").reindex(z.index)
-        s = pdf[pdf.what == "s"].set_index("comp").loc[y.columns]
-        k, _, _ = gain_matrix(z.to_numpy(), y.to_numpy(), s.sigma.to_numpy(), energy)
-        out = _long(k, z.columns, y.columns, ("comp", "pos", "gain")).assign(member_id=-1, innovation=0.0)
-        eps = perturbations(s.sigma.to_numpy(), len(z), seed) if perturb else np.zeros(y.shape)
-        inn = _long(s.value.to_numpy()[None] + eps - y.to_numpy(), z.index, y.columns, ("member_id", "pos", "innovation")).assign(comp="", gain=0.0)
-        cols = ["member_id", "comp", "pos", "gain", "innovation"]
-        return pd.concat([out[cols], inn[cols]])
-
-    both = rows.groupBy(F.lit(1).alias("g")).applyInPandas(gain, "member_id long, comp string, pos string, gain double, innovation double")
-    k = both.where("member_id < 0").select("comp", "pos", "gain")
+    pos = _position(keys).alias("pos")
+    k = ensemble_gain(theta, sim, truth, energy, keys)
     if mask is not None:
-        k = k.join(mask.select("comp", pos.alias("pos"), "mask"), ["comp", "pos"]).select("comp", "pos", (F.col("gain") * F.col("mask")).alias("gain"))
-    step = both.where("member_id >= 0").select("member_id", "pos", "innovation").join(k, "pos").groupBy("member_id", "comp").agg(F.sum(F.col("gain") * F.col("innovation")).alias("step"))
+        k = k.join(mask.select("comp", pos, "mask"), ["comp", "pos"]).select("comp", "pos", (F.col("gain") * F.col("mask")).alias("gain")).where("gain <> 0")
+    eps = F.col("sigma") * perturbation(seed, "member_id", "pos") if perturb else F.lit(0.0)
+    inn = sim.select("member_id", pos, "value").join(truth.select(pos, "d_obs", "sigma"), "pos").select("member_id", "pos", (F.col("d_obs") + eps - F.col("value")).alias("innovation"))
+    step = inn.join(k, "pos").groupBy("member_id", "comp").agg(F.sum(F.col("gain") * F.col("innovation")).alias("step"))
     return theta.join(step, ["member_id", "comp"], "left").select("member_id", "comp", "comp_pos", (F.col("value") + F.coalesce("step", F.lit(0.0))).alias("value"))
 
 
@@ -209,14 +307,28 @@ def simple_proxies(theta: DataFrame, sim: DataFrame, ridge: float = 1e-8, keys=K
     return g.where("n_train >= 2")
 
 
-def validate_proxy(theta: DataFrame, sim: DataFrame, split: DataFrame, keys=KEY) -> DataFrame:
-    """Hold-out errors of one-component proxies: per cluster and pooled (cluster -1), of each member's median relative error; a deviation under 1 counts as 1."""
-    tagged = theta.join(split.select("member_id", "split"), "member_id")
-    p = simple_proxies(tagged.where("split = 'train'"), sim, keys=keys)
-    val = tagged.where("split = 'val'").select("member_id", "cluster_id", F.col("value").alias("z")).join(sim.select("member_id", *keys, F.col("value").alias("d")), "member_id")
-    err = F.abs(F.col("d_mean") + F.col("slope") * (F.col("z") - F.col("z_mean")) - F.col("d")) / F.when(F.col("sigma") > 1, F.col("sigma")).otherwise(1.0)
-    member = val.join(p, ["cluster_id", *keys]).groupBy("cluster_id", "member_id").agg(F.median(err).alias("e"), F.max("n_train").alias("n_train"))
-    stats = [F.count("*").alias("n_val"), F.median("e").alias("median_rel_err"), F.avg("e").alias("mean_rel_err"), F.max("e").alias("max_rel_err")]
+def proxy_errors(theta: DataFrame, sim: DataFrame, split: DataFrame, ridge: float = 1e-8, keys=KEY) -> DataFrame:
+    """(cluster_id, member_id, n_train, error) of held-out members: the proxies of all components, fitted on the training members, against
+    the simulation. A member's error is the median over positions, each relative to the training members' deviation; one under 1 counts as 1."""
+    keys = list(keys)
+    tagged = theta.drop("split").join(split.select("member_id", "split"), "member_id")
+    train, held = tagged.where("split = 'train'").drop("split"), tagged.where("split = 'val'").drop("split")
+    cluster = theta.select("member_id", "cluster_id").distinct()
+    rows = sim.select("member_id", *keys, "value").join(cluster, "member_id")
+    seen = rows.join(train.select("member_id").distinct(), "member_id", "left_semi")
+    fitted = build_proxies(train, seen, ridge, keys)
+    spread = seen.groupBy("cluster_id", _position(keys).alias("pos")).agg(F.stddev_samp("value").alias("sigma"), F.count("*").alias("n_train")).where("n_train >= 2")
+    guess = predict(fitted, held).where("pos is not null").join(held.select("member_id", "cluster_id").distinct(), "member_id")
+    true = rows.select("member_id", _position(keys).alias("pos"), "value")
+    err = F.abs(F.col("predicted") - F.col("value")) / F.when(F.col("sigma") > 1, F.col("sigma")).otherwise(1.0)
+    return guess.join(true, ["member_id", "pos"]).join(spread, ["cluster_id", "pos"]).groupBy("cluster_id", "member_id").agg(F.max("n_train").alias("n_train"), F.median(err).alias("error"))
+
+
+def validate_proxy(theta: DataFrame, sim: DataFrame, split: DataFrame, ridge: float = 1e-8, keys=KEY, errors: DataFrame | None = None) -> DataFrame:
+    """Hold-out errors of the proxies, per cluster and pooled (cluster -1), with a verdict."""
+    member = errors if errors is not None else proxy_errors(theta, sim, split, ridge, keys)
+    e = F.col("error")
+    stats = [F.count("*").alias("n_val"), F.median(e).alias("median_rel_err"), F.avg(e).alias("mean_rel_err"), F.max(e).alias("max_rel_err")]
     out = member.groupBy("cluster_id").agg(*stats).unionByName(member.agg(*stats).withColumn("cluster_id", F.lit(-1).cast("long")))
     return out.withColumn("verdict", verdict("median_rel_err"))
 
@@ -309,10 +421,13 @@ def src2(rows: DataFrame, group: str, predictors: list[str], y: str, draws: int
 
 
 def bootstrap_means(rows: DataFrame, by: list[str], key: str, value: str, draws: int, seed: int) -> DataFrame:
-    """2.5 and 97.5 percentiles of resampled means, by draws that any engine shares: draw j of replicate b is row floor(u * n)."""
-    w = Window.partitionBy(*by)
-    numbered = rows.select(*by, F.row_number().over(w.orderBy(key)).alias("i"), F.count("*").over(w).alias("n"), F.col(value).alias("v"))
-    b = rows.sparkSession.range(draws).withColumnRenamed("id", "b")
-    draw = numbered.select(*by, "i", "n").crossJoin(F.broadcast(b)).withColumn("j", (F.floor(portable_uniform(seed, "b", "i") * F.col("n")) + 1).cast("int"))
-    means = draw.join(numbered.select(*by, F.col("i").alias("j"), "v"), [*by, "j"]).groupBy(*by, "b").agg(F.avg("v").alias("m"))
+    """2.5 and 97.5 percentiles of resampled means, by draws that any engine shares: draw i of replicate b is row floor(u * n).
+
+    A group's values are one array (of members, so small); the draws index it, so no row is replicated.
+    """
+    held = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: x["v"]).alias("vs"))
+    one = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = lambda i: F.element_at("vs", (F.floor(portable_uniform(seed, "b", i) * F.size("vs")) + 1).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(1), F.size("vs")), F.lit(0.0), lambda a, i: a + pick(i))
+    means = one.select(*by, (total / F.size("vs")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))

@@ -407,7 +407,7 @@ def _(v):
 
 @query("m04_localized_update")
 def _(v):
-    truth = series.diag_sigma(v.observed.where("metric = 'qty'"))
+    truth = series.diag_sigma(v.observed)
     mask = linear.localization(linear.correlation(v.theta, v.rates), 2.0)
     return linear.ensemble_update(v.theta, v.rates, truth, mask, energy=0.99, seed=42).select("member_id", "comp", "value")
 
@@ -456,12 +456,13 @@ def _(v):
 
 @query("f16_proxy_verdict", VALID + "SELECT member_id, CASE WHEN e < 1 THEN 'PASS' WHEN e < 2 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM er")
 def _(v):
-    split = members.stratified_split(v.members, 0.2, 3).select("member_id", "split")
-    tagged = _price(v).join(split, "member_id")
-    p = linear.simple_proxies(tagged.where("split = 'train'"), v.forecast.where("metric = 'qty'"))
-    val = tagged.where("split = 'val'").select("member_id", "cluster_id", F.col("value").alias("z")).join(v.forecast.where("metric = 'qty'").select("member_id", "metric", "well", "time", F.col("value").alias("d")), "member_id")
-    err = F.abs(F.col("d_mean") + F.col("slope") * (F.col("z") - F.col("z_mean")) - F.col("d")) / F.when(F.col("sigma") > 1, F.col("sigma")).otherwise(1.0)
-    return val.join(p, ["cluster_id", "metric", "well", "time"]).groupBy("member_id").agg(verdict(F.median(err)).alias("verdict"))
+    errors = linear.proxy_errors(_price(v), v.forecast.where("metric = 'qty'"), members.stratified_split(v.members, 0.2, 3))
+    return errors.select("member_id", verdict("error").alias("verdict"))
+
+
+@query("m10_validate_all_components")
+def _(v):
+    return linear.validate_proxy(v.theta, v.forecast, members.stratified_split(v.members, 0.2, 3))
 
 
 @query("m03_singular_values", """
@@ -474,18 +475,40 @@ def _(v):
     return rounded(linear.singular_values(d, 0.9), {"s": 5, "energy": 7})
 
 
-@query("m11_component_rank", "SELECT 4::BIGINT AS rank, 4::BIGINT AS full")
+@query("m03_all_singular_values")
+def _(v):
+    return linear.singular_values(v.rates, 0.99)
+
+
+@query("m11_component_rank", """
+c3 AS (SELECT member_id, max(value) FILTER (WHERE comp = 'price') AS a, max(value) FILTER (WHERE comp = 'size') AS b FROM theta GROUP BY ALL),
+q3 AS (SELECT count(*) AS n, corr(a, b) AS ab, corr(a, a - 3 * b) AS ac, corr(b, a - 3 * b) AS bc FROM c3)
+SELECT CASE WHEN 1 + 2 * ab * ac * bc - ab ** 2 - ac ** 2 - bc ** 2 > 1e-9 THEN 3 WHEN least(ab ** 2, ac ** 2, bc ** 2) < 1 - 1e-9 THEN 2 ELSE 1 END::BIGINT AS rank, least(n - 1, 3)::BIGINT AS full FROM q3""")
 def _(v):
-    return linear.component_rank(v.theta)
+    # a component that is a sum of two others takes away a rank
+    both = v.theta.where("comp in ('price', 'size')")
+    mixed = both.groupBy("member_id").agg(F.sum(F.when(F.col("comp") == "price", F.col("value")).otherwise(-3 * F.col("value"))).alias("value")).select("member_id", F.lit("mixed").alias("comp"), "value")
+    return linear.component_rank(both.select("member_id", "comp", "value").unionByName(mixed))
 
 
-@query("m05_input_violations", "SELECT 0::BIGINT AS null_keys, 0::BIGINT AS bad_values, 0::BIGINT AS repeated_keys")
+@query("m05_input_violations", """
+sp AS (SELECT member_id, kind, metric, CASE WHEN member_id % 5 = 0 AND metric = 'rev' THEN NULL ELSE well END AS well, time, CASE WHEN member_id % 7 = 0 AND well = 'A' THEN NULL WHEN member_id % 7 = 1 AND well = 'N' THEN 'nan'::DOUBLE ELSE value END AS value FROM rates),
+al AS (SELECT * FROM sp UNION ALL SELECT * FROM sp WHERE member_id % 3 = 0),
+ky AS (SELECT count(*) AS n FROM al GROUP BY member_id, kind, metric, well, time)
+SELECT count(*) FILTER (WHERE well IS NULL) AS null_keys, count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS bad_values, (SELECT sum(n - 1)::BIGINT FROM ky) AS repeated_keys FROM al""")
 def _(v):
     from tidewell.schemas import violations
 
-    return violations(v.rates, ["member_id", "kind", "metric", "well", "time"], ["value"])
+    m = F.col("member_id")
+    well = F.when((m % 5 == 0) & (F.col("metric") == "rev"), None).otherwise(F.col("well"))
+    value = F.when((m % 7 == 0) & (F.col("well") == "A"), None).when((m % 7 == 1) & (F.col("well") == "N"), F.lit(float("nan"))).otherwise(F.col("value"))
+    spoilt = v.rates.withColumns({"well": well, "value": value})
+    return violations(spoilt.unionByName(spoilt.where("member_id % 3 = 0")), ["member_id", "kind", "metric", "well", "time"], ["value"])
 
 
-@query("m06_perturbations")
+@query("m06_perturbations", """
+sg AS (SELECT metric || '|' || well || '|' || time AS pos, greatest(0.15 * abs(d_obs), 0.01 * median(abs(d_obs)) OVER (PARTITION BY metric), 1e-3) AS sigma FROM observed),
+dw AS (SELECT member_id, pos, sigma, ('0x' || substr(md5('42-' || member_id || '-' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, ('0x' || substr(md5('43-' || member_id || '-' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS w FROM members, sg)
+SELECT member_id, pos, round(sigma * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * w), 4) AS eps FROM dw""")
 def _(v):
-    return linear.perturbation_table(v.members, series.diag_sigma(v.observed))
+    return rounded(linear.perturbation_table(v.members, series.diag_sigma(v.observed)), 4)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,15 +75,14 @@ def phase1(spark: SparkSession, study: str, out: str, cfg: Config) -> dict[str,
         post = members.clip_to_prior(post, t).drop("clipped")
     sinks.write_table(post, f"{out}/phase1/theta_post")
     (post,) = _read(spark, f"{out}/phase1", "theta_post")
-    wide = t.groupBy("member_id").pivot("comp").agg(F.first("value")).drop("member_id").toPandas()  # members by components
+    full = linear.component_rank(t).first()
     spread, bounds, dup = members.spread_retention(t, post), members.physical_bounds(t, post), members.duplicate_models(m, t, post)
-    n, k = wide.shape
-    rank = linear.matrix_rank(np.asarray(wide, float) - np.asarray(wide, float).mean(0))
+    n, k, rank = t.select("member_id").distinct().count(), t.select("comp").distinct().count(), full["rank"]
     bi = members.bimodality(post, ["comp"]).agg(F.max("bimodality")).first()[0]
     msgs = members.messages(spread, bounds, dup, rank, n, k, bi)
     misfit = series.misfit(d, obs, keys)
     tables = {"localization": mask, "localization_summary": linear.localization_summary(mask), "spread": spread, "centroids": members.centroid_shift(t, post), "migration": members.cluster_migration(t, post), "misfit": misfit, "misfit_summary": series.misfit_summary(misfit), "messages": msgs, "bounds": bounds, "duplicates": dup}
-    sinks.write_qc(tables, {"rank": rank, "full": min(n - 1, k)}, f"{out}/phase1/qc")
+    sinks.write_qc(tables, {"rank": rank, "full": full["full"]}, f"{out}/phase1/qc")
     sinks.write_sidecar(spark, f"{out}/phase1/theta_post", "theta_post", asdict(cfg), cfg.seed)
     return {"theta_post": post, **tables}
 
@@ -101,11 +99,17 @@ def phase2(spark: SparkSession, study: str, out: str, cfg: Config) -> dict[str,
     sinks.write_plan(plan, f"{out}/phase2/plan")
     target = _data(s, o, cfg)[2] if cfg.hindcast else _read(spark, study, "forecast")[0]
     train = t.join(dist.select("member_id"), "member_id", "left_semi") if cfg.dedup else t
-    fitted = sinks.write_table(linear.build_proxies(train, target.join(train.select("member_id").distinct(), "member_id", "left_semi")), f"{out}/phase2/proxies")
+    target = target.join(train.select("member_id").distinct(), "member_id", "left_semi")
+    fitted = sinks.write_table(linear.build_proxies(train, target), f"{out}/phase2/proxies")
     projected = linear.predict(spark.read.parquet(fitted), post)
-    tables = {"ranking": ranking, "projection": projected}
+    # how far the proxies are to be trusted: fitted without a share of each cluster's members, and held against these
+    split = members.stratified_split(train.select("member_id", "cluster_id").distinct(), cfg.val_fraction, cfg.seed)
+    sinks.write_table(linear.proxy_errors(train, target, split), f"{out}/phase2/proxy_errors")
+    (errors,) = _read(spark, f"{out}/phase2", "proxy_errors")
+    tables = {"ranking": ranking, "projection": projected, "proxy_validation": linear.validate_proxy(train, target, split, errors=errors)}
     sinks.write_tables(tables, f"{out}/phase2")
-    return tables | {"plan": plan}
+    sinks.write_sidecar(spark, f"{out}/phase2/projection", "projection", asdict(cfg), cfg.seed)
+    return tables | {"plan": plan, "proxy_errors": errors}
 
 
 def phase3(spark: SparkSession, study: str, out: str, cfg: Config) -> dict[str, DataFrame]:
@@ -146,7 +150,7 @@ def compare_phase1(spark: SparkSession, variants: dict[str, str]) -> dict[str, D
 
 def report(spark: SparkSession, out: str) -> str:
     """HTML of the phases' small tables."""
-    names = {"phase3": ["summary", "latex"], "phase2": ["ranking"]}
+    names = {"phase3": ["summary", "latex"], "phase2": ["ranking", "proxy_validation", "proxy_errors"]}
     tables = {f"{p}/{n}": spark.read.parquet(f"{out}/{p}/{n}") for p, ns in names.items() for n in ns}
     tables |= {f"phase1/{n}": spark.read.option("header", True).csv(f"{out}/phase1/qc/{n}") for n in ("messages", "spread", "localization_summary", "misfit_summary")}
     return sinks.html_report("Study", tables)
