@@ -63,9 +63,9 @@ def compliance(setups: DataFrame, limits=(5.0, 10.0, 20.0)) -> DataFrame:
 def compliance_summary(df: DataFrame) -> DataFrame:
     """For each setup and cluster, and each setup (cluster -1): rows, passes and shares."""
     flags = ["pass_field_cum_5pct", "pass_field_annual_10pct", "pass_well_top80_20pct", "pass_all_three"]
-    aggs = ", ".join([*(f"count_if({f}) AS n_{f}" for f in flags), *(f"avg(CASE WHEN {f} THEN 1.0D ELSE 0.0D END) AS share_{f}" for f in flags)])
-    df.createOrReplaceTempView("tidewell_compliance")
-    return df.sparkSession.sql(f"SELECT setup, coalesce(cluster_id, -1L) AS cluster, count(*) AS n, {aggs} FROM tidewell_compliance GROUP BY GROUPING SETS ((setup, cluster_id), (setup))")
+    aggs = [*(F.count_if(f).alias(f"n_{f}") for f in flags), *(F.avg(F.when(F.col(f), 1.0).otherwise(0.0)).alias(f"share_{f}") for f in flags)]
+    sets = df.groupingSets([[F.col("setup"), F.col("cluster_id")], [F.col("setup")]], F.col("setup"), F.col("cluster_id"))
+    return sets.agg(F.count("*").alias("n"), *aggs).withColumnRenamed("cluster_id", "cluster").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))).select("setup", "cluster", "n", *(f"n_{f}" for f in flags), *(f"share_{f}" for f in flags))
 
 
 def model_misfit(df: DataFrame) -> DataFrame:
@@ -258,5 +258,5 @@ def energy(singular: DataFrame, level: float = 0.99) -> DataFrame:
 
 def latex_rows(table: DataFrame) -> DataFrame:
     """One line of a LaTeX table for each row (setup, phase, m_members, mean_width_ratio, mean_crps, coverage)."""
-    line = F.format_string("%s & %s & %d & %.3f & %.3e & %s \\\\", F.replace("setup", F.lit("_"), F.lit("\\_")), F.replace("phase", F.lit("_"), F.lit("\\_")), "m_members", "mean_width_ratio", "mean_crps", F.coalesce(F.when(F.isnan("coverage"), "--").otherwise(F.format_string("%.3f", "coverage")), F.lit("--")))
+    line = F.format_string("%s & %s & %d & %.3f & %.3e & %s \\\\", F.replace("setup", F.lit("_"), F.lit("\\_")), F.replace("phase", F.lit("_"), F.lit("\\_")), "m_members", "mean_width_ratio", "mean_crps", F.when(F.col("coverage").isNull() | F.isnan("coverage"), "--").otherwise(F.format_string("%.3f", "coverage")))
     return table.select("setup", "phase", line.alias("line"))

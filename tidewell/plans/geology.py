@@ -668,10 +668,10 @@ def _(v):
     return out.withColumn("status", F.when(F.col("r2_base").isNull() | F.isnan("r2_base"), "TOO_FEW_SAMPLES").otherwise("OK"))
 
 
-@query("k06_latex_rows", "SELECT setup, m.metric AS phase, replace(setup, '_', '\\_') || ' & ' || m.metric || ' & ' || m.n || ' & ' || printf('%.3f', round(m.a, 5)) || ' \\\\' AS line FROM (SELECT 'set_up' AS setup, metric, count(*) AS n, avg(time) AS a FROM rates GROUP BY ALL) m")
+@query("k06_latex_rows", "SELECT setup, phase, replace(setup, '_', '\\_') || ' & ' || replace(phase, '_', '\\_') || ' & ' || n || ' & ' || printf('%.3f', a) || ' & ' || printf('%.3e', c) || ' & ' || CASE WHEN phase = 'by_qty' THEN '--' ELSE printf('%.3f', a / 3000) END || ' \\\\' AS line FROM (SELECT 'set_up' AS setup, 'by_' || metric AS phase, count(*) AS n, round(avg(time), 5) AS a, round(avg(value), 3) AS c FROM rates GROUP BY ALL) m")
 def _(v):
-    m = v.rates.groupBy("metric").agg(F.count("*").alias("n"), F.avg("time").alias("a"))
-    return m.select(F.lit("set_up").alias("setup"), F.col("metric").alias("phase"), F.format_string("%s & %s & %d & %.3f \\\\", F.lit("set\\_up"), "metric", "n", F.round("a", 5)).alias("line"))
+    m = v.rates.groupBy(F.concat(F.lit("by_"), "metric").alias("phase")).agg(F.lit("set_up").alias("setup"), F.count("*").alias("m_members"), F.round(F.avg("time"), 5).alias("mean_width_ratio"), F.round(F.avg("value"), 3).alias("mean_crps"))
+    return geo.latex_rows(m.withColumn("coverage", F.when(F.col("phase") != "by_qty", F.col("mean_width_ratio") / 3000)))
 
 
 @query("s02_rounded_seed", "SELECT s_suppkey AS member_id, round_even(s_acctbal / 2, 0)::BIGINT AS seed_int FROM supplier")

@@ -110,9 +110,47 @@ def _(v):
     return decks.scan_decks(base.select(F.concat("d", "n").alias("path")).union(base.select(F.concat("d", F.lit("z.data")))).union(base.select(F.concat("d", F.lit("0.txt")))))
 
 
-@query("s13_missing_is_empty", "SELECT NULL::BIGINT AS a, NULL AS b WHERE false")
+@query("s13_missing_is_empty", "SELECT 'there' AS source, r_regionkey::BIGINT AS a, r_name AS b FROM region")
 def _(v):
-    return tables.read_or_empty(v.spark, f"{v.sf_dir}/no_such_table", "a BIGINT, b STRING")
+    read = lambda path, fmt: tables.read_or_empty(v.spark, path, "a BIGINT, b STRING", fmt)
+    folder = sinks.scratch(v.spark, "s13")
+    there = sinks.write_table(v.table("region").select(F.col("r_regionkey").cast("long").alias("a"), F.col("r_name").alias("b")), f"{folder}/region", "csv")
+    return read(there, "csv").select(F.lit("there").alias("source"), "a", "b").unionByName(read(f"{folder}/missing", "csv").select(F.lit("missing").alias("source"), "a", "b"))
+
+
+@query("s14_cached", "SELECT n_nationkey, n_name FROM nation")
+def _(v):
+    path = f"{sinks.scratch(v.spark, 's14')}/nation"
+    tables.cached(v.spark, path, lambda: v.table("nation").select("n_nationkey", "n_name"))
+    # the second call reads what the first has written
+    return tables.cached(v.spark, path, lambda: v.table("nation").select("n_nationkey", F.lit("built again").alias("n_name")))
+
+
+@query("k01_write_tables", "SELECT metric, well, time, round(sum(value), 2) AS value FROM rates GROUP BY ALL")
+def _(v):
+    folder = sinks.scratch(v.spark, "k01")
+    sinks.write_tables({"rates": v.rates.groupBy("metric", "well", "time").agg(F.round(F.sum("value"), 2).alias("value")), "none": v.members.where("false")}, folder, skip_empty=("none",))
+    return v.spark.read.parquet(f"{folder}/rates").unionByName(tables.read_or_empty(v.spark, f"{folder}/none", "metric string, well string, time bigint, value double", "parquet"))
+
+
+@query("k03_write_plan", "SELECT member_id, CASE member_id % 3 WHEN 0 THEN 'resimulate' ELSE 'proxy' END AS role, 'plan' AS source FROM members UNION ALL SELECT member_id, CASE member_id % 3 WHEN 0 THEN 'resimulate' ELSE 'proxy' END, 'validation' FROM members WHERE member_id % 2 = 0")
+def _(v):
+    folder = sinks.scratch(v.spark, "k03")
+    sinks.write_plan(v.members.select("member_id", F.when(F.col("member_id") % 3 == 0, "resimulate").otherwise("proxy").alias("role"), (F.col("member_id") % 2 == 0).alias("validate")), folder)
+    read = lambda n: v.spark.read.schema("member_id long, role string, validate boolean").option("header", True).csv(f"{folder}/{n}")
+    return read("resimulate").union(read("proxy_pool")).select("member_id", "role", F.lit("plan").alias("source")).union(read("validation").select("member_id", "role", F.lit("validation")))
+
+
+@query("k04_write_csv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _(v):
+    path = sinks.write_table(v.table("supplier").select("s_suppkey", "s_name", "s_acctbal"), f"{sinks.scratch(v.spark, 'k04')}/supplier", "csv")
+    return v.spark.read.schema("s_suppkey long, s_name string, s_acctbal double").option("header", True).csv(path)
+
+
+@query("k07_html_report", """SELECT '<!DOCTYPE html><meta charset=''utf-8''><h1>A &amp; B</h1><h2>regions</h2><table><tr><th>r_regionkey</th><th>r_name</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>', '' ORDER BY r_regionkey) || '</table><h2>none</h2><p>no rows</p>' AS page FROM region""")
+def _(v):
+    r = v.table("region").orderBy("r_regionkey")
+    return v.spark.createDataFrame([(sinks.html_report("A & B", {"regions": r, "none": r.where("false")}),)], "page string")
 
 
 @query("s15_seed_map", "SELECT s_suppkey % 30 AS model_id, round_even(min_by(s_acctbal / 2, s_suppkey), 0)::BIGINT AS seed FROM supplier GROUP BY ALL")
@@ -128,8 +166,20 @@ def _(v):
 
 @query("k05_config_hash", "SELECT s_suppkey AS id, substr(sha256('{\"bal\": ' || s_suppkey || ', \"seed\": 42}'), 1, 16) AS hash FROM supplier")
 def _(v):
-    text = F.concat(F.lit('{"bal": '), F.col("s_suppkey").cast("string"), F.lit(', "seed": 42}'))
-    return v.table("supplier").select(F.col("s_suppkey").alias("id"), F.substring(F.sha2(text, 256), 1, 16).alias("hash"))
+    def hashes(batches):
+        for b in batches:
+            b["hash"] = [sinks.config_hash({"seed": 42, "bal": int(k)}) for k in b["id"]]
+            yield b
+
+    return v.table("supplier").select(F.col("s_suppkey").cast("long").alias("id")).mapInPandas(hashes, "id long, hash string")
+
+
+@query("k05_sidecar", "SELECT 'theta' AS artefact, substr(sha256('{\"top\": ' || max(s_suppkey) || '}'), 1, 16) AS config_hash, 7::BIGINT AS seed, count(*)::BIGINT AS rows FROM supplier")
+def _(v):
+    path = f"{sinks.scratch(v.spark, 'k05')}/theta"
+    top, n = v.table("supplier").agg(F.max("s_suppkey"), F.count("*")).first()
+    sinks.write_sidecar(v.spark, path, "theta", {"top": top}, 7, rows=n)
+    return v.spark.read.schema("artefact string, config_hash string, seed long, extra struct<rows: long>").json(f"{path}.meta").select("artefact", "config_hash", "seed", "extra.rows")
 
 
 @query("m23_deck_connectivity")
@@ -155,9 +205,19 @@ def _(v):
     return rounded(geometry.layers_from_zcorn(z, 4, 2))
 
 
-@query("k02_first_messages", "SELECT 'rank' AS name, '" + sinks.config_hash({"rank": 3}) + "' AS hash")
+@query("k02_qc_report", """
+sp AS (SELECT comp, round(stddev_samp(value), 4) AS value FROM theta GROUP BY ALL), du AS (SELECT model_id, count(*) AS n FROM members GROUP BY ALL HAVING count(*) > 1)
+SELECT 'spread' AS source, comp AS name, value FROM sp UNION ALL SELECT 'duplicates', model_id::VARCHAR, n::DOUBLE FROM du UNION ALL SELECT 'rank_check', 'full', count(*)::DOUBLE FROM members""")
 def _(v):
-    return v.spark.createDataFrame([("rank", sinks.config_hash({"rank": 3}))], "name string, hash string")
+    folder = sinks.scratch(v.spark, "k02")
+    text = lambda df, a, b: df.select(F.col(a).cast("string").alias("name"), F.col(b).cast("double").alias("value"))
+    spread = text(v.theta.groupBy("comp").agg(F.round(F.stddev_samp("value"), 4).alias("v")), "comp", "v")
+    again = text(v.members.groupBy("model_id").count().where("count > 1"), "model_id", "count")
+    sinks.write_qc({"spread": spread, "duplicates": again, "bounds": spread.where("false")}, {"full": v.members.count()}, folder)
+    # bounds has no row, so it isn't written; duplicates are only if there are any
+    read = lambda n: tables.read_or_empty(v.spark, f"{folder}/{n}", "name string, value double").select(F.lit(n).alias("source"), "name", "value")
+    rank = v.spark.read.schema("full long").json(f"{folder}/rank_check").select(F.lit("rank_check").alias("source"), F.lit("full").alias("name"), F.col("full").cast("double").alias("value"))
+    return read("spread").union(read("duplicates")).union(read("bounds")).union(rank)
 
 
 @query("t08_longest_run", "r AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r), n AS (SELECT user_id, run, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, max(n) AS longest FROM n GROUP BY ALL")

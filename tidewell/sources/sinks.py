@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import html
 import json
+import shutil
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; on one machine without that, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/tidewell-study/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write a table; CSV has a header."""
     w = df.write.mode("overwrite")
