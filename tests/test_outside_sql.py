@@ -44,7 +44,7 @@ def test_query(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_other_queries_have_rows(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).columns
+    assert registry.QUERIES[name](spark, sf_dir).count()
 
 
 def test_entry(spark):

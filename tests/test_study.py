@@ -41,8 +41,13 @@ def test_all_phases(spark, study, tmp_path, cfg):
     assert post.count() == 100 and post.where("value is null").count() == 0
     prior = spark.read.parquet(f"{study}/theta").groupBy("comp").agg(F.stddev_samp("value").alias("a"))
     assert post.groupBy("comp").agg(F.stddev_samp("value").alias("b")).join(prior, "comp").where("b < a").count() >= 3
+    # a fifth of each cluster's members are held out, whatever their number
+    v = {r.cluster_id: r for r in spark.read.parquet(f"{out}/phase2/proxy_validation").collect()}
+    assert set(v) == {-1, 0, 1, 2} and v[-1].n_val == sum(v[c].n_val for c in (0, 1, 2)) == 3 and {r.verdict for r in v.values()} <= {"PASS", "WARN", "FAIL"}
+    assert spark.read.parquet(f"{out}/phase2/proxy_errors").count() == 3 and "phase2/proxy_validation" in phases.report(spark, out)
     if not cfg.hindcast:
-        assert "setup1" in phases.report(spark, out)
+        page = phases.report(spark, out)
+        assert all(f"<h2>{n}</h2>" in page for n in ("phase3/setup2_metrics", "phase2/plan/resimulate", "phase1/qc/migration"))
         both = phases.compare_phase1(spark, {"one": out, "two": out})
         assert both["spread"].count() == 5 and both["centroids"].count() == 15
 

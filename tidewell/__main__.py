@@ -1,4 +1,4 @@
-"""python -m tidewell run|report|compare ..."""
+"""python -m tidewell run|report|compare|geology ..."""
 
 from __future__ import annotations
 
@@ -26,12 +26,23 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--out", required=True)
     c = sub.add_parser("compare", help="print phase 1 of several runs side by side")
     c.add_argument("outs", nargs="+", metavar="NAME=FOLDER")
+    g = sub.add_parser("geology", help="descriptors, connectivity and comparison of folders of decks")
+    g.add_argument("--out", required=True)
+    g.add_argument("--cutoff", type=float, help="permeability of sand; calibrated for each deck if not given")
+    g.add_argument("--step", type=float, default=1.0, help="distance of samples along a well")
+    g.add_argument("roots", nargs="+", metavar="NUMBER=FOLDER")
     a = p.parse_args(argv)
     spark = build_session()
     if a.command == "run":
         cfg = phases.Config(**{f.name: getattr(a, f.name) for f in fields(phases.Config)})
         for name, df in phases.run(spark, a.study, a.out, a.phase, cfg).items():
             print(name, df.columns)
+    elif a.command == "geology":
+        from tidewell.plans import experiment
+
+        roots = {int(n): root for n, root in (x.split("=", 1) for x in a.roots)}
+        for name, df in experiment.geology_tables(spark, roots, a.out, a.cutoff, a.step).items():
+            print(name, df.columns)
     elif a.command == "report":
         print(phases.report(spark, a.out))
     else:

@@ -119,12 +119,12 @@ def realism(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.groupBy("experiment", "cluster").agg(*(x for c in here for x in (F.median(c).alias(f"{c}_median"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"{c}_iqr"))))
 
 
-def sand(cutoff: float) -> Column:
+def sand(cutoff: float | Column) -> Column:
     return (F.col("ntg") == 1) & (F.col("permx") > cutoff)
 
 
-def well_descriptors(traversals: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
-    """Descriptors of each well from its traversed cells (model, well, i, j, k, dz_eff, perforated)."""
+def well_descriptors(traversals: DataFrame, cells: DataFrame, cutoff: float | Column) -> DataFrame:
+    """Descriptors of each well from its traversed cells (model, well, i, j, k, dz_eff, perforated); the cutoff is a number or a column of cells."""
     rows = traversals.join(cells, ["model", "i", "j", "k"])
     s, dz = sand(cutoff), F.col("dz_eff")
     hit = s & F.col("perforated")

@@ -27,6 +27,7 @@ def perm_cutoff(cells: DataFrame, by: list[str], fallback: float = 0.0, least: i
     w = Window.partitionBy(*by).orderBy("bin")
     at = lambda n: F.coalesce((F.lag("c", -n) if n < 0 else F.lead("c", n)).over(w) if n else F.col("c"), F.lit(0))
     before = lambda n: F.coalesce(F.lag("c", n).over(w), F.lit(0))
+    # fixed values: weights 1, 3, 5, 3, 1 over 13
     smooth = full.withColumn("s", (before(2) + 3 * before(1) + 5 * F.col("c") + 3 * at(1) + at(2)) / F.lit(13.0))
     peaks = smooth.withColumn("p", F.lag("s").over(w)).withColumn("q", F.lead("s").over(w)).where("p is not null and q is not null and s >= p and s >= q")
     two = peaks.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("s"), "bin"))).where("_r <= 2").groupBy(*by).agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.count("*").alias("m")).where("m = 2")
@@ -152,6 +153,23 @@ def injector_connections(wells: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.join(w.groupBy("model").agg(F.count_if(inj(F.col("well"))).alias("n_injectors")), "model")
 
 
+def deck_connectivity(mask: DataFrame, well_cells: DataFrame) -> DataFrame:
+    """One row a model of the mask (model, flat, i, j, k) or the wells (model, well, i, j, k): number of bodies and shares of sand in
+    the largest at both connectivities, shape of the largest, and how many injectors each producer meets through a body."""
+    labels = label_bodies(mask, 26)
+    s26, s6 = body_stats(labels), body_stats(label_bodies(mask, 6))
+    wide = sand_fractions(s26).select("model", F.col("n_bodies").alias("n_bodies_26"), F.col("frac_largest").alias("frac_sand_in_largest_26"), F.col("frac_top10").alias("frac_sand_in_top10_26"))
+    six = sand_fractions(s6).select("model", F.col("n_bodies").alias("n_bodies_6"), F.col("frac_largest").alias("frac_sand_in_largest_6"))
+    top = s26.where("rank = 1").select("model", F.col("n_cells").alias("top1_n_cells"), F.col("anisotropy").alias("top1_anisotropy"), F.col("angle").alias("top1_orientation_deg"))
+    inj = F.upper(F.substring("well", 1, 3)) == "INJ"
+    wells = well_cells.select("model", "well").distinct().groupBy("model").agg(F.count_if(~inj).alias("n_producers"), F.count_if(inj).alias("n_injectors"))
+    met = injector_connections(well_cells, well_pairs(well_cells, labels)).select("model", F.col("mean_connections").alias("mean_inj_connections_per_producer"), F.col("max_connections").alias("max_inj_connections_per_producer"), F.col("n_connected").alias("n_producers_connected_to_any_inj"))
+    out = mask.select("model").union(well_cells.select("model")).distinct()
+    for t in (wide, six, top, wells, met):
+        out = out.join(t, "model", "left")
+    return out.fillna(0, [c for c in out.columns if c != "model"])
+
+
 def sample_track(tracks: DataFrame, step: float = 0.5) -> DataFrame:
     """(model, well, s, md, x, y, z): points at equal measured depths along each track (model, well, seq, x, y, z, md), linear between survey points; tracks of under 2 points or no length give none."""
     w = Window.partitionBy("model", "well").orderBy("seq")

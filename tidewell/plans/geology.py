@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import half_even, sheet_key, status, width_text
 from tidewell.operators import geology as geo
-from tidewell.operators import geometry, linear, members, series
+from tidewell.operators import geometry, linear, members, production, series
 from tidewell.plans.ensemble import DISTANCE, SHIFT, rounded
 from tidewell.plans.registry import query
 
@@ -662,10 +662,8 @@ def _(v):
 
 @query("m17_production_link")
 def _(v):
-    rows = _linked(v).join(v.members.select(F.col("member_id").alias("seed"), "cluster_id"), "seed")
-    scopes = rows.withColumn("scope", F.explode(F.array(F.lit("all"), F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")))))
-    out = linear.r2_uplift(scopes, "scope", ["net_sand_penetrated"], ["kh_penetrated", "n_bodies_26"], "oil", draws=100)
-    return out.withColumn("status", F.when(F.col("r2_base").isNull() | F.isnan("r2_base"), "TOO_FEW_SAMPLES").otherwise("OK"))
+    rows = _linked(v).join(v.members.select(F.col("member_id").alias("seed"), F.col("cluster_id").alias("cluster")), "seed")
+    return production.production_link(rows, ["net_sand_penetrated"], ["kh_penetrated", "n_bodies_26"], ["oil", "cut"], draws=100)["uplift"]
 
 
 @query("k06_latex_rows", "SELECT setup, phase, replace(setup, '_', '\\_') || ' & ' || replace(phase, '_', '\\_') || ' & ' || n || ' & ' || printf('%.3f', a) || ' & ' || printf('%.3e', c) || ' & ' || CASE WHEN phase = 'by_qty' THEN '--' ELSE printf('%.3f', a / 3000) END || ' \\\\' AS line FROM (SELECT 'set_up' AS setup, 'by_' || metric AS phase, count(*) AS n, round(avg(time), 5) AS a, round(avg(value), 3) AS c FROM rates GROUP BY ALL) m")

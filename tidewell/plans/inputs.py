@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewell.operators import geology as geo
 from tidewell.operators import geometry
 from tidewell.plans.ensemble import rounded
-from tidewell.plans.geology import _layers, _perfs, _pillars, _tracks
+from tidewell.plans.geology import LAB6, LAB26, PERFS, WP, _layers, _mask, _perfs, _pillars, _tracks, _well_cells
 from tidewell.plans.registry import query
 from tidewell.sources import decks, sinks, tables
 
@@ -182,21 +184,42 @@ def _(v):
     return v.spark.read.schema("artefact string, config_hash string, seed long, extra struct<rows: long>").json(f"{path}.meta").select("artefact", "config_hash", "seed", "extra.rows")
 
 
-@query("m23_deck_connectivity")
+def _renamed(sql: str, tag: str) -> str:
+    return re.sub(r"\b(walk|lowest|lab|hits|wp)\b", rf"\1_{tag}", sql)
+
+
+BODIES = ", ".join(
+    f"""
+fl_{c} AS (SELECT l.model, body, count(*) AS n, (max(i) - min(i) + 1)::BIGINT AS ei, (max(j) - min(j) + 1)::BIGINT AS ej, (max(k) - min(k) + 1)::BIGINT AS ek FROM lab_{c} l JOIN sd USING (model, flat) GROUP BY ALL),
+rk_{c} AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY n DESC, body) AS r FROM fl_{c}),
+sf_{c} AS (SELECT model, count(*) AS bodies, round(max(n) / sum(n), 8) AS largest, round(sum(n) FILTER (WHERE r <= 10) / sum(n), 8) AS ten, max(n) AS top, max(CASE WHEN r = 1 THEN round(greatest(ei, ej, ek) / least(ei, ej, ek), 8) END) AS shape FROM rk_{c} GROUP BY ALL)"""
+    for c in ("six", "all")
+)
+CONNECTED = (
+    _renamed(LAB6, "six") + ", " + _renamed(WP.replace(LAB6, LAB26), "all").replace("sd AS (SELECT model, flat, i, j, k FROM cells WHERE ntg = 1 AND permx > 100),", "") + ", " + BODIES + """,
+ws AS (SELECT DISTINCT model, well FROM wc), bi AS (SELECT model, a, b FROM wp_all UNION ALL SELECT model, b, a FROM wp_all),
+cn AS (SELECT ws.model, ws.well, count(bi.b) FILTER (WHERE bi.b LIKE 'INJ%') AS n FROM ws LEFT JOIN bi ON bi.model = ws.model AND bi.a = ws.well WHERE ws.well NOT LIKE 'INJ%' GROUP BY ALL),
+pr AS (SELECT model, count(*) AS producers, round(avg(n), 8) AS mean_n, max(n) AS max_n, count(*) FILTER (WHERE n > 0) AS linked FROM cn GROUP BY ALL),
+nj AS (SELECT model, count(*) FILTER (WHERE well LIKE 'INJ%') AS n FROM ws GROUP BY ALL),
+md AS (SELECT model FROM sd UNION SELECT model FROM ws)
+SELECT md.model, coalesce(a.bodies, 0) AS n_bodies_26, coalesce(a.largest, 0) AS frac_sand_in_largest_26, coalesce(a.ten, 0) AS frac_sand_in_top10_26, coalesce(s.bodies, 0) AS n_bodies_6, coalesce(s.largest, 0) AS frac_sand_in_largest_6, coalesce(a.top, 0) AS top1_n_cells, coalesce(a.shape, 0) AS top1_anisotropy,
+coalesce(producers, 0) AS n_producers, coalesce(nj.n, 0) AS n_injectors, coalesce(mean_n, 0) AS mean_inj_connections_per_producer, coalesce(max_n, 0) AS max_inj_connections_per_producer, coalesce(linked, 0) AS n_producers_connected_to_any_inj
+FROM md LEFT JOIN sf_all a ON a.model = md.model LEFT JOIN sf_six s ON s.model = md.model LEFT JOIN pr ON pr.model = md.model LEFT JOIN nj ON nj.model = md.model"""
+)
+
+
+@query("m23_deck_connectivity", CONNECTED)
 def _(v):
-    cut = geometry.perm_cutoff(v.cells, ["model"], fallback=0.0, least=20)
-    mask = v.cells.join(cut, "model").where("ntg = 1 and permx > cutoff").drop("cutoff")
-    stats = geometry.body_stats(geometry.label_bodies(mask, 26))
-    top = stats.where("rank = 1").select("model", F.col("n_cells").alias("top1_n_cells"), F.col("anisotropy").alias("top1_anisotropy"), F.col("angle").alias("top1_orientation_deg"))
-    six = geometry.sand_fractions(geometry.body_stats(geometry.label_bodies(mask, 6))).select("model", F.col("n_bodies").alias("n_bodies_6"), F.col("frac_largest").alias("frac_sand_in_largest_6"))
-    out = geometry.sand_fractions(stats).withColumnsRenamed({"n_bodies": "n_bodies_26", "frac_largest": "frac_sand_in_largest_26", "frac_top10": "frac_sand_in_top10_26"})
-    return out.join(top, "model", "left").join(six, "model", "left")
+    return rounded(geometry.deck_connectivity(_mask(v), _well_cells(v)).drop("top1_orientation_deg"), 8)
 
 
-@query("a33_deck_descriptors")
+@query("a33_deck_descriptors", PERFS + """,
+pv AS (SELECT model, well, i, j, k, dz_eff, model >= 3 OR greatest(least(md_in, md_out), 8) + 1e-6 < least(greatest(md_in, md_out), 21) AS perforated FROM tv)
+SELECT model, well, count(*) AS n_cells_traversed, count(*) FILTER (WHERE perforated) AS n_cells_perforated, count(*) FILTER (WHERE ntg = 1 AND permx > 100) AS n_sand_cells, round(coalesce(sum(dz_eff) FILTER (WHERE ntg = 1 AND permx > 100 AND perforated), 0), 6) AS net_sand_penetrated,
+round(coalesce(sum(permx * dz_eff) FILTER (WHERE ntg = 1 AND permx > 100 AND perforated), 0), 4) AS kh_penetrated, round(avg((ntg = 1 AND permx > 100)::INT), 8) AS frac_channel_cells, round(coalesce(sum(ntg * dz_eff) / nullif(sum(dz_eff), 0), 0), 6) AS mean_ntg_along_well FROM pv JOIN cells USING (model, i, j, k) GROUP BY ALL""")
 def _(v):
     t = geometry.traverse(_tracks(v), geometry.grid_quads(_pillars(v)).drop("cx", "cy"), _layers(v), _perfs(v), 0.5, 12.0)
-    return geo.well_descriptors(t, v.cells, 100.0)
+    return rounded(geo.well_descriptors(t, v.cells, 100.0), {"kh_penetrated": 4, "frac_channel_cells": 8})
 
 
 @query("m20_layers_from_zcorn", "z AS (SELECT p, (p * 37 % 101)::DOUBLE AS z FROM range(0, 3 * 2 * 2 * 2 * 2 * 4) r(p)), q AS (SELECT (p % 8) // 2 AS i, ((p // 8) % 4) // 2 AS j, (p // 32) // 2 AS k, (p // 32) % 2 AS side, z FROM z) SELECT i::INT AS i, j::INT AS j, k::INT AS k, round(avg(z) FILTER (WHERE side = 0), 6) AS z_top, round(avg(z) FILTER (WHERE side = 1), 6) AS z_bot FROM q GROUP BY ALL")

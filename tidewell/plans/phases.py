@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import geology, linear, members, series
 from tidewell.schemas import nan_to_null, violations
 from tidewell.sources import sinks
+from tidewell.sources.tables import exists
 
 
 @dataclass(frozen=True)
@@ -148,9 +149,22 @@ def compare_phase1(spark: SparkSession, variants: dict[str, str]) -> dict[str, D
     return {"spread": members.align({k: read(o, "spread") for k, o in variants.items()}, ["comp"], "ratio"), "centroids": members.align({k: read(o, "centroids") for k, o in variants.items()}, ["cluster_id", "comp"], "shift_sigma")}
 
 
+#: Tables of the report, in its order; those that a run has not written are left out.
+REPORT = {
+    "phase3": ["summary", "latex", *(f"setup{n}_{t}" for n in (1, 2, 3) for t in ("field", "metrics", "error"))],
+    "phase2": ["ranking", "proxy_validation", "proxy_errors"],
+    "phase2/plan": ["resimulate", "proxy_pool", "validation"],
+    "phase1/qc": ["messages", "spread", "centroids", "migration", "localization_summary", "misfit_summary", "bounds", "duplicates"],
+}
+
+
 def report(spark: SparkSession, out: str) -> str:
     """HTML of the phases' small tables."""
-    names = {"phase3": ["summary", "latex"], "phase2": ["ranking", "proxy_validation", "proxy_errors"]}
-    tables = {f"{p}/{n}": spark.read.parquet(f"{out}/{p}/{n}") for p, ns in names.items() for n in ns}
-    tables |= {f"phase1/{n}": spark.read.option("header", True).csv(f"{out}/phase1/qc/{n}") for n in ("messages", "spread", "localization_summary", "misfit_summary")}
-    return sinks.html_report("Study", tables)
+    found = {}
+    for folder, names in REPORT.items():
+        for n in names:
+            path = f"{out}/{folder}/{n}"
+            if exists(spark, path):
+                csv = folder in ("phase1/qc", "phase2/plan")
+                found[f"{folder}/{n}"] = spark.read.option("header", True).csv(path) if csv else spark.read.parquet(path)
+    return sinks.html_report("Study", found)

@@ -16,12 +16,15 @@ ENSEMBLE_SHEET = r"^51-(\d)_\d+-(\d+)$"
 FORECAST_SHEET = r"^(\d)_\d+-(\d+)$"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_or_empty(spark: SparkSession, path: str, ddl: str, fmt: str = "csv") -> DataFrame:
     """The table at a path, or an empty one of the schema if there is nothing there."""
     schema = T._parse_datatype_string(ddl)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema)
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
@@ -29,9 +32,7 @@ def read_or_empty(spark: SparkSession, path: str, ddl: str, fmt: str = "csv") ->
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
     """The Parquet table at a path; built and written first if it is absent or refresh is asked for."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if refresh or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if refresh or not exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
