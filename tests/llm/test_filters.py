@@ -190,6 +190,17 @@ def test_mixing_of_a_rare_source(spark):
     assert len(times) == 20 and 200 < sum((t - 500) ** 2 for t in times) / 20 < 1100
 
 
+def test_mixing_sql_of_rates_beyond_one_distribution(spark):
+    import duckdb
+
+    rows = [(i, "rare" if i == 7 else None if i % 50 == 0 else "usual", "0123456789") for i in range(700)] + [(7, "rare", "01"), (None, "usual", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    got = [(r.doc_id, r.source, r.mix_copy, r.mix_copies, round(r.mix_rate, 6), r.mix_key) for r in mixing.mix(df).collect()]
+    assert max(r[4] for r in got) > 100 and sorted(got, key=repr) == sorted(con.execute(mixing.mix_sql()).fetchall(), key=repr)
+
+
 def test_mixing_odd_rows(spark):
     df = docs(spark, [row(None, None), row(1, "twice"), row(1, "twice")])
     out = mixing.resample(df, epochs=3.0)

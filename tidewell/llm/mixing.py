@@ -86,18 +86,20 @@ def resample(docs: DataFrame, targets: dict[str, float] = TARGETS, epochs: float
     return restore(_mixed(inner, targets, epochs, seed, most_broadcast))
 
 
-def mix_sql(targets: dict[str, float] = TARGETS, epochs: float = 1.0, seed: int = 7, max_rate: float = 50.0) -> str:
+def mix_sql(targets: dict[str, float] = TARGETS, epochs: float = 1.0, seed: int = 7, max_rate: float = MAX_RATE) -> str:
     """DuckDB SQL of mix() without the texts."""
     weight = " ".join(f"WHEN source = '{s}' THEN {float(w)}" for s, w in sorted(targets.items()))
     last = int(max_rate + 12 * math.sqrt(max_rate) + 20)
     return f"""
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0)) AS size, CASE {weight} ELSE 1.0 END::DOUBLE AS weight FROM documents GROUP BY source),
-rated AS (SELECT source, CASE WHEN size > 0 THEN least({max_rate}::DOUBLE, {epochs}::DOUBLE * (SELECT sum(size) FROM sizes)::DOUBLE * weight / (SELECT sum(weight) FROM sizes) / size::DOUBLE) ELSE 1.0 END AS rate FROM sizes),
-steps AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM rated, range(0, {last + 1}) r(k)),
+rated AS (SELECT source, CASE WHEN size > 0 THEN {epochs}::DOUBLE * (SELECT sum(size) FROM sizes)::DOUBLE * weight / (SELECT sum(weight) FROM sizes) / size::DOUBLE ELSE 1.0 END AS rate FROM sizes),
+cut AS (SELECT *, CASE WHEN rate > {max_rate}::DOUBLE THEN ceil(rate / {PIECE}::DOUBLE) ELSE 1 END::BIGINT AS pieces FROM rated),
+steps AS (SELECT source, k, sum(exp(-rate / pieces + k * ln(rate / pieces) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM cut, range(0, {last + 1}) r(k)),
 cdf AS (SELECT source, list(c) AS cdf FROM steps GROUP BY source),
-drawn AS (SELECT d.doc_id, d.source, r.rate, ('0x' || substr(md5('{seed}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)} AS u, c.cdf
-    FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source),
-counted AS (SELECT *, len(list_filter(cdf, lambda x: x <= u)) AS n FROM drawn)
-SELECT doc_id, source, k AS mix_copy, n AS mix_copies, round(rate, 6) AS mix_rate, md5('order{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || k::VARCHAR) AS mix_key
-FROM (SELECT doc_id, source, rate, n, unnest(range(1, n + 1)) AS k FROM counted WHERE n > 0)
+rows AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(doc_id::VARCHAR, '') AS name FROM documents),
+drawn AS (SELECT rid, c.cdf, ('0x' || substr(md5('{seed}:' || name || CASE WHEN i = 0 THEN '' ELSE ':' || i END), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)} AS u
+    FROM (SELECT d.rid, d.name, d.source, unnest(range(0, r.pieces)) AS i FROM rows d JOIN cut r ON d.source IS NOT DISTINCT FROM r.source) x JOIN cdf c ON x.source IS NOT DISTINCT FROM c.source),
+counted AS (SELECT rid, sum(len(list_filter(cdf, lambda x: x <= u)))::BIGINT AS n FROM drawn GROUP BY rid)
+SELECT doc_id, source, k AS mix_copy, n AS mix_copies, round(rate, 6) AS mix_rate, md5('order{seed}:' || name || ':' || k::VARCHAR) AS mix_key
+FROM (SELECT d.doc_id, d.source, d.name, r.rate, c.n, unnest(range(1, c.n + 1)) AS k FROM rows d JOIN counted c USING (rid) JOIN cut r ON d.source IS NOT DISTINCT FROM r.source WHERE c.n > 0)
 """
