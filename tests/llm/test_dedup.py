@@ -128,6 +128,16 @@ def test_documents_of_one_id(spark):
     assert got == {(3, 3), (5, 3), (6, 3), (7, 7)}
 
 
+def test_a_repeated_row_is_compared_once(spark, monkeypatch):
+    seen = []
+    confirm = near_dedup._confirm
+    monkeypatch.setattr(near_dedup, "_confirm", lambda c, s, texts, p: seen.append(texts.where("node = 3").count()) or confirm(c, s, texts, p))
+    a = [f"w{j}" for j in range(60)]
+    table = [(3, " ".join(a))] * 400 + [(4, " ".join([*a[:58], "x", "y"])), (5, " ".join(a[::-1])), (3, "another text of three"), (None, " ".join(a))] + [(8, "some text " * 9)] * 50
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {(3, 3, True), (4, 3, False), (5, 5, True), (8, 8, True), (None, None, True)} and seen == [2]
+
+
 def test_joins_within_a_region(monkeypatch):
     """Every agreeing pair of a region counts, however many rows lie between its two."""
     monkeypatch.setattr(near_dedup, "REGION_BLOCK", 16)

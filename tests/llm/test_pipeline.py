@@ -1,11 +1,19 @@
+import zlib
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from tests.llm.common_rows import DOCS, docs
 from tests.llm.test_dedup import brute_components
 from tests.llm.test_filters import brute_hits
 from tidewell.llm import mixing, quality
 
+P = pytest.importorskip("public_tokenizers")
 
 def test_stages_one_by_one(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     folder = str(tmp_path)
     bench = [(1, " ".join(f"w{i}" for i in range(5)))]
     df = docs(spark)
@@ -33,7 +41,12 @@ def test_stages_one_by_one(spark, tmp_path):
         if i == 3:
             assert got == sorted(r.doc_id for r in mixing.mix(now).collect())
         if i == 4:
-            assert after.count() == len(before) and after.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+            assert after.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+            t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+            ids = [(d, t.encode(x or "", add_special_tokens=False).ids + [1]) for d, x in before]
+            rows = after.orderBy("start").collect()
+            assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == sorted((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids)
+            assert [r.doc_id for r in rows] == sorted(d for d, _ in ids) and [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
         now = after
     assert corpus_pipeline.run(spark, folder).count() == now.count()
 

@@ -510,6 +510,11 @@ def find_near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROW
     candidates = materialize(connected_components(pairs), "candidates")
     member = _light(candidates.select(F.col("node").alias("_m")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(member, F.col("node") == F.col("_m"), "left_semi")
+    # rows that repeat a document's text are compared once, however many there are
+    again = materialize(sets.groupBy(F.col("doc_id").alias("_a")).agg(F.count("*").alias("n")).where("n > 1 and _a is not null").select("_a"), "repeated")
+    if again.limit(1).count():
+        once = texts.join(again, F.col("node") == F.col("_a"), "left_anti")
+        texts = once.union(texts.join(again, F.col("node") == F.col("_a"), "left_semi").dropDuplicates(["node", "text"]))
     links = _confirm(candidates, sets, texts, percent)
     final = connected_components(links).select(F.col("node").alias("_n"), "component")
     known = groups.join(final, F.col("node") == F.col("_n"), "left").where("copies > 1 or component is not null").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "node").alias("component"))
