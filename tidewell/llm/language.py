@@ -123,6 +123,7 @@ def held_out():
 def training_windows(docs: DataFrame, per_language: int = 400, per_document: int = 4) -> tuple[np.ndarray, list[str]]:
     """Bounded sample of labelled windows: per_language different documents of each language, the first by a hash of
     id and text, with per_document windows spread over each text."""
+    docs = docs.select("doc_id", "text", "lang")
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # by id and text: rows that share an id or repeat a text must not fill or empty a language's sample
     key = F.xxhash64("doc_id", "text")
