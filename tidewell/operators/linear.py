@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import portable_order, portable_uniform, taper, verdict
 from tidewell.operators.series import KEY
+from tidewell.sources import sinks
 
 
 def correlation(theta: DataFrame, sim: DataFrame, keys=KEY) -> DataFrame:
@@ -61,7 +62,9 @@ def position_blocks(sim: DataFrame, keys=KEY, block: int = 512, **constants) ->
     (aggregates); a block holds about `block` positions."""
     pair = F.array_sort(F.collect_list(F.struct("member_id", "value")))
     g = sim.groupBy(_position(keys).alias("pos")).agg(pair.alias("p"), *(c.alias(n) for n, c in constants.items()))
-    n = max(1, -(-sim.select(*keys).distinct().count() // block))
+    # written once, as several passes read it
+    g = sim.sparkSession.read.parquet(sinks.write_table(g, f"{sinks.scratch(sim.sparkSession, 'positions')}/blocks"))
+    n = max(1, -(-g.count() // block))
     return g.select(F.pmod(F.xxhash64("pos"), F.lit(int(n))).alias("block"), "pos", F.col("p.member_id").alias("ids"), F.col("p.value").alias("values"), *constants)
 
 
@@ -99,15 +102,13 @@ def _kept(s: np.ndarray, energy: float) -> int:
 def singular_values(sim: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
     """(k, s, energy, kept) of the centred members-by-positions matrix over the root of members less one."""
     blocks = position_blocks(sim, keys)
-    members = sim.select("member_id").distinct().count()
-    positions = sim.select(*keys).distinct().count()
 
     def gram(pdf: pd.DataFrame) -> np.ndarray:
         c = _centred(pdf)
         return c @ c.T
 
     _, s = _spectrum(_summed(blocks, gram))
-    s = s[: min(members, positions)]
+    s = s[: min(len(s), blocks.count())]
     cum = np.cumsum(s**2) / max(float(np.sum(s**2)), 1e-300)
     r = _kept(s, energy)
     rows = [(k + 1, float(x), float(e), k < r) for k, (x, e) in enumerate(zip(s, cum, strict=True))]
