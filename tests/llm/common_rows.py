@@ -20,7 +20,10 @@ def rows(seed=1):
             ws[r.randrange(len(ws))] = "changed"
         texts.append(" ".join(ws))
     texts += [sentence(r, 20) + "\n" + passage + "\t" + sentence(r, 20) for _ in range(6)]
-    texts += ["a " * 200, "a b c " * 50, "x", "one two three", "One Two Three", "ONE\ttwo  three", "", None, " \n\t ", None, "日本 語 é É ß " * 12, "line\n" * 30, "#$% " * 20]
+    texts += [
+        "a " * 200, "a b c " * 50, "x", "one two three", "One Two Three", "ONE\ttwo  three", "", None, " \n\t ", None, "日本 語 é É ß " * 12,
+        "line\n" * 30, "#$% " * 20
+    ]
     texts += [sentence(r, 30_000, 5000)]  # a very long one
     texts += [("é" * 5000 + " ") * 3]
     out = [(i, t, ["en", "de", None][i % 3], ["s0", "s0", "s1", None][i % 4], None, "c", "q", "m", "k", "1", "a", "t") for i, t in enumerate(texts)]

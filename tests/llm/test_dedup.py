@@ -133,8 +133,14 @@ def test_a_repeated_row_is_compared_once(spark, monkeypatch):
     confirm = near_dedup._confirm
     monkeypatch.setattr(near_dedup, "_confirm", lambda c, s, texts, p: seen.append(texts.where("node = 3").count()) or confirm(c, s, texts, p))
     a = [f"w{j}" for j in range(60)]
-    table = [(3, " ".join(a))] * 400 + [(4, " ".join([*a[:58], "x", "y"])), (5, " ".join(a[::-1])), (3, "another text of three"), (None, " ".join(a))] + [(8, "some text " * 9)] * 50
-    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(5)).collect()}
+    table = [(3, " ".join(a))] * 400 + [
+        (4, " ".join([*a[:58], "x", "y"])), (5, " ".join(a[::-1])), (3, "another text of three"), (None, " ".join(a))
+    ] + [(8, "some text " * 9)] * 50
+    got = {
+        (r.doc_id, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(
+            spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+        ).collect()
+    }
     assert got == {(3, 3, True), (4, 3, False), (5, 5, True), (8, 8, True), (None, None, True)} and seen == [2]
 
 
@@ -163,7 +169,9 @@ def test_joins_within_a_region(monkeypatch):
 def test_overlaps():
     r = np.random.default_rng(13)
     stock = r.integers(0, 2**64, 3000, np.uint64)
-    sets = [np.unique(r.choice(stock, n)) for n in (0, 1, 50, 700, 2500, 9000)] + [np.unique(np.concatenate([stock[:40], r.choice(stock, 30)])) for _ in range(60)]
+    sets = [np.unique(r.choice(stock, n)) for n in (0, 1, 50, 700, 2500, 9000)] + [
+        np.unique(np.concatenate([stock[:40], r.choice(stock, 30)])) for _ in range(60)
+    ]
     sets += [np.unique(r.integers(0, 2**64, 300_000, np.uint64)) for _ in range(2)]
     got = near_dedup.overlaps(sets)
     assert all(got[i, j] == (len(np.intersect1d(sets[i], sets[j])) if i != j else 0) for i in range(len(sets)) for j in range(len(sets)))
@@ -222,7 +230,14 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (35, shard))
     more = [r for r in rows() if r[0] in (3, 60)] + [(None, "null id " * 30, None, None, None, *"abcdefg"), (3, "w " * 36, None, None, None, *"abcdefg")]
     df = docs(spark, more)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text or "") for r in substring_dedup.remove_repeats(df, with_text=True).collect()), key=repr)
+    got = sorted(
+        (
+            (
+                r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text or ""
+            ) for r in substring_dedup.remove_repeats(df, with_text=True).collect()
+        ),
+        key=repr
+    )
     assert got == brute_substrings([(r[0], r[1]) for r in [*rows(), *more]])
 
 

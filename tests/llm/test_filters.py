@@ -19,7 +19,10 @@ def row(i, text, lang=None, source=None):
 
 
 def test_url_parts_and_rules(spark):
-    urls = ["http://A.Example.COM/en/7x?q=1", "https://com/en/1", "ftp://x.com/en", "x.net/de/1", None, "", "http://b.example.net/de/8", "http://example.net/de/7#z", "http://q.org", "http://xcom/en/", "a://b://c/d", "http://h?x/y", "http://É.org/es/\n1"]
+    urls = [
+        "http://A.Example.COM/en/7x?q=1", "https://com/en/1", "ftp://x.com/en", "x.net/de/1", None, "", "http://b.example.net/de/8",
+        "http://example.net/de/7#z", "http://q.org", "http://xcom/en/", "a://b://c/d", "http://h?x/y", "http://É.org/es/\n1"
+    ]
     pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(urls)], "page_id BIGINT, url STRING, host STRING, rule STRING")
     got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
     assert [(r.host, r.path, r["rule"]) for _, r in sorted(got.items())] == [
@@ -45,7 +48,10 @@ def test_urls_of_pages_against_brute_force(spark, sf_dir):
     """Every page: host, path and rule by definition, the verdict by the rule, else by the model's formula."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     table = [(r.url, r.label) for r in url_filter.labelled_urls(spark).collect()]
-    w = url_filter.train([url_filter.ngrams(h, p) for h, p, l in sorted((*brute_url(u)[:2], l) for u, l in table)], [l for *_, l in sorted((*brute_url(u)[:2], l) for u, l in table)])
+    w = url_filter.train(
+        [url_filter.ngrams(h, p) for h, p, l in sorted((*brute_url(u)[:2], l) for u, l in table)],
+        [l for *_, l in sorted((*brute_url(u)[:2], l) for u, l in table)]
+    )
     want = []
     for r in pages.collect():
         host, path, rule, verdict = brute_url(r.url)
@@ -57,7 +63,10 @@ def test_urls_of_pages_against_brute_force(spark, sf_dir):
 def test_urls_of_pages_against_sql(spark, sf_dir):
     import duckdb
 
-    cases = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for h, p, _ in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1])))
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h}{p}'" for h, p,
+        _ in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    )
     sql = f"""WITH t AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS tail FROM '{sf_dir}/pages.parquet'),
     u AS (SELECT page_id, lower(regexp_extract(tail, '^[^/?#]*')) AS host, regexp_extract(substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM t)
     SELECT page_id, host, path, CASE {cases} END AS rule FROM u"""
@@ -78,7 +87,13 @@ def test_url_model_on_unseen_hosts(spark, sf_dir):
         w = url_filter.train([url_filter.ngrams(h, p) for h, p, _ in seen], [l for _, _, l in seen])
         right += sum((url_filter.score(w, url_filter.ngrams(h, p)) >= 0.5) == bool(l) for (h, p, l), f in zip(table, fold, strict=True) if f == k)
     assert right / len(table) > 0.7
-    held = spark.createDataFrame([(0, "https://www.big-casino-jackpot.com/view/1"), (1, "https://old-museum.org/view/1"), (2, "http://m.cheap-viagra-shop.net/item/9"), (3, "http://erthnd.example.com/fr/61")], "page_id BIGINT, url STRING")
+    held = spark.createDataFrame(
+        [
+            (0, "https://www.big-casino-jackpot.com/view/1"), (1, "https://old-museum.org/view/1"),
+            (2, "http://m.cheap-viagra-shop.net/item/9"), (3, "http://erthnd.example.com/fr/61")
+        ],
+        "page_id BIGINT, url STRING"
+    )
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(held).collect()}
     assert got == {0: "block", 1: "allow", 2: "block", 3: "allow"}
     again = url_filter.labelled_urls(spark).union(spark.createDataFrame([(None, 1), ("http://x", None)], "url STRING, label INT"))
@@ -166,7 +181,10 @@ def test_sketches_merge(spark):
 
 
 def test_mixing_hits_its_targets(spark):
-    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "src0").when(F.col("id") % 3 == 1, "src9").alias("source"), F.lit("0123456789").alias("text"), F.lit(1).alias("rate"), F.lit("m").alias("mix_copies"), F.lit(2).alias("cdf"))
+    df = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "src0").when(F.col("id") % 3 == 1, "src9").alias("source"),
+        F.lit("0123456789").alias("text"), F.lit(1).alias("rate"), F.lit("m").alias("mix_copies"), F.lit(2).alias("cdf")
+    )
     out = mixing.mix(df, epochs=2.0)
     assert out.columns == ["doc_id", "source", "text", "rate", "cdf", *mixing.ADDED]
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
@@ -182,8 +200,16 @@ def test_mixing_hits_its_targets(spark):
 
 def test_mixing_of_a_rare_source(spark):
     """A source with a thousandth of the text and half of the target is repeated some 500 times."""
-    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("usual").alias("source"), F.lit("0123456789").alias("text"))
-    n = {r.source: r for r in mixing.mix(df).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "mix_copy").alias("d"), F.max("mix_rate").alias("rate"), F.variance("mix_copies").alias("v")).collect()}
+    df = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("usual").alias("source"),
+        F.lit("0123456789").alias("text")
+    )
+    n = {
+        r.source: r for r in mixing.mix(df).groupBy("source").agg(
+            F.count("*").alias("n"), F.countDistinct("doc_id", "mix_copy").alias("d"), F.max("mix_rate").alias("rate"),
+            F.variance("mix_copies").alias("v")
+        ).collect()
+    }
     assert n["rare"].rate == pytest.approx(500.0) and n["rare"].n == n["rare"].d
     assert n["rare"].n / 10_000 == pytest.approx(1.0, rel=0.05) and n["usual"].n / 10_000 == pytest.approx(1.0, rel=0.05)
     times = [r.mix_copies for r in mixing.mix(df).where("source = 'rare'").select("doc_id", "mix_copies").distinct().collect()]
@@ -211,7 +237,10 @@ def test_mixing_odd_rows(spark):
 
 # Personal data
 
-BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")
+]
 
 
 def luhn(s):
@@ -224,12 +253,19 @@ def brute_pii(text):
     for n, (kind, p) in enumerate(BASE):
         for m in re.finditer(p, text or ""):
             d = re.sub("[^0-9]", "", m[0])
-            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
+            if kind == "email" or kind == "ip" and all(
+                int(x) <= 255 for x in m[0].split(".")
+            ) or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
                 out.append((m.start(), n, kind, m.end()))
     return sorted(out)
 
 
-CASES = ["a@b.c", "a@b", "@b.c", "x@y@z.com q@r.s.t.", "a@b.c@d.e", "é@é.é a.b+c%d@e-f.g-h", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.02.3.255 1.2.3.0000255", "4111 1111 1111 1111", "4111-1111-1111-1111x4111111111111112", "+1 (555) 010-9999, +49.30.1234567- +1 2", "1" * 5000, "a" * 5000 + "@", ("a@" * 300) + "b.c", "+" * 100 + "1 " + "2" * 12, "1.1.1.1.1", None, "", "日本 +81 3-1234-5678 a@例.jp"]
+CASES = [
+    "a@b.c", "a@b", "@b.c", "x@y@z.com q@r.s.t.", "a@b.c@d.e", "é@é.é a.b+c%d@e-f.g-h",
+    "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.02.3.255 1.2.3.0000255", "4111 1111 1111 1111", "4111-1111-1111-1111x4111111111111112",
+    "+1 (555) 010-9999, +49.30.1234567- +1 2", "1" * 5000, "a" * 5000 + "@", ("a@" * 300) + "b.c", "+" * 100 + "1 " + "2" * 12, "1.1.1.1.1",
+    None, "", "日本 +81 3-1234-5678 a@例.jp"
+]
 
 
 def test_pii_base(spark):
@@ -261,8 +297,14 @@ def test_pii_method():
 
 def test_language(spark):
     stock = {"xx": "alpha beta gamma delta epsilon", "yy": "uno dos tres cuatro cinco seis", "zz": "один два три четыре пять"}
-    table = [row(i, " ".join(ws[(i * k) % len(ws)] for k in range(1, 30)), lang) for i, (lang, ws) in enumerate((name, s.split()) for _ in range(60) for name, s in stock.items())]
-    table += [row(900, None, "xx"), row(901, "", "yy"), row(902, "123 !!", "zz"), row(903, "alpha beta", None), row(904, "один " * 20_000, None), (None, "alpha", "qq", None, None, *EXTRA)]
+    table = [
+        row(i, " ".join(ws[(i * k) % len(ws)] for k in range(1, 30)), lang) for i,
+        (lang, ws) in enumerate((name, s.split()) for _ in range(60) for name, s in stock.items())
+    ]
+    table += [
+        row(900, None, "xx"), row(901, "", "yy"), row(902, "123 !!", "zz"), row(903, "alpha beta", None), row(904, "один " * 20_000, None),
+        (None, "alpha", "qq", None, None, *EXTRA)
+    ]
     df = spark.createDataFrame(table, DOCS)
     out = {r.doc_id: r for r in language.identify_languages(df).collect()}
     import zlib
@@ -281,12 +323,16 @@ def test_language(spark):
 def test_language_of_held_out_documents(spark, sf_dir):
     """On the given texts: a share of documents is never learned from, and is told right."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = language.identify_languages(df).alias("o").join(df.select("doc_id", "lang", F.length("text").alias("size")), "doc_id").where("held_out and lang is not null and size > 100").collect()
+    out = language.identify_languages(df).alias("o").join(
+        df.select("doc_id", "lang", F.length("text").alias("size")), "doc_id"
+    ).where("held_out and lang is not null and size > 100").collect()
     assert len(out) > 20 and sum(r.lang_pred == r.lang for r in out) / len(out) > 0.95
 
 
 def test_a_repeated_document_does_not_crowd_the_sample(spark):
-    table = [row(7, "the same again and again", "xx")] * 500 + [row(7, f"other text {i} of one id", "xx") for i in range(500)] + [row(7, "ever the same", "zz")] * 900 + [row(i, f"some text {i}", "yy") for i in range(30)]
+    table = [row(7, "the same again and again", "xx")] * 500 + [
+        row(7, f"other text {i} of one id", "xx") for i in range(500)
+    ] + [row(7, "ever the same", "zz")] * 900 + [row(i, f"some text {i}", "yy") for i in range(30)]
     x, y = language.training_windows(spark.createDataFrame(table, DOCS), per_language=10)
     assert y.count("xx") == 10 and y.count("yy") == 10 and y.count("zz") == 1 and len({w.tobytes() for w in x[:10]}) == 10
 
@@ -338,7 +384,11 @@ def brute_hits(table, items, k=10):
 def test_decontamination(spark, block):
     table = [(r[0], r[1]) for r in rows()]
     long = sorted((t for _, t in table if t and 200 < len(t) < 1000))
-    items = [("1", long[0][10:160]), ("2", "one, TWO three"), ("10", long[1]), ("3", None), ("4", "..."), ("5", long[0][10:160]), ("6", "a " * 30), ("7", "no such words in any document at all, really none of them"), ("8", "É ß"), (None, "one two three"), (None, long[2][:90]), ("9", long[2][:90])]
+    items = [
+        ("1", long[0][10:160]), ("2", "one, TWO three"), ("10", long[1]), ("3", None), ("4", "..."), ("5", long[0][10:160]),
+        ("6", "a " * 30), ("7", "no such words in any document at all, really none of them"), ("8", "É ß"), (None, "one two three"),
+        (None, long[2][:90]), ("9", long[2][:90])
+    ]
     df = docs(spark, [row(1, dict(table)[1]), row(None, "one two three")])
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id STRING, text STRING, hits STRING")
     got = decontaminate.find_contamination(df, bench, block_bytes=block)

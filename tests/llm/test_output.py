@@ -18,7 +18,10 @@ def test_token_round_trip(spark, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    more = [(None, "null id", None, None, None, *"abcdefg"), (3, "again it's <|endoftext|> now", None, None, None, *"abcdefg"), (3, None, None, None, None, *"abcdefg"), (2, dict((r[0], r[1]) for r in rows())[2], None, None, None, *"abcdefg")]
+    more = [
+        (None, "null id", None, None, None, *"abcdefg"), (3, "again it's <|endoftext|> now", None, None, None, *"abcdefg"),
+        (3, None, None, None, None, *"abcdefg"), (2, dict((r[0], r[1]) for r in rows())[2], None, None, None, *"abcdefg")
+    ]
     table = [(r[0], r[1]) for r in [*rows(), *more]]
     got = token_frames.token_output(docs(spark, more), P.path(name), shards=4).orderBy("start").collect()
     assert len(got) == len(table)
@@ -45,7 +48,11 @@ def test_one_doc_id_fills_several_shards(spark):
     assert len([s for d, s in held if d == 7]) >= 8 and max(held.values()) < 100
     got = token_frames.token_output(table, WORDS, shards=12).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None] * 9 + list(range(7)) + [7] * 301 + list(range(8, 40))
-    want = sorted(zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for x in [*(f"word {i} of many" for i in range(300)), "one"])
+    want = sorted(
+        zlib.crc32(
+            np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        ) for x in [*(f"word {i} of many" for i in range(300)), "one"]
+    )
     assert sorted(r.ids_crc32 for r in got if r.doc_id == 7) == want
 
 
@@ -119,7 +126,12 @@ def brute_warc(table):
 
 def test_warc_round_trip(spark):
     big = "é<p>\r\n\r\nWARC/1.1\r\n" * 30_000
-    table = [(i, f"http://h/{i}", h) for i, h in enumerate(["x" * 200, "x" * 200, "small", "small", None, "", "y" * 99, "y" * 99, "é" * 50, "é" * 50, big, big, "\r\n\r\n" * 40])]
+    table = [
+        (i, f"http://h/{i}", h) for i,
+        h in enumerate(
+            ["x" * 200, "x" * 200, "small", "small", None, "", "y" * 99, "y" * 99, "é" * 50, "é" * 50, big, big, "\r\n\r\n" * 40]
+        )
+    ]
     table += [(20, None, "x" * 200), (20, None, "x" * 200), (21, "http://a\r\nb", "z" * 300), (None, "u", "z" * 300), (0, "again", "x" * 200)]
     df = spark.createDataFrame([(*r, "p", "q") for r in table], PAGES).repartition(3)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive(df).collect()), key=repr)
@@ -130,10 +142,16 @@ def test_warc_round_trip(spark):
 def test_warc_repeated_page_ids(spark):
     """Rows of one page_id with different payloads, one or both of them copies of earlier pages."""
     a, b, c, d = ("<p>" + x * 200 for x in "abcd")
-    table = [(1, "http://x/1", a), (2, "http://x/2", b), (5, "http://x/5", a), (5, "http://x/6", c), (7, "http://x/7", a), (7, "http://x/8", b), (9, "http://x/9", d)]
+    table = [
+        (1, "http://x/1", a), (2, "http://x/2", b), (5, "http://x/5", a), (5, "http://x/6", c), (7, "http://x/7", a), (7, "http://x/8", b),
+        (9, "http://x/9", d)
+    ]
     plan = warc.plan_records(spark.createDataFrame(table, "page_id BIGINT, url STRING, html STRING"))
     got = sorted((r.record_id, r.url[-1], r.record_type, r.refers_to) for r in plan.collect())
-    assert got == [(1, "1", "response", None), (2, "2", "response", None), (5, "5", "revisit", 1), (5, "6", "response", None), (7, "7", "revisit", 1), (7, "8", "revisit", 2), (9, "9", "response", None)]
+    assert got == [
+        (1, "1", "response", None), (2, "2", "response", None), (5, "5", "revisit", 1), (5, "6", "response", None), (7, "7", "revisit", 1),
+        (7, "8", "revisit", 2), (9, "9", "response", None)
+    ]
 
 
 def test_chunked_record_table(spark):
@@ -159,7 +177,10 @@ def test_damaged_archives_are_refused(tmp_path):
     path = str(tmp_path / "a.warc.gz")
     w = warc.WarcWriter(path)
     body = b"hello" * 100
-    head = {"record_id": 1, "record_type": "response", "refers_to": None, "url": "u", "payload_bytes": 500, "payload_digest": hashlib.sha256(b"other").hexdigest(), "chunk_no": 0, "last": True, "data": body, "digest_so_far": ""}
+    head = {
+        "record_id": 1, "record_type": "response", "refers_to": None, "url": "u", "payload_bytes": 500,
+        "payload_digest": hashlib.sha256(b"other").hexdigest(), "chunk_no": 0, "last": True, "data": body, "digest_so_far": ""
+    }
     w.add(head)
     w.close()
     with pytest.raises(ValueError, match="digest"):

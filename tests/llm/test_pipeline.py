@@ -46,7 +46,9 @@ def test_stages_one_by_one(spark, tmp_path):
             ids = [(d, t.encode(x or "", add_special_tokens=False).ids + [1]) for d, x in before]
             rows = after.orderBy("start").collect()
             assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == sorted((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids)
-            assert [r.doc_id for r in rows] == sorted(d for d, _ in ids) and [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+            assert [r.doc_id for r in rows] == sorted(d for d, _ in ids) and [r.start for r in rows] == [
+                sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))
+            ]
         now = after
     assert corpus_pipeline.run(spark, folder).count() == now.count()
 

@@ -68,7 +68,12 @@ def connected_components(edges: DataFrame, most_edges: int = MOST_EDGES, rounds:
     all edges are stars; each step is written, so a lost executor costs one
     step. Null ends and loops are ignored.
     """
-    given = materialize(edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+    given = materialize(
+        edges.where("a is not null and b is not null and a <> b").select(
+            F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")
+        ),
+        "edges"
+    )
     parts = max(1, -(-given.count() // most_edges))
     if parts == 1:
         now = materialize(_local_stars(given.coalesce(1)), "stars")
@@ -88,7 +93,11 @@ def _settle(now: DataFrame, rounds: int) -> DataFrame:
         # every edge of large goes from a node to a smaller one
         large = materialize(large.where("a <> b").distinct(), "edges")
         least = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "minima")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = large.join(least, F.col("a") == F.col("u")).select(
+            F.explode(
+                F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+            ).alias("e")
+        ).select("e.a", "e.b")
         now = materialize(small.where("a <> b").distinct(), "edges")
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
         if state == (row.n, row.h):

@@ -119,13 +119,20 @@ class Block:
             order = np.lexsort((rarest, self.length[w], self.item[w], token))
             w, rarest, token = w[order], rarest[order], token[order]
             fresh = np.ones(len(w), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (self.item[w][1:] != self.item[w][:-1]) | (rarest[1:] != rarest[:-1]) | (self.length[w][1:] != self.length[w][:-1])
+            fresh[1:] = (token[1:] != token[:-1]) | (self.item[w][1:] != self.item[w][:-1]) | (rarest[1:] != rarest[:-1]) | (
+                self.length[w][1:] != self.length[w][:-1]
+            )
             for i in np.nonzero(~fresh)[0]:
                 a, b, n = self.first[w[i - 1]], self.first[w[i]], self.length[w[i]]
                 fresh[i] = not np.array_equal(self.words[a : a + n], self.words[b : b + n])
             w, rarest, token = w[fresh], rarest[fresh], token[fresh]
             hashes, starts = np.unique(token, return_index=True)
-            self.groups.append(Group(Tokens.of(size, hashes), np.append(starts, len(w)), rarest.astype(np.int16), self.first[w].astype(np.int32), self.length[w].astype(np.int16), self.item[w].astype(np.int32)))
+            self.groups.append(
+                Group(
+                    Tokens.of(size, hashes), np.append(starts, len(w)), rarest.astype(np.int16), self.first[w].astype(np.int32),
+                    self.length[w].astype(np.int16), self.item[w].astype(np.int32)
+                )
+            )
         self.item = self.first = self.length = None
 
     def ready(self) -> Block:
@@ -176,7 +183,9 @@ def corpus_counts(docs: DataFrame, block: Block) -> dict[int, tuple[np.ndarray,
                         np.add.at(total[s], t.find(numbers, leads[s])[1], 1)
         for s, n in total.items():
             at = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s), pa.int64()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["size", "w", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), s), pa.int64()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["size", "w", "n"]
+            )
 
     rows = docs.select("text").mapInArrow(run, "size long, w long, n long").groupBy("size", "w").agg(F.sum("n").alias("n")).toArrow()
     size, w, n = (rows.column(c).to_numpy() for c in ("size", "w", "n"))
@@ -254,13 +263,21 @@ def _join_block(docs: DataFrame, items: DataFrame, k: int, keyed: bool) -> DataF
                 unnamed.append(None in names)
                 if keyed:
                     keys.append(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest())
-            columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(unnamed, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(keys, pa.string())] if keyed else [])], names=["doc_id", "n_words", "hits", "items", "unnamed", *(["text_key"] if keyed else [])])
+            columns = [
+                b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())),
+                pa.array(found, pa.list_(pa.string())), pa.array(unnamed, pa.bool_())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *([pa.array(keys, pa.string())] if keyed else [])],
+                names=["doc_id", "n_words", "hits", "items", "unnamed", *(["text_key"] if keyed else [])]
+            )
 
     rows = docs.mapInArrow(run, FOUND + (", text_key string" if keyed else ""))
     if not keyed:
         return rows
-    return rows.groupBy("doc_id", "text_key", "n_words").agg(F.first("hits").alias("hits"), F.first("items").alias("items"), F.first("unnamed").alias("unnamed"), F.count("*").alias("copies"))
+    return rows.groupBy("doc_id", "text_key", "n_words").agg(
+        F.first("hits").alias("hits"), F.first("items").alias("items"), F.first("unnamed").alias("unnamed"), F.count("*").alias("copies")
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

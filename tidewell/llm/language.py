@@ -40,7 +40,10 @@ class ByteConv:
             return
         r = np.random.default_rng(seed)
         self.params = {f"t{w}": r.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
-        self.params |= {"b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "v": r.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(classes))).astype(np.float32), "c": np.zeros(len(classes), np.float32)}
+        self.params |= {
+            "b": np.zeros(len(WIDTHS) * FILTERS, np.float32),
+            "v": r.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(classes))).astype(np.float32), "c": np.zeros(len(classes), np.float32)
+        }
 
     def _pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         best, where = [], []
@@ -132,9 +135,17 @@ def training_windows(docs: DataFrame, per_language: int = 400, per_document: int
         return np.zeros((0, WINDOW), np.uint8), []
     table = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * per_language / max(1, n))) for lang, n in counts.items()], "_l string, _share double")
     u = F.pmod(key, F.lit(1 << 52)) / float(1 << 52)
-    spread = F.array(*(F.expr(f"substring(text, 1 + cast(greatest(0, length(text) - {WINDOW}) * {i / max(1, per_document - 1)} as int), {WINDOW})") for i in range(per_document)))
+    spread = F.array(
+        *(
+            F.expr(
+                f"substring(text, 1 + cast(greatest(0, length(text) - {WINDOW}) * {i / max(1, per_document - 1)} as int), {WINDOW})"
+            ) for i in range(per_document)
+        )
+    )
     # the join's rows are few and slim: of ids whose hashes are small, their windows alone
-    sample = rows.join(F.broadcast(table) if len(counts) <= MOST_BROADCAST else table, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts"))
+    sample = rows.join(
+        F.broadcast(table) if len(counts) <= MOST_BROADCAST else table, F.col("lang") == F.col("_l")
+    ).where(u < F.col("_share")).select("lang", u.alias("u"), "doc_id", F.array_distinct(spread).alias("parts"))
     # rows that repeat a document are one; the limit holds before anything is gathered, whatever the ids
     first = Window.partitionBy("lang").orderBy("u", "doc_id", "parts")
     sample = sample.distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).collect()
@@ -183,7 +194,13 @@ def identify_languages(docs: DataFrame, per_language: int = 400, epochs: int = 8
                 i = known[at : at + 64]
                 for k, guess in zip(i, net.predict([texts[j] for j in i]), strict=True):
                     out[k] = guess
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in out], pa.string()),
+                    pa.array([x[1] for x in out], pa.float64())
+                ],
+                names=["doc_id", "held_out", "lang_pred", "score"]
+            )
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.when(text.rlike(r"\p{L}"), text).alias("text"))

@@ -83,9 +83,14 @@ def with_sets(docs: DataFrame) -> DataFrame:
                 k1.append(int.from_bytes(d[:8], "little", signed=True))
                 k2.append(int.from_bytes(d[8:], "little", signed=True))
                 sig.append(signature(s, mul, add).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(sig, pa.binary())],
+                names=["doc_id", "n_shingles", "k1", "k2", "sig"]
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def forest_rows(sets: DataFrame) -> DataFrame:
@@ -110,7 +115,13 @@ def forest_rows(sets: DataFrame) -> DataFrame:
             buffer, width = flat.tobytes(), flat.shape[1]
             for at in range(0, len(node), 8192):
                 part = buffer[at * width : (at + 8192) * width]
-                yield pa.RecordBatch.from_arrays([pa.array([part[i : i + width] for i in range(0, len(part), width)], pa.binary()), pa.array(node[at : at + 8192], pa.int64())], names=["place", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part[i : i + width] for i in range(0, len(part), width)], pa.binary()),
+                        pa.array(node[at : at + 8192], pa.int64())
+                    ],
+                    names=["place", "node"]
+                )
 
     return sets.mapInArrow(run, "place binary, node long")
 
@@ -198,7 +209,9 @@ def neighbour_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDE
         region, tails, nodes, many = None, [], [], False
 
         def table(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "place"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "place"]
+            )
 
         for batch in batches:
             out = []
@@ -252,7 +265,13 @@ def crowded_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDED)
     near = materialize(_nearest(rows.repartitionByRange("place", "node").sortWithinPartitions("place", "node"), need).distinct(), "nearest")
     labels = materialize(connected_components(near), "nearest-components").select(F.col("node").alias("_n"), F.col("component").alias("label"))
     region = F.substring("place", 1, cut).alias("component")
-    labelled = materialize(rows.join(labels, F.col("node") == F.col("_n"), "left").select("node", region, F.coalesce("label", "node").alias("label"), F.substring("place", cut + 1, TAIL).alias("tail"), F.lit(1).alias("cost")), "crowded")
+    labelled = materialize(
+        rows.join(labels, F.col("node") == F.col("_n"), "left").select(
+            "node", region, F.coalesce("label", "node").alias("label"), F.substring("place", cut + 1, TAIL).alias("tail"),
+            F.lit(1).alias("cost")
+        ),
+        "crowded"
+    )
     met = _meetings(labelled, crowded)
     if met is None:
         return near
@@ -318,7 +337,10 @@ def _confirm_blocks(placed: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            for comp, block, node, text in zip(batch.column("component").to_pylist(), batch.column("block").to_pylist(), batch.column("node").to_pylist(), batch.column("text"), strict=True):
+            for comp, block, node, text in zip(
+                batch.column("component").to_pylist(), batch.column("block").to_pylist(), batch.column("node").to_pylist(),
+                batch.column("text"), strict=True
+            ):
                 if (comp, block) != at:
                     if members:
                         yield result()
@@ -402,13 +424,19 @@ def _meetings(labelled: DataFrame, most: int) -> DataFrame | None:
     whole = left.groupBy("component", "label").agg(F.sum("cost").alias("all")).withColumn("own", F.when(F.col("all") * 4 > most, F.col("label")))
     sizes = whole.groupBy("component", "own").agg(F.ceil(F.sum("all") / most).alias("n_blocks"))
     sizes = sizes.select(F.col("component").alias("_c"), F.col("own").alias("_o"), "n_blocks")
-    dealer = whole.join(sizes, (F.col("component") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o"))).select(F.col("component").alias("_k"), F.col("label").alias("_l"), "own", "n_blocks")
+    dealer = whole.join(
+        sizes, (F.col("component") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o"))
+    ).select(F.col("component").alias("_k"), F.col("label").alias("_l"), "own", "n_blocks")
     salted = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("n_blocks"))
     block = F.concat_ws("-", F.coalesce(F.col("own").cast("string"), F.lit("few")), salted.cast("string"))
     placed = left.join(dealer, (F.col("component") == F.col("_k")) & (F.col("label") == F.col("_l"))).select(*left.columns, block.alias("block"))
     placed = materialize(placed, "placed")
     blocks = placed.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    x, y = (blocks.select(F.col("component").alias(f"c{i}"), F.col("block").alias(f"b{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2))
+    x, y = (
+        blocks.select(
+            F.col("component").alias(f"c{i}"), F.col("block").alias(f"b{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")
+        ) for i in (1, 2)
+    )
     # blocks of one and the same label have nothing to settle
     meets = x.join(y, F.col("c1") == F.col("c2")).where("b1 <= b2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
     meets = meets.select("c1", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("_block"))
@@ -418,7 +446,9 @@ def _meetings(labelled: DataFrame, most: int) -> DataFrame | None:
 def _meet_all(labelled: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between nodes of one component whose labels differ; each meets all others, in pairs of blocks. None if all have one label."""
     sizes = sets.select(F.col("doc_id").alias("_s"), "n_shingles")
-    cost = labelled.join(sizes, F.col("node") == F.col("_s")).groupBy("node", "component", "label").agg(F.greatest(F.max("n_shingles"), F.lit(LEAST_COST)).alias("cost"))
+    cost = labelled.join(sizes, F.col("node") == F.col("_s")).groupBy("node", "component", "label").agg(
+        F.greatest(F.max("n_shingles"), F.lit(LEAST_COST)).alias("cost")
+    )
     dealt = _meetings(materialize(cost, "costs"), MEET_COST)
     if dealt is None:
         return None
@@ -459,7 +489,12 @@ def _confirm(candidates: DataFrame, sets: DataFrame, texts: DataFrame, percent:
     for level in count():
         sizes = left.groupBy("component").agg(F.count("*").alias("size"))
         dealt = left.join(sizes.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c")).where("size > 1")
-        dealt = materialize(dealt.select("node", "component", "size", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("size") / BLOCK)).alias("block")), "blocks")
+        dealt = materialize(
+            dealt.select(
+                "node", "component", "size", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("size") / BLOCK)).alias("block")
+            ),
+            "blocks"
+        )
         placed = _with_text(dealt.select("node", "component", "block"), texts).repartition("component", "block").sortWithinPartitions("component", "block")
         found = materialize(_confirm_blocks(placed, percent), "links")
         links = found if links is None else links.union(found)
@@ -478,7 +513,10 @@ def _confirm(candidates: DataFrame, sets: DataFrame, texts: DataFrame, percent:
         now = materialize(connected_components(links), "components").select(F.col("node").alias("_n"), F.col("component").alias("label"))
         big = candidates.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select(F.col("component").alias("_c"))
         inside = candidates.join(big, F.col("component") == F.col("_c"), "left_semi")
-        labelled = materialize(inside.join(now, F.col("node") == F.col("_n"), "left").select("node", "component", F.coalesce("label", "node").alias("label")), "labels")
+        labelled = materialize(
+            inside.join(now, F.col("node") == F.col("_n"), "left").select("node", "component", F.coalesce("label", "node").alias("label")),
+            "labels"
+        )
         more = _meet_all(labelled, sets, texts, percent)
         links = links if more is None else links.union(more)
     return links
@@ -509,7 +547,9 @@ def find_near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROW
         pairs = pairs.union(crowded_pairs(many, crowded=crowded))
     candidates = materialize(connected_components(pairs), "candidates")
     member = _light(candidates.select(F.col("node").alias("_m")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(member, F.col("node") == F.col("_m"), "left_semi")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")
+    ).join(member, F.col("node") == F.col("_m"), "left_semi")
     # rows that repeat a document's text are compared once, however many there are
     again = materialize(sets.groupBy(F.col("doc_id").alias("_a")).agg(F.count("*").alias("n")).where("n > 1 and _a is not null").select("_a"), "repeated")
     if again.limit(1).count():
@@ -517,7 +557,9 @@ def find_near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROW
         texts = once.union(texts.join(again, F.col("node") == F.col("_a"), "left_semi").dropDuplicates(["node", "text"]))
     links = _confirm(candidates, sets, texts, percent)
     final = connected_components(links).select(F.col("node").alias("_n"), "component")
-    known = groups.join(final, F.col("node") == F.col("_n"), "left").where("copies > 1 or component is not null").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "node").alias("component"))
+    known = groups.join(final, F.col("node") == F.col("_n"), "left").where("copies > 1 or component is not null").select(
+        F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "node").alias("component")
+    )
     known = materialize(known, "known")
     slim = sets.select("doc_id", "n_shingles", "k1", "k2")
     joined = slim.join(known, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n_shingles") > 0), "left")

@@ -27,8 +27,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = d.doc_id
 """
 
 WARC = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h, CASE WHEN strlen(coalesce(html, '')) >= 100 THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) ELSE page_id END AS f FROM pages)
-SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to FROM p
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CASE WHEN strlen(coalesce(html,
+'')) >= 100 THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) ELSE page_id END AS f FROM pages)
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to FROM p
 """
 
 DECONTAMINATE = f"""
@@ -55,8 +57,13 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed
 
 def quality_sql(least_group: int = 50) -> str:
     exact = lambda e: f"({e.replace(' / ', '::DOUBLE / ')})"
-    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {exact(e)}::DOUBLE AS v FROM c WHERE n_words > 0" for m, (_, e, _, _) in quality.METRICS.items())
-    limits = ", ".join(f"CASE WHEN o.n_own >= {least_group} THEN o.{m} WHEN l.n_own >= {least_group} THEN l.{m} ELSE a.{m} END AS limit_{m}" for m in quality.METRICS)
+    values = " UNION ALL ".join(
+        f"SELECT lang, source, '{m}' AS metric, {exact(e)}::DOUBLE AS v FROM c WHERE n_words > 0" for m,
+        (_, e, _, _) in quality.METRICS.items()
+    )
+    limits = ", ".join(
+        f"CASE WHEN o.n_own >= {least_group} THEN o.{m} WHEN l.n_own >= {least_group} THEN l.{m} ELSE a.{m} END AS limit_{m}" for m in quality.METRICS
+    )
     fine = " AND ".join(f"NOT coalesce({exact(e)} > limit_{m}, false)" for m, (e, _, _, _) in quality.METRICS.items())
 
     rounded = ", ".join(f"round(limit_{m}, 6) AS limit_{m}" for m in quality.METRICS)

@@ -93,7 +93,10 @@ def find_spans(text: str | None, least: float = 0.5) -> list[tuple[int, str, int
     if not text:
         return []
     out = [(a, k, b, _score(text, k, a, b)) for a, k, b in base_spans(text)]
-    for kind, pattern, valid in (("iban", _IBAN, lambda s: mod97(s.replace(" ", ""))), ("id", _ID, lambda s: s[:3] not in ("000", "666") and s[4:6] != "00" and s[7:] != "0000")):
+    for kind, pattern, valid in (
+        ("iban", _IBAN, lambda s: mod97(s.replace(" ", ""))),
+        ("id", _ID, lambda s: s[:3] not in ("000", "666") and s[4:6] != "00" and s[7:] != "0000")
+    ):
         for m in pattern.finditer(text):
             if valid(m[0]) and (s := _score(text, kind, m.start(), m.end())) >= least:
                 out.append((m.start(), kind, m.end(), s))
@@ -148,4 +151,6 @@ def find_personal_data(docs: DataFrame, least: float = 0.5, with_text: bool = Fa
                 names=["doc_id", *(f"n_{k}" for k in counts), "base_sha256", "spans", "scores", *(["redacted"] if with_text else [])],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT + ", redacted string" * with_text)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, OUT + ", redacted string" * with_text)

@@ -86,7 +86,10 @@ def quantiles(sketch: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     seen = merged.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    return seen.groupBy(*keys, "metric").agg(F.first("total").alias("total"), *(F.min(F.when(F.col("cum") >= F.lit(q) * F.col("total"), F.col("bucket"))).alias(f"q{i}") for i, q in enumerate(at)))
+    return seen.groupBy(*keys, "metric").agg(
+        F.first("total").alias("total"),
+        *(F.min(F.when(F.col("cum") >= F.lit(q) * F.col("total"), F.col("bucket"))).alias(f"q{i}") for i, q in enumerate(at))
+    )
 
 
 def thresholds(sketch: DataFrame, least_group: int = 50, fences: float = 1.0) -> DataFrame:
@@ -127,7 +130,10 @@ def judge(counted: DataFrame, limits: DataFrame, most_broadcast: int = 100_000)
     few = limits.count() <= most_broadcast
     base = (F.col("q_n_words") < 10) | (100 * F.col("q_n_repeat_words") > 20 * F.col("q_n_words"))
     fine = reduce(lambda a, b: a & b, (~F.coalesce(_metric(m) > F.col(f"limit_{m}"), F.lit(False)) for m in METRICS))
-    joined = counted.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    joined = counted.join(
+        F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")),
+        "left"
+    )
     return joined.withColumn("base_failed", base).withColumn("kept", ~base & fine).drop("t_lang", "t_source")
 
 
@@ -139,7 +145,10 @@ def score_quality(docs: DataFrame, least_group: int = 50, fences: float = 1.0) -
     text has no words and fails; null languages and sources form groups of
     their own; repeated rows are judged alike; other columns are ignored.
     """
-    counted = materialize(with_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"), ["doc_id", "lang", "source"]), "quality-counts")
+    counted = materialize(
+        with_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"), ["doc_id", "lang", "source"]),
+        "quality-counts"
+    )
     out = judge(counted, thresholds(sketches(counted), least_group, fences))
     return out.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in COUNTS if c != "n_lines"), "base_failed", "kept", *(f"limit_{m}" for m in METRICS))
 

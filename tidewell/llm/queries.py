@@ -55,7 +55,12 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames, op9_decontaminate, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_near_dedup, op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames,
+        op9_decontaminate, op10_substring_dedup
+    )
+}
 
 #: SQL where SQL can express a query; the others are tested against brute force, exact round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {

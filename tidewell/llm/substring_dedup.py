@@ -161,7 +161,10 @@ def _all_anchors(docs: DataFrame, length: int) -> DataFrame:
                     parts.append((np.full(len(a), i), a.view(np.int64), first << 6 | (last - first)))
             if parts:
                 at, a, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("doc_id", "k1", "k2")), pa.array(a), pa.array(w)], names=["doc_id", "k1", "k2", "anchor", "run"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c).take(pa.array(at)) for c in ("doc_id", "k1", "k2")), pa.array(a), pa.array(w)],
+                    names=["doc_id", "k1", "k2", "anchor", "run"]
+                )
 
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, anchor long, run long")
 
@@ -189,7 +192,13 @@ def _cut_spans(listed: DataFrame, length: int) -> DataFrame:
 
 
 def _spans(b, at, anchor, first, span):
-    return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "k1", "k2", "own")), pa.array(anchor, pa.int64()), pa.array(first, pa.int64()), pa.array(span, pa.binary())], names=["doc_id", "k1", "k2", "own", "anchor", "first", "span"])
+    return pa.RecordBatch.from_arrays(
+        [
+            *(b.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "k1", "k2", "own")), pa.array(anchor, pa.int64()),
+            pa.array(first, pa.int64()), pa.array(span, pa.binary())
+        ],
+        names=["doc_id", "k1", "k2", "own", "anchor", "first", "span"]
+    )
 
 
 SHARD_ROWS = "s1 long, s2 long, bits long, w1 long, w2 long, n long"
@@ -223,10 +232,15 @@ def _by_automata(grouped: DataFrame, length: int) -> DataFrame:
                     elif w not in seen:
                         seen.add(w)
                         rows.append((None, None, None, *w, 2))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], names=["s1", "s2", "bits", "w1", "w2", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)],
+                names=["s1", "s2", "bits", "w1", "w2", "n"]
+            )
 
         for b in batches:
-            for s1, s2, anchor, part, dealt, span, n in zip(*(b.column(c).to_pylist() for c in ("s1", "s2", "anchor", "part", "dealt", "span", "n")), strict=True):
+            for s1, s2, anchor, part, dealt, span, n in zip(
+                *(b.column(c).to_pylist() for c in ("s1", "s2", "anchor", "part", "dealt", "span", "n")), strict=True
+            ):
                 if held >= SHARD_BYTES and (anchor, part) != at:
                     yield results()
                     shard, held = [], 0
@@ -253,25 +267,41 @@ def repeated_spans(docs: DataFrame, length: int = 35, shard_bytes: int = SHARD_B
     # as a set: a row that is repeated names the same runs each time
     lists = found.join(again, F.col("anchor") == F.col("a")).groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
     # a text with copies is read once, and only to be compared with others
-    lists = lists.join(groups, ["k1", "k2"]).where(F.col("copies").eqNullSafe(1) | F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "k1", "k2", "runs", (F.col("copies") == 1).alias("own"))
+    lists = lists.join(groups, ["k1", "k2"]).where(
+        F.col("copies").eqNullSafe(1) | F.col("doc_id").eqNullSafe(F.col("keeper"))
+    ).select("doc_id", "k1", "k2", "runs", (F.col("copies") == 1).alias("own"))
     lists = materialize(lists, "runs")
     d, l = docs.alias("d"), lists.alias("l")
-    listed = d.join(l, (F.col("d.k1") == F.col("l.k1")) & (F.col("d.k2") == F.col("l.k2")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id"))).select("d.doc_id", "d.k1", "d.k2", "d.text", "l.runs", "l.own")
+    listed = d.join(
+        l, (F.col("d.k1") == F.col("l.k1")) & (F.col("d.k2") == F.col("l.k2")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id"))
+    ).select("d.doc_id", "d.k1", "d.k2", "d.text", "l.runs", "l.own")
     names = [F.xxhash64("span").alias("s1"), F.xxhash64(F.lit(1), "span").alias("s2")]
     spans = materialize(_cut_spans(listed, length), "spans")
     kinds = materialize(spans.groupBy("anchor", "span").agg(F.count("*").alias("n")).select(*names, "anchor", "span", "n"), "span-kinds")
-    sizes = materialize(kinds.groupBy("anchor").agg(F.sum(F.octet_length("span")).alias("m"), F.sum("n").alias("t")).select(F.col("anchor").alias("a"), "m", "t"), "anchor-sizes")
+    sizes = materialize(
+        kinds.groupBy("anchor").agg(
+            F.sum(F.octet_length("span")).alias("m"), F.sum("n").alias("t")
+        ).select(F.col("anchor").alias("a"), "m", "t"),
+        "anchor-sizes"
+    )
     sized = kinds.join(sizes, F.col("anchor") == F.col("a")).where("t > 1")
     parts = F.ceil(F.col("m") / F.lit(shard_bytes))
-    dealt = sized.select("s1", "s2", "anchor", F.pmod(F.xxhash64("s1", "s2"), parts).alias("part"), (parts > 1).alias("dealt"), "span", "n").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    dealt = sized.select(
+        "s1", "s2", "anchor", F.pmod(F.xxhash64("s1", "s2"), parts).alias("part"), (parts > 1).alias("dealt"), "span", "n"
+    ).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     found = materialize(_by_automata(dealt, length), "repeats")
     windows = found.where("w1 is not null")
-    counts = materialize(windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2")), "window-counts")
+    counts = materialize(
+        windows.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2")),
+        "window-counts"
+    )
     across = windows.where("s1 is not null").join(counts, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).select("s1", "s2", "bits")
     bits = materialize(found.where("w1 is null").select("s1", "s2", "bits").union(across).groupBy("s1", "s2").agg(F.sum("bits").alias("bits")), "bits")
     places = spans.where("own").select("doc_id", "k1", "k2", "first", *names).join(bits, ["s1", "s2"])
     starts = F.expr("transform(filter(sequence(0, 62), i -> (shiftright(bits, i) & 1L) = 1L), i -> first + i)")
-    return groups, places.select("doc_id", "k1", "k2", starts.alias("starts")).groupBy("doc_id", "k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return groups, places.select("doc_id", "k1", "k2", starts.alias("starts")).groupBy("doc_id", "k1", "k2").agg(
+        F.flatten(F.collect_list("starts")).alias("starts")
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False) -> DataFrame:
@@ -295,7 +325,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False) -
         .select("d.doc_id", "d.k1", "d.k2", F.col("copies").isNotNull().alias("copied"), "starts")
     )
     k, d = materialize(known, "removals").alias("k"), docs.alias("d")
-    joined = d.join(k, (F.col("d.k1") == F.col("k.k1")) & (F.col("d.k2") == F.col("k.k2")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left").select("d.doc_id", "d.text", "copied", "starts")
+    joined = d.join(
+        k, (F.col("d.k1") == F.col("k.k1")) & (F.col("d.k2") == F.col("k.k2")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left"
+    ).select("d.doc_id", "d.text", "copied", "starts")
 
     def run(batches):
         for b in batches:
@@ -314,6 +346,12 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False) -
                 digests.append(hashlib.sha256(out).hexdigest())
                 if with_text:
                     texts.append(None if not t.is_valid else out.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])], names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()),
+                    *([pa.array(texts, pa.string())] if with_text else [])
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+            )
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -164,7 +164,12 @@ _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 #: Kinds of bytes: white space, letter, digit, ASCII sign but the apostrophe (which can begin a pre-token of its own), anything else.
 SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
-_KIND = np.array([SPACE if b in b" \t\n\r\x0b\x0c" else OTHER if b > 126 or b < 33 or b == 39 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)], np.uint8)
+_KIND = np.array(
+    [
+        SPACE if b in b" \t\n\r\x0b\x0c" else OTHER if b > 126 or b < 33 or b == 39 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)
+    ],
+    np.uint8
+)
 #: Whether a chunk begins at a byte of kind b after one of kind a, at 8 a + b.
 _BEGINS = np.array([b < 5 and b != SPACE and (a == SPACE or (a != b and a < OTHER and b < OTHER) or a == b == DIGIT) for a in range(8) for b in range(8)])
 
@@ -222,7 +227,9 @@ def splits_at_spaces(definition: str) -> bool:
     """Whether chunks can be encoded one by one: every pre-token is free of white space, and none is kept."""
     pre = json.loads(definition).get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in str((first.get("pattern") or {}).get("Regex"))
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in str(
+        (first.get("pattern") or {}).get("Regex")
+    )
 
 
 def shard_bounds(docs: DataFrame, shards: int, fan: int = FAN) -> np.ndarray:
@@ -280,7 +287,9 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
             for i in np.nonzero(np.isin(known, list(spread)))[0] if spread else ():
                 turn[i] = xxhash.xxh64_intdigest(out[i]) >> 1
                 shard[i] += int(turn[i]) * spread[int(known[i])] >> 63
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), docs_.cast(pa.int64()), pa.array(turn, pa.int64()), pa.array(out, pa.binary())], schema=IDS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard, pa.int64()), docs_.cast(pa.int64()), pa.array(turn, pa.int64()), pa.array(out, pa.binary())], schema=IDS
+            )
 
     out = docs.mapInArrow(run, "shard long, doc_id long, turn long, ids binary")
     return out.repartitionById(len(edges) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "turn", "ids")
@@ -294,7 +303,9 @@ class ShardWriter:
 
         fs, path = open_fs(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.zstd, self.out, self.uri, self.dtype, self.frame_bytes = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True), fs.open_output_stream(path, compression=None, buffer_size=1 << 20), uri, dtype, frame_bytes
+        self.zstd, self.out, self.uri, self.dtype, self.frame_bytes = zstandard.ZstdCompressor(
+            level=level, write_checksum=True, write_content_size=True
+        ), fs.open_output_stream(path, compression=None, buffer_size=1 << 20), uri, dtype, frame_bytes
         self.seek, self.docs, self.counts, self.per_frame = [], [], [], []
         self.buffer, self.held, self.in_frame, self.n_tokens = [], 0, 0, 0
 

@@ -85,7 +85,11 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
     spark = pages.sparkSession
     small_batches(spark)
     host, path = split_url(F.col("url"))
-    sample = (labelled if labelled is not None else labelled_urls(spark)).where("url is not null and label is not null").select(host.alias("host"), path.alias("path"), "label").orderBy("host", "path", "label").limit(most).collect()
+    sample = (
+        labelled if labelled is not None else labelled_urls(spark)
+    ).where("url is not null and label is not null").select(
+        host.alias("host"), path.alias("path"), "label"
+    ).orderBy("host", "path", "label").limit(most).collect()
     w = train([ngrams(r.host, r.path) for r in sample], [r.label for r in sample])
     weights = spark.sparkContext.broadcast(w)
 
@@ -95,6 +99,11 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
             s = [score(w, ngrams(h, p)) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
             yield b.append_column("score", pa.array(s, pa.float64()))
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).mapInArrow(run, "page_id long, host string, path string, score double")
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")
+    ).mapInArrow(run, "page_id long, host string, path string, score double")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
+    return rows.select(
+        "page_id", "host", "path", rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score"
+    )

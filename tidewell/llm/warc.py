@@ -22,7 +22,13 @@ CHUNK = 64 << 10
 #: Payloads under this many bytes are always stored in full.
 LEAST_REVISIT = 100
 
-CHUNKS = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int64()), ("last", pa.bool_()), ("data", pa.binary()), ("digest_so_far", pa.string())])
+CHUNKS = pa.schema(
+    [
+        ("record_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()),
+        ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int64()), ("last", pa.bool_()),
+        ("data", pa.binary()), ("digest_so_far", pa.string())
+    ]
+)
 CHUNKS_TYPE = "record_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, chunk_no long, last boolean, data binary, digest_so_far string"
 
 
@@ -33,7 +39,9 @@ MARK_BITS = 18
 def _marks(marked: DataFrame) -> DataFrame:
     """(word, bits): a set bit for each digest in marked, 64 bits a row, 2 ** MARK_BITS rows at most."""
     word, bit = _mark_of(F.col("key"))
-    return marked.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return marked.select(
+        word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")
+    ).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
 def _mark_of(digest):
@@ -50,10 +58,15 @@ def plan_records(pages: DataFrame) -> DataFrame:
     tells which pages cannot be copies: these stay where they are. Only the rest
     meets the table of copies in a shuffle, all of it if marks are crowded.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    p = pages.select(
+        F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")
+    )
     p = p.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     slim = materialize(p.where(F.col("payload_bytes") >= LEAST_REVISIT).select("record_id", F.col("payload_digest").alias("key")), "warc-digests")
-    first = slim.groupBy(F.col("key").alias("first_key")).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    first = slim.groupBy(F.col("key").alias("first_key")).agg(
+        F.min("record_id").alias("first_id"), F.count("*").alias("n")
+    ).where("n > 1 and first_id is not null")
     marked = slim.join(materialize(first, "warc-first"), F.col("key") == F.col("first_key")).where("record_id > first_id")
     marked = materialize(marked.select(F.col("record_id").alias("again_id"), "key", "first_id").distinct(), "warc-copies")
     word, bit = _mark_of(F.col("payload_digest"))
@@ -62,7 +75,10 @@ def plan_records(pages: DataFrame) -> DataFrame:
     # by digest too: rows that share a page_id can have different payloads
     met = seen.where(maybe).join(marked, (F.col("record_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("key")), "left")
     again = F.col("first_id").isNotNull()
-    columns = ["record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url", "payload_bytes", "payload_digest", F.when(~again, F.col("payload")).alias("payload")]
+    columns = [
+        "record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url",
+        "payload_bytes", "payload_digest", F.when(~again, F.col("payload")).alias("payload")
+    ]
     return met.select(*columns).union(seen.where(~maybe).withColumn("first_id", F.lit(None).cast("long")).select(*columns))
 
 
@@ -114,7 +130,10 @@ def _head(r: dict) -> bytes:
     http = _http(r["payload_bytes"])
     again = r["record_type"] == "revisit"
     url = (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <urn:page:{'' if r['record_id'] is None else r['record_id']}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}"]
+    lines = [
+        "WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <urn:page:{'' if r['record_id'] is None else r['record_id']}>",
+        "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}"
+    ]
     if again:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{r['refers_to']}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if again else r['payload_bytes'])}"]
@@ -175,7 +194,10 @@ def write(chunks: DataFrame, to: str, file_bytes: int = 256 << 20) -> DataFrame:
 def write_records(records: DataFrame, to: str, file_bytes: int = 256 << 20, size: int = CHUNK) -> DataFrame:
     """write(chunked(records)) in one worker: each chunk goes into the archive as soon as it comes."""
     small_batches(records.sparkSession)
-    return materialize(_cut(records, size).mapInArrow(lambda batches: _files(_write_rows(_digested(batches), to, file_bytes)), "path string, n long"), "warc-files")
+    return materialize(
+        _cut(records, size).mapInArrow(lambda batches: _files(_write_rows(_digested(batches), to, file_bytes)), "path string, n long"),
+        "warc-files"
+    )
 
 
 class _Inflated:
@@ -183,7 +205,9 @@ class _Inflated:
 
     def __init__(self, uri: str, block: int = 1 << 18):
         fs, path = open_fs(uri)
-        self.file, self.block, self.inflate, self.buffer, self.raw, self.open = fs.open_input_stream(path, compression=None), block, zlib.decompressobj(31), bytearray(), b"", False
+        self.file, self.block, self.inflate, self.buffer, self.raw, self.open = fs.open_input_stream(
+            path, compression=None
+        ), block, zlib.decompressobj(31), bytearray(), b"", False
 
     def _more(self) -> bool:
         if self.inflate.eof:
@@ -231,7 +255,11 @@ def records(uri: str, size: int = CHUNK):
         payload = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
         left = int(fields["Content-Length"]) - len(http)
         number = lambda name: int(v) if (v := fields.get(name, "")[10:-1]) else None
-        row = {"record_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "url": fields.get("WARC-Target-URI", ""), "payload_bytes": payload, "payload_digest": fields["WARC-Payload-Digest"].partition(":")[2]}
+        row = {
+            "record_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"),
+            "url": fields.get("WARC-Target-URI", ""), "payload_bytes": payload,
+            "payload_digest": fields["WARC-Payload-Digest"].partition(":")[2]
+        }
         if row["record_type"] == "revisit":
             yield row | {"chunk_no": 0, "last": True, "data": b"", "digest_so_far": row["payload_digest"]}
         else:
