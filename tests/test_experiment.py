@@ -27,7 +27,10 @@ def write_deck(root, name, stem, permx, wells, perfs, ntg=None):
     (inc / f"{stem}_PORO.inc").write_text(_cube("PORO", [0.2] * n))
     (inc / f"{stem}_PERMX.inc").write_text(_cube("PERMX", permx))
     (inc / f"{stem}_NTG.inc").write_text(_cube("NTG", ntg or [1] * n))
-    tracks = "".join(f"WELLTRACK '{w}'\n" + "".join(f"{x} {y} {z} {m}\n" for x, y, z, m in pts[:-1]) + " ".join(map(str, pts[-1])) + " /\n" for w, pts in wells.items())
+    tracks = "".join(
+        f"WELLTRACK '{w}'\n" + "".join(f"{x} {y} {z} {m}\n" for x, y, z, m in pts[:-1]) + " ".join(map(str, pts[-1])) + " /\n" for w,
+        pts in wells.items()
+    )
     (inc / f"{stem}_WELLTRACK.inc").write_text(tracks)
     if perfs:
         (inc / f"{stem}_SCHEDULE.inc").write_text("COMPDATMD\n" + "".join(f"'{w}' 1 {a} {b} MD OPEN /\n" for w, a, b in perfs) + "/\n")
@@ -56,17 +59,24 @@ def roots(tmp_path_factory):
 
 def test_descriptors_and_connectivity_of_decks(spark, roots, tmp_path):
     e = experiment.Experiment(spark, roots[1], 1, f"{tmp_path}/work", cutoff=100.0)
-    assert [(r.deck_name, r.cluster, r.seed, r.centroid) for r in e.decks.orderBy("model").collect()] == [("0_1-11.data", 0, 11, False), ("2_1-12.data", 2, 12, False), ("1_centroid.data", 1, None, True)]
+    assert [(r.deck_name, r.cluster, r.seed, r.centroid) for r in e.decks.orderBy("model").collect()] == [
+        ("0_1-11.data", 0, 11, False), ("2_1-12.data", 2, 12, False), ("1_centroid.data", 1, None, True)
+    ]
     assert len(e.grid["faults"]) == 1 and e.layers().count() == NX * NY * NZ and e.pillars().count() == (NX + 1) * (NY + 1)
     d = {(r.seed, r.well): r for r in e.descriptors(0.5).collect()}
     assert set(d) == {(11, "P1"), (11, "INJ1"), (12, "P1")}
     p = d[11, "P1"]
     # two of three layers are perforated, and each run lies between its first and last sample
-    assert (p.n_cells_traversed, p.n_cells_perforated, p.n_sand_cells, p.frac_channel_cells, p.mean_ntg_along_well, p.perm_cutoff_mD) == (3, 2, 3, 1.0, 1.0, 100.0)
+    assert (
+        p.n_cells_traversed, p.n_cells_perforated, p.n_sand_cells, p.frac_channel_cells, p.mean_ntg_along_well, p.perm_cutoff_mD
+    ) == (3, 2, 3, 1.0, 1.0, 100.0)
     assert p.kh_penetrated == pytest.approx(500 * p.net_sand_penetrated) and 9 <= p.net_sand_penetrated <= 10
     assert (d[12, "P1"].n_sand_cells, d[12, "P1"].n_cells_perforated) == (0, 3)
     c = {r.seed: r for r in e.connectivity(0.5).collect()}
-    assert (c[11].n_bodies_26, c[11].n_bodies_6, c[11].frac_sand_in_largest_26, c[11].n_producers, c[11].n_injectors, c[11].n_producers_connected_to_any_inj) == (2, 2, 0.5, 1, 1, 0)
+    assert (
+        c[11].n_bodies_26, c[11].n_bodies_6, c[11].frac_sand_in_largest_26, c[11].n_producers, c[11].n_injectors,
+        c[11].n_producers_connected_to_any_inj
+    ) == (2, 2, 0.5, 1, 1, 0)
     assert (c[12].n_bodies_26, c[12].top1_n_cells, c[12].n_producers, c[12].mean_inj_connections_per_producer) == (0, 0, 1, 0)
 
 
@@ -94,7 +104,10 @@ def _rows(spark, n=60):
     x = r.normal(size=(n, 3))
     y = x @ [1.0, 0.5, 0.0] + 0.3 * r.normal(size=n)
     z = -x[:, 2] + 0.1 * r.normal(size=n)
-    return x, y, z, spark.createDataFrame([(i, i % 3, *map(float, x[i]), float(y[i]), None if i == 5 else float(z[i])) for i in range(n)], "member_id long, cluster long, a double, g1 double, g2 double, oil double, cut double")
+    return x, y, z, spark.createDataFrame(
+        [(i, i % 3, *map(float, x[i]), float(y[i]), None if i == 5 else float(z[i])) for i in range(n)],
+        "member_id long, cluster long, a double, g1 double, g2 double, oil double, cut double"
+    )
 
 
 def _r2(x, y):
@@ -109,7 +122,9 @@ def test_production_link_by_dense_formulas(spark):
     up = {(r.response, r.scope): r for r in out["uplift"].collect()}
     assert set(up) == {(a, s) for a in ("oil", "cut") for s in ("all", "cluster_0", "cluster_1", "cluster_2")}
     r = up["oil", "all"]
-    assert (r.n, r.status) == (60, "OK") and r.r2_base == pytest.approx(_r2(x[:, :1], y)) and r.r2_full == pytest.approx(_r2(x, y)) and r.uplift == pytest.approx(r.r2_full - r.r2_base)
+    assert (r.n, r.status) == (60, "OK") and r.r2_base == pytest.approx(_r2(x[:, :1], y)) and r.r2_full == pytest.approx(_r2(x, y)) and r.uplift == pytest.approx(
+        r.r2_full - r.r2_base
+    )
     assert r.ci_low <= r.uplift <= r.ci_high and r.r2_full_cv < r.r2_full
     one = np.arange(60) % 3 == 2
     assert up["oil", "cluster_2"].r2_full == pytest.approx(_r2(x[one], y[one]))
@@ -129,8 +144,14 @@ def _study(spark, n=30, p=14, k=3):
     r = np.random.default_rng(8)
     z, h = r.normal(size=(n, k)), r.normal(size=(k, p))
     d = 20 * (z @ h) + r.normal(size=(n, p))
-    theta = spark.createDataFrame([(i, i % 2, f"c{j}", j, float(z[i, j])) for i in range(n) for j in range(k)], "member_id long, cluster_id long, comp string, comp_pos int, value double")
-    sim = spark.createDataFrame([(i, i % 2, "m", "W", t, float(d[i, t])) for i in range(n) for t in range(p)], "member_id long, cluster_id long, metric string, well string, time long, value double")
+    theta = spark.createDataFrame(
+        [(i, i % 2, f"c{j}", j, float(z[i, j])) for i in range(n) for j in range(k)],
+        "member_id long, cluster_id long, comp string, comp_pos int, value double"
+    )
+    sim = spark.createDataFrame(
+        [(i, i % 2, "m", "W", t, float(d[i, t])) for i in range(n) for t in range(p)],
+        "member_id long, cluster_id long, metric string, well string, time long, value double"
+    )
     return z, d, theta, sim
 
 
@@ -148,14 +169,21 @@ def test_update_by_dense_formulas(spark, monkeypatch, energy, localized):
     z, d, theta, sim = _study(spark)
     blocks = linear.position_blocks
     monkeypatch.setattr(linear, "position_blocks", lambda *a, **k: blocks(*a, **{"block": 4} | k))
-    truth = spark.createDataFrame([("m", "W", t, 3.0 * t, 1.0 + t) for t in range(d.shape[1])], "metric string, well string, time long, d_obs double, sigma double")
+    truth = spark.createDataFrame(
+        [("m", "W", t, 3.0 * t, 1.0 + t) for t in range(d.shape[1])], "metric string, well string, time long, d_obs double, sigma double"
+    )
     sigma, obs = 1.0 + np.arange(d.shape[1]), 3.0 * np.arange(d.shape[1])
     mask = None
     m = np.ones((z.shape[1], d.shape[1]))
     if localized:
         m = (np.add.outer(np.arange(z.shape[1]), np.arange(d.shape[1])) % 3) / 2
-        mask = spark.createDataFrame([(f"c{j}", "m", "W", t, float(m[j, t])) for j in range(z.shape[1]) for t in range(d.shape[1])], "comp string, metric string, well string, time long, mask double")
-    eps = linear.perturbation_table(theta, truth, 9).toPandas().assign(t=lambda x: x.pos.str.split("|").str[2].astype(int)).pivot(index="member_id", columns="t", values="eps").to_numpy()
+        mask = spark.createDataFrame(
+            [(f"c{j}", "m", "W", t, float(m[j, t])) for j in range(z.shape[1]) for t in range(d.shape[1])],
+            "comp string, metric string, well string, time long, mask double"
+        )
+    eps = linear.perturbation_table(theta, truth, 9).toPandas().assign(
+        t=lambda x: x.pos.str.split("|").str[2].astype(int)
+    ).pivot(index="member_id", columns="t", values="eps").to_numpy()
     gain, _, _ = linear.gain_matrix(z, d, sigma, energy, m)
     want = z + (obs + eps - d) @ gain.T
     got = linear.ensemble_update(theta, sim, truth, mask, energy, seed=9).toPandas().pivot(index="member_id", columns="comp", values="value").to_numpy()

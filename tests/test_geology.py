@@ -14,20 +14,32 @@ def test_spread_block(spark):
     assert got["a"].std == pytest.approx(2.5**0.5) and got["b"].std == 0
 
 
-@pytest.mark.parametrize(("old", "new", "d", "want"), [(0.1, 0.95, ">", "BETTER"), (0.1, 0.95, "<", "WORSE"), (1.0, 1.0005, ">", "NEUTRAL"), (1.0, 2.0, "~", "NEUTRAL"), (None, 2.0, ">", "NEUTRAL"), (0.0, 1e-10, ">", "NEUTRAL")])
+@pytest.mark.parametrize(
+    ("old", "new", "d", "want"),
+    [
+        (0.1, 0.95, ">", "BETTER"), (0.1, 0.95, "<", "WORSE"), (1.0, 1.0005, ">", "NEUTRAL"), (1.0, 2.0, "~", "NEUTRAL"),
+        (None, 2.0, ">", "NEUTRAL"), (0.0, 1e-10, ">", "NEUTRAL")
+    ]
+)
 def test_status(spark, old, new, d, want):
     df = spark.createDataFrame([(old, new, d)], "o DOUBLE, n DOUBLE, d STRING")
     assert df.select(status("o", "n", "d").alias("s")).first().s == want
 
 
 def test_watercut(spark):
-    rows = spark.createDataFrame([(1, "cum", "o", "A", 9, 10.0), (1, "cum", "w", "A", 9, 30.0), (1, "cum", "o", "B", 9, 0.0), (1, "cum", "w", "B", 9, 0.0)], "member_id BIGINT, kind STRING, metric STRING, well STRING, time BIGINT, value DOUBLE")
+    rows = spark.createDataFrame(
+        [(1, "cum", "o", "A", 9, 10.0), (1, "cum", "w", "A", 9, 30.0), (1, "cum", "o", "B", 9, 0.0), (1, "cum", "w", "B", 9, 0.0)],
+        "member_id BIGINT, kind STRING, metric STRING, well STRING, time BIGINT, value DOUBLE"
+    )
     got = {r.well: r.watercut for r in geo.year_end_responses(rows, 9, "o", "w").collect()}
     assert got == {"A": 0.75, "B": None}
 
 
 def test_compliance(spark):
-    rows = spark.createDataFrame([(s, m + 10 * c, c, 1.0 * m, 4.0 * m, 9.0 * m) for s in ("a", "b") for c in range(3) for m in range(5)], "setup STRING, model_id BIGINT, cluster_id BIGINT, dev_field_cum_pct DOUBLE, dev_field_annual_max_pct DOUBLE, dev_well_top80_max_pct DOUBLE")
+    rows = spark.createDataFrame(
+        [(s, m + 10 * c, c, 1.0 * m, 4.0 * m, 9.0 * m) for s in ("a", "b") for c in range(3) for m in range(5)],
+        "setup STRING, model_id BIGINT, cluster_id BIGINT, dev_field_cum_pct DOUBLE, dev_field_annual_max_pct DOUBLE, dev_well_top80_max_pct DOUBLE"
+    )
     out = geo.compliance_summary(geo.compliance(rows))
     assert out.count() == 8 and out.where("cluster = -1").first().n == 15
     with pytest.raises(ValueError):
@@ -35,8 +47,13 @@ def test_compliance(spark):
 
 
 def test_descriptors(spark):
-    cells = spark.createDataFrame([(1, 0, 0, k, p, 1.0) for k, p in enumerate((100.0, 500.0, 200.0))], "model BIGINT, i INT, j INT, k INT, permx DOUBLE, ntg DOUBLE")
-    t = spark.createDataFrame([(1, "W", 0, 0, k, 5.0, k != 2) for k in range(3)], "model BIGINT, well STRING, i INT, j INT, k INT, dz_eff DOUBLE, perforated BOOLEAN")
+    cells = spark.createDataFrame(
+        [(1, 0, 0, k, p, 1.0) for k, p in enumerate((100.0, 500.0, 200.0))], "model BIGINT, i INT, j INT, k INT, permx DOUBLE, ntg DOUBLE"
+    )
+    t = spark.createDataFrame(
+        [(1, "W", 0, 0, k, 5.0, k != 2) for k in range(3)],
+        "model BIGINT, well STRING, i INT, j INT, k INT, dz_eff DOUBLE, perforated BOOLEAN"
+    )
     r = geo.well_descriptors(t, cells, 50.0).first()
     assert (r.net_sand_penetrated, r.kh_penetrated, r.n_sand_cells, r.n_cells_perforated) == (10, 3000, 3, 2)
 
@@ -70,9 +87,15 @@ def test_axes(spark, points, angle):
 
 
 def test_vertical_well(spark):
-    tracks = spark.createDataFrame([(1, "W", 0, 5.0, 5.0, 0.0, 0.0), (1, "W", 1, 5.0, 5.0, 30.0, 30.0), (1, "V", 0, 5.0, 5.0, 0.0, 0.0)], "model BIGINT, well STRING, seq INT, x DOUBLE, y DOUBLE, z DOUBLE, md DOUBLE")
+    tracks = spark.createDataFrame(
+        [(1, "W", 0, 5.0, 5.0, 0.0, 0.0), (1, "W", 1, 5.0, 5.0, 30.0, 30.0), (1, "V", 0, 5.0, 5.0, 0.0, 0.0)],
+        "model BIGINT, well STRING, seq INT, x DOUBLE, y DOUBLE, z DOUBLE, md DOUBLE"
+    )
     pillars = spark.createDataFrame([(i, j, i * 10.0, j * 10.0) for i in range(3) for j in range(3)], "i INT, j INT, x DOUBLE, y DOUBLE")
-    layers = spark.createDataFrame([(i, j, k, 10.0 * k, 10.0 * k + 10) for i in range(2) for j in range(2) for k in range(3)], "i INT, j INT, k INT, z_top DOUBLE, z_bot DOUBLE")
+    layers = spark.createDataFrame(
+        [(i, j, k, 10.0 * k, 10.0 * k + 10) for i in range(2) for j in range(2) for k in range(3)],
+        "i INT, j INT, k INT, z_top DOUBLE, z_bot DOUBLE"
+    )
     perfs = spark.createDataFrame([(1, "W", 10.0, 30.0)], "model BIGINT, well STRING, md_low DOUBLE, md_high DOUBLE")
     got = geometry.traverse(tracks, geometry.grid_quads(pillars).drop("cx", "cy"), layers, perfs, 0.5, 10.0).orderBy("k").collect()
     assert [(r.i, r.j, r.k) for r in got] == [(0, 0, 0), (0, 0, 1), (0, 0, 2)]
@@ -92,7 +115,13 @@ def test_cube_parser():
             decks.read_cube(bad, "PORO", 2)
 
 
-@pytest.mark.parametrize(("name", "want"), [("1_2-345.data", (1, 345, False)), ("2_centroid.data", (2, None, True)), ("centroid.data", (None, None, True)), ("run.data", (None, None, False))])
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("1_2-345.data", (1, 345, False)), ("2_centroid.data", (2, None, True)), ("centroid.data", (None, None, True)),
+        ("run.data", (None, None, False))
+    ]
+)
 def test_deck_names(name, want):
     assert decks.deck_key(name) == want
 

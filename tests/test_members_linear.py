@@ -9,15 +9,32 @@ THETA = "member_id BIGINT, cluster_id BIGINT, model_id BIGINT, comp STRING, comp
 
 def theta(spark, z, clusters=None, models=None):
     n, k = z.shape
-    return spark.createDataFrame([(i, int(clusters[i]) if clusters is not None else 0, int(models[i]) if models is not None else i, f"p{j}", j, float(z[i, j])) for i in range(n) for j in range(k)], THETA)
+    return spark.createDataFrame(
+        [
+            (
+                i, int(clusters[i]) if clusters is not None else 0, int(models[i]) if models is not None else i, f"p{j}", j, float(z[i, j])
+            ) for i in range(n) for j in range(k)
+        ],
+        THETA
+    )
 
 
 def data(spark, d, clusters=None):
-    return spark.createDataFrame([(i, int(clusters[i]) if clusters is not None else 0, "rate", "oil", "A", j, float(d[i, j])) for i in range(d.shape[0]) for j in range(d.shape[1])], "member_id BIGINT, cluster_id BIGINT, kind STRING, metric STRING, well STRING, time BIGINT, value DOUBLE")
+    return spark.createDataFrame(
+        [
+            (
+                i, int(clusters[i]) if clusters is not None else 0, "rate", "oil", "A", j, float(d[i, j])
+            ) for i in range(d.shape[0]) for j in range(d.shape[1])
+        ],
+        "member_id BIGINT, cluster_id BIGINT, kind STRING, metric STRING, well STRING, time BIGINT, value DOUBLE"
+    )
 
 
 def observed(spark, y, sigma):
-    return spark.createDataFrame([("oil", "A", j, float(v), float(s)) for j, (v, s) in enumerate(zip(y, sigma, strict=True))], "metric STRING, well STRING, time BIGINT, d_obs DOUBLE, sigma DOUBLE")
+    return spark.createDataFrame(
+        [("oil", "A", j, float(v), float(s)) for j, (v, s) in enumerate(zip(y, sigma, strict=True))],
+        "metric STRING, well STRING, time BIGINT, d_obs DOUBLE, sigma DOUBLE"
+    )
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +46,9 @@ def problem():
 
 def test_update_matches_the_dense_formula(spark, problem):
     z, d, _, y, s = problem
-    got = linear.ensemble_update(theta(spark, z), data(spark, d), observed(spark, y, s), energy=1.0, perturb=False).toPandas().pivot(index="member_id", columns="comp", values="value").to_numpy()
+    got = linear.ensemble_update(
+        theta(spark, z), data(spark, d), observed(spark, y, s), energy=1.0, perturb=False
+    ).toPandas().pivot(index="member_id", columns="comp", values="value").to_numpy()
     zc, dc = z - z.mean(0), d - d.mean(0)
     k, _, r = linear.gain_matrix(z, d, s, 1.0)
     e = dc.T @ dc / (len(z) - 1)
@@ -41,7 +60,9 @@ def test_update_matches_the_dense_formula(spark, problem):
 
 def test_update_nears_the_truth_and_shrinks(spark, problem):
     z, d, t, y, s = problem
-    post = linear.ensemble_update(theta(spark, z), data(spark, d), observed(spark, y, s)).toPandas().pivot(index="member_id", columns="comp", values="value").to_numpy()
+    post = linear.ensemble_update(
+        theta(spark, z), data(spark, d), observed(spark, y, s)
+    ).toPandas().pivot(index="member_id", columns="comp", values="value").to_numpy()
     assert np.all(np.abs(post.mean(0) - t) < z.std(0))
     assert np.all(post.std(0) < z.std(0))
 
@@ -64,7 +85,9 @@ def test_svd_and_rank():
 def test_perturbations_repeat():
     a, b = (linear.perturbations(np.ones(3), 5, 1) for _ in range(2))
     assert np.array_equal(a, b)
-    assert linear.perturbations(np.ones(2), 4000, 1, np.array([[1, 0.9], [0.9, 1]])).T @ linear.perturbations(np.ones(2), 4000, 1, np.array([[1, 0.9], [0.9, 1]])) / 4000 == pytest.approx(np.array([[1, 0.9], [0.9, 1]]), abs=0.1)
+    assert linear.perturbations(np.ones(2), 4000, 1, np.array([[1, 0.9], [0.9, 1]])).T @ linear.perturbations(
+        np.ones(2), 4000, 1, np.array([[1, 0.9], [0.9, 1]])
+    ) / 4000 == pytest.approx(np.array([[1, 0.9], [0.9, 1]]), abs=0.1)
 
 
 def test_correlation_of_a_constant_is_zero(spark):
@@ -111,7 +134,9 @@ def test_proxy_recovers_a_linear_map(spark, problem):
 
 def test_dedup_and_duplicates(spark):
     ids = [10, 20, 10]
-    m = spark.createDataFrame([(i, ids[i], [0, 1, 2][i], i, i) for i in range(3)], "member_id BIGINT, model_id BIGINT, cluster_id BIGINT, seed BIGINT, ord BIGINT")
+    m = spark.createDataFrame(
+        [(i, ids[i], [0, 1, 2][i], i, i) for i in range(3)], "member_id BIGINT, model_id BIGINT, cluster_id BIGINT, seed BIGINT, ord BIGINT"
+    )
     prior, post = theta(spark, np.zeros((3, 2))), theta(spark, np.array([[3.0, 4], [9, 9.5], [5, 6]]))
     got = members.deduplicate(m, prior, post).orderBy("first_ord", "comp").collect()
     assert [r.theta_post for r in got[:2]] == [4, 5] and got[0].n_collapsed == 1 and got[0].cluster_id == 0
@@ -169,5 +194,8 @@ def test_regressions_in_tasks(spark):
 
 
 def test_metric_summary_is_mean_of_means(spark):
-    t = spark.createDataFrame([("oil", 1, 1.0, 0.0, 0.0), ("oil", 2, 3.0, 0.0, 1.0)], "metric STRING, time BIGINT, width_ratio DOUBLE, median_shift DOUBLE, crps DOUBLE")
+    t = spark.createDataFrame(
+        [("oil", 1, 1.0, 0.0, 0.0), ("oil", 2, 3.0, 0.0, 1.0)],
+        "metric STRING, time BIGINT, width_ratio DOUBLE, median_shift DOUBLE, crps DOUBLE"
+    )
     assert series.metric_summary(t).first().mean_width_ratio == 2

@@ -30,7 +30,10 @@ def test_crps_of_a_point_mass(spark, y, want):
 @pytest.mark.parametrize("w", [1.0, 5.0, 100.0])
 def test_crps_of_a_uniform(spark, w):
     n = 5000
-    rows = spark.range(n).select(F.col("id").alias("member_id"), F.lit("oil").alias("metric"), F.lit("A").alias("well"), F.lit(1).cast("long").alias("time"), ((F.col("id") + 0.5) * w / n).alias("value"))
+    rows = spark.range(n).select(
+        F.col("id").alias("member_id"), F.lit("oil").alias("metric"), F.lit("A").alias("well"), F.lit(1).cast("long").alias("time"),
+        ((F.col("id") + 0.5) * w / n).alias("value")
+    )
     assert series.crps(rows, truth(spark, [("A", 1, w / 2)])).first().crps == pytest.approx(w / 12, rel=0.02)
 
 

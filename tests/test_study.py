@@ -18,8 +18,13 @@ def study(spark, tmp_path_factory):
     h, g = r.normal(0, 0.5, (10, 5)), r.normal(0, 0.5, (10, 5))
     y = h @ truth + r.normal(0, 1.0, 10)
     key = lambda j, y0: ("oil", f"W{j % 2 + 1}", y0 + j // 2)
-    spark.createDataFrame([(i, 100 + i, clusters[i], i, i) for i in range(n)], "member_id BIGINT, model_id BIGINT, cluster_id BIGINT, seed BIGINT, ord BIGINT").write.parquet(f"{d}/members")
-    spark.createDataFrame([(i, clusters[i], 100 + i, f"p{j}", j, float(z[i, j])) for i in range(n) for j in range(5)], "member_id BIGINT, cluster_id BIGINT, model_id BIGINT, comp STRING, comp_pos INT, value DOUBLE").write.parquet(f"{d}/theta")
+    spark.createDataFrame(
+        [(i, 100 + i, clusters[i], i, i) for i in range(n)], "member_id BIGINT, model_id BIGINT, cluster_id BIGINT, seed BIGINT, ord BIGINT"
+    ).write.parquet(f"{d}/members")
+    spark.createDataFrame(
+        [(i, clusters[i], 100 + i, f"p{j}", j, float(z[i, j])) for i in range(n) for j in range(5)],
+        "member_id BIGINT, cluster_id BIGINT, model_id BIGINT, comp STRING, comp_pos INT, value DOUBLE"
+    ).write.parquet(f"{d}/theta")
     s = "member_id BIGINT, cluster_id BIGINT, kind STRING, metric STRING, well STRING, time BIGINT, value DOUBLE"
     spark.createDataFrame([(i, clusters[i], "cum", *key(j, 2011), float((h @ z[i])[j])) for i in range(n) for j in range(10)], s).write.parquet(f"{d}/sim")
     spark.createDataFrame([(i, clusters[i], "cum", *key(j, 2025), float((g @ z[i])[j])) for i in range(n) for j in range(10)], s).write.parquet(f"{d}/forecast")
@@ -29,7 +34,16 @@ def study(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("cfg", [phases.Config(factor=1.0, top_x=5, validation_n=3, keep_outside=True), phases.Config(factor=1.0, hindcast=True, train_years=3, val_years=2, top_x=5, validation_n=3, keep_outside=True, clip_to_prior=True, dedup=True)])
+@pytest.mark.parametrize(
+    "cfg",
+    [
+        phases.Config(factor=1.0, top_x=5, validation_n=3, keep_outside=True),
+        phases.Config(
+            factor=1.0, hindcast=True, train_years=3, val_years=2, top_x=5, validation_n=3, keep_outside=True, clip_to_prior=True,
+            dedup=True
+        )
+    ]
+)
 def test_all_phases(spark, study, tmp_path, cfg):
     out = str(tmp_path)
     tables = phases.run(spark, study, out, "all", cfg)
@@ -83,7 +97,11 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     batch.repartitionByRange(3, "ts").write.parquet(f"{tmp_path}/events")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
-    q = rates.windowed_moments(stream, width="7 days", late="60 days").writeStream.outputMode("update").format("memory").queryName("moments").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q = rates.windowed_moments(
+        stream, width="7 days", late="60 days"
+    ).writeStream.outputMode("update").format("memory").queryName("moments").option(
+        "checkpointLocation", f"{tmp_path}/cp"
+    ).start()
     q.processAllAvailable()
     q.stop()
     last = spark.table("moments").groupBy("start", "event_type").agg(F.max("n").alias("n"))

@@ -16,7 +16,10 @@ CONNECTIVITY = ["n_bodies_26", "frac_sand_in_largest_26", "top1_n_cells", "mean_
 def _block(v: str = "value") -> list[Column]:
     q = lambda p: F.percentile(v, F.lit(p))
     std = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v))
-    return [F.count("*").alias("n"), F.avg(v).alias("mean"), std.alias("std"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), (q(0.75) - q(0.25)).alias("iqr"), (F.max(v) - F.min(v)).alias("range")]
+    return [
+        F.count("*").alias("n"), F.avg(v).alias("mean"), std.alias("std"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"),
+        (q(0.75) - q(0.25)).alias("iqr"), (F.max(v) - F.min(v)).alias("range")
+    ]
 
 
 def spread_block(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -55,7 +58,9 @@ def geological_width_ratio(spread: DataFrame, a: int = 1, b: int = 2, column: st
 
 def compliance(setups: DataFrame, limits=(5.0, 10.0, 20.0)) -> DataFrame:
     """Add the pass flags of the three deviations and of all together."""
-    devs, names = ["dev_field_cum_pct", "dev_field_annual_max_pct", "dev_well_top80_max_pct"], ["pass_field_cum_5pct", "pass_field_annual_10pct", "pass_well_top80_20pct"]
+    devs, names = ["dev_field_cum_pct", "dev_field_annual_max_pct", "dev_well_top80_max_pct"], [
+        "pass_field_cum_5pct", "pass_field_annual_10pct", "pass_well_top80_20pct"
+    ]
     out = setups.withColumns({n: F.col(d) <= x for n, d, x in zip(names, devs, limits, strict=True)})
     return out.withColumn("pass_all_three", reduce(lambda x, y: x & y, map(F.col, names)))
 
@@ -65,7 +70,11 @@ def compliance_summary(df: DataFrame) -> DataFrame:
     flags = ["pass_field_cum_5pct", "pass_field_annual_10pct", "pass_well_top80_20pct", "pass_all_three"]
     aggs = [*(F.count_if(f).alias(f"n_{f}") for f in flags), *(F.avg(F.when(F.col(f), 1.0).otherwise(0.0)).alias(f"share_{f}") for f in flags)]
     sets = df.groupingSets([[F.col("setup"), F.col("cluster_id")], [F.col("setup")]], F.col("setup"), F.col("cluster_id"))
-    return sets.agg(F.count("*").alias("n"), *aggs).withColumnRenamed("cluster_id", "cluster").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))).select("setup", "cluster", "n", *(f"n_{f}" for f in flags), *(f"share_{f}" for f in flags))
+    return sets.agg(F.count("*").alias("n"), *aggs).withColumnRenamed("cluster_id", "cluster").withColumn(
+        "cluster", F.coalesce("cluster", F.lit(-1).cast("long"))
+    ).select(
+        "setup", "cluster", "n", *(f"n_{f}" for f in flags), *(f"share_{f}" for f in flags)
+    )
 
 
 def model_misfit(df: DataFrame) -> DataFrame:
@@ -102,21 +111,40 @@ def conformance(theta: DataFrame, boxes: DataFrame) -> DataFrame:
     """Share of members in the closed box of their cluster and component, with median and range; a row all_three for members within all boxes."""
     rows = theta.join(boxes, ["cluster_id", "comp"])
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    one = rows.groupBy("cluster_id", "comp", "lo", "hi").agg(F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("share"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"))
-    every = rows.groupBy("cluster_id", "member_id").agg(F.bool_and(inside).alias("ok")).groupBy("cluster_id").agg(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)).alias("share"))
+    one = rows.groupBy("cluster_id", "comp", "lo", "hi").agg(
+        F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("share"), F.median("value").alias("median"), F.min("value").alias("min"),
+        F.max("value").alias("max")
+    )
+    every = rows.groupBy("cluster_id", "member_id").agg(F.bool_and(inside).alias("ok")).groupBy("cluster_id").agg(
+        F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)).alias("share")
+    )
     none = F.lit(None).cast("double")
-    return one.unionByName(every.select("cluster_id", F.lit("all_three").alias("comp"), none.alias("lo"), none.alias("hi"), "share", none.alias("median"), none.alias("min"), none.alias("max")))
+    return one.unionByName(
+        every.select(
+            "cluster_id", F.lit("all_three").alias("comp"), none.alias("lo"), none.alias("hi"), "share", none.alias("median"),
+            none.alias("min"), none.alias("max")
+        )
+    )
 
 
 def facies_proportions(df: DataFrame) -> DataFrame:
     rows = df.where("experiment is not null and seed is not null and cluster is not null")
-    return rows.groupBy("experiment", "seed", "cluster").agg(F.avg("frac_channel_cells").alias("mean_frac_channel"), F.avg("mean_ntg_along_well").alias("mean_ntg"), F.count("*").alias("n_wells"), (1 - F.avg("frac_channel_cells")).alias("mean_frac_background"))
+    return rows.groupBy("experiment", "seed", "cluster").agg(
+        F.avg("frac_channel_cells").alias("mean_frac_channel"), F.avg("mean_ntg_along_well").alias("mean_ntg"),
+        F.count("*").alias("n_wells"), (1 - F.avg("frac_channel_cells")).alias("mean_frac_background")
+    )
 
 
 def realism(df: DataFrame, cols: list[str]) -> DataFrame:
     """Median and interquartile range of the columns there are, by experiment and cluster."""
     here = [c for c in cols if c in df.columns]
-    return df.groupBy("experiment", "cluster").agg(*(x for c in here for x in (F.median(c).alias(f"{c}_median"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"{c}_iqr"))))
+    return df.groupBy("experiment", "cluster").agg(
+        *(
+            x for c in here for x in (
+                F.median(c).alias(f"{c}_median"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"{c}_iqr")
+            )
+        )
+    )
 
 
 def sand(cutoff: float | Column) -> Column:
@@ -137,7 +165,10 @@ def well_descriptors(traversals: DataFrame, cells: DataFrame, cutoff: float | Co
 
 def descriptors_per_model(df: DataFrame, connectivity: DataFrame) -> DataFrame:
     """Sums and means of each seed, with the first connectivity row of that seed."""
-    g = df.groupBy("seed").agg(F.sum("net_sand_penetrated").alias("net_sand_penetrated"), F.sum("kh_penetrated").alias("kh_penetrated"), F.avg("frac_channel_cells").alias("frac_channel_cells"), F.avg("mean_ntg_along_well").alias("mean_ntg_along_well"))
+    g = df.groupBy("seed").agg(
+        F.sum("net_sand_penetrated").alias("net_sand_penetrated"), F.sum("kh_penetrated").alias("kh_penetrated"),
+        F.avg("frac_channel_cells").alias("frac_channel_cells"), F.avg("mean_ntg_along_well").alias("mean_ntg_along_well")
+    )
     return g.join(first_rows(connectivity, ["seed"], ["experiment"]).drop("experiment", "cluster"), "seed", "left")
 
 
@@ -153,7 +184,9 @@ def response_correlations(rows: DataFrame, xs: list[str], ys: list[str], ids: li
     """Pairwise-complete correlation of every predictor with every response; under 3 pairs null. The threshold is 3 over the root of all rows."""
     a = rows.select(*ids, *(F.col(c).cast("double").alias(c) for c in xs)).unpivot(ids, xs, "predictor", "x")
     b = rows.select(*ids, *(F.col(c).cast("double").alias(c) for c in ys)).unpivot(ids, ys, "response", "y")
-    g = a.join(b, ids).groupBy("predictor", "response").agg(F.count("*").alias("n_rows"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), pearson("x", "y").alias("c"))
+    g = a.join(b, ids).groupBy("predictor", "response").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"), pearson("x", "y").alias("c")
+    )
     r = F.when(F.col("n") >= 3, F.col("c"))
     t = F.lit(3.0) / F.sqrt("n_rows")
     return g.select("predictor", "response", "n", r.alias("r"), t.alias("threshold"), F.coalesce(F.abs(r) > t, F.lit(False)).alias("significant"))
@@ -169,15 +202,30 @@ def per_well_correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def cube_difference(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair of models: means and population variances of the cubes, differences, and the share of changed net flags."""
-    rows = pairs.join(a.withColumnsRenamed({"model": "model_a", "poro": "poro_a", "permx": "permx_a", "ntg": "ntg_a"}).drop("i", "j", "k"), "model_a").join(b.withColumnsRenamed({"model": "model_b", "poro": "poro_b", "permx": "permx_b", "ntg": "ntg_b"}).drop("i", "j", "k"), ["model_b", "flat"])
-    aggs = [x for c in ("poro", "permx", "ntg") for x in (F.avg(f"{c}_a").alias(f"mean_{c}_a"), F.avg(f"{c}_b").alias(f"mean_{c}_b"), F.var_pop(f"{c}_a").alias(f"var_{c}_a"), F.var_pop(f"{c}_b").alias(f"var_{c}_b"), (F.avg(f"{c}_b") - F.avg(f"{c}_a")).alias(f"delta_{c}"))]
+    rows = pairs.join(
+        a.withColumnsRenamed({"model": "model_a", "poro": "poro_a", "permx": "permx_a", "ntg": "ntg_a"}).drop("i", "j", "k"), "model_a"
+    ).join(
+        b.withColumnsRenamed({"model": "model_b", "poro": "poro_b", "permx": "permx_b", "ntg": "ntg_b"}).drop("i", "j", "k"),
+        ["model_b", "flat"]
+    )
+    aggs = [
+        x for c in ("poro", "permx", "ntg") for x in (
+            F.avg(f"{c}_a").alias(f"mean_{c}_a"), F.avg(f"{c}_b").alias(f"mean_{c}_b"), F.var_pop(f"{c}_a").alias(f"var_{c}_a"),
+            F.var_pop(f"{c}_b").alias(f"var_{c}_b"), (F.avg(f"{c}_b") - F.avg(f"{c}_a")).alias(f"delta_{c}")
+        )
+    ]
     one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return rows.groupBy("seed").agg(*aggs, one(F.col("ntg_a") == 1).alias("frac_net_a"), one(F.col("ntg_b") == 1).alias("frac_net_b"), one(F.col("ntg_a") != F.col("ntg_b")).alias("frac_netflag_changed")).withColumn("delta_frac_net", F.col("frac_net_b") - F.col("frac_net_a"))
+    return rows.groupBy("seed").agg(
+        *aggs, one(F.col("ntg_a") == 1).alias("frac_net_a"), one(F.col("ntg_b") == 1).alias("frac_net_b"),
+        one(F.col("ntg_a") != F.col("ntg_b")).alias("frac_netflag_changed")
+    ).withColumn("delta_frac_net", F.col("frac_net_b") - F.col("frac_net_a"))
 
 
 def matched_seeds(a: DataFrame, b: DataFrame) -> DataFrame:
     """Seeds of both experiments with the last deck of each, centroids left out."""
-    pick = lambda d, n: first_rows(d.where("seed is not null and not centroid"), ["seed"], [F.desc("directory")]).select("seed", F.col("directory").alias(f"directory_{n}"))
+    pick = lambda d, n: first_rows(
+        d.where("seed is not null and not centroid"), ["seed"], [F.desc("directory")]
+    ).select("seed", F.col("directory").alias(f"directory_{n}"))
     return pick(a, "a").join(pick(b, "b"), "seed")
 
 
@@ -192,7 +240,10 @@ def model_index(decks: DataFrame, files: DataFrame, wells: DataFrame) -> DataFra
 def comparison_rows(values: DataFrame) -> DataFrame:
     """(axis, metric, scope, value_old, value_new, direction) with status, delta and ratio."""
     old, new = F.col("value_old"), F.col("value_new")
-    return values.select("axis", "metric", "scope", "value_old", "value_new", "direction", status(old, new, "direction").alias("status"), (new - old).alias("delta"), ratio(new, old).alias("ratio"))
+    return values.select(
+        "axis", "metric", "scope", "value_old", "value_new", "direction", status(old, new, "direction").alias("status"),
+        (new - old).alias("delta"), ratio(new, old).alias("ratio")
+    )
 
 
 def axis_means(df: DataFrame, axis: str, metrics: dict[str, tuple[Column, str]], scope: str = "all", old: int = 1, new: int = 2) -> DataFrame:
@@ -200,14 +251,31 @@ def axis_means(df: DataFrame, axis: str, metrics: dict[str, tuple[Column, str]],
     parts = []
     for name, (agg, direction) in metrics.items():
         g = df.where(F.col("experiment").isin(old, new)).groupBy("experiment").agg(agg.cast("double").alias("v"))
-        parts.append(g.agg(F.max(F.when(F.col("experiment") == old, F.col("v"))).alias("value_old"), F.max(F.when(F.col("experiment") == new, F.col("v"))).alias("value_new")).select(F.lit(axis).alias("axis"), F.lit(name).alias("metric"), F.lit(scope).alias("scope"), "value_old", "value_new", F.lit(direction).alias("direction")))
+        parts.append(
+            g.agg(
+                F.max(F.when(F.col("experiment") == old, F.col("v"))).alias("value_old"),
+                F.max(F.when(F.col("experiment") == new, F.col("v"))).alias("value_new")
+            ).select(
+                F.lit(axis).alias("axis"), F.lit(name).alias("metric"), F.lit(scope).alias("scope"), "value_old", "value_new",
+                F.lit(direction).alias("direction")
+            )
+        )
     return comparison_rows(reduce(DataFrame.unionByName, parts))
 
 
 def axis_by_cluster(df: DataFrame, axis: str, metric: str, column: str, direction: str, old: int = 1, new: int = 2) -> DataFrame:
     """Rows of one axis for each cluster: means of a column for the old and new experiment."""
-    g = df.groupBy("cluster").agg(F.avg(F.when(F.col("experiment") == old, F.col(column))).alias("value_old"), F.avg(F.when(F.col("experiment") == new, F.col(column))).alias("value_new"))
-    return comparison_rows(g.select(F.lit(axis).alias("axis"), F.lit(metric).alias("metric"), F.concat(F.lit("cluster_"), F.col("cluster").cast("string")).alias("scope"), "value_old", "value_new", F.lit(direction).alias("direction")))
+    g = df.groupBy("cluster").agg(
+        F.avg(F.when(F.col("experiment") == old, F.col(column))).alias("value_old"),
+        F.avg(F.when(F.col("experiment") == new, F.col(column))).alias("value_new")
+    )
+    return comparison_rows(
+        g.select(
+            F.lit(axis).alias("axis"), F.lit(metric).alias("metric"),
+            F.concat(F.lit("cluster_"), F.col("cluster").cast("string")).alias("scope"), "value_old", "value_new",
+            F.lit(direction).alias("direction")
+        )
+    )
 
 
 def axis_compliance(summary: DataFrame, old: str, new: str) -> DataFrame:
@@ -215,13 +283,21 @@ def axis_compliance(summary: DataFrame, old: str, new: str) -> DataFrame:
     flags = [c for c in summary.columns if c.startswith("share_")]
     long = summary.where("cluster = -1").unpivot(["setup"], flags, "metric", "v")
     pick = lambda s: F.max(F.when(F.col("setup") == s, F.col("v")))
-    return comparison_rows(long.groupBy("metric").agg(pick(old).alias("value_old"), pick(new).alias("value_new")).select(F.lit("history").alias("axis"), "metric", F.lit("all").alias("scope"), "value_old", "value_new", F.lit(">").alias("direction")))
+    return comparison_rows(
+        long.groupBy("metric").agg(pick(old).alias("value_old"), pick(new).alias("value_new")).select(
+            F.lit("history").alias("axis"), "metric", F.lit("all").alias("scope"), "value_old", "value_new", F.lit(">").alias("direction")
+        )
+    )
 
 
 def axis_correlations(corr: DataFrame) -> DataFrame:
     """Significant correlations as rows: the size of r is the new value, there is no old one."""
     none = F.lit(None).cast("double")
-    return corr.where("significant").select(F.lit("production").alias("axis"), F.concat_ws(" ~ ", "predictor", "response").alias("metric"), F.lit("all").alias("scope"), none.alias("value_old"), F.abs("r").alias("value_new"), F.lit("~").alias("direction"), F.lit("SIGNIFICANT").alias("status"), none.alias("delta"), none.alias("ratio"))
+    return corr.where("significant").select(
+        F.lit("production").alias("axis"), F.concat_ws(" ~ ", "predictor", "response").alias("metric"), F.lit("all").alias("scope"),
+        none.alias("value_old"), F.abs("r").alias("value_new"), F.lit("~").alias("direction"), F.lit("SIGNIFICANT").alias("status"),
+        none.alias("delta"), none.alias("ratio")
+    )
 
 
 def summary_comparison(axes: list[DataFrame]) -> DataFrame:
@@ -245,7 +321,10 @@ def scaled_centroids(shift: DataFrame) -> DataFrame:
     """Centroids over max(|prior|, 1e-12), and the change in per cent (0 where the prior is nothing)."""
     p, q = F.col("prior_mean"), F.col("post_mean")
     size = F.greatest(F.abs(p), F.lit(1e-12))
-    return shift.select("cluster_id", "comp", (p / size).alias("prior_scaled"), (q / size).alias("post_scaled"), F.when(F.abs(p) > 1e-12, (q - p) / F.when(p != 0, p) * 100).otherwise(0.0).alias("shift_pct"))
+    return shift.select(
+        "cluster_id", "comp", (p / size).alias("prior_scaled"), (q / size).alias("post_scaled"),
+        F.when(F.abs(p) > 1e-12, (q - p) / F.when(p != 0, p) * 100).otherwise(0.0).alias("shift_pct")
+    )
 
 
 def energy(singular: DataFrame, level: float = 0.99) -> DataFrame:
@@ -258,5 +337,9 @@ def energy(singular: DataFrame, level: float = 0.99) -> DataFrame:
 
 def latex_rows(table: DataFrame) -> DataFrame:
     """One line of a LaTeX table for each row (setup, phase, m_members, mean_width_ratio, mean_crps, coverage)."""
-    line = F.format_string("%s & %s & %d & %.3f & %.3e & %s \\\\", F.replace("setup", F.lit("_"), F.lit("\\_")), F.replace("phase", F.lit("_"), F.lit("\\_")), "m_members", "mean_width_ratio", "mean_crps", F.when(F.col("coverage").isNull() | F.isnan("coverage"), "--").otherwise(F.format_string("%.3f", "coverage")))
+    line = F.format_string(
+        "%s & %s & %d & %.3f & %.3e & %s \\\\", F.replace("setup", F.lit("_"), F.lit("\\_")), F.replace("phase", F.lit("_"), F.lit("\\_")),
+        "m_members", "mean_width_ratio", "mean_crps",
+        F.when(F.col("coverage").isNull() | F.isnan("coverage"), "--").otherwise(F.format_string("%.3f", "coverage"))
+    )
     return table.select("setup", "phase", line.alias("line"))

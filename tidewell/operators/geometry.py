@@ -30,11 +30,18 @@ def perm_cutoff(cells: DataFrame, by: list[str], fallback: float = 0.0, least: i
     # fixed values: weights 1, 3, 5, 3, 1 over 13
     smooth = full.withColumn("s", (before(2) + 3 * before(1) + 5 * F.col("c") + 3 * at(1) + at(2)) / F.lit(13.0))
     peaks = smooth.withColumn("p", F.lag("s").over(w)).withColumn("q", F.lead("s").over(w)).where("p is not null and q is not null and s >= p and s >= q")
-    two = peaks.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("s"), "bin"))).where("_r <= 2").groupBy(*by).agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.count("*").alias("m")).where("m = 2")
+    two = peaks.withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("s"), "bin"))
+    ).where("_r <= 2").groupBy(*by).agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.count("*").alias("m")).where("m = 2")
     trough = smooth.join(two, by).where("bin between a and b").groupBy(*by).agg(F.min_by("bin", F.struct("s", "bin")).alias("t"))
     cut = F.pow(F.lit(10.0), F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("t") / bins)
     out = cells.select(*by).distinct().join(s, by, "left").join(trough, by, "left").withColumn("cut", cut)
-    return out.select(*by, F.when((F.col("n") >= least) & F.col("cut").isNotNull() & (F.col("cut") <= F.col("top")), F.col("cut")).otherwise(float(fallback)).alias("cutoff"))
+    return out.select(
+        *by,
+        F.when(
+            (F.col("n") >= least) & F.col("cut").isNotNull() & (F.col("cut") <= F.col("top")), F.col("cut")
+        ).otherwise(float(fallback)).alias("cutoff")
+    )
 
 
 OFFSETS = {6: [(1, 0, 0), (0, 1, 0), (0, 0, 1)], 26: [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (c, b, a) > (0, 0, 0)]}
@@ -45,7 +52,10 @@ def body_edges(mask: DataFrame, connectivity: int) -> DataFrame:
     if connectivity not in OFFSETS:
         raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in OFFSETS[connectivity]))).alias("o")
-    near = mask.select("model", F.col("flat").alias("a"), "i", "j", "k", steps).select("model", "a", (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), (F.col("k") + F.col("o.dk")).alias("k"))
+    near = mask.select("model", F.col("flat").alias("a"), "i", "j", "k", steps).select(
+        "model", "a", (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"),
+        (F.col("k") + F.col("o.dk")).alias("k")
+    )
     return near.join(mask.select("model", F.col("flat").alias("b"), "i", "j", "k"), ["model", "i", "j", "k"]).select("model", "a", "b")
 
 
@@ -89,7 +99,9 @@ def label_bodies(mask: DataFrame, connectivity: int = 26) -> DataFrame:
         pdf["body"] = body.astype(np.int64) + 1
         return pdf[["model", "flat", "i", "j", "k", "body"]]
 
-    return mask.select("model", F.col("flat").cast("long").alias("flat"), "i", "j", "k").groupBy("model").applyInPandas(label, "model long, flat long, i int, j int, k int, body long")
+    return mask.select(
+        "model", F.col("flat").cast("long").alias("flat"), "i", "j", "k"
+    ).groupBy("model").applyInPandas(label, "model long, flat long, i int, j int, k int, body long")
 
 
 def label_bodies_spread(mask: DataFrame, connectivity: int = 26, rounds: int = 200) -> DataFrame:
@@ -99,7 +111,9 @@ def label_bodies_spread(mask: DataFrame, connectivity: int = 26, rounds: int = 2
     lab = mask.select("model", "flat", F.col("flat").alias("l"))
     total = None
     for _ in range(rounds):
-        near = both.join(lab.select("model", F.col("flat").alias("b"), "l"), ["model", "b"]).groupBy("model", F.col("a").alias("flat")).agg(F.min("l").alias("n"))
+        near = both.join(
+            lab.select("model", F.col("flat").alias("b"), "l"), ["model", "b"]
+        ).groupBy("model", F.col("a").alias("flat")).agg(F.min("l").alias("n"))
         lab = lab.join(near, ["model", "flat"], "left").select("model", "flat", F.least("l", F.coalesce("n", "l")).alias("l"))
         jump = lab.select("model", F.col("flat").alias("l"), F.col("l").alias("up"))
         lab = lab.join(jump, ["model", "l"], "left").select("model", "flat", F.least("l", F.coalesce("up", "l")).alias("l")).checkpoint()
@@ -113,11 +127,18 @@ def label_bodies_spread(mask: DataFrame, connectivity: int = 26, rounds: int = 2
 
 def principal_axes(rows: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Major and minor axis (2 root lambda of the sample covariance) and the angle in (-90, 90]; zeros under 2 points."""
-    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("a"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("c"), F.coalesce(F.covar_samp(x, y), F.lit(0.0)).alias("b"))
+    g = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("a"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("c"),
+        F.coalesce(F.covar_samp(x, y), F.lit(0.0)).alias("b")
+    )
     mid, root = (F.col("a") + F.col("c")) / 2, F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.pow("b", 2))
     angle = F.degrees(F.lit(0.5) * F.atan2(2 * F.col("b"), F.col("a") - F.col("c")))
     ok = F.col("n") >= 2
-    return g.select(*by, F.when(ok, 2 * F.sqrt(F.greatest(mid + root, F.lit(0.0)))).otherwise(0.0).alias("major"), F.when(ok, 2 * F.sqrt(F.greatest(mid - root, F.lit(0.0)))).otherwise(0.0).alias("minor"), F.when(ok, F.when(angle <= -90, 90.0).otherwise(angle)).otherwise(0.0).alias("angle"))
+    return g.select(
+        *by, F.when(ok, 2 * F.sqrt(F.greatest(mid + root, F.lit(0.0)))).otherwise(0.0).alias("major"),
+        F.when(ok, 2 * F.sqrt(F.greatest(mid - root, F.lit(0.0)))).otherwise(0.0).alias("minor"),
+        F.when(ok, F.when(angle <= -90, 90.0).otherwise(angle)).otherwise(0.0).alias("angle")
+    )
 
 
 def body_stats(labels: DataFrame, most: int | None = None) -> DataFrame:
@@ -133,7 +154,10 @@ def body_stats(labels: DataFrame, most: int | None = None) -> DataFrame:
 
 def sand_fractions(stats: DataFrame) -> DataFrame:
     n = F.col("n_cells")
-    return stats.groupBy("model").agg(F.count("*").alias("n_bodies"), F.try_divide(F.sum(F.when(F.col("rank") == 1, n).otherwise(0)), F.sum(n)).alias("frac_largest"), F.try_divide(F.sum(F.when(F.col("rank") <= 10, n).otherwise(0)), F.sum(n)).alias("frac_top10"))
+    return stats.groupBy("model").agg(
+        F.count("*").alias("n_bodies"), F.try_divide(F.sum(F.when(F.col("rank") == 1, n).otherwise(0)), F.sum(n)).alias("frac_largest"),
+        F.try_divide(F.sum(F.when(F.col("rank") <= 10, n).otherwise(0)), F.sum(n)).alias("frac_top10")
+    )
 
 
 def well_pairs(well_cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,9 +171,14 @@ def injector_connections(wells: DataFrame, pairs: DataFrame) -> DataFrame:
     """By model: producers, injectors, and how many injectors each producer meets (mean, max, count over 0). Injectors' names begin with INJ."""
     inj = lambda c: F.upper(F.substring(c, 1, 3)) == "INJ"
     w = wells.select("model", "well").distinct()
-    both = pairs.union(pairs.select("model", F.col("b"), F.col("a"))).where(~inj(F.col("a")) & inj(F.col("b"))).groupBy("model", F.col("a").alias("well")).agg(F.count("*").alias("n"))
+    both = pairs.union(
+        pairs.select("model", F.col("b"), F.col("a"))
+    ).where(~inj(F.col("a")) & inj(F.col("b"))).groupBy("model", F.col("a").alias("well")).agg(F.count("*").alias("n"))
     prod = w.where(~inj(F.col("well"))).join(both, ["model", "well"], "left").fillna(0, ["n"])
-    out = prod.groupBy("model").agg(F.count("*").alias("n_producers"), F.avg("n").alias("mean_connections"), F.max("n").alias("max_connections"), F.count_if(F.col("n") > 0).alias("n_connected"))
+    out = prod.groupBy("model").agg(
+        F.count("*").alias("n_producers"), F.avg("n").alias("mean_connections"), F.max("n").alias("max_connections"),
+        F.count_if(F.col("n") > 0).alias("n_connected")
+    )
     return out.join(w.groupBy("model").agg(F.count_if(inj(F.col("well"))).alias("n_injectors")), "model")
 
 
@@ -158,12 +187,21 @@ def deck_connectivity(mask: DataFrame, well_cells: DataFrame) -> DataFrame:
     the largest at both connectivities, shape of the largest, and how many injectors each producer meets through a body."""
     labels = label_bodies(mask, 26)
     s26, s6 = body_stats(labels), body_stats(label_bodies(mask, 6))
-    wide = sand_fractions(s26).select("model", F.col("n_bodies").alias("n_bodies_26"), F.col("frac_largest").alias("frac_sand_in_largest_26"), F.col("frac_top10").alias("frac_sand_in_top10_26"))
+    wide = sand_fractions(s26).select(
+        "model", F.col("n_bodies").alias("n_bodies_26"), F.col("frac_largest").alias("frac_sand_in_largest_26"),
+        F.col("frac_top10").alias("frac_sand_in_top10_26")
+    )
     six = sand_fractions(s6).select("model", F.col("n_bodies").alias("n_bodies_6"), F.col("frac_largest").alias("frac_sand_in_largest_6"))
-    top = s26.where("rank = 1").select("model", F.col("n_cells").alias("top1_n_cells"), F.col("anisotropy").alias("top1_anisotropy"), F.col("angle").alias("top1_orientation_deg"))
+    top = s26.where("rank = 1").select(
+        "model", F.col("n_cells").alias("top1_n_cells"), F.col("anisotropy").alias("top1_anisotropy"),
+        F.col("angle").alias("top1_orientation_deg")
+    )
     inj = F.upper(F.substring("well", 1, 3)) == "INJ"
     wells = well_cells.select("model", "well").distinct().groupBy("model").agg(F.count_if(~inj).alias("n_producers"), F.count_if(inj).alias("n_injectors"))
-    met = injector_connections(well_cells, well_pairs(well_cells, labels)).select("model", F.col("mean_connections").alias("mean_inj_connections_per_producer"), F.col("max_connections").alias("max_inj_connections_per_producer"), F.col("n_connected").alias("n_producers_connected_to_any_inj"))
+    met = injector_connections(well_cells, well_pairs(well_cells, labels)).select(
+        "model", F.col("mean_connections").alias("mean_inj_connections_per_producer"),
+        F.col("max_connections").alias("max_inj_connections_per_producer"), F.col("n_connected").alias("n_producers_connected_to_any_inj")
+    )
     out = mask.select("model").union(well_cells.select("model")).distinct()
     for t in (wide, six, top, wells, met):
         out = out.join(t, "model", "left")
@@ -173,10 +211,19 @@ def deck_connectivity(mask: DataFrame, well_cells: DataFrame) -> DataFrame:
 def sample_track(tracks: DataFrame, step: float = 0.5) -> DataFrame:
     """(model, well, s, md, x, y, z): points at equal measured depths along each track (model, well, seq, x, y, z, md), linear between survey points; tracks of under 2 points or no length give none."""
     w = Window.partitionBy("model", "well").orderBy("seq")
-    seg = tracks.withColumns({f"{c}2": F.lead(c).over(w) for c in ("x", "y", "z", "md")}).withColumn("last", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    box = tracks.groupBy("model", "well").agg(F.count("*").alias("m"), F.min_by("md", "seq").alias("md0"), F.max_by("md", "seq").alias("md1")).where("m >= 2 and md1 > md0")
+    seg = tracks.withColumns({f"{c}2": F.lead(c).over(w) for c in ("x", "y", "z", "md")}).withColumn(
+        "last", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    box = tracks.groupBy("model", "well").agg(
+        F.count("*").alias("m"), F.min_by("md", "seq").alias("md0"), F.max_by("md", "seq").alias("md1")
+    ).where("m >= 2 and md1 > md0")
     n = F.greatest(F.lit(2), (F.ceil((F.col("md1") - F.col("md0")) / step) + 1).cast("int"))
-    points = box.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("md", F.when(F.col("s") == F.col("n") - 1, F.col("md1")).otherwise(F.col("md0") + (F.col("md1") - F.col("md0")) * F.col("s") / (F.col("n") - 1)))
+    points = box.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn(
+        "md",
+        F.when(F.col("s") == F.col("n") - 1, F.col("md1")).otherwise(
+            F.col("md0") + (F.col("md1") - F.col("md0")) * F.col("s") / (F.col("n") - 1)
+        )
+    )
     hit = points.select("model", "well", "s", F.col("md").alias("at")).join(seg.where("md2 is not null"), ["model", "well"]).where("at >= md and at <= md2")
     t = F.coalesce(F.try_divide(F.col("at") - F.col("md"), F.col("md2") - F.col("md")), F.lit(0.0))
     one = hit.withColumn("_r", F.row_number().over(Window.partitionBy("model", "well", "s").orderBy("seq"))).where("_r = 1")
@@ -194,7 +241,11 @@ def locate(points: DataFrame, quads: DataFrame, size: float) -> DataFrame:
     span = lambda cols: F.sequence(F.floor(F.least(*cols) / size), F.floor(F.greatest(*cols) / size))
     cells = quads.withColumn("bx", F.explode(span(xs))).withColumn("by", F.explode(span(ys)))
     p = points.withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
-    cross = [(F.col(f"x{(n + 1) % 4}") - F.col(f"x{n}")) * (F.col("y") - F.col(f"y{n}")) - (F.col(f"y{(n + 1) % 4}") - F.col(f"y{n}")) * (F.col("x") - F.col(f"x{n}")) for n in range(4)]
+    cross = [
+        (F.col(f"x{(n + 1) % 4}") - F.col(f"x{n}")) * (F.col("y") - F.col(f"y{n}")) - (
+            F.col(f"y{(n + 1) % 4}") - F.col(f"y{n}")
+        ) * (F.col("x") - F.col(f"x{n}")) for n in range(4)
+    ]
     inside = (F.least(*cross) >= 0) | (F.greatest(*cross) <= 0)
     mid = lambda cols: sum((F.col(c) for c in cols), F.lit(0.0)) / 4
     near = F.pow(F.col("x") - mid(xs), 2) + F.pow(F.col("y") - mid(ys), 2)
@@ -212,7 +263,9 @@ def perforated(spans: DataFrame, perfs: DataFrame, eps: float = 1e-6) -> DataFra
     """Add perforated: a run (md_in, md_out) overlaps an interval of its well by more than eps; wells without intervals are perforated throughout."""
     known = perfs.select("model", "well").distinct().withColumn("_known", F.lit(True))
     lo, hi = F.least("md_in", "md_out"), F.greatest("md_in", "md_out")
-    rows = spans.join(known, ["model", "well"], "left").join(perfs, ["model", "well"], "left").withColumn("_hit", F.greatest(lo, F.col("md_low")) + eps < F.least(hi, F.col("md_high")))
+    rows = spans.join(known, ["model", "well"], "left").join(perfs, ["model", "well"], "left").withColumn(
+        "_hit", F.greatest(lo, F.col("md_low")) + eps < F.least(hi, F.col("md_high"))
+    )
     return rows.groupBy(*spans.columns).agg((F.max(F.col("_known")).isNull() | F.coalesce(F.bool_or("_hit"), F.lit(False))).alias("perforated"))
 
 
@@ -221,18 +274,26 @@ def traverse(tracks: DataFrame, quads: DataFrame, layers: DataFrame, perfs: Data
     at = bracket(locate(sample_track(tracks, step), quads, size), layers)
     cell = F.when(F.col("k").isNotNull(), F.struct("i", "j", "k"))
     w = Window.partitionBy("model", "well").orderBy("s")
-    rows = at.withColumn("cell", cell).withColumn("_c", F.when(F.lag("cell").over(w).eqNullSafe(F.col("cell")) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = rows.where("cell is not null").groupBy("model", "well", "run", "i", "j", "k").agg(F.min("md").alias("md_in"), F.max("md").alias("md_out"), F.abs(F.max_by("z", "s") - F.min_by("z", "s")).alias("dz_eff"))
+    rows = at.withColumn("cell", cell).withColumn(
+        "_c", F.when(F.lag("cell").over(w).eqNullSafe(F.col("cell")) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    ).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = rows.where("cell is not null").groupBy("model", "well", "run", "i", "j", "k").agg(
+        F.min("md").alias("md_in"), F.max("md").alias("md_out"), F.abs(F.max_by("z", "s") - F.min_by("z", "s")).alias("dz_eff")
+    )
     return perforated(g, perfs)
 
 
 def grid_quads(pillars: DataFrame) -> DataFrame:
     """Plan cells from pillar tops (j, i, x, y): corners in order around each cell, and the centre."""
-    p = lambda n, di, dj: pillars.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    p = lambda n, di, dj: pillars.select(
+        (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")
+    )
     q = p(0, 0, 0)
     for n, di, dj in ((1, 1, 0), (2, 1, 1), (3, 0, 1)):
         q = q.join(p(n, di, dj), ["i", "j"])
-    return q.withColumn("cx", (F.col("x0") + F.col("x1") + F.col("x2") + F.col("x3")) / 4).withColumn("cy", (F.col("y0") + F.col("y1") + F.col("y2") + F.col("y3")) / 4)
+    return q.withColumn("cx", (F.col("x0") + F.col("x1") + F.col("x2") + F.col("x3")) / 4).withColumn(
+        "cy", (F.col("y0") + F.col("y1") + F.col("y2") + F.col("y3")) / 4
+    )
 
 
 def layers_from_zcorn(zcorn: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -240,5 +301,7 @@ def layers_from_zcorn(zcorn: DataFrame, nx: int, ny: int) -> DataFrame:
     p = F.col("pos")
     i, rest = F.floor(p % (2 * nx) / 2), F.floor(p / (2 * nx))
     j, rest2 = F.floor(rest % (2 * ny) / 2), F.floor(rest / (2 * ny))
-    g = zcorn.select(i.cast("int").alias("i"), j.cast("int").alias("j"), F.floor(rest2 / 2).cast("int").alias("k"), (rest2 % 2).alias("side"), "z").groupBy("i", "j", "k")
+    g = zcorn.select(
+        i.cast("int").alias("i"), j.cast("int").alias("j"), F.floor(rest2 / 2).cast("int").alias("k"), (rest2 % 2).alias("side"), "z"
+    ).groupBy("i", "j", "k")
     return g.agg(F.avg(F.when(F.col("side") == 0, F.col("z"))).alias("z_top"), F.avg(F.when(F.col("side") == 1, F.col("z"))).alias("z_bot"))

@@ -65,7 +65,10 @@ def position_blocks(sim: DataFrame, keys=KEY, block: int = 512, **constants) ->
     # written once, as several passes read it
     g = sim.sparkSession.read.parquet(sinks.write_table(g, f"{sinks.scratch(sim.sparkSession, 'positions')}/blocks"))
     n = max(1, -(-g.count() // block))
-    return g.select(F.pmod(F.xxhash64("pos"), F.lit(int(n))).alias("block"), "pos", F.col("p.member_id").alias("ids"), F.col("p.value").alias("values"), *constants)
+    return g.select(
+        F.pmod(F.xxhash64("pos"), F.lit(int(n))).alias("block"), "pos", F.col("p.member_id").alias("ids"), F.col("p.value").alias("values"),
+        *constants
+    )
 
 
 def _centred(pdf: pd.DataFrame) -> np.ndarray:
@@ -226,7 +229,10 @@ def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: fl
     return blocks.groupBy("block").applyInPandas(columns, GAIN)
 
 
-def ensemble_update(theta: DataFrame, sim: DataFrame, truth: DataFrame, mask: DataFrame | None = None, energy: float = 0.99, seed: int = 42, perturb: bool = True, keys=KEY) -> DataFrame:
+def ensemble_update(
+    theta: DataFrame, sim: DataFrame, truth: DataFrame, mask: DataFrame | None = None, energy: float = 0.99, seed: int = 42,
+    perturb: bool = True, keys=KEY
+) -> DataFrame:
     """Posterior parameters (member_id, comp, comp_pos, value): the gain, masked, meets the innovations in a join.
 
     The noise of truth (d_obs, sigma) is diagonal; draws depend on seed, member and position.
@@ -237,9 +243,13 @@ def ensemble_update(theta: DataFrame, sim: DataFrame, truth: DataFrame, mask: Da
     if mask is not None:
         k = k.join(mask.select("comp", pos, "mask"), ["comp", "pos"]).select("comp", "pos", (F.col("gain") * F.col("mask")).alias("gain")).where("gain <> 0")
     eps = F.col("sigma") * perturbation(seed, "member_id", "pos") if perturb else F.lit(0.0)
-    inn = sim.select("member_id", pos, "value").join(truth.select(pos, "d_obs", "sigma"), "pos").select("member_id", "pos", (F.col("d_obs") + eps - F.col("value")).alias("innovation"))
+    inn = sim.select("member_id", pos, "value").join(truth.select(pos, "d_obs", "sigma"), "pos").select(
+        "member_id", "pos", (F.col("d_obs") + eps - F.col("value")).alias("innovation")
+    )
     step = inn.join(k, "pos").groupBy("member_id", "comp").agg(F.sum(F.col("gain") * F.col("innovation")).alias("step"))
-    return theta.join(step, ["member_id", "comp"], "left").select("member_id", "comp", "comp_pos", (F.col("value") + F.coalesce("step", F.lit(0.0))).alias("value"))
+    return theta.join(step, ["member_id", "comp"], "left").select(
+        "member_id", "comp", "comp_pos", (F.col("value") + F.coalesce("step", F.lit(0.0))).alias("value")
+    )
 
 
 def update_two(theta: DataFrame, sim: DataFrame, truth: DataFrame, keys=KEY) -> DataFrame:
@@ -247,12 +257,26 @@ def update_two(theta: DataFrame, sim: DataFrame, truth: DataFrame, keys=KEY) ->
     keys = list(keys)
     obs = truth.select(*keys, "d_obs", "sigma").withColumn("o", F.row_number().over(Window.orderBy(*keys)))
     d = sim.select("member_id", *keys, "value").join(F.broadcast(obs), keys)
-    wide = d.groupBy("member_id").agg(*(F.max(F.when(F.col("o") == i, F.col(c))).alias(f"{n}{i}") for i in (1, 2) for c, n in (("value", "d"), ("d_obs", "y"), ("sigma", "s"))))
+    wide = d.groupBy("member_id").agg(
+        *(
+            F.max(F.when(F.col("o") == i, F.col(c))).alias(f"{n}{i}") for i in (1, 2) for c,
+            n in (("value", "d"), ("d_obs", "y"), ("sigma", "s"))
+        )
+    )
     z = theta.select("member_id", "comp", "comp_pos", "value").join(wide, "member_id")
-    g = z.groupBy("comp").agg(F.covar_samp("value", "d1").alias("c1"), F.covar_samp("value", "d2").alias("c2"), (F.var_samp("d1") + F.max("s1") ** 2).alias("a"), (F.var_samp("d2") + F.max("s2") ** 2).alias("b"), F.covar_samp("d1", "d2").alias("c"))
+    g = z.groupBy("comp").agg(
+        F.covar_samp("value", "d1").alias("c1"), F.covar_samp("value", "d2").alias("c2"), (F.var_samp("d1") + F.max("s1") ** 2).alias("a"),
+        (F.var_samp("d2") + F.max("s2") ** 2).alias("b"), F.covar_samp("d1", "d2").alias("c")
+    )
     det = F.col("a") * F.col("b") - F.col("c") * F.col("c")
-    k = g.select("comp", ((F.col("c1") * F.col("b") - F.col("c2") * F.col("c")) / det).alias("k1"), ((F.col("c2") * F.col("a") - F.col("c1") * F.col("c")) / det).alias("k2"))
-    return z.join(k, "comp").select("member_id", "comp", (F.col("value") + F.col("k1") * (F.col("y1") - F.col("d1")) + F.col("k2") * (F.col("y2") - F.col("d2"))).alias("value"))
+    k = g.select(
+        "comp", ((F.col("c1") * F.col("b") - F.col("c2") * F.col("c")) / det).alias("k1"),
+        ((F.col("c2") * F.col("a") - F.col("c1") * F.col("c")) / det).alias("k2")
+    )
+    return z.join(k, "comp").select(
+        "member_id", "comp",
+        (F.col("value") + F.col("k1") * (F.col("y1") - F.col("d1")) + F.col("k2") * (F.col("y2") - F.col("d2"))).alias("value")
+    )
 
 
 def mahalanobis(prior: DataFrame, post: DataFrame, jitter: float = 1e-12) -> DataFrame:
@@ -262,7 +286,9 @@ def mahalanobis(prior: DataFrame, post: DataFrame, jitter: float = 1e-12) -> Dat
     row = wide.agg(*(F.covar_samp(f"`{a}`", f"`{b}`").alias(f"c{i}_{j}") for i, a in enumerate(comps) for j, b in enumerate(comps))).first()
     c = np.array([[row[f"c{i}_{j}"] or 0.0 for j in range(len(comps))] for i in range(len(comps))])
     inv = np.linalg.pinv(c + jitter * np.eye(len(comps)))
-    shift = prior.select("member_id", "comp", F.col("value").alias("a")).join(post.select("member_id", "comp", F.col("value").alias("b")), ["member_id", "comp"]).groupBy("member_id").pivot("comp", comps).agg(F.first(F.col("b") - F.col("a")))
+    shift = prior.select("member_id", "comp", F.col("value").alias("a")).join(
+        post.select("member_id", "comp", F.col("value").alias("b")), ["member_id", "comp"]
+    ).groupBy("member_id").pivot("comp", comps).agg(F.first(F.col("b") - F.col("a")))
     q = sum(((F.col(f"`{a}`") * F.col(f"`{b}`") * float(inv[i, j])) for i, a in enumerate(comps) for j, b in enumerate(comps)), F.lit(0.0))
     return shift.select("member_id", F.sqrt(F.greatest(q, F.lit(0.0))).alias("distance"))
 
@@ -273,7 +299,9 @@ PROXY = "cluster_id long, comp string, z_mean double, lo double, hi double, pos
 def build_proxies(theta: DataFrame, sim: DataFrame, ridge: float = 1e-8, keys=KEY) -> DataFrame:
     """One linear proxy a cluster of two members or more, long: slopes of each position on each component, means and envelope."""
     pos = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
-    rows = theta.select("cluster_id", "member_id", F.lit("z").alias("what"), F.col("comp").alias("name"), "value").unionByName(sim.select("cluster_id", "member_id", F.lit("d").alias("what"), pos.alias("name"), "value"))
+    rows = theta.select("cluster_id", "member_id", F.lit("z").alias("what"), F.col("comp").alias("name"), "value").unionByName(
+        sim.select("cluster_id", "member_id", F.lit("d").alias("what"), pos.alias("name"), "value")
+    )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = [c.split()[0] for c in PROXY.split(", ")]
@@ -297,14 +325,20 @@ def predict(proxies: DataFrame, theta: DataFrame) -> DataFrame:
     z = theta.select("member_id", "cluster_id", "comp", "value")
     inside = F.bool_and(F.col("value").between(F.col("lo"), F.col("hi")))
     rows = z.join(proxies, ["cluster_id", "comp"], "left")
-    return rows.groupBy("member_id", "pos").agg((F.max("d_mean") + F.sum((F.col("value") - F.col("z_mean")) * F.col("slope"))).alias("predicted"), F.coalesce(inside, F.lit(False)).alias("in_envelope"))
+    return rows.groupBy("member_id", "pos").agg(
+        (F.max("d_mean") + F.sum((F.col("value") - F.col("z_mean")) * F.col("slope"))).alias("predicted"),
+        F.coalesce(inside, F.lit(False)).alias("in_envelope")
+    )
 
 
 def simple_proxies(theta: DataFrame, sim: DataFrame, ridge: float = 1e-8, keys=KEY) -> DataFrame:
     """Proxies of one component by aggregation alone."""
     z = theta.select("member_id", "cluster_id", F.col("value").alias("z"))
     rows = z.join(sim.select("member_id", *keys, F.col("value").alias("d")), "member_id")
-    g = rows.groupBy("cluster_id", *keys).agg(F.count("*").alias("n_train"), F.avg("z").alias("z_mean"), F.avg("d").alias("d_mean"), F.min("z").alias("lo"), F.max("z").alias("hi"), (F.covar_samp("z", "d") / (F.var_samp("z") + ridge)).alias("slope"), F.stddev_samp("d").alias("sigma"))
+    g = rows.groupBy("cluster_id", *keys).agg(
+        F.count("*").alias("n_train"), F.avg("z").alias("z_mean"), F.avg("d").alias("d_mean"), F.min("z").alias("lo"),
+        F.max("z").alias("hi"), (F.covar_samp("z", "d") / (F.var_samp("z") + ridge)).alias("slope"), F.stddev_samp("d").alias("sigma")
+    )
     return g.where("n_train >= 2")
 
 
@@ -318,11 +352,15 @@ def proxy_errors(theta: DataFrame, sim: DataFrame, split: DataFrame, ridge: floa
     rows = sim.select("member_id", *keys, "value").join(cluster, "member_id")
     seen = rows.join(train.select("member_id").distinct(), "member_id", "left_semi")
     fitted = build_proxies(train, seen, ridge, keys)
-    spread = seen.groupBy("cluster_id", _position(keys).alias("pos")).agg(F.stddev_samp("value").alias("sigma"), F.count("*").alias("n_train")).where("n_train >= 2")
+    spread = seen.groupBy("cluster_id", _position(keys).alias("pos")).agg(
+        F.stddev_samp("value").alias("sigma"), F.count("*").alias("n_train")
+    ).where("n_train >= 2")
     guess = predict(fitted, held).where("pos is not null").join(held.select("member_id", "cluster_id").distinct(), "member_id")
     true = rows.select("member_id", _position(keys).alias("pos"), "value")
     err = F.abs(F.col("predicted") - F.col("value")) / F.when(F.col("sigma") > 1, F.col("sigma")).otherwise(1.0)
-    return guess.join(true, ["member_id", "pos"]).join(spread, ["cluster_id", "pos"]).groupBy("cluster_id", "member_id").agg(F.max("n_train").alias("n_train"), F.median(err).alias("error"))
+    return guess.join(true, ["member_id", "pos"]).join(spread, ["cluster_id", "pos"]).groupBy("cluster_id", "member_id").agg(
+        F.max("n_train").alias("n_train"), F.median(err).alias("error")
+    )
 
 
 def validate_proxy(theta: DataFrame, sim: DataFrame, split: DataFrame, ridge: float = 1e-8, keys=KEY, errors: DataFrame | None = None) -> DataFrame:
@@ -342,9 +380,13 @@ def regression_r2(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def cross_validated_r2(rows: DataFrame, by: list[str], key: str, x: str, y: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Mean over k folds of the held-out R2 of one predictor; null for under 2k rows. Folds are dealt in an order any engine shares."""
     w = Window.partitionBy(*by)
-    dealt = rows.withColumn("fold", (F.row_number().over(w.orderBy(portable_order(seed, key), key)) - 1) % k).withColumn("n", F.count("*").over(w)).where(F.col("n") >= 2 * k)
+    dealt = rows.withColumn(
+        "fold", (F.row_number().over(w.orderBy(portable_order(seed, key), key)) - 1) % k
+    ).withColumn("n", F.count("*").over(w)).where(F.col("n") >= 2 * k)
     folds = dealt.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    m = folds.where("fold <> out").groupBy(*by, "out").agg(F.try_divide(F.covar_samp(x, y), F.var_samp(x)).alias("b"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    m = folds.where("fold <> out").groupBy(*by, "out").agg(
+        F.try_divide(F.covar_samp(x, y), F.var_samp(x)).alias("b"), F.avg(x).alias("mx"), F.avg(y).alias("my")
+    )
     test = folds.where("fold = out").join(m, [*by, "out"])
     mean = F.avg(y).over(Window.partitionBy(*by, "out"))
     s = test.withColumn("e", (F.col(y) - F.col("my") - F.coalesce("b", F.lit(0.0)) * (F.col(x) - F.col("mx"))) ** 2).withColumn("t", (F.col(y) - mean) ** 2)
@@ -426,7 +468,9 @@ def bootstrap_means(rows: DataFrame, by: list[str], key: str, value: str, draws:
 
     A group's values are one array (of members, so small); the draws index it, so no row is replicated.
     """
-    held = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: x["v"]).alias("vs"))
+    held = rows.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: x["v"]).alias("vs")
+    )
     one = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     pick = lambda i: F.element_at("vs", (F.floor(portable_uniform(seed, "b", i) * F.size("vs")) + 1).cast("int"))
     total = F.aggregate(F.sequence(F.lit(1), F.size("vs")), F.lit(0.0), lambda a, i: a + pick(i))

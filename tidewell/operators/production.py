@@ -19,7 +19,10 @@ def join_rows(theta: DataFrame, responses: DataFrame, seed_map: DataFrame, descr
     return theta.join(responses, "member_id", "left").join(seeds, "model_id", "left").join(geo, F.col("seed_real") == F.col("_seed"), "left").drop("_seed")
 
 
-def production_link(rows: DataFrame, parameters: list[str], geological: list[str], responses: list[str], cluster: str = "cluster", draws: int = 2000, seed: int = 42) -> dict[str, DataFrame]:
+def production_link(
+    rows: DataFrame, parameters: list[str], geological: list[str], responses: list[str], cluster: str = "cluster", draws: int = 2000,
+    seed: int = 42
+) -> dict[str, DataFrame]:
     """Tables uplift, src2 and correlations of complete rows.
 
     uplift has a row for each response and scope (all, and each cluster): both
@@ -27,7 +30,9 @@ def production_link(rows: DataFrame, parameters: list[str], geological: list[str
     status TOO_FEW_SAMPLES where there are under parameters + predictors + 5
     rows. src2 leaves out responses with under LEAST_ROWS complete rows.
     """
-    long = rows.select(F.col(cluster).cast("string").alias("_c"), *(F.col(c).cast("double").alias(c) for c in [*parameters, *geological, *responses])).unpivot(["_c", *parameters, *geological], responses, "response", "y")
+    long = rows.select(
+        F.col(cluster).cast("string").alias("_c"), *(F.col(c).cast("double").alias(c) for c in [*parameters, *geological, *responses])
+    ).unpivot(["_c", *parameters, *geological], responses, "response", "y")
     scopes = long.where("y is not null").withColumn("scope", F.explode(F.array_compact(F.array(F.lit("all"), F.concat(F.lit("cluster_"), "_c")))))
     fitted = linear.r2_uplift(scopes.withColumn("g", F.concat_ws("|", "scope", "response")), "g", parameters, geological, "y", draws, seed)
     part = F.split("group", r"\|", 2)
@@ -35,6 +40,8 @@ def production_link(rows: DataFrame, parameters: list[str], geological: list[str
     uplift = fitted.select(part[1].alias("response"), part[0].alias("scope"), *(c for c in fitted.columns if c != "group"), status.alias("status"))
     full = long.dropna()
     enough = full.groupBy("response").count().where(F.col("count") >= LEAST_ROWS).select("response")
-    src2 = linear.src2(full.join(enough, "response", "left_semi"), "response", [*parameters, *geological], "y", draws, seed).withColumnRenamed("group", "response")
+    src2 = linear.src2(
+        full.join(enough, "response", "left_semi"), "response", [*parameters, *geological], "y", draws, seed
+    ).withColumnRenamed("group", "response")
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     return {"uplift": uplift, "src2": src2, "correlations": geology.response_correlations(numbered, geological, responses, ["_row"])}

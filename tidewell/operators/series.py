@@ -51,7 +51,13 @@ def crps(sim: DataFrame, truth: DataFrame, keys=KEY) -> DataFrame:
     w = Window.partitionBy(*keys)
     ranked = sim.where(F.col("value").isNotNull()).select(*keys, "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("m"))
     both = ranked.join(truth.select(*keys, "d_obs"), keys)
-    return both.groupBy(*keys).agg((F.avg(F.abs(F.col("value") - F.col("d_obs"))) - F.sum((2 * F.col("k") - F.col("m") - 1) * F.col("value") / (F.col("m") * F.col("m")))).alias("crps"))
+    return both.groupBy(*keys).agg(
+        (
+            F.avg(F.abs(F.col("value") - F.col("d_obs"))) - F.sum(
+                (2 * F.col("k") - F.col("m") - 1) * F.col("value") / (F.col("m") * F.col("m"))
+            )
+        ).alias("crps")
+    )
 
 
 def coverage(sim: DataFrame, truth: DataFrame, by=("metric",)) -> DataFrame:
@@ -84,7 +90,10 @@ def cumulative_error(post: DataFrame, truth: DataFrame) -> DataFrame:
     a = trapezoid(med, ["metric"], ["well", "time"], "m").withColumnRenamed("integral", "int_median")
     b = trapezoid(med, ["metric"], ["well", "time"], "d_obs").withColumnRenamed("integral", "int_truth")
     size = F.abs("int_truth")
-    return a.join(b, "metric").select("metric", "int_median", "int_truth", (F.abs(F.col("int_median") - F.col("int_truth")) / F.when(size > 0, size).otherwise(1.0)).alias("cum_rel_error"))
+    return a.join(b, "metric").select(
+        "metric", "int_median", "int_truth",
+        (F.abs(F.col("int_median") - F.col("int_truth")) / F.when(size > 0, size).otherwise(1.0)).alias("cum_rel_error")
+    )
 
 
 def metrics_summary(setups: dict[str, DataFrame], prior: DataFrame, truth: DataFrame) -> DataFrame:
@@ -93,7 +102,10 @@ def metrics_summary(setups: dict[str, DataFrame], prior: DataFrame, truth: DataF
     for name, post in setups.items():
         s = metric_summary(metric_table(post, prior, truth)).select("metric", "mean_width_ratio", "mean_median_shift", "mean_crps")
         rows = s.join(coverage(post, truth), "metric", "left").join(post.groupBy("metric").agg(F.count_distinct("member_id").alias("m_members")), "metric")
-        rows = rows.select(F.lit(name).alias("setup"), F.col("metric").alias("phase"), "m_members", "mean_width_ratio", "mean_median_shift", "mean_crps", "coverage")
+        rows = rows.select(
+            F.lit(name).alias("setup"), F.col("metric").alias("phase"), "m_members", "mean_width_ratio", "mean_median_shift", "mean_crps",
+            "coverage"
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -114,12 +126,18 @@ def misfit(sim: DataFrame, truth: DataFrame, keys=KEY) -> DataFrame:
     """d_sim mean and std (0 or unknown counts as 1), residual and residual over std, for each observation."""
     g = sim.groupBy(*keys).agg(F.avg("value").alias("d_sim_mean"), F.stddev_samp("value").alias("s"))
     std = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    return truth.select(*keys, "d_obs").join(g, keys).select(*keys, "d_obs", "d_sim_mean", std.alias("d_sim_std"), (F.col("d_sim_mean") - F.col("d_obs")).alias("residual"), ((F.col("d_sim_mean") - F.col("d_obs")) / std).alias("residual_z"))
+    return truth.select(*keys, "d_obs").join(g, keys).select(
+        *keys, "d_obs", "d_sim_mean", std.alias("d_sim_std"), (F.col("d_sim_mean") - F.col("d_obs")).alias("residual"),
+        ((F.col("d_sim_mean") - F.col("d_obs")) / std).alias("residual_z")
+    )
 
 
 def misfit_summary(m: DataFrame, by=("metric",)) -> DataFrame:
     r, z = F.abs("residual"), F.abs("residual_z")
-    return m.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("d_obs") != 0).alias("n_nonzero"), F.avg(r).alias("mean_abs_residual"), F.median(r).alias("median_abs_residual"), F.avg(z).alias("mean_abs_z"), F.max(z).alias("max_abs_z"))
+    return m.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(F.col("d_obs") != 0).alias("n_nonzero"), F.avg(r).alias("mean_abs_residual"),
+        F.median(r).alias("median_abs_residual"), F.avg(z).alias("mean_abs_z"), F.max(z).alias("max_abs_z")
+    )
 
 
 def residual_heatmap(m: DataFrame, clip: float = 10.0) -> DataFrame:
@@ -172,7 +190,10 @@ def split_history(rows: DataFrame, train_years: int, val_years: int) -> DataFram
     return rows.join(ranked, "time").withColumn("split", split).where("split is not null").drop("_n")
 
 
-def diag_sigma(truth: DataFrame, share: float = 0.15, floor_share: float = 0.01, least: float = 1e-3, zero_metrics: tuple[str, ...] = (), zero_sigma: float = 1e6) -> DataFrame:
+def diag_sigma(
+    truth: DataFrame, share: float = 0.15, floor_share: float = 0.01, least: float = 1e-3, zero_metrics: tuple[str, ...] = (),
+    zero_sigma: float = 1e6
+) -> DataFrame:
     """Noise: a share of |d|, not under a floor from the metric's median; zeros of zero_metrics get zero_sigma."""
     size = F.abs("d_obs")
     floor = F.greatest(F.lit(floor_share) * F.median(size).over(Window.partitionBy("metric")), F.lit(least))

@@ -18,7 +18,10 @@ from tidewell.operators import geology, geometry
 from tidewell.sources import decks, sinks, tables
 
 #: Endings of the files of a deck.
-ENDINGS = {"_GRID.inc": "grid", ".grdecl": "corners", "_PORO.inc": "poro", "_PERMX.inc": "permx", "_NTG.inc": "ntg", "_WELLTRACK.inc": "tracks", "_SCHEDULE.inc": "schedule"}
+ENDINGS = {
+    "_GRID.inc": "grid", ".grdecl": "corners", "_PORO.inc": "poro", "_PERMX.inc": "permx", "_NTG.inc": "ntg", "_WELLTRACK.inc": "tracks",
+    "_SCHEDULE.inc": "schedule"
+}
 CELLS = "model long, flat long, i int, j int, k int, poro double, permx double, ntg double"
 #: Folder names are short and one a deck; up to so many go to every executor.
 MOST_DECKS = 100_000
@@ -38,7 +41,10 @@ def scan(spark: SparkSession, root: str, experiment: int) -> DataFrame:
     found = decks.scan_decks(_files(spark, f"{root}/*/*.data", False))
     name = F.element_at(F.split("path", "/"), -1)
     model = F.row_number().over(Window.orderBy("directory")).cast("long")
-    return found.select(model.alias("model"), F.lit(experiment).cast("long").alias("experiment"), "directory", name.alias("deck_name"), F.expr("substring(path, length(directory) + 2, length(path) - length(directory) - 6)").alias("stem"), "cluster", "seed", "centroid")
+    return found.select(
+        model.alias("model"), F.lit(experiment).cast("long").alias("experiment"), "directory", name.alias("deck_name"),
+        F.expr("substring(path, length(directory) + 2, length(path) - length(directory) - 6)").alias("stem"), "cluster", "seed", "centroid"
+    )
 
 
 @dataclass
@@ -58,12 +64,16 @@ class Experiment:
             raise ValueError(f"over {MOST_DECKS} decks below {self.root}")
         parts = F.split("path", "/")
         d = self.decks.select("model", "directory", "stem")
-        files = _files(self.spark, f"{self.root}/*/INCLUDE/*", True).withColumn("_d", F.array_join(F.slice(parts, 1, F.size(parts) - 2), "/")).withColumn("_n", F.element_at(parts, -1))
+        files = _files(self.spark, f"{self.root}/*/INCLUDE/*", True).withColumn(
+            "_d", F.array_join(F.slice(parts, 1, F.size(parts) - 2), "/")
+        ).withColumn("_n", F.element_at(parts, -1))
         ending = F.expr("substring(_n, length(stem) + 1)")
         kind = F.lit(None).cast("string")
         for e, k in ENDINGS.items():
             kind = F.when(ending == e, k).otherwise(kind)
-        self.files = files.join(F.broadcast(d), (F.col("_d") == F.col("directory")) & F.col("_n").startswith(F.col("stem"))).withColumn("kind", kind).where("kind is not null").select("model", "directory", "kind", "text")
+        self.files = files.join(
+            F.broadcast(d), (F.col("_d") == F.col("directory")) & F.col("_n").startswith(F.col("stem"))
+        ).withColumn("kind", kind).where("kind is not null").select("model", "directory", "kind", "text")
         first = self.files.where("kind in ('grid', 'corners')").groupBy("model").agg(F.count("*").alias("n")).where("n = 2").agg(F.min("model")).first()[0]
         self.grid = None
         if first is not None:
@@ -85,7 +95,9 @@ class Experiment:
 
     def _parse_cells(self) -> DataFrame:
         nx, ny, n = self.grid["nx"], self.grid["ny"], self.grid["nx"] * self.grid["ny"] * self.grid["nz"]
-        wide = self.files.groupBy("model").pivot("kind", ["poro", "permx", "ntg"]).agg(F.first("text")).where("poro is not null and permx is not null and ntg is not null")
+        wide = self.files.groupBy("model").pivot("kind", ["poro", "permx", "ntg"]).agg(F.first("text")).where(
+            "poro is not null and permx is not null and ntg is not null"
+        )
 
         def run(batches):
             for b in batches:
@@ -95,7 +107,12 @@ class Experiment:
                     except decks.DeckError:
                         continue  # as a deck without these files
                     flat = pd.RangeIndex(n).to_numpy()
-                    yield pd.DataFrame({"model": model, "flat": flat, "i": flat % nx, "j": flat // nx % ny, "k": flat // (nx * ny), "poro": poro, "permx": permx, "ntg": ntg})
+                    yield pd.DataFrame(
+                        {
+                            "model": model, "flat": flat, "i": flat % nx, "j": flat // nx % ny, "k": flat // (nx * ny), "poro": poro,
+                            "permx": permx, "ntg": ntg
+                        }
+                    )
 
         return wide.mapInPandas(run, CELLS)
 
@@ -135,7 +152,9 @@ class Experiment:
 
     def index(self) -> DataFrame:
         """A row a deck: which files it has, and its number of wells."""
-        wells = decks.tracks(self._of("tracks")).select(F.col("path").cast("long").alias("model"), "well").join(F.broadcast(self.decks.select("model", "directory")), "model").select("directory", "well")
+        wells = decks.tracks(self._of("tracks")).select(F.col("path").cast("long").alias("model"), "well").join(
+            F.broadcast(self.decks.select("model", "directory")), "model"
+        ).select("directory", "well")
         return geology.model_index(self.decks.select("directory", "cluster", "seed", "centroid"), self.files.select("directory", "kind"), wells)
 
 
@@ -153,12 +172,29 @@ def geology_tables(spark: SparkSession, roots: dict[int, str], out: str, cutoff:
             parts[name] = t if parts[name] is None else parts[name].unionByName(t)
     sinks.write_tables(parts, out)
     d, c, _ = (spark.read.parquet(f"{out}/{n}") for n in parts)
-    more = {"descriptor_spread": geology.descriptor_spread(d), "connectivity_spread": geology.connectivity_spread(c), "proportions": geology.facies_proportions(d), "realism": geology.realism(d, geology.DESCRIPTORS)}
+    more = {
+        "descriptor_spread": geology.descriptor_spread(d), "connectivity_spread": geology.connectivity_spread(c),
+        "proportions": geology.facies_proportions(d), "realism": geology.realism(d, geology.DESCRIPTORS)
+    }
     if len(found) == 2:
         a, b = (found[n] for n in sorted(found))
-        more["comparison"] = geology.summary_comparison([geology.axis_means(c, "connectivity", {m: (F.avg(m), ">") for m in ("frac_sand_in_largest_26", "mean_inj_connections_per_producer")}, old=a.number, new=b.number), geology.axis_means(d, "descriptors", {m: (F.avg(m), ">") for m in ("net_sand_penetrated", "mean_ntg_along_well")}, old=a.number, new=b.number)])
+        more["comparison"] = geology.summary_comparison(
+            [
+                geology.axis_means(
+                    c, "connectivity", {m: (F.avg(m), ">") for m in ("frac_sand_in_largest_26", "mean_inj_connections_per_producer")},
+                    old=a.number, new=b.number
+                ),
+                geology.axis_means(
+                    d, "descriptors", {m: (F.avg(m), ">") for m in ("net_sand_penetrated", "mean_ntg_along_well")}, old=a.number,
+                    new=b.number
+                )
+            ]
+        )
         pairs = geology.matched_seeds(a.decks, b.decks)
         names = lambda e, n: e.decks.select(F.col("directory").alias(f"directory_{n}"), F.col("model").alias(f"model_{n}"))
-        more["cube_difference"] = geology.cube_difference(a.cells().drop("cutoff"), b.cells().drop("cutoff"), pairs.join(names(a, "a"), "directory_a").join(names(b, "b"), "directory_b").select("seed", "model_a", "model_b"))
+        more["cube_difference"] = geology.cube_difference(
+            a.cells().drop("cutoff"), b.cells().drop("cutoff"),
+            pairs.join(names(a, "a"), "directory_a").join(names(b, "b"), "directory_b").select("seed", "model_a", "model_b")
+        )
     sinks.write_tables(more, out)
     return parts | more

@@ -82,7 +82,11 @@ def phase1(spark: SparkSession, study: str, out: str, cfg: Config) -> dict[str,
     bi = members.bimodality(post, ["comp"]).agg(F.max("bimodality")).first()[0]
     msgs = members.messages(spread, bounds, dup, rank, n, k, bi)
     misfit = series.misfit(d, obs, keys)
-    tables = {"localization": mask, "localization_summary": linear.localization_summary(mask), "spread": spread, "centroids": members.centroid_shift(t, post), "migration": members.cluster_migration(t, post), "misfit": misfit, "misfit_summary": series.misfit_summary(misfit), "messages": msgs, "bounds": bounds, "duplicates": dup}
+    tables = {
+        "localization": mask, "localization_summary": linear.localization_summary(mask), "spread": spread,
+        "centroids": members.centroid_shift(t, post), "migration": members.cluster_migration(t, post), "misfit": misfit,
+        "misfit_summary": series.misfit_summary(misfit), "messages": msgs, "bounds": bounds, "duplicates": dup
+    }
     sinks.write_qc(tables, {"rank": rank, "full": full["full"]}, f"{out}/phase1/qc")
     sinks.write_sidecar(spark, f"{out}/phase1/theta_post", "theta_post", asdict(cfg), cfg.seed)
     return {"theta_post": post, **tables}
@@ -121,7 +125,10 @@ def phase3(spark: SparkSession, study: str, out: str, cfg: Config) -> dict[str,
     truth = o if cfg.hindcast else _read(spark, study, "truth")[0]
     truth = truth.join(prior.select(*series.KEY).distinct(), series.KEY, "left_semi").select(*series.KEY, "d_obs").dropDuplicates(series.KEY)
     parts = F.split("pos", r"\|")
-    proxy = projected.where("predicted is not null").select("member_id", parts[0].alias("metric"), parts[1].alias("well"), parts[2].cast("long").alias("time"), F.col("predicted").alias("value"), "in_envelope")
+    proxy = projected.where("predicted is not null").select(
+        "member_id", parts[0].alias("metric"), parts[1].alias("well"), parts[2].cast("long").alias("time"),
+        F.col("predicted").alias("value"), "in_envelope"
+    )
     inside = None if cfg.keep_outside else proxy.where("in_envelope").select("member_id").distinct()
     setups = series.build_setups(prior, proxy, inside)
     sinks.write_table(setups, f"{out}/phase3/setups")
@@ -130,7 +137,10 @@ def phase3(spark: SparkSession, study: str, out: str, cfg: Config) -> dict[str,
     summary = series.metrics_summary(by, prior, truth).select(F.lit("hindcast" if cfg.hindcast else "forecast").alias("evaluation_mode"), "*")
     tables = {"summary": summary, "latex": geology.latex_rows(summary)}
     for n, d in by.items():
-        tables |= {f"{n}_field": series.field_total_quantiles(d), f"{n}_metrics": series.metric_table(d, prior, truth), f"{n}_error": series.cumulative_error(d, truth)}
+        tables |= {
+            f"{n}_field": series.field_total_quantiles(d), f"{n}_metrics": series.metric_table(d, prior, truth),
+            f"{n}_error": series.cumulative_error(d, truth)
+        }
     sinks.write_tables(tables, f"{out}/phase3")
     return tables
 
@@ -146,7 +156,10 @@ def run(spark: SparkSession, study: str, out: str, phase: str = "all", cfg: Conf
 def compare_phase1(spark: SparkSession, variants: dict[str, str]) -> dict[str, DataFrame]:
     """Spread and centroids of several runs side by side, by component and by cluster and component."""
     read = lambda out, n: spark.read.option("header", True).csv(f"{out}/phase1/qc/{n}", inferSchema=True)
-    return {"spread": members.align({k: read(o, "spread") for k, o in variants.items()}, ["comp"], "ratio"), "centroids": members.align({k: read(o, "centroids") for k, o in variants.items()}, ["cluster_id", "comp"], "shift_sigma")}
+    return {
+        "spread": members.align({k: read(o, "spread") for k, o in variants.items()}, ["comp"], "ratio"),
+        "centroids": members.align({k: read(o, "centroids") for k, o in variants.items()}, ["cluster_id", "comp"], "shift_sigma")
+    }
 
 
 #: Tables of the report, in its order; those that a run has not written are left out.

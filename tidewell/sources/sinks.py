@@ -52,14 +52,20 @@ def config_hash(config: dict) -> str:
 
 def write_sidecar(spark: SparkSession, path: str, artefact: str, config: dict, seed: int | None = None, **extra) -> dict:
     """Describe an output next to it."""
-    row = {"artefact": artefact, "created": datetime.now(timezone.utc).isoformat(timespec="seconds"), "config_hash": config_hash(config), "seed": seed, "extra": extra}
+    row = {
+        "artefact": artefact, "created": datetime.now(timezone.utc).isoformat(timespec="seconds"), "config_hash": config_hash(config),
+        "seed": seed, "extra": extra
+    }
     spark.createDataFrame([(json.dumps(row, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
     return row
 
 
 def write_plan(plan: DataFrame, folder: str) -> list[str]:
     """Members to re-simulate, the proxy pool and the validation members, as CSV."""
-    return write_tables({"resimulate": plan.where("role = 'resimulate'"), "proxy_pool": plan.where("role = 'proxy'"), "validation": plan.where("validate")}, folder, "csv")
+    return write_tables(
+        {"resimulate": plan.where("role = 'resimulate'"), "proxy_pool": plan.where("role = 'proxy'"), "validation": plan.where("validate")},
+        folder, "csv"
+    )
 
 
 def html_report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
@@ -68,6 +74,10 @@ def html_report(title: str, tables: dict[str, DataFrame], most: int = 200) -> st
     for name, df in tables.items():
         rows = df.limit(most).collect()
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{'—' if x is None else html.escape(f'{x:.4g}' if isinstance(x, float) else str(x))}</td>" for x in r) + "</tr>" for r in rows)
+        body = "".join(
+            "<tr>" + "".join(
+                f"<td>{'—' if x is None else html.escape(f'{x:.4g}' if isinstance(x, float) else str(x))}</td>" for x in r
+            ) + "</tr>" for r in rows
+        )
         parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>" if rows else f"<h2>{html.escape(name)}</h2><p>no rows</p>")
     return "<!DOCTYPE html><meta charset='utf-8'>" + "".join(parts)

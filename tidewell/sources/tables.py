@@ -42,13 +42,28 @@ def load_parameters(sheets: dict[str, DataFrame], components: list[str]) -> Data
     parts = []
     for n, (name, df) in enumerate(sheets.items()):
         cluster = int(name.split("_")[1])
-        parts.append(df.where("MODEL is not null").select(F.col("MODEL").cast("long").alias("model_id"), F.lit(cluster).cast("long").alias("cluster_id"), half_even("SEED").cast("long").alias("seed"), F.lit(name).alias("sheet"), F.lit(n).alias("sheet_no"), *(F.col(c).cast("double").alias(c) for c in components)))
+        parts.append(
+            df.where("MODEL is not null").select(
+                F.col("MODEL").cast("long").alias("model_id"), F.lit(cluster).cast("long").alias("cluster_id"),
+                half_even("SEED").cast("long").alias("seed"), F.lit(name).alias("sheet"), F.lit(n).alias("sheet_no"),
+                *(F.col(c).cast("double").alias(c) for c in components)
+            )
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
 def theta_by_sheet(sheets: list[DataFrame], components: list[str]) -> DataFrame:
     """As load_parameters, but the cluster is the sheet's place, from 1."""
-    return reduce(DataFrame.unionByName, (df.where("MODEL is not null").select(F.lit(i + 1).cast("long").alias("cluster_id"), F.col("MODEL").cast("long").alias("model_id"), *(F.col(c).cast("double").alias(c) for c in components)) for i, df in enumerate(sheets)))
+    return reduce(
+        DataFrame.unionByName,
+        (
+            df.where("MODEL is not null").select(
+                F.lit(i + 1).cast("long").alias("cluster_id"), F.col("MODEL").cast("long").alias("model_id"),
+                *(F.col(c).cast("double").alias(c) for c in components)
+            ) for i,
+            df in enumerate(sheets)
+        )
+    )
 
 
 def seed_map(df: DataFrame, order: str) -> DataFrame:
@@ -84,7 +99,9 @@ def load_ensemble(manifest: DataFrame, dynamics: DataFrame) -> DataFrame:
     """
     c, s = sheet_key("sheet", ENSEMBLE_SHEET)
     last = manifest.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id", "seed").orderBy(F.desc("ord")))).where("_r = 1").drop("_r")
-    rows = dynamics.withColumn("cluster_id", c).withColumn("seed", s).where("cluster_id is not null").join(last.select("cluster_id", "seed", "model_id", "ord"), ["cluster_id", "seed"])
+    rows = dynamics.withColumn("cluster_id", c).withColumn("seed", s).where("cluster_id is not null").join(
+        last.select("cluster_id", "seed", "model_id", "ord"), ["cluster_id", "seed"]
+    )
     sizes = rows.groupBy("cluster_id", "seed").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
     first = sizes.agg(F.min_by("n", "o").alias("want"))
     out = rows.join(sizes.crossJoin(F.broadcast(first)).where("n = want").select("cluster_id", "seed"), ["cluster_id", "seed"], "left_semi")
@@ -112,7 +129,9 @@ def last_in_year(want: DataFrame, rows: DataFrame, keys: list[str], time: str, v
 def load_forecast(manifest: DataFrame, dynamics: DataFrame, cutoff) -> DataFrame:
     """Cumulative series from a cutoff on, less the last value before it, joined to the manifest; unlike load_ensemble a missing value is kept. Sheets without late rows, or with another number of them than the first, go."""
     c, s = sheet_key("sheet", FORECAST_SHEET)
-    rows = dynamics.withColumn("cluster_id", c).withColumn("seed", s).where("cluster_id is not null").join(manifest.select("cluster_id", "seed", "model_id", "ord"), ["cluster_id", "seed"])
+    rows = dynamics.withColumn("cluster_id", c).withColumn("seed", s).where("cluster_id is not null").join(
+        manifest.select("cluster_id", "seed", "model_id", "ord"), ["cluster_id", "seed"]
+    )
     base = rows.where(F.col("time") < cutoff).groupBy("cluster_id", "seed", "metric", "well").agg(F.max_by("value", "time").alias("_b"))
     late = rows.where(F.col("time") >= cutoff)
     sizes = late.groupBy("cluster_id", "seed").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
