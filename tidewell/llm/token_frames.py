@@ -57,7 +57,7 @@ class _ChunkIds(dict):
     come back.
     """
 
-    def __init__(self, definition: str, dtype: str, most: int = 300_000):
+    def __init__(self, definition: str, dtype: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -136,7 +136,7 @@ _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
 _BYTE_NAMES = {b: 256 + 33 + i for i, b in enumerate([*range(127, 161)])} | {173: 256 + 33 + 34}
 
 #: Bytes that are cut together, and how much text at a time.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 def _pieces(texts: list[tuple[int, bytes]]):
@@ -221,6 +221,8 @@ def _gathered(batches):
             held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+    # workers live on: what this task has used goes back to the system
+    pa.default_memory_pool().release_unused()
 
 
 def splits_at_spaces(definition: str) -> bool:
