@@ -55,6 +55,12 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed
 """
 
 
+EXACT = r"""
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents) WINDOW w AS (PARTITION BY norm)
+"""
+
+
 def quality_sql(least_group: int = 50) -> str:
     exact = lambda e: f"({e.replace(' / ', '::DOUBLE / ')})"
     values = " UNION ALL ".join(

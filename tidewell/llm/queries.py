@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, language, mixing, near_dedup, outside_sql, pii, quality, substring_dedup, token_frames, url_filter, warc
+from tidewell.llm import alignment, decontaminate, exact_dedup, language, mixing, near_dedup, outside_sql, pii, quality, substring_dedup, token_frames, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -55,10 +55,20 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_near_dedup, op2_url_filter, op3_warc, op4_quality, op5_mix, op6_personal_data, op7_language, op8_token_frames,
-        op9_decontaminate, op10_substring_dedup
+        op9_decontaminate, op10_substring_dedup, op11_exact_dedup, op12_alignment
     )
 }
 
@@ -70,4 +80,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mix": mixing.mix_sql(),
     "op9_decontaminate": outside_sql.DECONTAMINATE,
     "op10_substring_dedup": outside_sql.SUBSTRINGS,
+    "op11_exact_dedup": outside_sql.EXACT,
 }
