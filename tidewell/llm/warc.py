@@ -32,31 +32,39 @@ CHUNKS = pa.schema(
 CHUNKS_TYPE = "record_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, chunk_no long, last boolean, data binary, digest_so_far string"
 
 
-#: Bits of a digest that choose a word of 64 bits, and so the greatest number of rows of the table of marks.
-MARK_BITS = 18
+#: Bits of a digest that choose a word of 64 bits in the table of marks, by the number of copies: at most, and fewest.
+MOST_MARK_BITS, LEAST_MARK_BITS = 21, 10
+#: Copies up to which their table goes to every executor itself (some 30 MB as Spark holds it).
+MOST_BROADCAST = 100_000
 
 
-def _marks(marked: DataFrame) -> DataFrame:
-    """(word, bits): a set bit for each digest in marked, 64 bits a row, 2 ** MARK_BITS rows at most."""
-    word, bit = _mark_of(F.col("key"))
+def mark_bits(copies: int) -> int:
+    """So many bits that an eighth of the marks is set at most, up to 16 million copies; beyond that marks fill up, and more payloads are shuffled."""
+    return max(LEAST_MARK_BITS, min(MOST_MARK_BITS, copies.bit_length() - 3))
+
+
+def _marks(marked: DataFrame, bits: int) -> DataFrame:
+    """(word, bits): a set bit for each digest in marked, 64 bits a row, 2 ** bits rows at most."""
+    word, bit = _mark_of(F.col("key"), bits)
     return marked.select(
         word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")
     ).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
-def _mark_of(digest):
+def _mark_of(digest, bits: int):
     n = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return F.shiftright(n, 32 - MARK_BITS), n.bitwiseAND(F.lit(63)).cast("int")
+    return F.shiftright(n, 32 - bits), n.bitwiseAND(F.lit(63)).cast("int")
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
+def plan_records(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Add payload, its digest and size, record_type and refers_to to pages (page_id, url, html).
 
     Copies are found by digest with partial counts first; small payloads have
     keys of their own, so an empty payload that many pages share stays spread.
-    A table of marks, whose size has a fixed bound, goes to every executor and
-    tells which pages cannot be copies: these stay where they are. Only the rest
-    meets the table of copies in a shuffle, all of it if marks are crowded.
+    The table of copies goes to every executor if it is counted to be small, and
+    payloads stay where they are. Else a table of marks, whose size has a fixed
+    bound, tells which pages cannot be copies: these stay, and the rest meets the
+    table of copies in a shuffle, all of it if marks are crowded.
     """
     p = pages.select(
         F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"),
@@ -69,24 +77,33 @@ def plan_records(pages: DataFrame) -> DataFrame:
     ).where("n > 1 and first_id is not null")
     marked = slim.join(materialize(first, "warc-first"), F.col("key") == F.col("first_key")).where("record_id > first_id")
     marked = materialize(marked.select(F.col("record_id").alias("again_id"), "key", "first_id").distinct(), "warc-copies")
-    word, bit = _mark_of(F.col("payload_digest"))
-    seen = p.join(F.broadcast(_marks(marked)), word == F.col("word"), "left")
-    maybe = F.coalesce(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     # by digest too: rows that share a page_id can have different payloads
-    met = seen.where(maybe).join(marked, (F.col("record_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("key")), "left")
+    same = (F.col("record_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("key"))
     again = F.col("first_id").isNotNull()
     columns = [
         "record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "url",
         "payload_bytes", "payload_digest", F.when(~again, F.col("payload")).alias("payload")
     ]
+    copies = marked.count()
+    if copies <= most_broadcast:
+        return p.join(F.broadcast(marked), same, "left").select(*columns)
+    bits = mark_bits(copies)
+    word, bit = _mark_of(F.col("payload_digest"), bits)
+    seen = p.join(F.broadcast(_marks(marked, bits)), word == F.col("word"), "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    met = seen.where(maybe).join(marked, same, "left")
     return met.select(*columns).union(seen.where(~maybe).withColumn("first_id", F.lit(None).cast("long")).select(*columns))
 
 
 def _cut(records: DataFrame, size: int) -> DataFrame:
-    """Rows of the chunked record table but for digest_so_far: cut where the records are, in order. A revisit is one row without data."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(F.col("payload").cast("binary"), F.lit(b""))) / size)).cast("int")
-    rows = records.withColumn("_n", n).withColumn("_k", F.explode(F.expr("sequence(0, _n - 1)")))
-    data = F.coalesce(F.expr(f"substring(cast(payload as binary), _k * {size} + 1, {size})"), F.lit(b""))
+    """Rows of the chunked record table but for digest_so_far: cut where the records are, in order. A revisit is one row without data.
+
+    The payload becomes bytes once, before its rows are made, so that a row copies its own chunk alone.
+    """
+    rows = records.select(*CHUNKS.names[:6], F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("_b"))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("_b") / size)).cast("int")
+    rows = rows.withColumn("_n", n).withColumn("_k", F.explode(F.expr("sequence(0, _n - 1)")))
+    data = F.expr(f"substring(_b, _k * {size} + 1, {size})")
     return rows.select(*CHUNKS.names[:6], F.col("_k").cast("long").alias("chunk_no"), (F.col("_k") == F.col("_n") - 1).alias("last"), data.alias("data"))
 
 
