@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.common_rows import DOCS, docs, rows
 from tidewell.llm import token_frames, warc
@@ -56,6 +58,19 @@ def test_one_doc_id_fills_several_shards(spark):
     assert sorted(r.ids_crc32 for r in got if r.doc_id == 7) == want
 
 
+def test_many_shards_in_few_partitions(spark, monkeypatch):
+    """Twelve shards written and read by three tasks: the same files, in the same order."""
+    monkeypatch.setattr(token_frames, "MOST_PARTS", 3)
+    df = spark.createDataFrame([(i, f"text {i} here") for i in range(200)], "doc_id long, text string")
+    ids = token_frames.encode(df, token_frames.vocabulary(WORDS), shards=12, most_parts=3)
+    assert ids.rdd.getNumPartitions() == 3
+    files = token_frames.write(ids, shared_dir(spark, "tokens-test"))
+    assert files.count() == 12
+    back = token_frames.read(files)
+    assert back.rdd.getNumPartitions() == 3
+    assert [r.doc_id for r in back.orderBy("start").collect()] == list(range(200))
+
+
 def test_frames_are_read_alone_and_checked(tmp_path):
     path = str(tmp_path / "a.zst")
     w = token_frames.ShardWriter(path, "<u2", frame_bytes=64)
@@ -139,14 +154,15 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
-def test_warc_repeated_page_ids(spark):
-    """Rows of one page_id with different payloads, one or both of them copies of earlier pages."""
+@pytest.mark.parametrize("most", [warc.MOST_BROADCAST, 0])
+def test_warc_repeated_page_ids(spark, most):
+    """Rows of one page_id with different payloads, one or both of them copies of earlier pages; the table of copies sent or joined by marks."""
     a, b, c, d = ("<p>" + x * 200 for x in "abcd")
     table = [
         (1, "http://x/1", a), (2, "http://x/2", b), (5, "http://x/5", a), (5, "http://x/6", c), (7, "http://x/7", a), (7, "http://x/8", b),
         (9, "http://x/9", d)
     ]
-    plan = warc.plan_records(spark.createDataFrame(table, "page_id BIGINT, url STRING, html STRING"))
+    plan = warc.plan_records(spark.createDataFrame(table, "page_id BIGINT, url STRING, html STRING"), most)
     got = sorted((r.record_id, r.url[-1], r.record_type, r.refers_to) for r in plan.collect())
     assert got == [
         (1, "1", "response", None), (2, "2", "response", None), (5, "5", "revisit", 1), (5, "6", "response", None), (7, "7", "revisit", 1),
@@ -154,6 +170,27 @@ def test_warc_repeated_page_ids(spark):
     ]
 
 
+def test_marks_grow_with_the_copies():
+    assert warc.mark_bits(0) == warc.LEAST_MARK_BITS and warc.mark_bits(10**9) == warc.MOST_MARK_BITS
+    assert all(64 << warc.mark_bits(n) >= 8 * n for n in (1, 1000, 10**5, 3 * 10**6, 16 * 10**6))
+
+
+def test_time_of_a_cut_is_linear_in_the_payload(spark, tmp_path):
+    """A payload of 64 MB takes less than three times one of 32 MB; all chunks are there."""
+    took = {}
+    for mb in (4, 32, 64):  # the first one warms up
+        df = spark.range(1).select(F.col("id").alias("record_id"), *(F.lit(None).cast(t).alias(c) for c, t in zip(warc.CHUNKS.names[1:6], ("string", "long", "string", "long", "string"), strict=True)), F.expr(f"repeat('0123456789abcdef', {mb << 16})").alias("payload"))
+        df.write.parquet(f"{tmp_path}/{mb}")
+        rows = warc._cut(spark.read.parquet(f"{tmp_path}/{mb}"), warc.CHUNK)
+        took[mb] = []
+        for _ in range(2):
+            began = time.monotonic()
+            n, size = rows.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
+            took[mb].append(time.monotonic() - began)
+        assert (n, size) == (mb << 4, mb << 20)
+    assert min(took[64]) < 3 * max(min(took[32]), 0.5)
+
+
 def test_chunked_record_table(spark):
     big = "0123456789" * 30_000
     df = spark.createDataFrame([(1, "u", big, "", ""), (2, "u", big, "", ""), (3, "u", None, "", "")], PAGES)

@@ -32,6 +32,8 @@ SKIP_INDEX, SKIP_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 #: Bytes of text, and rows, of one file, about.
 SHARD_TEXT, SHARD_ROWS = 32 << 20, 4 << 20
+#: Tasks that write or read shards, at most; beyond that a task has several shards, one after the other.
+MOST_PARTS = 10_000
 #: Bounds of shards that are drawn in one step; more are drawn from within each of these ranges.
 FAN = 10_000
 
@@ -258,10 +260,11 @@ def shard_bounds(docs: DataFrame, shards: int, fan: int = FAN) -> np.ndarray:
     return np.sort(np.array(bounds, np.int64))
 
 
-def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None = None, fan: int = FAN) -> DataFrame:
+def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None = None, fan: int = FAN, most_parts: int = MOST_PARTS) -> DataFrame:
     """(shard, doc_id, turn, ids): the ids of every whole text and the end id; shards are ranges of doc_id.
 
-    A null text is an empty one; a null doc_id sorts first. A doc_id that fills
+    A partition holds one shard, or several in their order if there are more
+    than most_parts. A null text is an empty one; a null doc_id sorts first. A doc_id that fills
     several shards is dealt over them by a hash of the ids, its rows' turn.
     """
     from tokenizers import Tokenizer
@@ -275,12 +278,15 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
         n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         shards = max(8, int((size or 0) // SHARD_TEXT), n // SHARD_ROWS)
     edges = shard_bounds(docs, shards, fan)
+    n_shards = len(edges) + 1
     spread = {int(d): int(n) for d, n in zip(*np.unique(edges, return_counts=True), strict=True) if n > 1}
+    # sent once to an executor, not with each task
+    sent = docs.sparkSession.sparkContext.broadcast((edges, spread))
 
     def run(batches):
         import xxhash
 
-        ids_of = memo(definition, dtype)
+        ids_of, (edges, spread) = memo(definition, dtype), sent.value
         for b in _gathered(batches):
             docs_, texts = b.column("doc_id"), b.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
             out = [ids + end for ids in (ids_of.of(texts) if by_chunk else [ids_of[t] if t else b"" for t in texts])]
@@ -294,7 +300,8 @@ def encode(docs: DataFrame, definition: str, end_id: int = 1, shards: int | None
             )
 
     out = docs.mapInArrow(run, "shard long, doc_id long, turn long, ids binary")
-    return out.repartitionById(len(edges) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "turn", "ids")
+    parts = min(n_shards, most_parts)
+    return out.repartitionById(parts, F.floor(F.col("shard") * parts / n_shards).cast("int")).sortWithinPartitions("shard", "doc_id", "turn", "ids")
 
 
 class ShardWriter:
@@ -437,7 +444,7 @@ def read(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, counts, crcs)], schema=ROWS)
 
     placed = files.select("path", before.alias("base"), "shard")
-    n = max(1, files.count())
+    n = min(MOST_PARTS, max(1, files.count()))
     return placed.repartitionById(n, (F.col("shard") % n).cast("int")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
