@@ -274,3 +274,89 @@ def test_anchors_in_blocks():
     b, f, z = substring_dedup.anchors(h, 35, block=50)
     per = lambda a, f, z: np.repeat(a, z - f + 1)
     assert (per(a, first, last) == per(b, f, z)).all()
+
+
+def test_neighbours_of_the_order_carry_the_result(spark, sf_dir):
+    """Of what all pairs of all regions connect, neighbours in the sorted orders alone connect nearly everything."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = near_dedup.with_sets(d).where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    pairs = near_dedup.candidate_pairs(near_dedup.forest_rows(sets).cache()).collect()
+
+    def joined(rows):
+        forest = near_dedup.Forest()
+        return sum(forest.join(p.a, p.b) for p in rows)
+
+    assert joined([p for p in pairs if not p.rest]) >= 0.98 * joined(pairs) > 0
+
+
+def test_depth_adapts_to_like_rows():
+    """Rows of one deep prefix meet each other first; a row that agrees with a farther one goes back to it, as far as it may."""
+    r = np.random.default_rng(2)
+    base = r.integers(0, 256, 32).astype(np.uint8)
+    far = base.copy()
+    far[10:] = r.integers(0, 256, 22)
+    rows = sorted([bytes(base), bytes(base), *(bytes([*base[:31], x]) for x in (1, 200)), bytes(far), bytes(r.integers(0, 256, 32).astype(np.uint8))])
+    for tails in (rows, rows + [bytes([255] * 31 + [i]) for i in range(60)]):
+        pairs, label = near_dedup._by_neighbours(tails, 39, 4)
+        alike = [i for i, t in enumerate(tails) if t[:30] == bytes(base[:30])]
+        assert len({label[i] for i in alike}) == 1 and {p for p in pairs if p[0] in alike} == {(i, i - 1) for i in alike[1:]}
+        assert label[tails.index(bytes(far))] not in {label[i] for i in alike}
+
+
+@pytest.mark.parametrize("n", [10, 23, 24, 150])
+def test_neighbours_and_the_rest_join_what_all_pairs_join(n):
+    r = np.random.default_rng(n)
+    tails = [r.integers(0, 2, 32).astype(np.uint8) * 17]
+    for _ in range(n - 1):
+        t = tails[r.integers(0, len(tails))].copy()
+        at = r.choice(32, 12, replace=False)
+        t[at] = r.integers(0, 256, 12)
+        tails.append(t)
+    tails, need = sorted(bytes(t) for t in tails), 39
+
+    def components(pairs):
+        forest = near_dedup.Forest()
+        for i, j in pairs:
+            forest.join(i, j)
+        return [forest.root(i) for i in range(n)]
+
+    numbers = [int.from_bytes(t, "big") for t in tails]
+    want = components([(i, j) for i in range(n) for j in range(i) if near_dedup.agreement(numbers[i], numbers[j]) >= need])
+    for most in (1, 3, 32):
+        near, label = near_dedup._by_neighbours(tails, need, most)
+        rest = near_dedup._joins_of_few(numbers, need, label) if n < 24 else near_dedup._joins_of_many(near_dedup._tails(tails), need, np.array(label))
+        assert all(near_dedup.agreement(numbers[i], numbers[j]) >= need for i, j in near)
+        assert components([*near, *rest]) == want
+
+
+def test_crowded_regions_are_counted_first(spark, monkeypatch):
+    """A region over the bound is told by counts and gets to no task as a whole; regions that share its counter stay."""
+    monkeypatch.setattr(near_dedup, "ROWS_A_COUNTER", 40)
+    place = lambda head, i: bytearray(bytes([0]) + bytes(8 * [head]) + i.to_bytes(32, "big"))
+    rows = [(place(1, i), i) for i in range(30)] + [(place(2 + i % 50, i), 100 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, "place binary, node long").repartition(3)
+    assert [bytes(x.head)[1] for x in near_dedup.crowded_heads(df, len(rows), 20).collect()] == [1]
+    assert near_dedup.crowded_heads(df, len(rows), 30).count() == 0
+    met = []
+    real = near_dedup.neighbour_pairs
+    monkeypatch.setattr(near_dedup, "neighbour_pairs", lambda few, **how: met.append(few.where(F.substring("place", 2, 1) == bytearray([1])).count()) or real(few, **how))
+    near_dedup.candidate_pairs(df, 20).count()
+    assert met == [0]
+
+
+def test_pairs_just_over_the_threshold_are_found(spark):
+    """300 pairs with a similarity of 0.75 to 0.80, each edited in several places: all are found."""
+    r = np.random.default_rng(9)
+    table, n = [], 0
+    while n < 300:
+        words = [f"p{n}w{i}" for i in range(int(r.integers(60, 400)))]
+        edited = list(words)
+        at = r.choice(len(words), max(1, int(len(words) * r.uniform(0.02, 0.035))), replace=False)
+        for i in at:
+            edited[i] = f"e{i}"
+        a, b = (set(zip(*(x[k:] for k in range(5)), strict=False)) for x in (words, edited))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.80:
+            table += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(edited))]
+            n += 1
+    got = {x.doc_id: x.component_id for x in near_dedup.find_near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d - d % 2 for d, _ in table}

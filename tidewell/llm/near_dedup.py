@@ -3,10 +3,12 @@
 Each text has a signature of N_HASH minima. Each of TREES orders reads the
 signature from another place on, so it begins with values that no other order
 begins with. All signatures are sorted in every order; a region is all rows that
-begin with the same DEPTH values there. Its rows are candidates of each other.
-A region with many rows is read deeper: each row there first meets its neighbours
-in the order, with which it shares the longest prefix, and only what these leave
-apart is compared with the whole region, in blocks over many tasks.
+begin with the same DEPTH values there, the least depth. A row's candidates are
+its neighbours in the order: first those that share its longest prefix, then at
+each lesser depth, until one agrees, NEIGHBOURS were looked at, or the region
+ends. So depth adapts to how many rows are alike. What these candidates leave
+apart in a region is compared as a whole, in one task or, if the region is
+crowded, in blocks over many.
 Candidates whose signatures agree well enough join a candidate component; within
 these, all links are confirmed on the full sets of shingles.
 """
@@ -27,9 +29,11 @@ from tidewell.llm.components import Forest, connected_components, sorted_interse
 N_HASH, TREES, DEPTH, TAIL = 128, 32, 4, 64
 #: Rows of a region from which it is compared in blocks of REGION_BLOCK; smaller ones go row by row.
 SMALL_REGION, REGION_BLOCK = 24, 512
-#: Rows of a region that one task compares. In a larger one, a row meets NEIGHBOURS rows before it in the order, then the
-#: rest in pairs of blocks of about CROWDED rows.
-CROWDED, NEIGHBOURS = 4096, 32
+#: Rows before it in the order that a row meets at most, and rows of a region that one task compares; what the neighbours
+#: leave apart in a larger one meets in pairs of blocks of about CROWDED rows.
+NEIGHBOURS, CROWDED = 32, 4096
+#: Forest rows for each of the counters by which crowded regions are looked for.
+ROWS_A_COUNTER = 1000
 #: Agreement of the tail's half-bytes from which a pair is a candidate; a pair at the threshold is 3 deviations above.
 AGREE = 0.60
 #: Forest rows sorted in one task, at most about.
@@ -137,9 +141,41 @@ def agreement(a: int, b: int) -> int:
     return TAIL - (x & _ONES).bit_count()
 
 
-def _joins_of_few(tails: list[int], need: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) that connect what pairs that agree in `need` half-bytes connect. Rows already joined aren't compared."""
+def _by_neighbours(tails: list[bytes], need: int, most: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs (i, j) of each sorted row and the first row before it that agrees in `need` half-bytes, of `most` rows looked at; and labels of what they connect.
+
+    The further back a row lies, the shorter is the prefix that it shares: a step
+    back goes to a lesser depth, or stays at one that many rows share.
+    """
     label, out = list(range(len(tails))), []
+    if len(tails) < SMALL_REGION:
+        numbers = [int.from_bytes(t, "big") for t in tails]
+        found = ((i, next((j for j in range(i - 1, max(i - 1 - most, -1), -1) if agreement(numbers[j], numbers[i]) >= need), None)) for i in range(1, len(tails)))
+        out = [(i, j) for i, j in found if j is not None]
+    else:
+        x, open_ = _tails(tails), np.arange(1, len(tails))
+        for d in range(1, most + 1):
+            open_ = open_[open_ >= d]
+            if not len(open_):
+                break
+            differ = np.zeros(len(open_), np.uint8)
+            for w in range(x.shape[1]):
+                y = x[open_, w] ^ x[open_ - d, w]
+                y |= y >> np.uint64(2)
+                y |= y >> np.uint64(1)
+                differ += np.bitwise_count(y & np.uint64(0x1111111111111111))
+            agrees = differ <= TAIL - need
+            out += [(int(i), int(i) - d) for i in open_[agrees]]
+            open_ = open_[~agrees]
+        out.sort()
+    for i, j in out:  # each row once, after all before it
+        label[i] = label[j]
+    return out, label
+
+
+def _joins_of_few(tails: list[int], need: int, label: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) that connect what pairs that agree in `need` half-bytes connect. Rows of one label are joined already and aren't compared."""
+    label, out = list(range(len(tails))) if label is None else list(label), []
     for i, t in enumerate(tails):
         for j in range(i - 1, -1, -1):
             if label[i] != label[j] and agreement(tails[j], t) >= need:
@@ -196,21 +232,26 @@ def _tails(tails: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(tails), "<u8").reshape(len(tails), -1)
 
 
-def neighbour_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDED) -> DataFrame:
-    """(a, b, place): pairs that connect what all agreeing pairs of each region connect; of a region with more than `crowded`
-    rows, its rows instead, as a and place. Rows come sorted, a region in one task, which holds `crowded` of them at most."""
-    cut, need = 1 + 2 * DEPTH, _need(least)
+def neighbour_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDED, most: int | None = None) -> DataFrame:
+    """(a, b, rest, place): pairs that connect what all agreeing pairs of each region connect, with rest = false those of neighbours in
+    the order and true those that neighbours leave apart; of a region with more than `crowded` rows, its rows instead, as a and
+    place. Rows come sorted, a region in one task, which holds `crowded` of them at most."""
+    cut, need, most = 1 + 2 * DEPTH, _need(least), NEIGHBOURS if most is None else most
 
     def joins(tails, nodes):
-        found = _joins_of_few([int.from_bytes(t, "big") for t in tails], need) if len(nodes) < SMALL_REGION else _joins_of_many(_tails(tails), need)
-        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j]), None) for i, j in found if nodes[i] != nodes[j]]
+        near, label = _by_neighbours(tails, need, most)
+        rest = []
+        if any(x != label[0] for x in label):
+            rest = _joins_of_few([int.from_bytes(t, "big") for t in tails], need, label) if len(nodes) < SMALL_REGION else _joins_of_many(_tails(tails), need, np.array(label))
+        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j]), k, None) for k, found in ((False, near), (True, rest)) for i, j in found if nodes[i] != nodes[j]]
 
     def run(batches):
         region, tails, nodes, many = None, [], [], False
 
         def table(out):
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "place"]
+                [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
+                names=["a", "b", "rest", "place"]
             )
 
         for batch in batches:
@@ -222,18 +263,33 @@ def neighbour_pairs(rows: DataFrame, least: float = AGREE, crowded: int = CROWDE
                         out += joins(tails, nodes)
                     region, tails, nodes, many = head, [], [], False
                 if many:
-                    out.append((node, None, place))
+                    out.append((node, None, None, place))
                     continue
                 tails.append(place[cut:])
                 nodes.append(node)
                 if len(nodes) > crowded:
-                    out += [(n, None, head + t) for n, t in zip(nodes, tails, strict=True)]
+                    out += [(n, None, None, head + t) for n, t in zip(nodes, tails, strict=True)]
                     tails, nodes, many = [], [], True
             yield table(out)
         if len(nodes) > 1:
             yield table(joins(tails, nodes))
 
-    return rows.mapInArrow(run, "a long, b long, place binary")
+    return rows.mapInArrow(run, "a long, b long, rest boolean, place binary")
+
+
+def crowded_heads(rows: DataFrame, n_rows: int, crowded: int = CROWDED) -> DataFrame:
+    """(head): the regions of rows (place, node) with more than `crowded` rows, at most n_rows / crowded of them.
+
+    Rows are first counted by a hash of their head, with about ROWS_A_COUNTER to
+    a counter, and then by the head itself where a counter is over the bound.
+    """
+    head = F.substring("place", 1, 1 + 2 * DEPTH)
+    counter = F.pmod(F.xxhash64(head), F.lit(max(1, n_rows // ROWS_A_COUNTER)))
+    over = materialize(rows.groupBy(counter.alias("_k")).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("_k"), "counters")
+    if not over.limit(1).count():
+        return rows.sparkSession.createDataFrame([], "head binary")
+    inside = rows.join(_light(over), counter == F.col("_k"), "left_semi")
+    return materialize(inside.groupBy(head.alias("head")).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("head"), "crowded-heads")
 
 
 def _nearest(rows: DataFrame, need: int) -> DataFrame:
@@ -522,6 +578,24 @@ def _confirm(candidates: DataFrame, sets: DataFrame, texts: DataFrame, percent:
     return links
 
 
+def candidate_pairs(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(a, b, rest): pairs that connect what all agreeing pairs of each region of rows (place, node) connect; see neighbour_pairs.
+
+    Crowded regions are told by counts, before any task gets a region as a whole.
+    """
+    n_rows, head = rows.count(), F.substring("place", 1, 1 + 2 * DEPTH)
+    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // ROWS_A_PART)
+    heads = crowded_heads(rows, n_rows, crowded)
+    many, few = None, rows
+    if heads.limit(1).count():
+        heads = _light(heads)
+        many, few = rows.join(heads, head == F.col("head"), "left_semi"), rows.join(heads, head == F.col("head"), "left_anti")
+    # by the head alone: a region must not be cut
+    ordered = few.repartitionByRange(int(width), head).sortWithinPartitions("place", "node")
+    pairs = materialize(neighbour_pairs(ordered, crowded=crowded).select("a", "b", "rest").distinct(), "pairs")
+    return pairs if many is None else pairs.union(crowded_pairs(materialize(many, "many"), crowded=crowded).select("a", "b", F.lit(True).alias("rest")))
+
+
 def find_near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROWDED) -> DataFrame:
     """Components of the texts of docs (doc_id, text) whose sets of 5-word shingles agree to `percent` per cent or more.
 
@@ -538,13 +612,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = 75, crowded: int = CROW
     groups = materialize(named.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "groups")
     # a doc_id with several different sets is one node
     rows = materialize(forest_rows(groups.select("node", "sig")), "forest")
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_A_PART)
-    # by the head alone: a region must not be cut
-    ordered = rows.repartitionByRange(int(width), F.substring("place", 1, 1 + 2 * DEPTH)).sortWithinPartitions("place", "node")
-    found = materialize(neighbour_pairs(ordered, crowded=crowded).distinct(), "pairs")
-    pairs, many = found.where("b is not null").select("a", "b"), found.where("place is not null").select("place", F.col("a").alias("node"))
-    if many.limit(1).count():
-        pairs = pairs.union(crowded_pairs(many, crowded=crowded))
+    pairs = candidate_pairs(rows, crowded).select("a", "b")
     candidates = materialize(connected_components(pairs), "candidates")
     member = _light(candidates.select(F.col("node").alias("_m")))
     texts = docs.select(
