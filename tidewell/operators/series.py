@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 KEY = ["metric", "well", "time"]
 
 
-def column_quantiles(sim: DataFrame, quantiles=(0.1, 0.5, 0.9), keys=KEY) -> DataFrame:
-    """Linear-interpolation quantiles over members for each key, as p10, p50, ...; nulls are skipped."""
-    q = F.percentile("value", F.array(*(F.lit(float(x)) for x in quantiles)))
+def column_quantiles(sim: DataFrame, quantiles=(0.1, 0.5, 0.9), keys=KEY, weight: str | None = None) -> DataFrame:
+    """Linear-interpolation quantiles over members for each key, as p10, p50, ...; nulls are skipped. A row counts `weight` times if that column is named."""
+    q = F.percentile("value", F.array(*(F.lit(float(x)) for x in quantiles)), *([F.col(weight)] if weight else []))
     out = sim.groupBy(*keys).agg(q.alias("q"))
     return out.select(*keys, *(F.element_at("q", i + 1).alias(f"p{round(100 * x)}") for i, x in enumerate(quantiles)))
 

@@ -14,15 +14,22 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it: a plain one lies in the default file system, which need not be the local one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; on one machine without that, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/tidewell-study/{name}-{uuid.uuid4().hex}"
+        local = tempfile.mkdtemp(prefix="tidewell-")
+        atexit.register(shutil.rmtree, local, True)
+        base = f"file://{local}"
+    return qualified(spark, f"{base.rstrip('/')}/tidewell-study/{name}-{uuid.uuid4().hex}")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
