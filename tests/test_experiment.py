@@ -207,3 +207,32 @@ def test_validation_of_all_components(spark):
     assert (out[-1].median_rel_err, out[-1].mean_rel_err, out[-1].max_rel_err) == pytest.approx((np.median(errors), np.mean(errors), np.max(errors)))
     assert out[-1].verdict == "PASS"
     assert linear.proxy_errors(theta, sim, split.withColumn("split", F.lit("train"))).count() == 0
+
+
+def test_tall_factorisation_keeps_small_values(spark):
+    """Singular values of a matrix of condition 1e10 to 1e-10 of the largest, by members and by positions, and of 100,000 members."""
+    r = np.random.default_rng(8)
+    q = np.linalg.qr(r.normal(size=(300, 7)) - r.normal(size=(1, 7)))[0]
+    q = np.linalg.qr(q - q.mean(0))[0]
+    want = np.logspace(0, -10, 7)
+    d = (q * want) @ np.linalg.qr(r.normal(size=(7, 7)))[0].T * np.sqrt(299)
+    rows = [(i, "cum", "oil", f"W{j}", 2000, float(d[i, j])) for i in range(300) for j in range(7)]
+    sim = spark.createDataFrame(rows, "member_id LONG, kind STRING, metric STRING, well STRING, time LONG, value DOUBLE")
+    true = np.linalg.svd((d - d.mean(0)) / np.sqrt(299), compute_uv=False)
+    positions, s, vt = linear.by_members(sim)
+    assert positions == sorted(positions) and np.abs(s - true).max() < 1e-13 and np.abs(s - want).max() < 1e-10
+    blocks, names, n = linear.member_blocks(sim, block=40)
+    held, n = linear._numbered(blocks, n)
+    assert n > linear.MERGE - 1 and len(names) == 7
+    again = np.linalg.svd(linear.triangular(held, lambda pdf: np.stack(pdf["values"].to_numpy()), n), compute_uv=False)
+    assert np.abs(again - true).max() < 1e-13
+    wide = spark.createDataFrame([(j, "cum", "oil", f"W{i}", 2000, float(d[i, j])) for i in range(300) for j in range(7)], sim.schema)
+    got = [x.s for x in linear.singular_values(wide, 1.0).orderBy("k").collect()]
+    dw = d.T - d.T.mean(0)
+    assert np.abs(np.array(got) - np.linalg.svd(dw / np.sqrt(6), compute_uv=False)[:7]).max() < 1e-13
+    many = spark.range(100_000).select(F.col("id").alias("member_id"), F.explode(F.array(*(F.lit(w) for w in "abc"))).alias("well")).select(
+        "member_id", F.lit("cum").alias("kind"), F.lit("oil").alias("metric"), "well", F.lit(2000).cast("long").alias("time"), F.xxhash64("member_id", "well").cast("double").alias("value")
+    )
+    s = [x.s for x in linear.singular_values(many, 1.0).orderBy("k").collect()]
+    x = many.groupBy("member_id").pivot("well").agg(F.first("value")).drop("member_id").toPandas().to_numpy()
+    assert s == pytest.approx(np.linalg.svd((x - x.mean(0)) / np.sqrt(len(x) - 1), compute_uv=False).tolist(), rel=1e-10)

@@ -1,8 +1,9 @@
 """Correlation, localization, ensemble update, distances, proxies and regressions.
 
-Sums over members stay in Spark. Positions are dealt over blocks, each a task's;
-what the blocks give, members by members, is summed, and only such a matrix
-meets in one place, for a decomposition. Members by positions never do.
+Sums over members stay in Spark. Members, or positions if there are more of
+them, are dealt over blocks, each a task's, whose triangular factors are merged
+by a tree; only a matrix of the shorter side meets in one place, for a
+decomposition. Members by positions never do.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import portable_order, portable_uniform, taper, verdict
+from tidewell.operators import regression
 from tidewell.operators.series import KEY
 from tidewell.sources import sinks
 
@@ -91,10 +93,88 @@ def _summed(blocks: DataFrame, part) -> np.ndarray:
     return np.array([r.row for r in sorted(out, key=lambda r: r.i)]) if out else np.empty((0, 0))
 
 
-def _spectrum(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(left singular vectors, singular values) of a matrix from its product with its transpose, the largest first."""
-    w, u = np.linalg.eigh(gram)
-    return u[:, ::-1], np.sqrt(np.maximum(w[::-1], 0.0))
+#: Triangular factors that one task merges.
+MERGE = 8
+
+
+def triangular(blocks: DataFrame, part, n_blocks: int) -> np.ndarray:
+    """The triangular factor of the matrix whose rows part(pdf) gives for each block, by a tree of QR decompositions.
+
+    A task decomposes one block, or MERGE stacked factors of the level before;
+    what is gathered is the last factor, columns by columns. Unlike a sum of
+    products with the transpose this doesn't square the condition. Each level is
+    written, so a lost executor costs a task of it.
+    """
+    schema = "block long, i long, row array<double>"
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(part(pdf), mode="r")
+        return pd.DataFrame({"block": int(pdf["block"].iloc[0]), "i": np.arange(len(r)), "row": list(r)})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.stack(pdf.sort_values(["block", "i"])["row"].to_numpy()), mode="r")
+        return pd.DataFrame({"block": int(pdf["up"].iloc[0]), "i": np.arange(len(r)), "row": list(r)})
+
+    spark = blocks.sparkSession
+    level, folder, n = blocks.groupBy("block").applyInPandas(first, schema), sinks.scratch(spark, "factors"), n_blocks
+    while n > 1:
+        level = spark.read.schema(schema).parquet(sinks.write_table(level, f"{folder}/{n}"))
+        level = level.withColumn("up", F.floor(F.col("block") / MERGE)).groupBy("up").applyInPandas(merge, schema)
+        n = -(-n // MERGE)
+    rows = sorted(level.collect(), key=lambda r: r.i)
+    return np.array([r.row for r in rows]) if rows else np.empty((0, 0))
+
+
+def member_blocks(sim: DataFrame, keys=KEY, block: int = 4096) -> tuple[DataFrame, list[str], int]:
+    """((block, member_id, pos, values), positions, number of blocks): one row a member with its values, less the positions' means,
+    over the root of members less one, in the order of the positions."""
+    named = sim.select("member_id", _position(keys).alias("pos"), "value")
+    stats = named.groupBy("pos").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    stats = sim.sparkSession.read.parquet(sinks.write_table(stats, f"{sinks.scratch(sim.sparkSession, 'means')}/means"))
+    positions = sorted(r.pos for r in stats.select("pos").collect())  # columns of the triangular factor
+    scaled = named.join(stats, "pos").select("member_id", "pos", ((F.col("value") - F.col("mean")) / F.sqrt(F.greatest(F.col("n") - 1, F.lit(1)))).alias("v"))
+    rows = scaled.groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    n = max(1, -(-named.select("member_id").distinct().count() // block))
+    return rows.select(F.pmod(F.xxhash64("member_id"), F.lit(int(n))).alias("block"), "member_id", F.col("p.pos").alias("pos"), F.col("p.v").alias("values")), positions, n
+
+
+def _numbered(blocks: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Blocks numbered without gaps: a hash can leave some empty."""
+    have = sorted(r.block for r in blocks.select("block").distinct().collect()) if n > 1 else [0]
+    if len(have) == n:
+        return blocks, n
+    place = F.create_map(*(F.lit(x).cast("long") for i, b in enumerate(have) for x in (b, i)))
+    return blocks.withColumn("block", place[F.col("block")]), len(have)
+
+
+def _shape(sim: DataFrame, keys) -> tuple[int, int]:
+    """Members and positions."""
+    r = sim.select(F.count_distinct("member_id").alias("m"), F.count_distinct(_position(keys)).alias("p")).first()
+    return r.m, r.p
+
+
+def by_members(sim: DataFrame, keys=KEY) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(positions, singular values, right singular vectors as rows) of the centred members-by-positions matrix over the root of
+    members less one, for more members than positions: blocks of members are decomposed, and only positions by positions meet."""
+    blocks, positions, n = member_blocks(sim, keys)
+    blocks, n = _numbered(blocks, n)
+
+    def part(pdf: pd.DataFrame) -> np.ndarray:
+        if any(list(x) != positions for x in pdf["pos"]):
+            raise ValueError("members or observations don't match")
+        return np.stack(pdf["values"].to_numpy())
+
+    r = triangular(blocks, part, n)
+    _, s, vt = np.linalg.svd(r) if r.size else (None, np.empty(0), np.empty((0, len(positions))))
+    return positions, s, vt[: len(s)]
+
+
+def by_positions(blocks: DataFrame, part) -> tuple[np.ndarray, np.ndarray]:
+    """(left singular vectors, singular values) of the same matrix for more positions than members: blocks of positions are decomposed, and members by members meet."""
+    held, n = _numbered(blocks, 1 + (blocks.agg(F.max("block")).first()[0] or 0))
+    r = triangular(held, lambda pdf: part(pdf).T, n)
+    _, s, vt = np.linalg.svd(r) if r.size else (None, np.empty(0), np.empty((0, 0)))
+    return vt[: len(s)].T, s
 
 
 def _kept(s: np.ndarray, energy: float) -> int:
@@ -103,15 +183,17 @@ def _kept(s: np.ndarray, energy: float) -> int:
 
 
 def singular_values(sim: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
-    """(k, s, energy, kept) of the centred members-by-positions matrix over the root of members less one."""
-    blocks = position_blocks(sim, keys)
+    """(k, s, energy, kept) of the centred members-by-positions matrix over the root of members less one.
 
-    def gram(pdf: pd.DataFrame) -> np.ndarray:
-        c = _centred(pdf)
-        return c @ c.T
-
-    _, s = _spectrum(_summed(blocks, gram))
-    s = s[: min(len(s), blocks.count())]
+    The longer side is cut into blocks (members if there are more of them than
+    positions), so a matrix of the shorter side alone meets in one place.
+    """
+    n, p = _shape(sim, keys)
+    if n >= p:
+        _, s, _ = by_members(sim, keys)
+    else:
+        _, s = by_positions(position_blocks(sim, keys), _centred)
+    s = s[: min(n, p)]
     cum = np.cumsum(s**2) / max(float(np.sum(s**2)), 1e-300)
     r = _kept(s, energy)
     rows = [(k + 1, float(x), float(e), k < r) for k, (x, e) in enumerate(zip(s, cum, strict=True))]
@@ -179,39 +261,68 @@ def _long(matrix: np.ndarray, rows, cols, names: tuple[str, str, str]) -> pd.Dat
 GAIN = "comp string, pos string, gain double"
 
 
+def _significant(s: np.ndarray, energy: float, sizes: tuple[int, int]) -> int:
+    """Values kept for an energy; those under the resolution of the decomposition have no direction of their own."""
+    return min(_kept(s, energy), int(np.sum(s > s.max(initial=0.0) * max(sizes) * np.finfo(float).eps)))
+
+
 def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
     """(comp, pos, gain) of the update in the ensemble's subspace, for a diagonal noise.
 
     With the centred members-by-positions matrix D and components matrix Z, both
-    over the root of members less one: D = U S V'. U and S come from D D', which
-    is summed over blocks of positions; V' R V, of kept by kept values, likewise;
-    the gain's columns are then made block by block.
+    over the root of members less one: D = U S V', and the gain is
+    Z' D V (S^2 + V' R V)^-1 V'. With more members than positions, S and V come
+    from blocks of members, and Z' D is a table of covariances. Else U and S
+    come from blocks of positions, V' R V is summed over them, and the gain's
+    columns are made block by block.
     """
     keys = list(keys)
     obs = truth.select(*keys, "sigma")
     d = sim.select("member_id", *keys, "value").join(obs, keys)
+    n, p = _shape(d, keys)
+    if theta.select("member_id").distinct().count() < 2:
+        raise ValueError("an update needs two members or more")
+    return _gain_by_members(theta, d, energy, keys, (n, p)) if n >= p else _gain_by_positions(theta, d, energy, keys, (n, p))
+
+
+def _gain_by_members(theta: DataFrame, d: DataFrame, energy: float, keys: list[str], sizes: tuple[int, int]) -> DataFrame:
+    members = theta.select("member_id").distinct()
+    if members.join(d.select("member_id").distinct(), "member_id").count() != max(members.count(), sizes[0]):
+        raise ValueError("members or observations don't match")
+    positions, s, vt = by_members(d, keys)
+    r = _significant(s, energy, sizes)
+    if r == 0:
+        return theta.sparkSession.createDataFrame([], GAIN)
+    noise = {x.pos: x.sigma for x in d.groupBy(_position(keys).alias("pos")).agg(F.max("sigma").alias("sigma")).collect()}  # a row a position, as in vt
+    v = vt[:r].T
+    inner = np.diag(s[:r] ** 2) + (v * np.array([noise[x] for x in positions])[:, None] ** 2).T @ v
+    right = np.linalg.solve(inner, v.T)  # kept values by positions
+    at = {x: i for i, x in enumerate(positions)}
+    cross = theta.select("member_id", "comp", F.col("value").alias("z")).join(d.select("member_id", _position(keys).alias("pos"), "value"), "member_id")
+    cross = cross.groupBy("comp", "pos").agg(F.covar_samp("z", "value").alias("c"))
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros(len(positions))
+        c[[at[x] for x in pdf["pos"]]] = pdf["c"]
+        return pd.DataFrame({"comp": pdf["comp"].iloc[0], "pos": positions, "gain": c @ v @ right})
+
+    return cross.groupBy("comp").applyInPandas(columns, GAIN)
+
+
+def _gain_by_positions(theta: DataFrame, d: DataFrame, energy: float, keys: list[str], sizes: tuple[int, int]) -> DataFrame:
     blocks = position_blocks(d, keys, sigma=F.max("sigma"))
     ids = [r.member_id for r in theta.select("member_id").distinct().orderBy("member_id").collect()]
-    wide = theta.select("member_id", "comp", "value").toPandas().pivot(index="member_id", columns="comp", values="value").sort_index()  # members by components
-    comps, n = list(wide.columns), len(ids)
-    if n < 2:
-        raise ValueError("an update needs two members or more")
-    z = wide.to_numpy(float)
-    z = (z - z.mean(0)) / np.sqrt(n - 1)
+    wide = theta.select("member_id", "comp", "value").toPandas().pivot(index="member_id", columns="comp", values="value").sort_index()  # fewer members than positions
+    comps, z = list(wide.columns), wide.to_numpy(float)
+    z = (z - z.mean(0)) / np.sqrt(len(ids) - 1)
 
     def block(pdf: pd.DataFrame) -> np.ndarray:
         if any(list(x) != ids for x in pdf["ids"]):
             raise ValueError("members or observations don't match")
         return _centred(pdf)
 
-    def gram(pdf: pd.DataFrame) -> np.ndarray:
-        c = block(pdf)
-        return c @ c.T
-
-    u, s = _spectrum(_summed(blocks, gram))
-    r = _kept(s, energy)
-    # values under the resolution of the sums have no direction of their own
-    r = min(r, int(np.sum(s > s.max(initial=0.0) * np.sqrt(n * np.finfo(float).eps))))
+    u, s = by_positions(blocks, block)
+    r = _significant(s, energy, sizes)
     if r == 0:
         return theta.sparkSession.createDataFrame([], GAIN)
     back = u[:, :r] / s[:r]
@@ -393,74 +504,14 @@ def cross_validated_r2(rows: DataFrame, by: list[str], key: str, x: str, y: str,
     return s.groupBy(*by, "out").agg((1 - F.try_divide(F.sum("e"), F.sum("t"))).alias("score")).groupBy(*by).agg(F.avg("score").alias("r2_cv"))
 
 
-def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """(coefficients of the standardised predictors, in-sample R2); constant predictors get a scale of 1."""
-    s = x.std(0)
-    xs = (x - x.mean(0)) / np.where(s > 0, s, 1.0)
-    b = np.linalg.lstsq(xs, y - y.mean(), rcond=None)[0]
-    t = float(((y - y.mean()) ** 2).sum())
-    return b, 1 - float(((y - y.mean() - xs @ b) ** 2).sum()) / t if t > 0 else float("nan")
-
-
-def ols_cv(x: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -> float:
-    if len(y) < 2 * k:
-        return float("nan")
-    order, scores = np.random.default_rng(seed).permutation(len(y)), []
-    for test in np.array_split(order, k):
-        train = np.setdiff1d(order, test)
-        m, s = x[train].mean(0), x[train].std(0)
-        s = np.where(s > 0, s, 1.0)
-        b = np.linalg.lstsq((x[train] - m) / s, y[train] - y[train].mean(), rcond=None)[0]
-        e = y[test] - y[train].mean() - (x[test] - m) / s @ b
-        t = ((y[test] - y[test].mean()) ** 2).sum()
-        scores.append(1 - (e**2).sum() / t if t > 0 else np.nan)
-    return float(np.nanmean(scores))
-
-
-UPLIFT = "group string, r2_base double, r2_full double, uplift double, ci_low double, ci_high double, n long, r2_base_cv double, r2_full_cv double, uplift_cv double"
+def r2_uplift(rows: DataFrame, group: str, base: list[str], extra: list[str], y: str, draws: int = 2000, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Gain in R2 from the extra predictors; see regression.r2_uplift."""
+    return regression.r2_uplift(rows, group, base, extra, y, draws, seed, key)
 
 
-def r2_uplift(rows: DataFrame, group: str, base: list[str], extra: list[str], y: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Gain in R2 from the extra predictors, with a bootstrap interval and cross-validated values; one task a group (of members, so small)."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[*base, *extra, y]).sort_values([*base, *extra, y])
-        a, f, t, n = pdf[base].to_numpy(float), pdf[[*base, *extra]].to_numpy(float), pdf[y].to_numpy(float), len(pdf)
-        out = dict.fromkeys([c.split()[0] for c in UPLIFT.split(", ")], float("nan")) | {"n": n}
-        if n >= len(base) + len(extra) + 5:
-            r = np.random.default_rng(seed)
-            picks = r.integers(0, n, (draws, n))
-            u = np.array([ols(f[i], t[i])[1] - ols(a[i], t[i])[1] for i in picks])
-            u = u[~np.isnan(u)]
-            rb, rf, cb, cf = ols(a, t)[1], ols(f, t)[1], ols_cv(a, t, seed=seed), ols_cv(f, t, seed=seed)
-            out |= {"r2_base": rb, "r2_full": rf, "uplift": rf - rb, "r2_base_cv": cb, "r2_full_cv": cf, "uplift_cv": cf - cb}
-            if len(u):
-                out |= {"ci_low": np.percentile(u, 2.5), "ci_high": np.percentile(u, 97.5)}
-        return pd.DataFrame([out | {"group": str(pdf["group"].iloc[0]) if n else ""}])
-
-    return rows.select(F.col(group).cast("string").alias("group"), *base, *extra, y).groupBy("group").applyInPandas(fit, UPLIFT)
-
-
-SRC2 = "group string, predictor string, src2 double, stability_fraction double, n long"
-
-
-def src2(rows: DataFrame, group: str, predictors: list[str], y: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Squared standardised coefficients, and the share of resamples in which each keeps its sign."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf["group"].iloc[0])
-        pdf = pdf.dropna(subset=[*predictors, y]).sort_values([*predictors, y])
-        x, t, n = pdf[predictors].to_numpy(float), pdf[y].to_numpy(float), len(pdf)
-        if n < 3:
-            return pd.DataFrame(columns=[c.split()[0] for c in SRC2.split(", ")])
-        b = ols(x, t)[0]
-        scaled = b / (t.std(ddof=1) + 1e-12)
-        r, same = np.random.default_rng(seed), np.zeros(len(predictors))
-        for i in r.integers(0, n, (draws, n)):
-            same += (ols(x[i], t[i])[0] >= 0) == (b >= 0)
-        return pd.DataFrame({"group": name, "predictor": predictors, "src2": scaled**2, "stability_fraction": same / draws, "n": n})
-
-    return rows.select(F.col(group).cast("string").alias("group"), *predictors, y).groupBy("group").applyInPandas(fit, SRC2)
+def src2(rows: DataFrame, group: str, predictors: list[str], y: str, draws: int = 2000, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Squared standardised coefficients and the stability of their signs; see regression.src2."""
+    return regression.src2(rows, group, predictors, y, draws, seed, key)
 
 
 def bootstrap_means(rows: DataFrame, by: list[str], key: str, value: str, draws: int, seed: int) -> DataFrame:
