@@ -1,6 +1,7 @@
 import hashlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
@@ -100,6 +101,20 @@ def test_rare_pairs_by_shuffle_and_long_texts_in_parts(spark, head, piece):
     assert next(r for r in want if r[0] == 5000)[1] == 0 and next(r for r in want if r[0] == 5001)[1] > 1000
 
 
+def test_forgotten_chunks_are_learned_again(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "_chunks", lambda both, real=alignment._Chunks: nullcontext(real(both, 30)))
+    got = sorted((tuple(r) for r in alignment.align(docs(spark, _more()), A, B, piece=2000).collect()), key=repr)
+    assert got == brute([(r[0], r[1]) for r in [*rows(), *_more()]])
+
+
+def test_parts_and_chunks_give_the_text():
+    both = alignment.Vocabularies(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    for text in [*ODD, *(r[1] or "" for r in rows()), "a  b c\u00a0 d \x1c e\u2003f  "]:
+        for size in (1, 7, 10**6):
+            parts = both.parts(text, size)
+            assert " ".join(parts) == text and " ".join(c for p in parts for c in both.chunks(p)) == text
+
+
 def test_partial_counts_are_handed_on(spark):
     definition, model = open(A, encoding="utf-8").read(), open(B, "rb").read()
     df = docs(spark)

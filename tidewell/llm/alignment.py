@@ -1,11 +1,13 @@
 """Alignment of the tokens of two vocabularies by the bytes that they cover.
 
-Tokens of both vocabularies are intervals of one axis, on which the texts of an
-Arrow batch follow each other. DuckDB joins them in the task: the token of the
-other side that holds a token's start comes from an ASOF join, a link is two
+Texts are cut into chunks at those spaces where tokens of both vocabularies
+begin. The tokens of a batch's different chunks are intervals of one axis, on
+which the chunks follow each other. DuckDB joins them in the task: the token of
+the other side that holds a token's start comes from an ASOF join, a link is two
 intervals that overlap, and groups are numbered by a running sum over the places
-where tokens of both sides begin. Each task also counts its pairs of ids; Spark
-adds these partial counts, and rates every text's links by the sums.
+where tokens of both sides begin. What a text has is the sum over its chunks.
+Each task also counts its pairs of ids; Spark adds these partial counts, and
+rates every text's links by the sums.
 """
 
 from __future__ import annotations
@@ -15,18 +17,23 @@ import json
 import re
 import sys
 import types
+from contextlib import contextmanager
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialize, small_batches
 
-#: Bytes of text that DuckDB joins at a time; a longer text is cut where tokens of both vocabularies end.
-PIECE = 2 << 20
+#: Bytes of text whose chunks DuckDB joins at a time; a longer text is cut where chunks meet.
+PIECE = 4 << 20
 #: Pairs of ids, at most, that every executor holds with their counts; rarer ones are joined by a shuffle.
 MOST_HEAD = 1_000_000
+#: Different chunks that a worker remembers; then it forgets those that it met once, and half of them at least.
+MOST_CHUNKS = 300_000
 #: Different pairs that a task holds before it hands on their counts.
 MOST_HELD = 500_000
 
@@ -74,32 +81,39 @@ class Vocabularies:
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.bytes[1].to_pylist())
 
     def parts(self, text: str, size: int) -> list[str]:
-        """The text in parts of about `size` characters, cut before spaces that follow an ASCII letter or digit, where tokens of both kinds end."""
+        """Parts of about `size` characters that give the text when joined by spaces."""
         if len(text) <= size or not self.cuts:
             return [text]
         out, at = [], 0
-        while at < len(text):
-            found = _CUT.search(text, at + size) if at + size < len(text) else None
-            end = found.end() if found else len(text)
-            out.append(text[at:end])
-            at = end
-        return out
-
-    def encode(self, parts: list[tuple[bool, str]]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both kinds of each (begins a text, part). Other parts than the first begin with a space, which B would add."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t if first else t for first, t in parts], add_special_tokens=False)]
-        b = self.b.encode([t if first else t[1:] for first, t in parts], num_threads=1)
-        return a, b
-
-    def fits(self, side: int, ids: np.ndarray, text: bytes) -> bool:
-        """Whether the tokens' bytes, one after the other, are the text."""
-        if int(self.lengths[side][ids].sum()) != len(text):
-            return False
+        while True:
+            found = _SPACE.search(text, at + size) if at + size < len(text) else None
+            out.append(text[at : found.start()] if found else text[at:])
+            if not found:
+                return out
+            at = found.end()
+
+    def chunks(self, part: str) -> list[str]:
+        """Chunks that give the part when joined by spaces. Each, with a space before it, has the tokens of both kinds that it has in the text."""
+        return _SPACE.split(part) if self.cuts else [part]
+
+    def encode(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: ids of the chunks with a space before each, which B adds itself, one after the other, and how many each chunk has."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+        b = self.b.encode(chunks, num_threads=1)
+        return [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64, len(x))) for x in (a, b)]
+
+    def fits(self, side: int, ids: np.ndarray, counts: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        """Of each chunk, whether its tokens' bytes, one after the other, are a space and the chunk."""
+        ends = np.cumsum(self.lengths[side][ids])[np.cumsum(counts) - 1]
         data = self.bytes[side].take(pa.array(ids)).buffers()[2]
-        return (data.to_pybytes() if data else b"")[: len(text)] == text
+        data = data.to_pybytes()[: int(ends[-1])] if data is not None else b""
+        if data == b" " + b" ".join(chunks):
+            return np.ones(len(chunks), bool)
+        return np.array([data[i:j] == b" " + c for (i, j), c in zip(pairwise([0, *ends.tolist()]), chunks, strict=True)], bool)
 
 
-_CUT = re.compile("[A-Za-z0-9](?= [A-Za-z])")
+#: A space between two characters that are none: no pre-token of A and no piece of B goes over it.
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _vocabularies(definition: str, model: bytes) -> Vocabularies:
@@ -117,43 +131,124 @@ def _connection():
     con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     con.execute("SET preserve_insertion_order = false")
     con.execute("CREATE TABLE counts (a INT, b INT, n BIGINT)")
+    con.execute("CREATE TABLE chunk_pairs (chunk INT, a INT, b INT, n BIGINT)")
     return con
 
 
-#: Token intervals of both sides: part, s and e (start and end on the axis), id.
-_INTERVALS = """
-CREATE OR REPLACE TEMP TABLE links AS
-SELECT a.part, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s WHERE a.s < b.e
-UNION ALL SELECT b.part, a.id, b.id FROM b ASOF JOIN a ON b.s > a.s WHERE b.s < a.e
+#: From token intervals of both sides (chunk, s and e, start and end on the axis, id): pairs of ids by chunk, and facts of each chunk.
+_LINKS = """
+INSERT INTO chunk_pairs SELECT chunk, a, b, count(*) FROM (
+  SELECT a.chunk, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s WHERE a.s < b.e
+  UNION ALL SELECT b.chunk, a.id, b.id FROM b ASOF JOIN a ON b.s > a.s WHERE b.s < a.e) GROUP BY ALL
 """
-_PAIRS = "SELECT part, a, b, count(*) AS n FROM links GROUP BY ALL ORDER BY part"
 _GROUPS = """
 WITH tokens AS (
-  SELECT a.part, 0 AS side, a.s, a.id, b.s IS NOT NULL AS opens FROM a LEFT JOIN b ON a.s = b.s
-  UNION ALL SELECT b.part, 1, b.s, b.id, a.s IS NOT NULL FROM b LEFT JOIN a ON a.s = b.s),
-grouped AS (SELECT part, side, s, id, opens, sum((opens AND side = 0)::INT) OVER (ORDER BY s, side ROWS UNBOUNDED PRECEDING)::INT AS g FROM tokens)
-SELECT part, count_if(opens AND side = 0) AS n_groups,
-string_agg((CASE WHEN NOT opens THEN ',' WHEN side = 1 THEN '|' ELSE ';' END) || id, '' ORDER BY g, side, s) AS groups
-FROM grouped GROUP BY part ORDER BY part
+  SELECT a.chunk, 0 AS side, a.s, a.id, b.s IS NOT NULL AS opens FROM a LEFT JOIN b ON a.s = b.s
+  UNION ALL SELECT b.chunk, 1, b.s, b.id, a.s IS NOT NULL FROM b LEFT JOIN a ON a.s = b.s),
+grouped AS (SELECT *, sum((opens AND side = 0)::INT) OVER (ORDER BY s, side ROWS UNBOUNDED PRECEDING)::INT AS g FROM tokens)
+SELECT chunk, opens AND side = 0 AS first, (CASE WHEN NOT opens THEN ',' WHEN side = 1 THEN '|' ELSE ';' END) || id AS token
+FROM grouped ORDER BY g, side, s
+"""
+#: Pairs of ids by part, from the chunks that it uses.
+_PAIRS = """
+SELECT part, a, b, sum(times * n)::BIGINT AS n FROM (SELECT part, chunk, count(*) AS times FROM uses GROUP BY ALL)
+JOIN chunk_pairs USING (chunk) GROUP BY part, a, b ORDER BY part
 """
 
 
-def _intervals(ids: list[np.ndarray], lengths: np.ndarray) -> pa.Table:
-    flat = np.concatenate(ids)
-    e = np.cumsum(lengths[flat])
-    part = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
-    return pa.table({"part": part, "s": e - lengths[flat], "e": e, "id": flat})
-
-
-def _join(con, both: Vocabularies, a: list[np.ndarray], b: list[np.ndarray]):
-    """(n_groups, groups of each part as text, pairs by part) of parts whose tokens cover the same bytes."""
-    con.register("a", _intervals(a, both.lengths[0]))
-    con.register("b", _intervals(b, both.lengths[1]))
-    con.execute(_INTERVALS)
-    groups, pairs = con.sql(_GROUPS).to_arrow_table(), con.sql(_PAIRS).to_arrow_table()
-    con.unregister("a")
-    con.unregister("b")
-    return groups, pairs
+def _intervals(ids: np.ndarray, chunk: np.ndarray, lengths: np.ndarray) -> pa.Table:
+    e = np.cumsum(lengths[ids])
+    return pa.table({"chunk": chunk, "s": e - lengths[ids], "e": e, "id": ids})
+
+
+class _Numbers(dict):
+    """Numbers of chunks, in the order in which they are met."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
+class _Chunks:
+    """The chunks that a worker has met, up to `most` of them: numbers, whether they fit, groups as text, and n_groups, n_a and n_b; their pairs are in DuckDB."""
+
+    def __init__(self, both: Vocabularies, most: int = MOST_CHUNKS):
+        self.con, self.both, self.most = _connection(), both, most
+        self.numbers, self.groups = _Numbers(), []
+        self.fits, self.sizes, self.met = np.empty(0, bool), np.empty((3, 0), np.int64), np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the half that was met most, of those that were met twice or more; all is forgotten if that is none."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
+        keep = keep[self.met[keep] > 1]
+        old = list(self.numbers)
+        self.numbers = _Numbers(zip((old[i] for i in keep.tolist()), range(len(keep)), strict=True))
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.fits, self.sizes, self.met = self.fits[keep], self.sizes[:, keep], self.met[keep] // 2
+        self.con.register("kept", pa.table({"old": keep.astype(np.int32), "new": np.arange(len(keep), dtype=np.int32)}))
+        self.con.execute("CREATE OR REPLACE TABLE chunk_pairs AS SELECT new AS chunk, a, b, n FROM chunk_pairs JOIN kept ON old = chunk")
+        self.con.unregister("kept")
+
+    def number(self, part: str) -> np.ndarray:
+        """The part's chunks by number; those that are new are to be learned."""
+        chunks = self.both.chunks(part) if part else []
+        return np.fromiter(map(self.numbers.__getitem__, chunks), np.int32, len(chunks))
+
+    def count(self, uses: list[np.ndarray]) -> None:
+        self.met += np.bincount(np.concatenate(uses), minlength=len(self.met))
+
+    def learn(self, at_once: int = 50_000) -> None:
+        new = list(islice(self.numbers, len(self.groups), None))
+        for at in range(0, len(new), at_once):
+            self._learn(new[at : at + at_once])
+
+    def _learn(self, new: list[str]) -> None:
+        raw, sides, first = [c.encode() for c in new], self.both.encode(new), len(self.groups)
+        fits = self.both.fits(0, *sides[0], raw) & self.both.fits(1, *sides[1], raw)
+        sizes, groups = np.zeros((3, len(new)), np.int64), [""] * len(new)
+        if fits.any():
+            for name, lengths, (ids, counts) in zip("ab", self.both.lengths, sides, strict=True):
+                chunk = np.repeat(np.arange(first, first + len(new), dtype=np.int32), counts)
+                good = np.repeat(fits, counts)
+                self.con.register(name, _intervals(ids[good], chunk[good], lengths))
+            self.con.execute(_LINKS)
+            tokens = self.con.sql(_GROUPS).to_arrow_table().combine_chunks()
+            self.con.unregister("a")
+            self.con.unregister("b")
+            # tokens of a chunk follow each other, so its groups are a stretch of the column's text
+            where = np.nonzero(fits)[0]
+            edges = np.searchsorted(tokens.column("chunk").to_numpy(), np.append(where + first, first + len(new)))
+            at = np.cumsum(np.append(0, pc.binary_length(tokens.column("token")).to_numpy()))[edges].tolist()
+            text = "".join(tokens.column("token").to_pylist())
+            for i, (j, k) in zip(where.tolist(), pairwise(at), strict=True):
+                groups[i] = text[j + 1 : k]
+            opened = np.append(0, np.cumsum(tokens.column("first").to_numpy()))
+            sizes[:, where] = np.diff(opened[edges]), sides[0][1][fits], sides[1][1][fits]
+        self.groups += groups
+        self.fits, self.sizes, self.met = np.append(self.fits, fits), np.append(self.sizes, sizes, axis=1), np.append(self.met, np.zeros(len(new), np.int64))
+
+
+@contextmanager
+def _chunks(both: Vocabularies):
+    """The Python worker's chunks, kept from task to task; a task that fails leaves none."""
+    held = sys.modules["_tidewell_vocabularies"].__dict__
+    known = held.pop("chunks", None)
+    if known is None or known.both is not both:
+        known = _Chunks(both)
+    known.con.execute("DELETE FROM counts")
+    yield known
+    held["chunks"] = known
+
+
+def _used(con, uses: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Pairs (a, b, n) of each part, from the numbers of its chunks."""
+    part = np.repeat(np.arange(len(uses), dtype=np.int32), [len(x) for x in uses])
+    con.register("uses", pa.table({"part": part, "chunk": np.concatenate(uses)}))
+    out = con.sql(_PAIRS).to_arrow_table()
+    con.unregister("uses")
+    edges = np.searchsorted(out.column("part").to_numpy(), np.arange(len(uses) + 1)).tolist()
+    columns = [out.column(c).to_numpy() for c in ("a", "b", "n")]
+    return [[c[i:j] for c in columns] for i, j in pairwise(edges)]
 
 
 def _count(con, rows: list[tuple]) -> int:
@@ -179,13 +274,13 @@ def _partial(con):
 
 
 def _pieces(batches, both: Vocabularies, size: int):
-    """Lists of (row, begins a text, ends a text, part, doc_id) of about `size` bytes together."""
+    """Lists of (row, ends a text, part, doc_id) of about `size` bytes together."""
     held, total, row = [], 0, 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             parts = both.parts(text.as_py() or "", size)
             for k, part in enumerate(parts):
-                held.append((row, k == 0, k == len(parts) - 1, part, doc_id))
+                held.append((row, k == len(parts) - 1, part, doc_id))
                 total += len(part.encode())
                 if total >= size:
                     yield held
@@ -202,6 +297,11 @@ class _Text:
         self.n_a = self.n_b = self.n_groups = 0
         self.digest, self.fits, self.pairs = hashlib.sha256(), True, []
 
+    def add(self, groups: str, n_groups: int, n_a: int, n_b: int, pairs: list[np.ndarray]) -> None:
+        self.digest.update((";" + groups if self.n_groups else groups).encode())
+        self.n_groups, self.n_a, self.n_b = self.n_groups + n_groups, self.n_a + n_a, self.n_b + n_b
+        self.pairs.append(pairs)
+
     def row(self, doc_id) -> tuple:
         if not self.fits or not self.n_groups:
             none = np.empty(0, np.int32)
@@ -232,33 +332,26 @@ def link_texts(docs: DataFrame, definition: str, model: bytes, piece: int = PIEC
     sent = spark.sparkContext.broadcast((definition, model))
 
     def run(batches):
-        both, con, open_ = _vocabularies(*sent.value), _connection(), {}
-        for parts in _pieces(batches, both, piece):
-            codes = [[np.array(x, np.int32) for x in side] for side in both.encode([(first, t) for _, first, _, t, _ in parts])]
-            texts = [open_.setdefault(row, _Text()) for row, *_ in parts]
-            for text, (_, first, last, t, _), a, b in zip(texts, parts, *codes, strict=True):
-                raw = ((" " if first else "") + t).encode()
-                text.fits = bool(t) and text.fits and both.fits(0, a, raw) and both.fits(1, b, raw)
-            good = [i for i, text in enumerate(texts) if text.fits]
-            if good:
-                groups, pairs = _join(con, both, *([side[i] for i in good] for side in codes))
-                edges = np.searchsorted(pairs.column("part").to_numpy(), np.arange(len(good) + 1))
-                a, b, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
-                for k, (i, n_groups, string) in enumerate(zip(good, groups.column("n_groups").to_pylist(), groups.column("groups").to_pylist(), strict=True)):
-                    text, cut = texts[i], slice(edges[k], edges[k + 1])
-                    text.digest.update(string[0 if text.n_groups else 1 :].encode())
-                    text.n_groups += n_groups
-                    text.n_a += len(codes[0][i])
-                    text.n_b += len(codes[1][i])
-                    text.pairs.append((a[cut], b[cut], n[cut]))
-            # only now it is known whether all parts of a text fit
-            done = [open_.pop(row).row(doc_id) for row, _, last, _, doc_id in parts if last]
-            if done:
-                yield _rows(done)
-                if _count(con, done) >= held:
-                    yield from _partial(con)
-        yield from _partial(con)
-        con.close()
+        both, open_ = _vocabularies(*sent.value), {}
+        with _chunks(both) as known:
+            for parts in _pieces(batches, both, piece):
+                if len(known.numbers) >= known.most:
+                    known.forget()
+                uses, texts = [known.number(t) for _, _, t, _ in parts], [open_.setdefault(row, _Text()) for row, *_ in parts]
+                known.learn()
+                known.count(uses)
+                for text, used in zip(texts, uses, strict=True):
+                    text.fits = text.fits and bool(known.fits[used].all())
+                now = [i for i, text in enumerate(texts) if text.fits and len(uses[i])]
+                for i, pairs in zip(now, _used(known.con, [uses[i] for i in now]) if now else [], strict=True):
+                    texts[i].add(";".join([known.groups[x] for x in uses[i].tolist()]), *known.sizes[:, uses[i]].sum(1).tolist(), pairs)
+                # only now it is known whether all parts of a text fit
+                done = [open_.pop(row).row(doc_id) for row, last, _, doc_id in parts if last]
+                if done:
+                    yield _rows(done)
+                    if _count(known.con, done) >= held:
+                        yield from _partial(known.con)
+            yield from _partial(known.con)
         pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _TYPE)
