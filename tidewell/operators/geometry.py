@@ -68,6 +68,14 @@ def label_bodies(mask: DataFrame, connectivity: int = 26) -> DataFrame:
     if connectivity not in OFFSETS:
         raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
 
+    return mask.select(
+        "model", F.col("flat").cast("long").alias("flat"), "i", "j", "k"
+    ).groupBy("model").applyInPandas(labeller(connectivity), "model long, flat long, i int, j int, k int, body long")
+
+
+def labeller(connectivity: int):
+    """The function that adds body to the cells of one task."""
+
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("flat").reset_index(drop=True)
         ijk = pdf[["i", "j", "k"]].to_numpy(np.int64)
@@ -99,9 +107,7 @@ def label_bodies(mask: DataFrame, connectivity: int = 26) -> DataFrame:
         pdf["body"] = body.astype(np.int64) + 1
         return pdf[["model", "flat", "i", "j", "k", "body"]]
 
-    return mask.select(
-        "model", F.col("flat").cast("long").alias("flat"), "i", "j", "k"
-    ).groupBy("model").applyInPandas(label, "model long, flat long, i int, j int, k int, body long")
+    return label
 
 
 def label_bodies_spread(mask: DataFrame, connectivity: int = 26, rounds: int = 200) -> DataFrame:

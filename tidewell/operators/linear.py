@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import portable_order, portable_uniform, taper, verdict
-from tidewell.operators import regression
+from tidewell.operators import noise, regression
 from tidewell.operators.series import KEY
 from tidewell.sources import sinks
 
@@ -266,8 +266,8 @@ def _significant(s: np.ndarray, energy: float, sizes: tuple[int, int]) -> int:
     return min(_kept(s, energy), int(np.sum(s > s.max(initial=0.0) * max(sizes) * np.finfo(float).eps)))
 
 
-def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: float = 0.99, keys=KEY) -> DataFrame:
-    """(comp, pos, gain) of the update in the ensemble's subspace, for a diagonal noise.
+def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: float = 0.99, keys=KEY, covariance: DataFrame | None = None) -> DataFrame:
+    """(comp, pos, gain) of the update in the ensemble's subspace, for the noise R: diagonal by the truth's sigma, or in blocks by a covariance (see noise).
 
     With the centred members-by-positions matrix D and components matrix Z, both
     over the root of members less one: D = U S V', and the gain is
@@ -282,10 +282,12 @@ def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: fl
     n, p = _shape(d, keys)
     if theta.select("member_id").distinct().count() < 2:
         raise ValueError("an update needs two members or more")
-    return _gain_by_members(theta, d, energy, keys, (n, p)) if n >= p else _gain_by_positions(theta, d, energy, keys, (n, p))
+    if covariance is not None:
+        covariance = noise.checked(covariance, d.select(_position(keys).alias("pos")).distinct())
+    return (_gain_by_members if n >= p else _gain_by_positions)(theta, d, energy, keys, (n, p), covariance)
 
 
-def _gain_by_members(theta: DataFrame, d: DataFrame, energy: float, keys: list[str], sizes: tuple[int, int]) -> DataFrame:
+def _gain_by_members(theta: DataFrame, d: DataFrame, energy: float, keys: list[str], sizes: tuple[int, int], covariance: DataFrame | None) -> DataFrame:
     members = theta.select("member_id").distinct()
     if members.join(d.select("member_id").distinct(), "member_id").count() != max(members.count(), sizes[0]):
         raise ValueError("members or observations don't match")
@@ -293,11 +295,17 @@ def _gain_by_members(theta: DataFrame, d: DataFrame, energy: float, keys: list[s
     r = _significant(s, energy, sizes)
     if r == 0:
         return theta.sparkSession.createDataFrame([], GAIN)
-    noise = {x.pos: x.sigma for x in d.groupBy(_position(keys).alias("pos")).agg(F.max("sigma").alias("sigma")).collect()}  # a row a position, as in vt
-    v = vt[:r].T
-    inner = np.diag(s[:r] ** 2) + (v * np.array([noise[x] for x in positions])[:, None] ** 2).T @ v
-    right = np.linalg.solve(inner, v.T)  # kept values by positions
-    at = {x: i for i, x in enumerate(positions)}
+    v, at = vt[:r].T, {x: i for i, x in enumerate(positions)}
+    if covariance is None:
+        # a row a position, as in vt
+        sigma = {x.pos: x.sigma for x in d.groupBy(_position(keys).alias("pos")).agg(F.max("sigma").alias("sigma")).collect()}
+        rv = v * np.array([sigma[x] for x in positions])[:, None] ** 2
+    else:
+        # entries of positions by positions, which the triangular factor has as well
+        c = covariance.select("pos_a", "pos_b", "cov").toPandas()
+        rv = np.zeros_like(v)
+        np.add.at(rv, c["pos_a"].map(at).to_numpy(), c["cov"].to_numpy()[:, None] * v[c["pos_b"].map(at).to_numpy()])
+    right = np.linalg.solve(np.diag(s[:r] ** 2) + v.T @ rv, v.T)  # kept values by positions
     cross = theta.select("member_id", "comp", F.col("value").alias("z")).join(d.select("member_id", _position(keys).alias("pos"), "value"), "member_id")
     cross = cross.groupBy("comp", "pos").agg(F.covar_samp("z", "value").alias("c"))
 
@@ -309,7 +317,7 @@ def _gain_by_members(theta: DataFrame, d: DataFrame, energy: float, keys: list[s
     return cross.groupBy("comp").applyInPandas(columns, GAIN)
 
 
-def _gain_by_positions(theta: DataFrame, d: DataFrame, energy: float, keys: list[str], sizes: tuple[int, int]) -> DataFrame:
+def _gain_by_positions(theta: DataFrame, d: DataFrame, energy: float, keys: list[str], sizes: tuple[int, int], covariance: DataFrame | None) -> DataFrame:
     blocks = position_blocks(d, keys, sigma=F.max("sigma"))
     ids = [r.member_id for r in theta.select("member_id").distinct().orderBy("member_id").collect()]
     wide = theta.select("member_id", "comp", "value").toPandas().pivot(index="member_id", columns="comp", values="value").sort_index()  # fewer members than positions
@@ -327,11 +335,17 @@ def _gain_by_positions(theta: DataFrame, d: DataFrame, energy: float, keys: list
         return theta.sparkSession.createDataFrame([], GAIN)
     back = u[:, :r] / s[:r]
 
-    def noise(pdf: pd.DataFrame) -> np.ndarray:
+    def diagonal(pdf: pd.DataFrame) -> np.ndarray:
         v = block(pdf).T @ back
         return (v * pdf["sigma"].to_numpy()[:, None] ** 2).T @ v
 
-    inner = np.diag(s[:r] ** 2) + _summed(blocks, noise)
+    def vectors(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"pos": pdf["pos"], "v": list(block(pdf).T @ back)})
+
+    if covariance is None:
+        inner = np.diag(s[:r] ** 2) + _summed(blocks, diagonal)
+    else:
+        inner = np.diag(s[:r] ** 2) + noise.quadratic(covariance, blocks.groupBy("block").applyInPandas(vectors, "pos string, v array<double>"), r)
     left = np.linalg.solve(inner.T, (z.T @ u[:, :r] * s[:r]).T).T  # components by kept values
 
     def columns(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -342,19 +356,23 @@ def _gain_by_positions(theta: DataFrame, d: DataFrame, energy: float, keys: list
 
 def ensemble_update(
     theta: DataFrame, sim: DataFrame, truth: DataFrame, mask: DataFrame | None = None, energy: float = 0.99, seed: int = 42,
-    perturb: bool = True, keys=KEY
+    perturb: bool = True, keys=KEY, covariance: DataFrame | None = None
 ) -> DataFrame:
     """Posterior parameters (member_id, comp, comp_pos, value): the gain, masked, meets the innovations in a join.
 
-    The noise of truth (d_obs, sigma) is diagonal; draws depend on seed, member and position.
+    The noise of truth (d_obs, sigma) is diagonal, or has the covariance (block,
+    pos_a, pos_b, cov); draws depend on seed, member and position.
     """
     keys = list(keys)
     pos = _position(keys).alias("pos")
-    k = ensemble_gain(theta, sim, truth, energy, keys)
+    k = ensemble_gain(theta, sim, truth, energy, keys, covariance)
     if mask is not None:
         k = k.join(mask.select("comp", pos, "mask"), ["comp", "pos"]).select("comp", "pos", (F.col("gain") * F.col("mask")).alias("gain")).where("gain <> 0")
     eps = F.col("sigma") * perturbation(seed, "member_id", "pos") if perturb else F.lit(0.0)
-    inn = sim.select("member_id", pos, "value").join(truth.select(pos, "d_obs", "sigma"), "pos").select(
+    seen = sim.select("member_id", pos, "value").join(truth.select(pos, "d_obs", "sigma"), "pos")
+    if perturb and covariance is not None:
+        seen, eps = seen.join(noise.perturbations(seen.select("member_id", "pos"), covariance, seed), ["member_id", "pos"]), F.col("eps")
+    inn = seen.select(
         "member_id", "pos", (F.col("d_obs") + eps - F.col("value")).alias("innovation")
     )
     step = inn.join(k, "pos").groupBy("member_id", "comp").agg(F.sum(F.col("gain") * F.col("innovation")).alias("step"))

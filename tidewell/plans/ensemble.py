@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import verdict
-from tidewell.operators import linear, members, series
+from tidewell.operators import linear, members, quantiles, series
 from tidewell.plans.registry import query
 
 
@@ -24,6 +24,11 @@ def _(v):
     return rounded(series.column_quantiles(v.rates))
 
 
+@query("a01_quantiles_by_passes", f"SELECT metric, well, time, {Q3} FROM rates GROUP BY ALL")
+def _(v):
+    return rounded(quantiles.exact_quantiles(v.rates, ["metric", "well", "time"]))
+
+
 FIELD = f"field AS (SELECT member_id, metric, time, sum(value) AS value FROM rates GROUP BY ALL) SELECT metric, time, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS std, {Q3} FROM field GROUP BY ALL"
 
 
@@ -429,26 +434,47 @@ def _(v):
 @query(
     "f11_envelope_drop",
     BOX + """
-, i AS (SELECT member_id FROM theta_post JOIN box USING (comp) GROUP BY ALL HAVING bool_and(value BETWEEN lo AND hi)) SELECT metric,
+, i AS (SELECT member_id FROM theta_post JOIN box USING (comp) WHERE comp <> 'price' GROUP BY ALL HAVING bool_and(value BETWEEN lo AND hi)) SELECT metric,
 count(DISTINCT member_id) AS members FROM rates SEMI JOIN i USING (member_id) GROUP BY ALL"""
 )
 def _(v):
-    inside = members.in_envelope(v.theta_post, v.theta).where("in_envelope")
+    # the shift of the price moves every member out; of the other components, the widened balance leaves some inside
+    inside = members.in_envelope(v.theta_post.where("comp <> 'price'"), v.theta).where("in_envelope")
     return series.build_setups(v.rates, v.rates, inside).where("setup = 'setup2'").groupBy("metric").agg(F.count_distinct("member_id").alias("members"))
 
 
+def _mixed(v):
+    """Three components, one of them a sum of the others: that takes away a rank."""
+    both = v.theta.where("comp in ('price', 'size')")
+    mixed = both.groupBy("member_id").agg(
+        F.sum(F.when(F.col("comp") == "price", F.col("value")).otherwise(-3 * F.col("value"))).alias("value")
+    ).select("member_id", F.lit("mixed").alias("comp"), "value")
+    return both.select("member_id", "comp", "value").unionByName(mixed)
+
+
 @query("f15_messages", """
 o AS (SELECT count(*) AS n FROM theta_post JOIN (SELECT comp, min(value) AS lo, max(value) AS hi FROM theta GROUP BY ALL) b USING (comp)
 WHERE value < lo OR value > hi),
-u AS (SELECT count(*) AS n FROM (SELECT model_id FROM members GROUP BY ALL HAVING count(*) > 1))
-SELECT 'ERROR' AS level, '1 component(s) collapsed' AS text
+u AS (SELECT count(*) AS n FROM (SELECT model_id FROM members GROUP BY ALL HAVING count(*) > 1)),
+r AS (SELECT count_if(r < 0.1) AS c, count_if(r > 1.5) AS b, count(*) AS n FROM (SELECT stddev_samp(q.value) / stddev_samp(p.value) AS r FROM theta p
+JOIN theta_post q USING (member_id, comp) GROUP BY comp)),
+cs AS (SELECT member_id, max(value) FILTER (WHERE comp = 'price') AS a, max(value) FILTER (WHERE comp = 'size') AS b FROM theta GROUP BY ALL),
+q3 AS (SELECT count(*) AS n, corr(a, b) AS ab, corr(a, a - 3 * b) AS ac, corr(b, a - 3 * b) AS bc FROM cs),
+rk AS (SELECT CASE WHEN 1 + 2 * ab * ac * bc - ab ** 2 - ac ** 2 - bc ** 2 > 1e-9 THEN 3 WHEN least(ab ** 2, ac ** 2, bc ** 2) < 1 - 1e-9 THEN 2 ELSE 1 END AS k, least(n - 1, 3) AS f FROM q3),
+zb AS (SELECT count(*) OVER () AS n, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS z FROM theta_post WHERE comp = 'bal'),
+bi AS (SELECT (avg(z ** 3) ** 2 + 1) / (avg(z ** 4) - 3 + 3.0::DOUBLE * (max(n) - 1) ** 2 / ((max(n) - 2) * (max(n) - 3))) AS v FROM zb)
+SELECT 'ERROR' AS level, c || ' component(s) collapsed' AS text FROM r WHERE c > 0
+UNION ALL SELECT 'WARN', b || ' component(s) blew up' FROM r WHERE b * 2 > n
 UNION ALL SELECT 'WARN', n || ' value(s) outside the prior''s range' FROM o WHERE n > 0
 UNION ALL SELECT 'INFO', n || ' model(s) occur more than once' FROM u WHERE n > 0
-UNION ALL SELECT 'WARN', 'rank 3 is below 4' UNION ALL SELECT 'WARN', 'the posterior looks bimodal'""")
+UNION ALL SELECT 'WARN', 'rank ' || k || ' is below ' || f FROM rk WHERE k < f
+UNION ALL SELECT 'WARN', 'the posterior looks bimodal' FROM bi WHERE v > 0.3""")
 def _(v):
+    rank = linear.component_rank(_mixed(v)).first()
+    bimodal = members.bimodality(v.theta_post.where("comp = 'bal'"), ["comp"]).first()["bimodality"]
     return members.messages(
         members.spread_retention(v.theta, v.theta_post), members.physical_bounds(v.theta, v.theta_post),
-        members.duplicate_models(v.members, v.theta, v.theta_post), 3, 10, 4, 0.37
+        members.duplicate_models(v.members, v.theta, v.theta_post), rank["rank"], rank["full"] + 1, 3, bimodal
     )
 
 
@@ -688,12 +714,7 @@ q3 AS (SELECT count(*) AS n, corr(a, b) AS ab, corr(a, a - 3 * b) AS ac, corr(b,
 SELECT CASE WHEN 1 + 2 * ab * ac * bc - ab ** 2 - ac ** 2 - bc ** 2 > 1e-9 THEN 3 WHEN least(ab ** 2, ac ** 2,
 bc ** 2) < 1 - 1e-9 THEN 2 ELSE 1 END::BIGINT AS rank, least(n - 1, 3)::BIGINT AS full FROM q3""")
 def _(v):
-    # a component that is a sum of two others takes away a rank
-    both = v.theta.where("comp in ('price', 'size')")
-    mixed = both.groupBy("member_id").agg(
-        F.sum(F.when(F.col("comp") == "price", F.col("value")).otherwise(-3 * F.col("value"))).alias("value")
-    ).select("member_id", F.lit("mixed").alias("comp"), "value")
-    return linear.component_rank(both.select("member_id", "comp", "value").unionByName(mixed))
+    return linear.component_rank(_mixed(v))
 
 
 @query("m05_input_violations", """

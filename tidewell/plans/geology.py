@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import half_even, sheet_key, status, width_text
 from tidewell.operators import geology as geo
-from tidewell.operators import geometry, linear, members, production, series
+from tidewell.operators import geometry, linear, members, production, quantiles, series, slabs
 from tidewell.plans.ensemble import DISTANCE, SHIFT, rounded
 from tidewell.plans.registry import query
 
@@ -841,6 +841,21 @@ def _(v):
     return geo.histogram(v.theta, ["comp"])
 
 
+@query(
+    "a49_density",
+    """
+f AS (SELECT comp, count(*) AS n, min(value) AS least, max(value) AS most, stddev_samp(value) * pow(count(*), -0.2) AS h FROM theta GROUP BY ALL HAVING count(*) >= 2 AND stddev_samp(value) > 0),
+p AS (SELECT comp, (value - least) / ((most - least) / 1023) AS place FROM theta JOIN f USING (comp)),
+w AS (SELECT comp, least(floor(place), 1022) AS bin, sum(1 - (place - least(floor(place), 1022))) AS w FROM p GROUP BY ALL
+UNION ALL SELECT comp, least(floor(place), 1022) + 1, sum(place - least(floor(place), 1022)) FROM p GROUP BY ALL),
+x AS (SELECT *, least - 3 * h + (most - least + 6 * h) * k / 19 AS x FROM f, range(0, 20) r(k))
+SELECT comp, round(x, 5) AS x, round(sum(w * exp(-pow((x - least - (most - least) / 1023 * bin) / h, 2) / 2) / sqrt(2 * pi())) / max(n * h), 7) AS density
+FROM x JOIN w USING (comp) GROUP BY comp, x"""
+)
+def _(v):
+    return rounded(quantiles.density(v.theta, ["comp"], 20), {"x": 5, "density": 7})
+
+
 @query(
     "a49_box_plot",
     """

@@ -367,12 +367,13 @@ def _(v):
 @query(
     "m20_layers_from_zcorn",
     """
-z AS (SELECT p, (p * 37 % 101)::DOUBLE AS z FROM range(0, 3 * 2 * 2 * 2 * 2 * 4) r(p)), q AS (SELECT (p % 8) // 2 AS i,
+z AS (SELECT p_partkey AS p, p_retailprice::DOUBLE AS z FROM part), q AS (SELECT (p % 8) // 2 AS i,
 ((p // 8) % 4) // 2 AS j, (p // 32) // 2 AS k, (p // 32) % 2 AS side, z FROM z) SELECT i::INT AS i, j::INT AS j, k::INT AS k,
 round(avg(z) FILTER (WHERE side = 0), 6) AS z_top, round(avg(z) FILTER (WHERE side = 1), 6) AS z_bot FROM q GROUP BY ALL"""
 )
 def _(v):
-    z = v.spark.range(192).select(F.col("id").alias("pos"), (F.col("id") * 37 % 101).cast("double").alias("z"))
+    # a corner depth a part
+    z = v.table("part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").cast("double").alias("z"))
     return rounded(geometry.layers_from_zcorn(z, 4, 2))
 
 

@@ -13,7 +13,7 @@ RESAMPLES, SEED = 60, 7
 
 _X = "h + {stride} * (i + 1)".format(stride=regression.STRIDE)
 _STEP = [f"x{k + 1} AS (SELECT * EXCLUDE (x), (x * x + {c}) % {regression.PRIME} AS x FROM x{k})" for k, c in enumerate(regression.STEPS)]
-_TIMES = " + ".join(f"(x / {regression.PRIME}::DOUBLE >= {p!r})::INT" for p in regression.POISSON)
+_TIMES = " + ".join(f"(x / {regression.PRIME}::DOUBLE >= {float(p)!r})::INT" for p in regression.POISSON)
 _FULL = "({w}cay ** 2 * {w}cbb + {w}cby ** 2 * {w}caa - 2 * {w}cay * {w}cby * {w}cab) / (({w}caa * {w}cbb - {w}cab ** 2) * {w}cyy)".format(w="")
 _BA, _BB = "((cay * cbb - cby * cab) / (caa * cbb - cab ** 2))", "((cby * caa - cay * cab) / (caa * cbb - cab ** 2))"
 

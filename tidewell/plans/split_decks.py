@@ -34,8 +34,8 @@ def _decks(v) -> str:
 p AS (SELECT (p_partkey // {A_DECK})::BIGINT AS deck, p_partkey AS k, p_size, p_retailprice FROM part),
 runs AS (SELECT deck, 'PORO' AS keyword, k, 0 AS sub, CASE WHEN k % 5 = 0 THEN 3 ELSE 1 END AS n, p_size::DOUBLE AS value FROM p
 UNION ALL SELECT deck, 'PERMX', k, 0, 1, p_retailprice FROM p UNION ALL SELECT deck, 'PERMX', k, 1, 1, 0.5 FROM p WHERE k % 11 = 0),
-cells AS (SELECT deck, keyword, value, row_number() OVER (PARTITION BY deck, keyword ORDER BY k, sub, r) - 1 AS flat FROM runs, LATERAL (SELECT unnest(range(n)) AS r))
-SELECT deck, keyword, flat, round(value, 2) AS value FROM cells""")
+expanded AS (SELECT deck, keyword, value, row_number() OVER (PARTITION BY deck, keyword ORDER BY k, sub, r) - 1 AS flat FROM runs, LATERAL (SELECT unnest(range(n)) AS r))
+SELECT deck, keyword, flat, round(value, 2) AS value FROM expanded""")
 def _(v):
     cells = split_decks.cubes(v.spark, _decks(v), ["PORO", "PERMX"], split_bytes=RANGE)
     return cells.select(F.regexp_extract("path", r"deck=(\d+)", 1).cast("long").alias("deck"), "keyword", "flat", F.round("value", 2).alias("value"))

@@ -41,9 +41,9 @@ GRID = """
 mf AS (SELECT member_id, cluster_id FROM members WHERE member_id % 10 > 0),
 series AS (SELECT s.member_id, s.cluster_id, s.time, s.metric, s.well, s.value FROM {table} s WHERE NOT (s.member_id % 11 = 0 AND s.time = 1995) AND s.member_id % 6 > 0),
 grid AS (SELECT DISTINCT member_id, cluster_id, time FROM series),
-cells AS (SELECT g.*, m.metric, w.well, coalesce(value, 0) AS value FROM grid g CROSS JOIN (VALUES ('qty'), ('rev'), ('disc')) m(metric)
+filled AS (SELECT g.*, m.metric, w.well, coalesce(value, 0) AS value FROM grid g CROSS JOIN (VALUES ('qty'), ('rev'), ('disc')) m(metric)
 CROSS JOIN (VALUES ('A'), ('N'), ('R')) w(well) LEFT JOIN series s ON s.member_id = g.member_id AND s.time = g.time AND s.metric = m.metric AND s.well = w.well),
-jn AS (SELECT c.* FROM cells c JOIN mf USING (member_id))
+jn AS (SELECT c.* FROM filled c JOIN mf USING (member_id))
 """
 
 
