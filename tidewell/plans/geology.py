@@ -359,6 +359,16 @@ def _(v):
     return geometry.label_bodies(_mask(v), 6).select("model", "flat", "body")
 
 
+@query("m19_label_bodies_by_blocks_26", LAB26 + "SELECT model, flat, body FROM lab")
+def _(v):
+    return slabs.label_bodies_blocks(_mask(v), 26, (2, 3, 2))
+
+
+@query("m19_label_bodies_by_blocks_6", LAB6 + "SELECT model, flat, body FROM lab")
+def _(v):
+    return slabs.label_bodies_blocks(_mask(v), 6, (3, 2, 1))
+
+
 STATS = LAB6 + """,
 full_lab AS (SELECT lab.*, i, j, k FROM lab JOIN sd USING (model, flat)),
 bs AS (SELECT model, body, count(*) AS n_cells, (max(i) - min(i) + 1)::BIGINT AS ei, (max(j) - min(j) + 1)::BIGINT AS ej,
