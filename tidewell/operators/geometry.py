@@ -236,6 +236,16 @@ def sample_track(tracks: DataFrame, step: float = 0.5) -> DataFrame:
     return one.select("model", "well", "s", F.col("at").alias("md"), *((F.col(c) + (F.col(f"{c}2") - F.col(c)) * t).alias(c) for c in ("x", "y", "z")))
 
 
+def holds():
+    """Whether the corners x0..x3, y0..y3, in order around a cell, go around the point x, y or touch it."""
+    cross = [
+        (F.col(f"x{(n + 1) % 4}") - F.col(f"x{n}")) * (F.col("y") - F.col(f"y{n}")) - (
+            F.col(f"y{(n + 1) % 4}") - F.col(f"y{n}")
+        ) * (F.col("x") - F.col(f"x{n}")) for n in range(4)
+    ]
+    return (F.least(*cross) >= 0) | (F.greatest(*cross) <= 0)
+
+
 def locate(points: DataFrame, quads: DataFrame, size: float) -> DataFrame:
     """Add i, j of the plan cell (i, j, x0..x3, y0..y3 in order around it) that holds each point, null if none.
 
@@ -247,15 +257,9 @@ def locate(points: DataFrame, quads: DataFrame, size: float) -> DataFrame:
     span = lambda cols: F.sequence(F.floor(F.least(*cols) / size), F.floor(F.greatest(*cols) / size))
     cells = quads.withColumn("bx", F.explode(span(xs))).withColumn("by", F.explode(span(ys)))
     p = points.withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
-    cross = [
-        (F.col(f"x{(n + 1) % 4}") - F.col(f"x{n}")) * (F.col("y") - F.col(f"y{n}")) - (
-            F.col(f"y{(n + 1) % 4}") - F.col(f"y{n}")
-        ) * (F.col("x") - F.col(f"x{n}")) for n in range(4)
-    ]
-    inside = (F.least(*cross) >= 0) | (F.greatest(*cross) <= 0)
     mid = lambda cols: sum((F.col(c) for c in cols), F.lit(0.0)) / 4
     near = F.pow(F.col("x") - mid(xs), 2) + F.pow(F.col("y") - mid(ys), 2)
-    hit = p.join(cells, ["bx", "by"]).where(inside).groupBy("model", "well", "s").agg(F.min(F.struct(near.alias("d"), "j", "i")).alias("c"))
+    hit = p.join(cells, ["bx", "by"]).where(holds()).groupBy("model", "well", "s").agg(F.min(F.struct(near.alias("d"), "j", "i")).alias("c"))
     return points.join(hit.select("model", "well", "s", F.col("c.i").alias("i"), F.col("c.j").alias("j")), ["model", "well", "s"], "left")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import half_even, sheet_key, status, width_text
 from tidewell.operators import geology as geo
-from tidewell.operators import geometry, linear, members, production, quantiles, series, slabs
+from tidewell.operators import geometry, linear, members, nearest, production, quantiles, series, slabs
 from tidewell.plans.ensemble import DISTANCE, SHIFT, rounded
 from tidewell.plans.registry import query
 
@@ -571,6 +571,13 @@ def _(v):
     ).select("model", "well", F.col("s").cast("long").alias("s"), "i", "j")
 
 
+@query("j13_locate_nearest", LOCATE + "SELECT model, well, s, i::INT AS i, j::INT AS j FROM att")
+def _(v):
+    return nearest.locate_nearest(geometry.sample_track(_tracks(v)), geometry.grid_quads(_pillars(v)).drop("cx", "cy")).select(
+        "model", "well", F.col("s").cast("long").alias("s"), "i", "j"
+    )
+
+
 @query("j14_bracket", LOCATE + "SELECT model, well, s, k::INT AS k FROM kb")
 def _(v):
     p = geometry.locate(geometry.sample_track(_tracks(v)), geometry.grid_quads(_pillars(v)).drop("cx", "cy"), 12.0)
