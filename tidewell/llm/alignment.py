@@ -22,7 +22,6 @@ from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,8 +217,9 @@ class _Chunks:
             # tokens of a chunk follow each other, so its groups are a stretch of the column's text
             where = np.nonzero(fits)[0]
             edges = np.searchsorted(tokens.column("chunk").to_numpy(), np.append(where + first, first + len(new)))
-            at = np.cumsum(np.append(0, pc.binary_length(tokens.column("token")).to_numpy()))[edges].tolist()
-            text = "".join(tokens.column("token").to_pylist())
+            column = pa.array(tokens.column("token").chunk(0), pa.string())
+            ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+            at, text = ends[edges].tolist(), column.buffers()[2].to_pybytes().decode("ascii")
             for i, (j, k) in zip(where.tolist(), pairwise(at), strict=True):
                 groups[i] = text[j + 1 : k]
             opened = np.append(0, np.cumsum(tokens.column("first").to_numpy()))
