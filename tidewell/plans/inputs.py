@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import geology as geo
@@ -11,7 +12,7 @@ from tidewell.operators import geometry
 from tidewell.plans.ensemble import rounded
 from tidewell.plans.geology import LAB6, LAB26, PERFS, WP, _layers, _mask, _perfs, _pillars, _tracks, _well_cells
 from tidewell.plans.registry import query
-from tidewell.sources import decks, sinks, tables
+from tidewell.sources import decks, matrices, sinks, tables
 
 DYN = """
 mf AS (SELECT cluster_id, seed % 400 AS seed, model_id, ord FROM members WHERE cluster_id < 3),
@@ -408,3 +409,9 @@ def _(v):
     return geometry.runs(v.table("events"), ["user_id"], ["event_id"], "event_type").groupBy("user_id").agg(F.max("n").alias("longest"))
 
 
+@query("k01_matrix_files", "SELECT dense_rank() OVER (ORDER BY member_id) - 1 AS row, comp_pos::BIGINT AS col, round(value, 9) AS value FROM theta")
+def _(v):
+    order = v.members.select("member_id", (F.row_number().over(Window.orderBy("member_id")) - 1).cast("long").alias("row"))
+    cells = v.theta.join(order, "member_id").select("row", F.col("comp_pos").cast("long").alias("col"), "value")
+    files = matrices.write_matrix(cells, f"{sinks.scratch(v.spark, 'k01')}/theta", 4, rows_a_file=256)
+    return rounded(matrices.read_matrix(v.spark, [r.path for r in files.collect()]), 9)
