@@ -89,7 +89,30 @@ def test_geology_command(spark, roots, tmp_path, capsys):
     diff = {r.seed: r for r in read("cube_difference").collect()}
     assert set(diff) == {11, 12} and diff[11].delta_permx > 0 == diff[12].delta_permx
     assert read("comparison").where("metric = 'mean_inj_connections_per_producer' and value_new > value_old").count() == 1
-    assert read("index").where("has_permx = 1").count() == 6
+    i = read("index")
+    assert i.where("has_permx = 1").count() == 6 and i.where("has_results = 1").count() == 0 and i.where("has_tracks = 1").count() >= 5
+
+
+def test_geology_command_with_history_and_production(spark, roots, tmp_path):
+    """All axes: history by cluster and against connectivity, and what geology adds to the parameters."""
+    r = np.random.default_rng(1)
+    setups = [(s, m, m % 2, float(r.uniform(0, 9)) / f, float(r.uniform(0, 20)) / f, float(r.uniform(0, 40)) / f) for f, s in ((1, "a"), (3, "b")) for m in range(12)]
+    spark.createDataFrame(setups, "setup string, model_id long, cluster_id long, dev_field_cum_pct double, dev_field_annual_max_pct double, dev_well_top80_max_pct double").write.parquet(f"{tmp_path}/history")
+    spark.createDataFrame([(m, 11 + m % 2) for m in range(12)], "model_id long, seed long").write.parquet(f"{tmp_path}/seeds")
+    rows = [(11 + i % 2, i % 2, float(r.normal()), float(r.normal()) + 5 * (i % 2)) for i in range(40)]
+    spark.createDataFrame(rows, "seed long, cluster long, p_a double, r_oil double").write.parquet(f"{tmp_path}/rows")
+    args = ["--history", f"{tmp_path}/history", "--seeds", f"{tmp_path}/seeds", "--production", f"{tmp_path}/rows", "--draws", "20"]
+    assert cli.main(["geology", "--out", f"{tmp_path}/out", "--cutoff", "100", *args, *(f"{n}={x}" for n, x in roots.items())]) == 0
+    found = {}
+    for x in spark.read.parquet(f"{tmp_path}/out/comparison").collect():
+        found.setdefault(x.axis, {})[x.metric, x.scope] = x
+    assert set(found) == {"rebuild", "connectivity", "descriptors", "diversity", "history", "production"}
+    assert found["history"]["mean_total_misfit", "cluster_0"].status == "BETTER" and found["rebuild"]["frac_netflag_changed", "matched_seeds"].value_old == 0
+    assert found["history"]["share_pass_all_three", "all"].value_new >= found["history"]["share_pass_all_three", "all"].value_old
+    up = found["production"]["r2_r_oil", "all"]
+    assert up.value_new > up.value_old + 0.5 and up.status == "BETTER"
+    assert any(m.startswith("corr_misfit_") for m, _ in found["history"]) and any(m.startswith("width_") for m, _ in found["diversity"])
+    assert spark.read.parquet(f"{tmp_path}/out/uplift").count() == 3
 
 
 def test_no_decks(spark, tmp_path):

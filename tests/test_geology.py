@@ -170,3 +170,15 @@ def test_cutoff(spark):
     df = spark.createDataFrame([("two", float(x)) for x in two] + [("few", 5.0)], "g STRING, permx DOUBLE")
     got = {x.g: x.cutoff for x in geometry.perm_cutoff(df, ["g"], fallback=-1.0).collect()}
     assert got["few"] == -1 and got["two"] > 0
+
+
+def test_cube_difference_without_a_cube(spark):
+    """A pair of which one model lacks a cube stays, with that cube's fields null."""
+    cells = [(m, f, f, 0, 0, None if m == 2 else 0.1 * f + m, float(f * m), float((f + m) % 2)) for m in (1, 2, 3) for f in range(6)]
+    df = spark.createDataFrame(cells, "model long, flat long, i int, j int, k int, poro double, permx double, ntg double")
+    pairs = spark.createDataFrame([(7, 1, 2), (8, 1, 3)], "seed long, model_a long, model_b long")
+    got = {r.seed: r for r in geo.cube_difference(df, df, pairs).collect()}
+    assert got[7].mean_poro_b is None and got[7].delta_poro is None and got[7].delta_var_poro is None and got[7].delta_permx == pytest.approx(2.5)
+    assert got[8].delta_poro == pytest.approx(2) and got[8].delta_var_poro == pytest.approx(0) and got[8].delta_var_permx == pytest.approx(8 * 35 / 12) and got[7].frac_netflag_changed == 1
+    none = geo.cube_difference(df, df.withColumn("ntg", F.lit(None).cast("double")), pairs).first()
+    assert none.frac_net_b is None and none.frac_netflag_changed is None and none.delta_frac_net is None

@@ -30,6 +30,10 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--out", required=True)
     g.add_argument("--cutoff", type=float, help="permeability of sand; calibrated for each deck if not given")
     g.add_argument("--step", type=float, default=1.0, help="distance of samples along a well")
+    g.add_argument("--history", help="Parquet table of two setups' deviations (setup, model_id, cluster_id, dev_...)")
+    g.add_argument("--seeds", help="Parquet table (model_id, seed) that links history to decks")
+    g.add_argument("--production", help="Parquet table of parameters p_... and responses r_... by seed and cluster")
+    g.add_argument("--draws", type=int, default=2000, help="resamples of the production link's intervals")
     g.add_argument("roots", nargs="+", metavar="NUMBER=FOLDER")
     a = p.parse_args(argv)
     spark = build_session()
@@ -41,7 +45,9 @@ def main(argv: list[str] | None = None) -> int:
         from tidewell.plans import experiment
 
         roots = {int(n): root for n, root in (x.split("=", 1) for x in a.roots)}
-        for name, df in experiment.geology_tables(spark, roots, a.out, a.cutoff, a.step).items():
+        for name, df in experiment.geology_tables(
+            spark, roots, a.out, a.cutoff, a.step, a.history, a.seeds, a.production, a.draws
+        ).items():
             print(name, df.columns)
     elif a.command == "report":
         print(phases.report(spark, a.out))

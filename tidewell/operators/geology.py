@@ -201,7 +201,10 @@ def per_well_correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def cube_difference(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each pair of models: means and population variances of the cubes, differences, and the share of changed net flags."""
+    """For each pair of models: means and population variances of the cubes, differences of both, and the share of changed net flags.
+
+    A cube that one model of a pair lacks (nulls) leaves its fields null.
+    """
     rows = pairs.join(
         a.withColumnsRenamed({"model": "model_a", "poro": "poro_a", "permx": "permx_a", "ntg": "ntg_a"}).drop("i", "j", "k"), "model_a"
     ).join(
@@ -211,10 +214,11 @@ def cube_difference(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     aggs = [
         x for c in ("poro", "permx", "ntg") for x in (
             F.avg(f"{c}_a").alias(f"mean_{c}_a"), F.avg(f"{c}_b").alias(f"mean_{c}_b"), F.var_pop(f"{c}_a").alias(f"var_{c}_a"),
-            F.var_pop(f"{c}_b").alias(f"var_{c}_b"), (F.avg(f"{c}_b") - F.avg(f"{c}_a")).alias(f"delta_{c}")
+            F.var_pop(f"{c}_b").alias(f"var_{c}_b"), (F.avg(f"{c}_b") - F.avg(f"{c}_a")).alias(f"delta_{c}"),
+            (F.var_pop(f"{c}_b") - F.var_pop(f"{c}_a")).alias(f"delta_var_{c}")
         )
     ]
-    one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    one = lambda c: F.avg(F.when(c, 1.0).when(~c, 0.0))
     return rows.groupBy("seed").agg(
         *aggs, one(F.col("ntg_a") == 1).alias("frac_net_a"), one(F.col("ntg_b") == 1).alias("frac_net_b"),
         one(F.col("ntg_a") != F.col("ntg_b")).alias("frac_netflag_changed")
@@ -231,7 +235,7 @@ def matched_seeds(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def model_index(decks: DataFrame, files: DataFrame, wells: DataFrame) -> DataFrame:
     """One row a deck: a 0/1 flag for each kind of file it has, and its number of wells."""
-    kinds = ["grid", "poro", "permx", "ntg", "schedule"]
+    kinds = ["grid", "poro", "permx", "ntg", "schedule", "satnum", "tracks", "results"]
     f = files.groupBy("directory").pivot("kind", kinds).agg(F.lit(1)).select("directory", *(F.coalesce(F.col(k), F.lit(0)).alias(f"has_{k}") for k in kinds))
     w = wells.groupBy("directory").agg(F.count_distinct("well").alias("n_wells"))
     return decks.join(f, "directory", "left").join(w, "directory", "left").fillna(0, [*(f"has_{k}" for k in kinds), "n_wells"])
@@ -290,6 +294,44 @@ def axis_compliance(summary: DataFrame, old: str, new: str) -> DataFrame:
     )
 
 
+def _axis(axis: str, rows: DataFrame, direction: str) -> DataFrame:
+    """Comparison rows of (metric, scope, value_old, value_new)."""
+    return comparison_rows(rows.select(F.lit(axis).alias("axis"), "metric", "scope", "value_old", "value_new", F.lit(direction).alias("direction")))
+
+
+def axis_rebuild(difference: DataFrame) -> DataFrame:
+    """How far matched models were rebuilt: the mean share of changed net flags, and mean sizes of the cubes' changes; the old value is 0."""
+    values = {"frac_netflag_changed": F.avg("frac_netflag_changed")} | {f"abs_delta_{c}": F.avg(F.abs(f"delta_{c}")) for c in ("poro", "permx", "ntg")}
+    long = difference.agg(*(v.alias(n) for n, v in values.items())).withColumn("scope", F.lit("matched_seeds")).unpivot(["scope"], list(values), "metric", "value_new")
+    return _axis("rebuild", long.withColumn("value_old", F.lit(0.0)), "~")
+
+
+def axis_diversity(width: DataFrame) -> DataFrame:
+    """Spreads of both experiments for each metric of geological_width_ratio."""
+    return _axis("diversity", width.select(F.concat(F.lit("width_"), "metric").alias("metric"), F.lit("all").alias("scope"), F.col("spread_a").alias("value_old"), F.col("spread_b").alias("value_new")), "~")
+
+
+def axis_misfit(misfit: DataFrame, old: str, new: str) -> DataFrame:
+    """Mean total misfit of two setups for each cluster that both have."""
+    g = misfit.groupBy("cluster_id").agg(*(F.avg(F.when(F.col("setup") == s, F.col("total_misfit"))).alias(n) for s, n in ((old, "value_old"), (new, "value_new"))))
+    g = g.where("value_old is not null and value_new is not null")
+    return _axis("history", g.select(F.lit("mean_total_misfit").alias("metric"), F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string")).alias("scope"), "value_old", "value_new"), "<")
+
+
+def axis_cross(rows: DataFrame, metrics: list[str], value: str = "total_misfit", by: str = "setup", old: str = "setup1", new: str = "setup2") -> DataFrame:
+    """Correlation of the misfit with each geological metric, for both setups."""
+    long = rows.select(by, value, *metrics).unpivot([by, value], metrics, "metric", "x")
+    r = cross_axis(long, value, "x", [by, "metric"])
+    g = r.groupBy("metric").agg(*(F.max(F.when(F.col(by) == s, F.col("r"))).alias(n) for s, n in ((old, "value_old"), (new, "value_new"))))
+    return _axis("history", g.select(F.concat(F.lit("corr_misfit_"), "metric").alias("metric"), F.lit("all").alias("scope"), "value_old", "value_new"), "~")
+
+
+def axis_production(uplift: DataFrame) -> DataFrame:
+    """R2 of the parameters alone and with the geological predictors, for each response over all members."""
+    rows = uplift.where("scope = 'all' and r2_base is not null")
+    return _axis("production", rows.select(F.concat(F.lit("r2_"), "response").alias("metric"), "scope", F.col("r2_base").alias("value_old"), F.col("r2_full").alias("value_new")), ">")
+
+
 def axis_correlations(corr: DataFrame) -> DataFrame:
     """Significant correlations as rows: the size of r is the new value, there is no old one."""
     none = F.lit(None).cast("double")

@@ -275,7 +275,7 @@ def _(v):
 @query(
     "a38_cube_difference",
     "SELECT a.model AS seed, " + ", ".join(
-        f"round(avg(a.{c}), 8) AS mean_{c}_a, round(avg(b.{c}), 8) AS mean_{c}_b, round(var_pop(a.{c}), 6) AS var_{c}_a, round(var_pop(b.{c}), 6) AS var_{c}_b, round(avg(b.{c}) - avg(a.{c}), 8) AS delta_{c}" for c in (
+        f"round(avg(a.{c}), 8) AS mean_{c}_a, round(avg(b.{c}), 8) AS mean_{c}_b, round(var_pop(a.{c}), 6) AS var_{c}_a, round(var_pop(b.{c}), 6) AS var_{c}_b, round(avg(b.{c}) - avg(a.{c}), 8) AS delta_{c}, round(var_pop(b.{c}) - var_pop(a.{c}), 6) AS delta_var_{c}" for c in (
             "poro", "permx", "ntg"
         )
     ) + ", round(avg((a.ntg = 1)::INT), 8) AS frac_net_a, round(avg((b.ntg = 1)::INT), 8) AS frac_net_b, round(avg((a.ntg <> b.ntg)::INT), 8) AS frac_netflag_changed, round(avg((b.ntg = 1)::INT) - avg((a.ntg = 1)::INT), 8) AS delta_frac_net FROM cells a JOIN cells b ON b.model = a.model + 1 AND b.flat = a.flat WHERE a.model % 2 = 0 GROUP BY a.model"
@@ -285,7 +285,7 @@ def _(v):
         F.col("model").alias("seed"), F.col("model").alias("model_a"), (F.col("model") + 1).alias("model_b")
     ).distinct()
     out = geo.cube_difference(v.cells, v.cells, pairs)
-    return rounded(out, {c: 6 if c.startswith("var") else 8 for c in out.columns})
+    return rounded(out, {c: 6 if "var_" in c else 8 for c in out.columns})
 
 
 DECKS = "dk AS (SELECT (s_suppkey % 7) AS seed, s_nationkey % 2 = 0 AS centroid, s_name AS directory, s_nationkey % 3 AS ex FROM supplier)"
@@ -311,10 +311,10 @@ def _(v):
 
 
 @query("a39_model_index", """
-fl AS (SELECT s_name AS directory, kind FROM supplier, (VALUES ('grid', 2), ('poro', 3), ('permx', 5), ('ntg', 7), ('schedule', 11)) k(kind,
+fl AS (SELECT s_name AS directory, kind FROM supplier, (VALUES ('grid', 2), ('poro', 3), ('permx', 5), ('ntg', 7), ('schedule', 11), ('satnum', 13), ('tracks', 4), ('results', 6)) k(kind,
 m) WHERE s_suppkey % m = 0),
 wl AS (SELECT s_name AS directory, l_returnflag AS well FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 4 > 0)
-SELECT s_name AS directory, """ + ", ".join(f"coalesce(max((kind = '{k}')::INT), 0) AS has_{k}" for k in ("grid", "poro", "permx", "ntg", "schedule")) + """
+SELECT s_name AS directory, """ + ", ".join(f"coalesce(max((kind = '{k}')::INT), 0) AS has_{k}" for k in ("grid", "poro", "permx", "ntg", "schedule", "satnum", "tracks", "results")) + """
 , (SELECT count(DISTINCT well) FROM wl WHERE wl.directory = s_name) AS n_wells FROM supplier LEFT JOIN fl ON fl.directory = s_name
 GROUP BY s_name""")
 def _(v):
@@ -323,7 +323,7 @@ def _(v):
         F.array(
             *(
                 F.struct(F.lit(n).alias("kind"), F.lit(m).alias("m")) for n,
-                m in (("grid", 2), ("poro", 3), ("permx", 5), ("ntg", 7), ("schedule", 11))
+                m in (("grid", 2), ("poro", 3), ("permx", 5), ("ntg", 7), ("schedule", 11), ("satnum", 13), ("tracks", 4), ("results", 6))
             )
         )
     )
@@ -788,6 +788,36 @@ def _(v):
     return rounded(geo.axis_by_cluster(v.descriptors, "diversity", "mean_net", "net_sand_penetrated", "<"))
 
 
+@query(
+    "a43_axis_rebuild",
+    """
+x AS (SELECT a.model, avg((a.ntg <> b.ntg)::INT) AS nf, abs(avg(b.poro) - avg(a.poro)) AS dp, abs(avg(b.permx) - avg(a.permx)) AS dk, abs(avg(b.ntg) - avg(a.ntg)) AS dn
+FROM cells a JOIN cells b ON b.model = a.model + 1 AND b.flat = a.flat WHERE a.model % 2 = 0 GROUP BY a.model),
+""" + AX.lstrip().format(
+        rows=" UNION ALL ".join(
+            f"SELECT 'rebuild' AS axis, '{m}' AS metric, 'matched_seeds' AS scope, 0.0 AS a, (SELECT avg({c}) FROM x) AS b, '~' AS direction"
+            for m, c in (("frac_netflag_changed", "nf"), ("abs_delta_poro", "dp"), ("abs_delta_permx", "dk"), ("abs_delta_ntg", "dn"))
+        )
+    )
+)
+def _(v):
+    pairs = v.cells.where("model % 2 = 0").select(F.col("model").alias("seed"), F.col("model").alias("model_a"), (F.col("model") + 1).alias("model_b")).distinct()
+    return rounded(geo.axis_rebuild(geo.cube_difference(v.cells, v.cells, pairs)))
+
+
+@query(
+    "a43_axis_misfit",
+    AX.format(
+        rows="""
+SELECT 'history' AS axis, 'mean_total_misfit' AS metric, 'cluster_' || cluster_id AS scope,
+avg(dev_field_cum_pct + dev_field_annual_max_pct + dev_well_top80_max_pct) FILTER (WHERE setup = 'setup1') AS a,
+avg(dev_field_cum_pct + dev_field_annual_max_pct + dev_well_top80_max_pct) FILTER (WHERE setup = 'setup2') AS b, '<' AS direction FROM setups GROUP BY cluster_id"""
+    )
+)
+def _(v):
+    return rounded(geo.axis_misfit(geo.model_misfit(geo.compliance(v.setups)), "setup1", "setup2"))
+
+
 @query("a43_summary_comparison", COMPLY + "," + PERMODEL + "," + RESP + """,
 rm AS (SELECT member_id AS seed, sum(o) AS oil, avg(w / (o + w)) AS cut FROM resp GROUP BY ALL),
 lk AS (SELECT pm.*, rm.oil, rm.cut, n_bodies_26::DOUBLE AS bodies FROM pm JOIN rm USING (seed) LEFT JOIN c1 USING (seed)),
