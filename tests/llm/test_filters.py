@@ -352,6 +352,47 @@ def test_network_tables_agree():
     assert np.allclose(net.windows(x), net._softmax(net._pooled(x)[0]), atol=1e-5)
 
 
+def test_predictions_by_plain_loops(spark, monkeypatch):
+    """Every row against loops over windows, places and filters, for one fixed set of weights; held_out and und row by row."""
+    import zlib
+
+    import numpy as np
+
+    net = language.ByteConv(["aa", "bb", "cc"], seed=5)
+    monkeypatch.setattr(language, "fit", lambda docs, per_language, epochs: net)
+    texts = ["Kurz", "ein längerer Text mit Ä, ß und 123 " * 40, "x" * language.WINDOW, "y" * (language.WINDOW + 1), "один два три", None, "", "12 34!", "日本語 text", "A" * 5000 + "é" * 300]
+    table = [row(i, t, "aa") for i, t in enumerate(texts)] + [(None, "no id", "bb", None, None, *EXTRA), row(0, "Kurz", "cc")]
+    got = sorted((repr(r.doc_id), r.held_out, r.lang_pred, round(r.score, 4)) for r in language.identify_languages(spark.createDataFrame(table, DOCS)).collect())
+
+    def window(x):
+        pooled = []
+        for w in language.WIDTHS:
+            t = net.params[f"t{w}"]
+            for f in range(language.FILTERS):
+                pooled.append(max(sum(float(t[j][x[at + j]][f]) for j in range(w)) for at in range(len(x) - w + 1)))
+        h = np.maximum(np.array(pooled) + net.params["b"], 0)
+        z = h @ net.params["v"] + net.params["c"]
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    want = []
+    for d, t, *_ in table:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+        held = d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+        if not any(c.isalpha() for c in t or ""):
+            want.append((repr(d), held, "und", 0.0))
+            continue
+        total, weight = np.zeros(3), 0
+        for at in range(0, len(raw), language.WINDOW):
+            part = raw[at : at + language.WINDOW]
+            total += window(part.ljust(language.WINDOW, b"\0")) * len(part)
+            weight += len(part)
+        mean = total / weight
+        want.append((repr(d), held, net.classes[int(mean.argmax())], round(float(mean.max()), 4)))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-4
+
+
 # Decontamination
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
