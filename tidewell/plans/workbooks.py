@@ -75,6 +75,7 @@ def _(v):
     rows = v.cumulative.where("not (member_id % 11 = 0 and time = 1995) and member_id % 6 > 0")
     files = _series_files(v, rows, F.format_string("%d_9-%d", "cluster_id", "member_id"), shared=True)
     dynamics = workbooks.dynamics_workbook(v.spark, files, METRICS, "Date")
+    dynamics = v.spark.read.parquet(sinks.write_table(dynamics, f"{sinks.scratch(v.spark, 'forecast')}/series"))
     manifest = workbooks.parameters_workbook(v.spark, _parameter_file(v), ["bal"]).withColumn("ord", F.struct("sheet_no", "row"))
     out = tables.load_forecast(manifest, dynamics, F.lit("2000-01-01").cast("timestamp_ntz"))
     return rounded(out.groupBy("cluster_id", "seed", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)

@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx): a data source with a partition for each sheet, and a writer with a task for each workbook.
+"""Workbooks (.xlsx): a data source with a partition for each sheet (several, if there are very many), and a writer with a task for each workbook.
 
     spark.dataSource.register(WorkbookSource)
     spark.read.format("workbook").schema("MODEL long, SEED double").option("header", 3).load("models.xlsx")
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidewell.sources import tables
+from tidewell.sources import sinks, tables
 
 #: Fixed values of the format: numbers of the built-in date and time formats.
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
@@ -190,9 +190,15 @@ def _headers(cells: dict) -> dict[int, str]:
     return out
 
 
-class Sheet(InputPartition):
-    def __init__(self, path: str, name: str, number: int, member: str):
-        self.path, self.name, self.number, self.member = path, name, number, member
+#: Partitions of one read, at most; beyond that a task reads several sheets, one after the other.
+MOST_PARTITIONS = 256
+
+
+class Sheets(InputPartition):
+    """(path, name, number, member) of the sheets of a partition: one, as long as there are no more than MOST_PARTITIONS."""
+
+    def __init__(self, sheets: list[tuple[str, str, int, str]]):
+        self.sheets = sheets
 
 
 class _Reader(DataSourceReader):
@@ -204,27 +210,28 @@ class _Reader(DataSourceReader):
             raise ValueError(f"columns {bad} have a type that no cell has")
 
     def partitions(self):
-        found = [Sheet(p, name, n, member) for p in self.paths for n, (name, member) in enumerate(sheets(p)) if re.search(self.pattern, name)]
-        return found or [Sheet("", "", 0, "")]  # a source must have a partition
-
-    def read(self, sheet: Sheet):
-        if not sheet.member:
-            return
-        names, held = None, []
-        for at, cells in rows(sheet.path, sheet.member):
-            if at < self.header or names is None:
-                if at >= self.header:
-                    names = _headers(cells)
-                continue
-            where = (sheet.name, sheet.number, at)
-            if self.long:
-                for col, x in sorted(cells.items()):
-                    held.append((*where, col, names.get(col), as_text(x), as_number(x), _as_time(x)))
-            elif cells:
-                held.append(self._typed(dict(zip(PLACES, where, strict=True)), {names[c]: x for c, x in cells.items() if c in names}))
-            if len(held) >= _BATCH:
-                yield self._batch(held)
-                held = []
+        found = [(p, name, n, member) for p in self.paths for n, (name, member) in enumerate(sheets(p)) if re.search(self.pattern, name)]
+        each = max(1, -(-len(found) // MOST_PARTITIONS))
+        return [Sheets(found[i : i + each]) for i in range(0, len(found), each)] or [Sheets([])]  # a source must have a partition
+
+    def read(self, part: Sheets):
+        held = []
+        for path, name, number, member in part.sheets:
+            names = None
+            for at, cells in rows(path, member):
+                if at < self.header or names is None:
+                    if at >= self.header:
+                        names = _headers(cells)
+                    continue
+                where = (name, number, at)
+                if self.long:
+                    for col, x in sorted(cells.items()):
+                        held.append((*where, col, names.get(col), as_text(x), as_number(x), _as_time(x)))
+                elif cells:
+                    held.append(self._typed(dict(zip(PLACES, where, strict=True)), {names[c]: x for c, x in cells.items() if c in names}))
+                if len(held) >= _BATCH:
+                    yield self._batch(held)
+                    held = []
         if held:
             yield self._batch(held)
 
@@ -316,9 +323,11 @@ def dynamics_workbook(spark: SparkSession, path: str | list[str], metrics: list[
 
 
 def ensemble_workbooks(spark: SparkSession, parameters: str, dynamics: str | list[str], components: list[str], metrics: list[str], time: str, header: int = 3) -> DataFrame:
-    """Series of all members that both the workbook of parameters and those of series name; see tables.load_ensemble."""
+    """Series of all members that both the workbook of parameters and those of series name; see tables.load_ensemble. What is parsed is written once."""
     manifest = parameters_workbook(spark, parameters, components, header).withColumn("ord", F.struct("sheet_no", "row"))
-    return tables.load_ensemble(manifest, dynamics_workbook(spark, dynamics, metrics, time))
+    folder = sinks.scratch(spark, "ensemble")
+    series, manifest = (spark.read.parquet(sinks.write_table(df, f"{folder}/{n}")) for n, df in (("series", dynamics_workbook(spark, dynamics, metrics, time)), ("manifest", manifest)))
+    return tables.load_ensemble(manifest, series)
 
 
 def theta_workbook(spark: SparkSession, path: str, components: list[str], header: int = 3) -> DataFrame:
