@@ -617,7 +617,7 @@ def _(v):
 
 PROXY1 = """
 q1 AS (SELECT member_id, cluster_id, value AS z FROM theta WHERE comp = 'price'),
-fd AS (SELECT member_id, metric, well, time, value AS d FROM forecast WHERE metric = 'qty'),
+fd AS (SELECT member_id, metric, well, time, value AS d FROM forecast),
 px AS (SELECT cluster_id, metric, well, time, count(*) AS n_train, avg(z) AS z_mean, avg(d) AS d_mean, min(z) AS lo, max(z) AS hi,
 covar_samp(z, d) / (var_samp(z) + 1e-8) AS slope, stddev_samp(d) AS sigma FROM q1 JOIN fd USING (member_id) GROUP BY ALL
 HAVING count(*) >= 2)
@@ -635,7 +635,7 @@ SELECT cluster_id, metric, well, time, n_train, round(z_mean, 6) AS z_mean, roun
 6) AS hi, round(slope, 6) AS slope FROM px"""
 )
 def _(v):
-    return rounded(linear.simple_proxies(_price(v), v.forecast.where("metric = 'qty'")).drop("sigma"), {"d_mean": 4})
+    return rounded(linear.simple_proxies(_price(v), v.forecast).drop("sigma"), {"d_mean": 4})
 
 
 @query(
@@ -643,7 +643,7 @@ def _(v):
     PROXY1 + "SELECT cluster_id, 'price' AS comp, metric || '|' || well || '|' || time AS pos, n_train, round(slope, 6) AS slope FROM px"
 )
 def _(v):
-    return rounded(linear.build_proxies(_price(v), v.forecast.where("metric = 'qty'")).select("cluster_id", "comp", "pos", "n_train", "slope"))
+    return rounded(linear.build_proxies(_price(v), v.forecast).select("cluster_id", "comp", "pos", "n_train", "slope"))
 
 
 @query(
@@ -654,7 +654,7 @@ metric || '|' || well || '|' || time AS pos, round(d_mean + (z - z_mean) * slope
 false) AS in_envelope FROM pp LEFT JOIN px USING (cluster_id)"""
 )
 def _(v):
-    p = linear.build_proxies(_price(v), v.forecast.where("metric = 'qty'"))
+    p = linear.build_proxies(_price(v), v.forecast)
     return rounded(linear.predict(p, v.theta_post.where("comp = 'price'")), 4)
 
 
@@ -662,11 +662,11 @@ VALID = """
 sp AS (SELECT member_id, CASE WHEN row_number() OVER (PARTITION BY cluster_id ORDER BY md5('3-' || member_id), member_id) <= greatest(1,
 round_even(count(*) OVER (PARTITION BY cluster_id) * 0.2, 0)) THEN 'val' ELSE 'train' END AS split FROM members),
 q1 AS (SELECT t.member_id, t.cluster_id, value AS z, split FROM theta t JOIN sp USING (member_id) WHERE comp = 'price'),
-fd AS (SELECT member_id, well, time, value AS d FROM forecast WHERE metric = 'qty'),
-px AS (SELECT cluster_id, well, time, avg(z) AS z_mean, avg(d) AS d_mean, covar_samp(z, d) / (var_samp(z) + 1e-8) AS slope,
+fd AS (SELECT member_id, metric, well, time, value AS d FROM forecast),
+px AS (SELECT cluster_id, metric, well, time, avg(z) AS z_mean, avg(d) AS d_mean, covar_samp(z, d) / (var_samp(z) + 1e-8) AS slope,
 stddev_samp(d) AS sigma FROM q1 JOIN fd USING (member_id) WHERE split = 'train' GROUP BY ALL HAVING count(*) >= 2),
 er AS (SELECT q1.cluster_id, q1.member_id, median(abs(d_mean + slope * (z - z_mean) - d) / CASE WHEN sigma > 1 THEN sigma ELSE 1 END) AS e
-FROM q1 JOIN fd USING (member_id) JOIN px ON px.cluster_id = q1.cluster_id AND px.well = fd.well AND px.time = fd.time WHERE split = 'val'
+FROM q1 JOIN fd USING (member_id) JOIN px ON px.cluster_id = q1.cluster_id AND px.metric = fd.metric AND px.well = fd.well AND px.time = fd.time WHERE split = 'val'
 GROUP BY ALL)
 """
 
@@ -676,12 +676,12 @@ median(e), avg(e), max(e) FROM er)
 SELECT cluster_id, n_val, round(m, 6) AS median_rel_err, round(me, 6) AS mean_rel_err, round(mx, 6) AS max_rel_err,
 CASE WHEN m < 1 THEN 'PASS' WHEN m < 2 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM a""")
 def _(v):
-    return rounded(linear.validate_proxy(_price(v), v.forecast.where("metric = 'qty'"), members.stratified_split(v.members, 0.2, 3)))
+    return rounded(linear.validate_proxy(_price(v), v.forecast, members.stratified_split(v.members, 0.2, 3)))
 
 
 @query("f16_proxy_verdict", VALID + "SELECT member_id, CASE WHEN e < 1 THEN 'PASS' WHEN e < 2 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM er")
 def _(v):
-    errors = linear.proxy_errors(_price(v), v.forecast.where("metric = 'qty'"), members.stratified_split(v.members, 0.2, 3))
+    errors = linear.proxy_errors(_price(v), v.forecast, members.stratified_split(v.members, 0.2, 3))
     return errors.select("member_id", verdict("error").alias("verdict"))
 
 

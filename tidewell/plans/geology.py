@@ -962,14 +962,12 @@ def _(v):
 @query(
     "j03_training_set",
     """
-SELECT t.member_id, comp, round(t.value, 6) AS z, well, time, round(f.value, 4) AS d FROM theta t JOIN forecast f USING (member_id)
-WHERE f.metric = 'qty' AND comp = 'price'"""
+SELECT t.member_id, comp, round(t.value, 6) AS z, metric, well, time, round(f.value, 4) AS d FROM theta t JOIN forecast f USING (member_id)"""
 )
 def _(v):
-    t = v.theta.where("comp = 'price'")
     return rounded(
-        t.select("member_id", "comp", F.col("value").alias("z")).join(
-            v.forecast.where("metric = 'qty'").select("member_id", "well", "time", F.col("value").alias("d")), "member_id"
+        v.theta.select("member_id", "comp", F.col("value").alias("z")).join(
+            v.forecast.select("member_id", "metric", "well", "time", F.col("value").alias("d")), "member_id"
         ),
         {"d": 4}
     )
@@ -1015,11 +1013,11 @@ def _(v):
 @query(
     "j08_per_well_join",
     PERMODEL + """
-SELECT d.seed, d.well, round(pm.ntg, 8) AS mean_ntg_along_well, round(d.mean_ntg_along_well, 8) AS mean_ntg_along_well_w FROM pm LEFT
-JOIN (SELECT * FROM descriptors WHERE experiment = 1) d ON d.seed = pm.seed"""
+SELECT d.seed, d.experiment, d.well, round(pm.ntg, 8) AS mean_ntg_along_well, round(d.mean_ntg_along_well, 8) AS mean_ntg_along_well_w FROM pm LEFT
+JOIN descriptors d ON d.seed = pm.seed"""
 )
 def _(v):
-    d = v.descriptors.where("experiment = 1").select("seed", "well", F.col("mean_ntg_along_well").alias("mean_ntg_along_well_w"))
+    d = v.descriptors.select("seed", "experiment", "well", F.col("mean_ntg_along_well").alias("mean_ntg_along_well_w"))
     return rounded(geo.descriptors_per_model(v.descriptors, v.connectivity).select("seed", "mean_ntg_along_well").join(d, "seed", "left"), 8)
 
 
@@ -1132,15 +1130,15 @@ def _(v):
 
 
 @query("m15_bootstrap_means", """
-rw AS (SELECT cluster, net_sand_penetrated AS v, row_number() OVER (PARTITION BY cluster ORDER BY seed * 10 + ascii(well)) AS i,
-count(*) OVER (PARTITION BY cluster) AS n FROM descriptors WHERE experiment = 1),
-dr AS (SELECT cluster, b, (floor(('0x' || substr(md5('1-' || b || '-' || i), 1, 8))::BIGINT / 4294967296.0 * n) + 1)::BIGINT AS j FROM rw,
+rw AS (SELECT experiment, cluster, net_sand_penetrated AS v, row_number() OVER (PARTITION BY experiment, cluster ORDER BY seed * 10 + ascii(well)) AS i,
+count(*) OVER (PARTITION BY experiment, cluster) AS n FROM descriptors),
+dr AS (SELECT experiment, cluster, b, (floor(('0x' || substr(md5('1-' || b || '-' || i), 1, 8))::BIGINT / 4294967296.0 * n) + 1)::BIGINT AS j FROM rw,
 range(0, 50) r(b)),
-ms AS (SELECT dr.cluster, b, avg(v) AS m FROM dr JOIN rw ON rw.cluster = dr.cluster AND rw.i = dr.j GROUP BY ALL)
-SELECT cluster, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM ms GROUP BY ALL""")
+ms AS (SELECT dr.experiment, dr.cluster, b, avg(v) AS m FROM dr JOIN rw ON rw.experiment = dr.experiment AND rw.cluster = dr.cluster AND rw.i = dr.j GROUP BY ALL)
+SELECT experiment, cluster, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM ms GROUP BY ALL""")
 def _(v):
-    d = v.descriptors.where("experiment = 1").withColumn("key", F.col("seed") * 10 + F.ascii("well"))
-    return rounded(linear.bootstrap_means(d, ["cluster"], "key", "net_sand_penetrated", 50, 1))
+    d = v.descriptors.withColumn("key", F.col("seed") * 10 + F.ascii("well"))
+    return rounded(linear.bootstrap_means(d, ["experiment", "cluster"], "key", "net_sand_penetrated", 50, 1))
 
 
 @query("m17_production_link")

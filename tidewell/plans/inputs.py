@@ -15,7 +15,7 @@ from tidewell.plans.registry import query
 from tidewell.sources import decks, matrices, sinks, tables
 
 DYN = """
-mf AS (SELECT cluster_id, seed % 400 AS seed, model_id, ord FROM members WHERE cluster_id < 3),
+mf AS (SELECT cluster_id, seed % 400 AS seed, model_id, ord FROM members),
 dy AS (SELECT CASE WHEN r.member_id % 6 = 0 THEN 'notes' ELSE '51-' || r.cluster_id || '_1-' || (seed % 400) END AS sheet, r.cluster_id,
 seed % 400 AS seed, r.metric, r.well, r.time, r.value FROM rates r JOIN members m USING (member_id)
 WHERE NOT (r.member_id % 11 = 0 AND time = 1995)),
@@ -43,7 +43,7 @@ SELECT cluster_id, seed, model_id, count(*) AS n, round(sum(value), 2) AS total
 WHERE n = (SELECT min_by(n, o) FROM sz) GROUP BY ALL"""
 )
 def _(v):
-    manifest = v.members.where("cluster_id < 3").select("cluster_id", (F.col("seed") % 400).alias("seed"), "model_id", "ord")
+    manifest = v.members.select("cluster_id", (F.col("seed") % 400).alias("seed"), "model_id", "ord")
     return rounded(
         tables.load_ensemble(manifest, _dynamics(v)).groupBy("cluster_id", "seed", "model_id").agg(
             F.count("*").alias("n"), F.sum("value").alias("total")
@@ -112,11 +112,11 @@ def _(v):
 @query("s07_load_forecast", """
 mf AS (SELECT cluster_id, seed, model_id, ord FROM members QUALIFY row_number() OVER (PARTITION BY cluster_id, seed ORDER BY ord) = 1),
 fc AS (SELECT f.cluster_id, m.seed, f.metric, round(sum(f.value), 2) AS total, count(*) AS n FROM forecast f
-JOIN members m USING (member_id) SEMI JOIN (SELECT ord FROM mf) x ON x.ord = m.ord WHERE f.cluster_id > 0 AND f.metric = 'qty' GROUP BY ALL)
+JOIN members m USING (member_id) SEMI JOIN (SELECT ord FROM mf) x ON x.ord = m.ord GROUP BY ALL)
 SELECT * FROM fc""")
 def _(v):
     one = geo.first_rows(v.members, ["cluster_id", "seed"], ["ord"])
-    dyn = v.cumulative.where("metric = 'qty' and cluster_id > 0").drop("cluster_id").join(one, "member_id").select(
+    dyn = v.cumulative.drop("cluster_id").join(one, "member_id").select(
         F.concat(F.col("cluster_id").cast("string"), F.lit("_9-"), F.col("seed").cast("string")).alias("sheet"), "metric", "well", "time",
         "value"
     )
