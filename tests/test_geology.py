@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,10 @@ def test_cube_difference_without_a_cube(spark):
     assert got[8].delta_poro == pytest.approx(2) and got[8].delta_var_poro == pytest.approx(0) and got[8].delta_var_permx == pytest.approx(8 * 35 / 12) and got[7].frac_netflag_changed == 1
     none = geo.cube_difference(df, df.withColumn("ntg", F.lit(None).cast("double")), pairs).first()
     assert none.frac_net_b is None and none.frac_netflag_changed is None and none.delta_frac_net is None
+
+
+def test_sidecar_names_the_revision(spark, tmp_path):
+    row = sinks.write_sidecar(spark, f"{tmp_path}/x", "theta", {"a": 1}, 7, n=3)
+    held = json.loads(spark.read.text(f"{tmp_path}/x.meta").first().value)
+    assert held == row and held["seed"] == 7 and held["extra"] == {"n": 3} and held["config_hash"] == sinks.config_hash({"a": 1})
+    assert (held["revision"] is None) == (held["dirty"] is None) and (held["revision"] is None or len(held["revision"]) == 40)

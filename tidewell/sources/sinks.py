@@ -6,10 +6,13 @@ import atexit
 import hashlib
 import html
 import json
+import os
 import shutil
+import subprocess
 import tempfile
 import uuid
 from datetime import datetime, timezone
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,11 +60,25 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+@cache
+def revision() -> tuple[str | None, bool | None]:
+    """(commit, whether files are changed) of the checkout this library runs from; nothing known outside of one."""
+
+    def git(*args: str) -> str:
+        return subprocess.run(["git", "-C", os.path.dirname(__file__), *args], capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+
+    try:
+        return git("rev-parse", "HEAD"), bool(git("status", "--porcelain", "--untracked-files=no"))
+    except (OSError, subprocess.SubprocessError):
+        return None, None
+
+
 def write_sidecar(spark: SparkSession, path: str, artefact: str, config: dict, seed: int | None = None, **extra) -> dict:
-    """Describe an output next to it."""
+    """Describe an output next to it: what it is, when, by which settings, seed and revision of the library it was made."""
+    commit, dirty = revision()
     row = {
         "artefact": artefact, "created": datetime.now(timezone.utc).isoformat(timespec="seconds"), "config_hash": config_hash(config),
-        "seed": seed, "extra": extra
+        "seed": seed, "revision": commit, "dirty": dirty, "extra": extra
     }
     spark.createDataFrame([(json.dumps(row, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
     return row
