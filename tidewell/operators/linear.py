@@ -279,6 +279,8 @@ def ensemble_gain(theta: DataFrame, sim: DataFrame, truth: DataFrame, energy: fl
     keys = list(keys)
     obs = truth.select(*keys, "sigma")
     d = sim.select("member_id", *keys, "value").join(obs, keys)
+    # written once, as several passes read it
+    d = sim.sparkSession.read.parquet(sinks.write_table(d, f"{sinks.scratch(sim.sparkSession, 'gain')}/observed"))
     n, p = _shape(d, keys)
     if theta.select("member_id").distinct().count() < 2:
         raise ValueError("an update needs two members or more")
