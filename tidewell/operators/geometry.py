@@ -216,21 +216,25 @@ def deck_connectivity(mask: DataFrame, well_cells: DataFrame) -> DataFrame:
 
 def sample_track(tracks: DataFrame, step: float = 0.5) -> DataFrame:
     """(model, well, s, md, x, y, z): points at equal measured depths along each track (model, well, seq, x, y, z, md), linear between survey points; tracks of under 2 points or no length give none."""
-    w = Window.partitionBy("model", "well").orderBy("seq")
-    seg = tracks.withColumns({f"{c}2": F.lead(c).over(w) for c in ("x", "y", "z", "md")}).withColumn(
-        "last", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0))
+    track = Window.partitionBy("model", "well")
+    w = track.orderBy("seq")
+    box = {"m": F.count("*").over(track), "md0": F.min_by("md", "seq").over(track), "md1": F.max_by("md", "seq").over(track)}
+    seg = tracks.where("model is not null and well is not null").withColumns(
+        {f"{c}2": F.lead(c).over(w) for c in ("x", "y", "z", "md")} | box
+    ).where("m >= 2 and md1 > md0 and md2 >= md").withColumn(
+        "n", F.greatest(F.lit(2), (F.ceil((F.col("md1") - F.col("md0")) / step) + 1).cast("int"))
     )
-    box = tracks.groupBy("model", "well").agg(
-        F.count("*").alias("m"), F.min_by("md", "seq").alias("md0"), F.max_by("md", "seq").alias("md1")
-    ).where("m >= 2 and md1 > md0")
-    n = F.greatest(F.lit(2), (F.ceil((F.col("md1") - F.col("md0")) / step) + 1).cast("int"))
-    points = box.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn(
-        "md",
+    # each segment makes its own samples, and one more at each end that is tried: nothing is joined
+    place = lambda c: (F.col(c) - F.col("md0")) / (F.col("md1") - F.col("md0")) * (F.col("n") - 1)
+    lo = F.greatest(F.floor(place("md")) - 1, F.lit(0)).cast("int")
+    hi = F.least(F.ceil(place("md2")) + 1, F.col("n") - 1).cast("int")
+    points = seg.withColumn("s", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).withColumn(
+        "at",
         F.when(F.col("s") == F.col("n") - 1, F.col("md1")).otherwise(
             F.col("md0") + (F.col("md1") - F.col("md0")) * F.col("s") / (F.col("n") - 1)
         )
     )
-    hit = points.select("model", "well", "s", F.col("md").alias("at")).join(seg.where("md2 is not null"), ["model", "well"]).where("at >= md and at <= md2")
+    hit = points.where("at >= md and at <= md2")
     t = F.coalesce(F.try_divide(F.col("at") - F.col("md"), F.col("md2") - F.col("md")), F.lit(0.0))
     one = hit.withColumn("_r", F.row_number().over(Window.partitionBy("model", "well", "s").orderBy("seq"))).where("_r = 1")
     return one.select("model", "well", "s", F.col("at").alias("md"), *((F.col(c) + (F.col(f"{c}2") - F.col(c)) * t).alias(c) for c in ("x", "y", "z")))
