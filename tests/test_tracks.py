@@ -44,3 +44,28 @@ def test_samples_without_a_join(spark):
     want = _samples(rows, 0.5)
     assert have.keys() == want.keys() and len(have) > 300
     assert all(np.allclose(have[k], want[k], atol=1e-9) for k in want)
+
+
+def test_cells_of_crowded_squares(spark, monkeypatch, tmp_path):
+    """Points of a square are dealt over tasks; equal ones all stay, and pillars in small files are not sent to the driver."""
+    monkeypatch.setattr(geometry, "A_SQUARE", 7, raising=False)
+    spark.createDataFrame([(i, j, i * 10.0 + j, j * 8.0 + 0.5 * i) for i in range(8) for j in range(6)], "i INT, j INT, x DOUBLE, y DOUBLE").write.parquet(str(tmp_path / "pillars"))
+    quads = geometry.grid_quads(spark.read.parquet(str(tmp_path / "pillars"))).drop("cx", "cy")
+    assert "Broadcast" not in _plan(quads)
+    r = np.random.default_rng(4)
+    rows = [(1, "W", n, *map(float, p)) for n, p in enumerate(np.concatenate([r.uniform(-5, 30, (120, 2)), r.uniform(12, 14, (60, 2)), [[10.0, 0.5], [21.0, 9.0]]]))]
+    rows += [(2, "twice", 0, 13.0, 9.0)] * 2 + [(2, "null", 0, None, 9.0)]
+    got = geometry.locate(spark.createDataFrame(rows, "model BIGINT, well STRING, s INT, x DOUBLE, y DOUBLE").repartition(3), quads, 12.0)
+    cells = [q.asDict() for q in quads.collect()]
+
+    def cell(x, y):
+        best = None
+        for c in cells if x is not None else ():
+            z = [(c[f"x{(n + 1) % 4}"] - c[f"x{n}"]) * (y - c[f"y{n}"]) - (c[f"y{(n + 1) % 4}"] - c[f"y{n}"]) * (x - c[f"x{n}"]) for n in range(4)]
+            if min(z) >= 0 or max(z) <= 0:
+                d = (x - sum(c[f"x{n}"] for n in range(4)) / 4) ** 2 + (y - sum(c[f"y{n}"] for n in range(4)) / 4) ** 2
+                best = min(best or (d, c["j"], c["i"]), (d, c["j"], c["i"]))
+        return (best[2], best[1]) if best else (None, None)
+
+    key = lambda q: tuple("" if x is None else str(x) for x in q)
+    assert sorted(map(tuple, got.select("model", "well", "s", "x", "y", "i", "j").collect()), key=key) == sorted(((*p, *cell(*p[3:])) for p in rows), key=key)

@@ -250,6 +250,10 @@ def holds():
     return (F.least(*cross) >= 0) | (F.greatest(*cross) <= 0)
 
 
+#: Points of a square that one task takes.
+A_SQUARE = 100_000
+
+
 def locate(points: DataFrame, quads: DataFrame, size: float) -> DataFrame:
     """Add i, j of the plan cell (i, j, x0..x3, y0..y3 in order around it) that holds each point, null if none.
 
@@ -260,11 +264,18 @@ def locate(points: DataFrame, quads: DataFrame, size: float) -> DataFrame:
     xs, ys = [f"x{n}" for n in range(4)], [f"y{n}" for n in range(4)]
     span = lambda cols: F.sequence(F.floor(F.least(*cols) / size), F.floor(F.greatest(*cols) / size))
     cells = quads.withColumn("bx", F.explode(span(xs))).withColumn("by", F.explode(span(ys)))
-    p = points.withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
+    p = points.withColumns({"_id": F.monotonically_increasing_id(), "bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
+    # wells stand close, so the points of a square are dealt over tasks
+    parts = p.groupBy("bx", "by").agg(F.ceil(F.count("*") / A_SQUARE).cast("int").alias("parts"))
+    p = p.join(parts, ["bx", "by"], "left").withColumn("part", F.pmod("_id", "parts").cast("int")).alias("p")
+    cells = cells.join(parts, ["bx", "by"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     mid = lambda cols: sum((F.col(c) for c in cols), F.lit(0.0)) / 4
     near = F.pow(F.col("x") - mid(xs), 2) + F.pow(F.col("y") - mid(ys), 2)
-    hit = p.join(cells, ["bx", "by"]).where(holds()).groupBy("model", "well", "s").agg(F.min(F.struct(near.alias("d"), "j", "i")).alias("c"))
-    return points.join(hit.select("model", "well", "s", F.col("c.i").alias("i"), F.col("c.j").alias("j")), ["model", "well", "s"], "left")
+    # cells are more than what they are exploded from, so the hint keeps them off the driver
+    c = cells.hint("merge").alias("c")
+    met = p.join(c, (F.col("p.bx") == F.col("c.bx")) & (F.col("p.by") == F.col("c.by")) & (F.col("p.part") == F.col("c.part")) & holds(), "left")
+    hit = F.min(F.when(F.col("c.bx").isNotNull(), F.struct(near.alias("d"), "j", "i"))).alias("c")
+    return met.groupBy("_id", *points.columns).agg(hit).select(*points.columns, F.col("c.i").alias("i"), F.col("c.j").alias("j"))
 
 
 def bracket(points: DataFrame, layers: DataFrame) -> DataFrame:
@@ -304,7 +315,8 @@ def grid_quads(pillars: DataFrame) -> DataFrame:
     )
     q = p(0, 0, 0)
     for n, di, dj in ((1, 1, 0), (2, 1, 1), (3, 0, 1)):
-        q = q.join(p(n, di, dj), ["i", "j"])
+        # files of whole numbers say little of how many rows they have, so the hint keeps pillars off the driver
+        q = q.join(p(n, di, dj).hint("merge"), ["i", "j"])
     return q.withColumn("cx", (F.col("x0") + F.col("x1") + F.col("x2") + F.col("x3")) / 4).withColumn(
         "cy", (F.col("y0") + F.col("y1") + F.col("y2") + F.col("y3")) / 4
     )
