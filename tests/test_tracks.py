@@ -69,3 +69,12 @@ def test_cells_of_crowded_squares(spark, monkeypatch, tmp_path):
 
     key = lambda q: tuple("" if x is None else str(x) for x in q)
     assert sorted(map(tuple, got.select("model", "well", "s", "x", "y", "i", "j").collect()), key=key) == sorted(((*p, *cell(*p[3:])) for p in rows), key=key)
+
+
+def test_layers_kept_off_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, 0, k, 10.0 * k + i, 10.0 * k + 10 + i) for i in range(3) for k in range(4)], "i INT, j INT, k INT, z_top DOUBLE, z_bot DOUBLE").write.parquet(str(tmp_path / "layers"))
+    rows = [(1, "W", 0, 5.0, 0, 0), (1, "W", 0, 5.0, 0, 0), (1, "W", 1, 10.0, 0, 0), (1, "W", 2, 10.0, 1, 0), (1, "W", 3, 99.0, 1, 0), (1, "W", 4, 5.0, None, None), (1, "W", 5, None, 1, 0)]
+    got = geometry.bracket(spark.createDataFrame(rows, "model BIGINT, well STRING, s INT, z DOUBLE, i INT, j INT"), spark.read.parquet(str(tmp_path / "layers")))
+    assert "Broadcast" not in _plan(got) and got.columns[-1] == "k"
+    assert sorted((q.s, q.k) for q in got.where("s < 3").collect()) == [(0, 0), (0, 0), (1, 0), (2, 0)]
+    assert sorted((q.s, q.k) for q in got.where("s > 2").collect()) == [(3, None), (4, None), (5, None)]

@@ -280,8 +280,9 @@ def locate(points: DataFrame, quads: DataFrame, size: float) -> DataFrame:
 
 def bracket(points: DataFrame, layers: DataFrame) -> DataFrame:
     """Add k: the first layer (i, j, k, z_top, z_bot) of the point's column with z_top <= z <= z_bot, null if none."""
-    hit = points.join(layers, ["i", "j"]).where("z >= z_top and z <= z_bot").groupBy("model", "well", "s").agg(F.min("k").alias("k"))
-    return points.join(hit, ["model", "well", "s"], "left")
+    p, c = points.withColumn("_id", F.monotonically_increasing_id()).alias("p"), layers.hint("merge").alias("c")
+    met = p.join(c, (F.col("p.i") == F.col("c.i")) & (F.col("p.j") == F.col("c.j")) & F.col("p.z").between(F.col("c.z_top"), F.col("c.z_bot")), "left")
+    return met.groupBy("_id", *(F.col(f"p.{n}") for n in points.columns)).agg(F.min("k").alias("k")).drop("_id")
 
 
 def perforated(spans: DataFrame, perfs: DataFrame, eps: float = 1e-6) -> DataFrame:
