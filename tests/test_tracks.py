@@ -78,3 +78,12 @@ def test_layers_kept_off_the_driver(spark, tmp_path):
     assert "Broadcast" not in _plan(got) and got.columns[-1] == "k"
     assert sorted((q.s, q.k) for q in got.where("s < 3").collect()) == [(0, 0), (0, 0), (1, 0), (2, 0)]
     assert sorted((q.s, q.k) for q in got.where("s > 2").collect()) == [(3, None), (4, None), (5, None)]
+
+
+def test_spans_are_not_grouped_by_intervals(spark):
+    spans = spark.createDataFrame([(1, "W", 0.0, 5.0), (1, "W", 30.0, 20.0), (1, "W", 5.0, 5.0), (1, "V", 0.0, 1.0), (2, "W", 0.0, 1.0), (1, "N", 0.0, 9.0), (None, "W", 0.0, 1.0)], "model INT, well STRING, md_in DOUBLE, md_out DOUBLE")
+    perfs = spark.createDataFrame([(1, "W", 9.0, 12.0), (1, "W", 25.0, 26.0), (1, "V", 1.0, 2.0), (1, "N", None, 5.0), (1, "N", 8.0, 8.5)], "model INT, well STRING, md_low DOUBLE, md_high DOUBLE")
+    got = geometry.perforated(spans, perfs)
+    assert "bool_or" not in _plan(got) and "max(_known" not in _plan(got)
+    have = {(q.model, q.well, q.md_in): q.perforated for q in got.collect()}
+    assert have == {(1, "W", 0.0): False, (1, "W", 30.0): True, (1, "W", 5.0): False, (1, "V", 0.0): False, (2, "W", 0.0): True, (1, "N", 0.0): True, (None, "W", 0.0): True}

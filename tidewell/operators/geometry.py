@@ -287,12 +287,13 @@ def bracket(points: DataFrame, layers: DataFrame) -> DataFrame:
 
 def perforated(spans: DataFrame, perfs: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Add perforated: a run (md_in, md_out) overlaps an interval of its well by more than eps; wells without intervals are perforated throughout."""
-    known = perfs.select("model", "well").distinct().withColumn("_known", F.lit(True))
+    # the few intervals of a well lie in its row, so spans are neither copied nor grouped again
+    known = perfs.groupBy("model", "well").agg(F.collect_list(F.struct("md_low", "md_high")).alias("_intervals"))
     lo, hi = F.least("md_in", "md_out"), F.greatest("md_in", "md_out")
-    rows = spans.join(known, ["model", "well"], "left").join(perfs, ["model", "well"], "left").withColumn(
-        "_hit", F.greatest(lo, F.col("md_low")) + eps < F.least(hi, F.col("md_high"))
+    hit = F.exists("_intervals", lambda p: F.greatest(lo, p["md_low"]) + eps < F.least(hi, p["md_high"]))
+    return spans.join(known, ["model", "well"], "left").select(
+        *spans.columns, (F.col("_intervals").isNull() | F.coalesce(hit, F.lit(False))).alias("perforated")
     )
-    return rows.groupBy(*spans.columns).agg((F.max(F.col("_known")).isNull() | F.coalesce(F.bool_or("_hit"), F.lit(False))).alias("perforated"))
 
 
 def traverse(tracks: DataFrame, quads: DataFrame, layers: DataFrame, perfs: DataFrame, step: float = 0.5, size: float = 100.0) -> DataFrame:
