@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewell.operators import geometry
 
@@ -87,3 +88,19 @@ def test_spans_are_not_grouped_by_intervals(spark):
     assert "bool_or" not in _plan(got) and "max(_known" not in _plan(got)
     have = {(q.model, q.well, q.md_in): q.perforated for q in got.collect()}
     assert have == {(1, "W", 0.0): False, (1, "W", 30.0): True, (1, "W", 5.0): False, (1, "V", 0.0): False, (2, "W", 0.0): True, (1, "N", 0.0): True, (None, "W", 0.0): True}
+
+
+def test_traverse_on_files(spark, tmp_path):
+    """Tables in small files, whose rows are many more than their size tells, are not sent to the driver on the way to cells and descriptors."""
+    t = [(1, "W", n, 5.0 + n, 5.0, 10.0 * n, 10.0 * n) for n in range(4)]
+    spark.createDataFrame(t, TRACK).write.parquet(str(tmp_path / "tracks"))
+    spark.createDataFrame([(i, j, i * 10.0, j * 10.0) for i in range(3) for j in range(3)], "i INT, j INT, x DOUBLE, y DOUBLE").write.parquet(str(tmp_path / "pillars"))
+    cells = [(1, i, j, k, 10.0 * k, 10.0 * k + 10, 200.0, 1.0) for i in range(2) for j in range(2) for k in range(3)]
+    spark.createDataFrame(cells, "model BIGINT, i INT, j INT, k INT, z_top DOUBLE, z_bot DOUBLE, permx DOUBLE, ntg DOUBLE").write.parquet(str(tmp_path / "cells"))
+    tracks, pillars, cells = (spark.read.parquet(str(tmp_path / n)) for n in ("tracks", "pillars", "cells"))
+    perfs = tracks.groupBy("model", "well").agg(F.lit(0.0).alias("md_low"), F.lit(12.0).alias("md_high"))
+    runs = geometry.traverse(tracks, geometry.grid_quads(pillars).drop("cx", "cy"), cells.select("i", "j", "k", "z_top", "z_bot"), perfs, 0.5, 10.0)
+    # what is grouped by a shuffle first has its true size known before it is sent; nothing else may be
+    for sent in _plan(runs).split("BroadcastExchange")[1:]:
+        assert "Aggregate" in "".join(sent.splitlines()[1:4])
+    assert [(r.i, r.j, r.k, r.perforated) for r in runs.orderBy("k").collect()] == [(0, 0, 0, True), (0, 0, 1, True), (0, 0, 2, False)]
