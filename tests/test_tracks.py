@@ -104,3 +104,13 @@ def test_traverse_on_files(spark, tmp_path):
     for sent in _plan(runs).split("BroadcastExchange")[1:]:
         assert "Aggregate" in "".join(sent.splitlines()[1:4])
     assert [(r.i, r.j, r.k, r.perforated) for r in runs.orderBy("k").collect()] == [(0, 0, 0, True), (0, 0, 1, True), (0, 0, 2, False)]
+
+
+def test_cells_of_descriptors_kept_off_the_driver(spark, tmp_path):
+    from tidewell.operators import geology
+
+    spark.createDataFrame([(1, 0, 0, k, 200.0, 1.0) for k in range(3)], "model INT, i INT, j INT, k INT, permx DOUBLE, ntg DOUBLE").write.parquet(str(tmp_path / "cells"))
+    runs = spark.createDataFrame([(1, "W", 0, 0, k, 5.0, k > 0) for k in range(3)], "model INT, well STRING, i INT, j INT, k INT, dz_eff DOUBLE, perforated BOOLEAN")
+    got = geology.well_descriptors(runs, spark.read.parquet(str(tmp_path / "cells")), 100.0)
+    assert "Broadcast" not in _plan(got)
+    assert (got.first().n_cells_traversed, got.first().net_sand_penetrated, got.first().kh_penetrated) == (3, 10.0, 2000.0)

@@ -153,7 +153,7 @@ def sand(cutoff: float | Column) -> Column:
 
 def well_descriptors(traversals: DataFrame, cells: DataFrame, cutoff: float | Column) -> DataFrame:
     """Descriptors of each well from its traversed cells (model, well, i, j, k, dz_eff, perforated); the cutoff is a number or a column of cells."""
-    rows = traversals.join(cells, ["model", "i", "j", "k"])
+    rows = traversals.join(cells.hint("merge"), ["model", "i", "j", "k"])
     s, dz = sand(cutoff), F.col("dz_eff")
     hit = s & F.col("perforated")
     return rows.groupBy("model", "well").agg(
