@@ -56,3 +56,14 @@ def test_a_grid_with_one_long_column(spark):
                 break
         assert got[s] == hit
     assert sum(v[0] is not None for v in got.values()) > 100
+
+
+def test_points_kept_off_the_driver(spark):
+    pillars = spark.createDataFrame([(i, j, float(i), float(j)) for i in range(4) for j in range(4)], "i int, j int, x double, y double")
+    points = spark.createDataFrame([(0, "w", n, n * 0.3, 0.5) for n in range(12)], "model long, well string, s long, x double, y double")
+    got = nearest.locate_nearest(points, geometry.grid_quads(pillars).drop("cx", "cy"), leaf=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # grouped tables may be sent, as their true size is known by then
+    for sent in plan.split("BroadcastExchange")[1:]:
+        assert "Aggregate" in "".join(sent.splitlines()[1:4])
+    assert {q.s: q.i for q in got.collect()} == {n: int(n * 0.3) if n < 10 and n * 0.3 < 3 else None for n in range(12)} | {10: 2 if 10 * 0.3 <= 3 else None}

@@ -104,7 +104,7 @@ def nearest_centres(points: DataFrame, centres: DataFrame, k: int = 6, leaf: int
     first = written(points.mapInArrow(home, "pid long, x double, y double, leaf long"), "first")
     found = written(_in_leaves(first, leaves, k), "found")
     bound = found.groupBy(F.col("pid").alias("_p")).agg(F.max("d").alias("d"), F.count("*").alias("n"))
-    bounded = first.join(bound, F.col("pid") == F.col("_p"), "left").select("pid", "x", "y", "leaf", F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf")).alias("d"))
+    bounded = first.join(bound.hint("merge"), F.col("pid") == F.col("_p"), "left").select("pid", "x", "y", "leaf", F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf")).alias("d"))
 
     def others(batches, block=64):
         t = sent.value
@@ -142,6 +142,7 @@ def locate_nearest(points: DataFrame, quads: DataFrame, k: int = 6, leaf: int =
     # ids in the order of j and i, so that equal distances go by them
     cells = quads.withColumn("id", F.col("j").cast("long") * 2**31 + F.col("i"))
     near = nearest_centres(numbered.select("pid", "x", "y"), cells.select("id", mid("x").alias("cx"), mid("y").alias("cy")), k, leaf)
-    tried = near.join(cells, "id").join(numbered.select("pid", "x", "y"), "pid").where(holds())
+    # files of points and their neighbours hold many more rows than their size tells, so hints keep them off the driver
+    tried = near.join(cells.hint("merge"), "id").join(numbered.select("pid", "x", "y").hint("merge"), "pid").where(holds())
     hit = tried.groupBy(F.col("pid").alias("_p")).agg(F.min(F.struct("place", "i", "j")).alias("c"))
-    return numbered.join(hit, F.col("pid") == F.col("_p"), "left").select(*points.columns, F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+    return numbered.join(hit.hint("merge"), F.col("pid") == F.col("_p"), "left").select(*points.columns, F.col("c.i").alias("i"), F.col("c.j").alias("j"))
