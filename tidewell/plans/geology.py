@@ -63,7 +63,9 @@ SELECT experiment, seed, well, CASE WHEN mean_ntg_along_well / nullif(frac_chann
 0) IS NULL THEN '—' WHEN mean_ntg_along_well / frac_channel_cells > 1 THEN 'broadens' ELSE 'tightens' END AS interpretation FROM descriptors"""
 )
 def _(v):
-    return v.descriptors.select("experiment", "seed", "well", width_text(F.try_divide("mean_ntg_along_well", "frac_channel_cells")).alias("interpretation"))
+    # means of whole hundredths: rounded, equal ones are equal in whatever order they were added
+    mean = lambda c: F.round(c, 12)
+    return v.descriptors.select("experiment", "seed", "well", width_text(F.try_divide(mean("mean_ntg_along_well"), mean("frac_channel_cells"))).alias("interpretation"))
 
 
 COMPLY = """
