@@ -24,3 +24,8 @@ def tied(spark, tmp_path_factory):
 
 def test_equal_means_are_not_broader(spark, tied):
     assert [r.interpretation for r in QUERIES["f18_width_text"](spark, tied).collect()] == ["tightens"] * 2
+
+
+def test_equal_totals_go_by_member(spark, tied):
+    got = QUERIES["t06_order_statistics"](spark, tied).where("metric = 'qty'").collect()
+    assert sorted((r.k, r.member_id, r.m) for r in got) == [(1, 1, 2), (2, 2, 2)]

@@ -707,8 +707,9 @@ FROM rates WHERE well = 'A' AND time = 1997"""
 )
 def _(v):
     w = Window.partitionBy("metric")
+    # sums of whole ten-thousandths: rounded, equal ones are equal in whatever order they were added, and the member decides
     return v.rates.where("well = 'A' and time = 1997").select(
-        "metric", "member_id", F.row_number().over(w.orderBy("value", "member_id")).cast("long").alias("k"), F.count("*").over(w).alias("m")
+        "metric", "member_id", F.row_number().over(w.orderBy(F.round("value", 4), "member_id")).cast("long").alias("k"), F.count("*").over(w).alias("m")
     )
 
 
