@@ -5,7 +5,8 @@ import datetime
 import pytest
 
 from tidewell.plans import ensemble, geology  # noqa: F401
-from tidewell.plans.registry import QUERIES
+from tidewell.plans.registry import QUERIES, SQL
+from tidewell.virtual import Virtual
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,14 @@ def test_equal_means_are_not_broader(spark, tied):
 def test_equal_totals_go_by_member(spark, tied):
     got = QUERIES["t06_order_statistics"](spark, tied).where("metric = 'qty'").collect()
     assert sorted((r.k, r.member_id, r.m) for r in got) == [(1, 1, 2), (2, 2, 2)]
+
+
+def test_envelope_of_all_components(spark, sf_dir):
+    """A member counts only if no component of it lies outside."""
+    assert "comp <>" not in SQL["f11_envelope_drop"]
+    v = Virtual(spark, sf_dir)
+    lo_hi = {r[0]: (r[1], r[2]) for r in v.theta.groupBy("comp").agg({"value": "min"}).join(v.theta.groupBy("comp").agg({"value": "max"}), "comp").collect()}
+    rows = v.theta_post.collect()
+    out = {r.member_id for r in rows if not lo_hi[r.comp][0] <= r.value <= lo_hi[r.comp][1]}
+    inside = {r.member_id for r in rows} - out
+    assert {r.members for r in QUERIES["f11_envelope_drop"](spark, sf_dir).collect()} == ({len(inside)} if inside else set())
