@@ -47,3 +47,31 @@ def test_no_cells_and_a_wrong_connectivity(spark):
     assert slabs.label_bodies_blocks(mask.limit(0)).count() == 0
     with pytest.raises(ValueError):
         slabs.label_bodies_blocks(mask, 18)
+
+
+def test_many_small_groups_share_a_batch(spark):
+    """Models of a few cells, and one of many batches: bodies and labels equal a walk from each cell, and no call is made a group."""
+    from tidewell.operators import geometry
+
+    r = np.random.default_rng(8)
+    cells = [(m, n, n % 4, n // 4 % 5, n // 20) for m in range(60) for n in sorted(r.choice(60, r.integers(1, 40), replace=False).tolist())]
+    cells += [(99, n, n % 30, n // 30 % 30, n // 900) for n in range(27000) if r.random() < 0.3]
+    df = spark.createDataFrame(cells, "model long, flat long, i int, j int, k int")
+    got = geometry.labelled(df, ["model"], 6)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    have = {(q.model, q.flat): (q.body, q.label) for q in got.collect()}
+    at, want, bodies = {(m, i, j, k): n for m, n, i, j, k in cells}, {}, {}
+    for m, n, i, j, k in cells:
+        if (m, n) in want:
+            continue
+        bodies[m] = bodies.get(m, 0) + 1
+        todo = [(i, j, k)]
+        want[m, n] = (bodies[m], n)
+        while todo:
+            a, b, c = todo.pop()
+            for d in ((a - 1, b, c), (a + 1, b, c), (a, b - 1, c), (a, b + 1, c), (a, b, c - 1), (a, b, c + 1)):
+                near = at.get((m, *d))
+                if near is not None and (m, near) not in want:
+                    want[m, near] = (bodies[m], n)
+                    todo.append(d)
+    assert have == want

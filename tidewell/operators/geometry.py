@@ -65,49 +65,82 @@ def label_bodies(mask: DataFrame, connectivity: int = 26) -> DataFrame:
     A model's grid has a fixed size, so its cells meet in one task, where a
     vectorised union of neighbours runs in time near the number of cells.
     """
-    if connectivity not in OFFSETS:
-        raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
+    cells = mask.select(F.col("model").cast("long").alias("model"), F.col("flat").cast("long").alias("flat"), "i", "j", "k")
+    return labelled(cells, ["model"], connectivity).drop("label")
+
 
-    return mask.select(
-        "model", F.col("flat").cast("long").alias("flat"), "i", "j", "k"
-    ).groupBy("model").applyInPandas(labeller(connectivity), "model long, flat long, i int, j int, k int, body long")
+def labelled(cells: DataFrame, by: list[str], connectivity: int) -> DataFrame:
+    """Add body, numbered from 1 within each group of `by`, and label, the body's smallest flat, to cells (by, flat, i, j, k).
 
+    Groups follow each other in a task, and those of a batch are labelled at
+    once: a task holds a batch and one group, and small groups cost no call each.
+    """
+    if connectivity not in OFFSETS:
+        raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
 
-def labeller(connectivity: int):
-    """The function that adds body to the cells of one task."""
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        new[0] = True
+        for c in by:
+            v, before = pdf[c], pdf[c].shift()
+            new |= ((v != before) & ~(v.isna() & before.isna())).to_numpy()
+        return new
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("flat").reset_index(drop=True)
-        ijk = pdf[["i", "j", "k"]].to_numpy(np.int64)
-        size = ijk.max(0) + 3
-        code = lambda x: ((x[:, 2] + 1) * size[1] + x[:, 1] + 1) * size[0] + x[:, 0] + 1
-        own = code(ijk)
-        order = np.argsort(own)
-        parent = np.arange(len(pdf))
-        pairs = []
-        for o in OFFSETS[connectivity]:
-            other = code(ijk + np.array(o))
-            at = np.minimum(np.searchsorted(own[order], other), len(own) - 1)
-            hit = own[order][at] == other
-            pairs.append(np.stack([np.nonzero(hit)[0], order[at[hit]]], 1))
-        edges = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        while len(edges):
-            low = np.minimum(parent[edges[:, 0]], parent[edges[:, 1]])
-            before = parent.copy()
-            np.minimum.at(parent, parent[edges[:, 0]], low)
-            np.minimum.at(parent, parent[edges[:, 1]], low)
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-            if (before == parent).all():
-                break
+        new = starts(pdf)
+        group = np.cumsum(new) - 1
+        parent = united(group, pdf[["i", "j", "k"]].to_numpy(np.int64), connectivity)
         _, body = np.unique(parent, return_inverse=True)
-        pdf["body"] = body.astype(np.int64) + 1
-        return pdf[["model", "flat", "i", "j", "k", "body"]]
-
-    return label
+        return pdf.assign(body=body - body[np.nonzero(new)[0]][group] + 1, label=pdf["flat"].to_numpy()[parent])
+
+    def run(batches):
+        held = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([held[-1].iloc[-1:], pdf]) if held else pdf
+            new = starts(pdf)
+            new[0] = False
+            last = np.nonzero(new)[0][-1] if new.any() else 0
+            own = 1 if held else 0
+            if last:
+                yield label(pd.concat([*held, pdf.iloc[own:last]], ignore_index=True))
+                held, own = [], last
+            held.append(pdf.iloc[own:])
+        if held:
+            yield label(pd.concat(held, ignore_index=True))
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in cells.dtypes)
+    return cells.repartition(*by).sortWithinPartitions(*by, "flat").mapInPandas(run, f"{schema}, body long, label long")
+
+
+def united(group: np.ndarray, ijk: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each cell the place of the first cell of its body; only cells of one group touch."""
+    size = ijk.max(0) + 3
+    code = lambda x: ((group * size[2] + x[:, 2] + 1) * size[1] + x[:, 1] + 1) * size[0] + x[:, 0] + 1
+    own = code(ijk)
+    order = np.argsort(own)
+    ordered, parent = own[order], np.arange(len(own))
+    pairs = []
+    for o in OFFSETS[connectivity]:
+        other = code(ijk + np.array(o))
+        at = np.minimum(np.searchsorted(ordered, other), len(own) - 1)
+        hit = ordered[at] == other
+        pairs.append(np.stack([np.nonzero(hit)[0], order[at[hit]]], 1))
+    edges = np.concatenate(pairs)
+    while len(edges):
+        low = np.minimum(parent[edges[:, 0]], parent[edges[:, 1]])
+        before = parent.copy()
+        np.minimum.at(parent, parent[edges[:, 0]], low)
+        np.minimum.at(parent, parent[edges[:, 1]], low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        if (before == parent).all():
+            break
+    return parent
 
 
 def label_bodies_spread(mask: DataFrame, connectivity: int = 26, rounds: int = 200) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.geometry import OFFSETS, body_edges, labeller
+from tidewell.operators.geometry import OFFSETS, body_edges, labelled
 from tidewell.sources import sinks
 
 #: Cells of a block along i, j and k: 65,536 at most in one task.
@@ -24,25 +24,17 @@ def block_labels(mask: DataFrame, connectivity: int, block: tuple[int, int, int]
     """(model, flat, i, j, k, block, label): each cell's smallest flat index of its body within the block."""
     at = [F.floor(F.col(c) / n) for c, n in zip("ijk", block, strict=True)]
     placed = mask.select("model", F.col("flat").cast("long").alias("flat"), "i", "j", "k", F.concat_ws("/", *(a.cast("string") for a in at)).alias("block"))
-    inner = labeller(connectivity)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = inner(pdf)
-        out["block"], out["label"] = pdf["block"].iloc[0], out.groupby("body")["flat"].transform("min")
-        return out[["model", "flat", "i", "j", "k", "block", "label"]]
-
-    kind = dict(mask.dtypes)["model"]
-    return placed.groupBy("model", "block").applyInPandas(one, f"model {kind}, flat long, i int, j int, k int, block string, label long")
+    return labelled(placed, ["model", "block"], connectivity).select("model", "flat", "i", "j", "k", "block", "label")
 
 
-def border_links(labelled: DataFrame, connectivity: int, block: tuple[int, int, int]) -> DataFrame:
+def border_links(cells: DataFrame, connectivity: int, block: tuple[int, int, int]) -> DataFrame:
     """(model, a, b): labels that touch over a border between blocks, a > b. Only cells at borders are joined."""
     edge = F.lit(False)
     for c, n in zip("ijk", block, strict=True):
         edge = edge | (F.col(c) % n == 0) | (F.col(c) % n == n - 1)
-    border = labelled.where(edge)
+    border = cells.where(edge)
     pairs = body_edges(border.select("model", "flat", "i", "j", "k"), connectivity)
-    one, two = (border.select(F.col("model").alias(f"m{x}"), F.col("flat").alias(f"f{x}"), F.col("block").alias(f"k{x}"), F.col("label").alias(f"l{x}")) for x in "12")
+    one, two = (border.select(F.col("model").alias(f"m{x}"), F.col("flat").alias(f"f{x}"), F.col("block").alias(f"k{x}"), F.col("label").alias(f"l{x}")).hint("merge") for x in "12")
     met = pairs.join(one, (F.col("model") == F.col("m1")) & (F.col("a") == F.col("f1"))).join(two, (F.col("model") == F.col("m2")) & (F.col("b") == F.col("f2")))
     return met.where("k1 <> k2 and l1 <> l2").select("model", F.greatest("l1", "l2").alias("a"), F.least("l1", "l2").alias("b")).distinct()
 
@@ -93,11 +85,11 @@ def label_bodies_blocks(mask: DataFrame, connectivity: int = 26, block: tuple[in
     if connectivity not in OFFSETS:
         raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
     folder = sinks.scratch(mask.sparkSession, "bodies")
-    labelled = _written(block_labels(mask, connectivity, block), folder, "blocks")
-    links = _written(border_links(labelled, connectivity, block), folder, "borders")
+    cells = _written(block_labels(mask, connectivity, block), folder, "blocks")
+    links = _written(border_links(cells, connectivity, block), folder, "borders")
     most = links.groupBy("model").count().agg(F.max("count")).first()[0] or 0
     roots = _settled_in_tasks(links) if most <= most_edges else _settled_by_joins(links, folder)
-    cells = labelled.join(roots.withColumnRenamed("model", "_m").withColumnRenamed("label", "_l"), (F.col("model") == F.col("_m")) & (F.col("label") == F.col("_l")), "left")
+    cells = cells.join(roots.withColumnRenamed("model", "_m").withColumnRenamed("label", "_l"), (F.col("model") == F.col("_m")) & (F.col("label") == F.col("_l")), "left")
     cells = _written(cells.select("model", "flat", F.coalesce("root", "label").alias("root")), folder, "cells")
     numbered = cells.select("model", "root").distinct().withColumn("body", F.row_number().over(Window.partitionBy("model").orderBy("root")).cast("long"))
     return cells.join(numbered, ["model", "root"]).select("model", "flat", "body")
