@@ -104,3 +104,81 @@ def test_wells_and_missing_columns(spark, tmp_path):
     assert workbooks.wells_of(spark, path) == ["INJ1", "WELL1"]
     got = sorted(map(tuple, workbooks.dynamics_workbook(spark, path, ["oil", "water"], "Date").drop("time").collect()))
     assert got == [("51-1_1-1", "oil", "INJ1", 0.0), ("51-1_1-1", "oil", "WELL1", 3.0), ("51-1_1-1", "water", "INJ1", 1.0), ("51-1_1-1", "water", "WELL1", 0.0), ("51-1_1-2", "oil", "INJ1", 0.0), ("51-1_1-2", "oil", "WELL1", 0.0), ("51-1_1-2", "water", "INJ1", 2.0), ("51-1_1-2", "water", "WELL1", 0.0)]
+
+
+def test_large_sheets_are_continued(spark, sf_dir, monkeypatch):
+    """No sheet of s17_workbook_cells has more rows than the format allows, however many lines it gets; the cells are those of all lines."""
+    import __spark_entry__
+
+    seen, read = [], workbooks.read_workbook
+    monkeypatch.setattr(workbooks, "MOST_ROWS", 60, raising=False)
+    monkeypatch.setattr(workbooks, "read_workbook", lambda spark, paths, *a: seen.extend(paths) or read(spark, paths, *a))
+    got = {r.sheet: (r.n_cells, r.numbers) for r in __spark_entry__.queries()["s17_workbook_cells"](spark, sf_dir).collect()}
+    assert max(at for p in seen for _, member in workbooks.sheets(p) for at, _ in workbooks.rows(p, member)) == 59
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((F.col("l_orderkey") % 40).alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("l_linenumber") + F.col("l_quantity")).alias("v")).collect()
+    assert got == {f"lines-{r.k}": (4 * r.n, r.v) for r in line}
+
+
+def test_one_workbook_by_many_tasks(spark, tmp_path):
+    """A workbook of one sheet is written by all tasks; its files, by path, hold its rows in order."""
+    df = spark.range(2000).select(F.lit("w").alias("workbook"), F.lit("s").alias("sheet"), (F.col("id") * 7 % 2000).alias("n"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = sorted(r.path for r in workbooks.write_workbooks(df, str(tmp_path), ["n"], split=True).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = [[cells[0] for at, cells in workbooks.rows(p, workbooks.sheets(p)[0][1]) if at] for p in files]
+    assert len(parts) == 4 and min(map(len, parts)) > 300 and [x for part in parts for x in part] == list(range(2000))
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_rows_by_columns_are_rows(tmp_path, shared):
+    import pyarrow as pa
+
+    n, day = 300, datetime.date(2001, 2, 3)
+    columns = [
+        pa.array([None if i % 7 == 0 else i % 5 for i in range(n)], pa.int64()), pa.array([float("nan") if i % 11 == 0 else i / 3 for i in range(n)]), pa.array([i % 2 == 0 for i in range(n)]),
+        pa.array([f"<&> \" {i % 3}\n" if i % 4 else None for i in range(n)]), pa.array([day + datetime.timedelta(i % 40) for i in range(n)]), pa.array([datetime.datetime(2020, 1, 1, 5) + datetime.timedelta(hours=i) for i in range(n)], pa.timestamp("us")), pa.nulls(n, pa.string())
+    ]
+    paths = [str(tmp_path / f"{k}.xlsx") for k in range(2)]
+    for k, path in enumerate(paths):
+        with open(path, "wb") as f:
+            w = workbooks.WorkbookWriter(f, shared)
+            w.sheet("s")
+            w.row(["a", "b"])
+            if k:
+                w.rows([c.slice(3, 290) for c in columns], 290)
+            else:
+                for values in zip(*(c.slice(3, 290).to_pylist() for c in columns), strict=True):
+                    w.row(values)
+            w.row([1])
+            w.close()
+    one, two = (list(workbooks.rows(p, workbooks.sheets(p)[0][1])) for p in paths)
+    assert one == two and len(one) == 292 and one[6][1][4].day == 11
+    with zipfile.ZipFile(paths[0]) as a, zipfile.ZipFile(paths[1]) as b:
+        assert shared or a.read("xl/worksheets/sheet1.xml") == b.read("xl/worksheets/sheet1.xml")
+
+
+PLAIN = "".join(f'<row r="{i}" spans="1:4"><c r="A{i}"><v>{i}</v></c><c r="AB{i}" s="1"/><c r="AC{i}" t="inlineStr"><is><t xml:space="preserve">a &amp; &#x41;&lt;{i} </t></is></c><c r="AD{i}" t="str"><v>x</v></c><c r="AE{i}" t="b"><v>1</v></c><c r="AF{i}" t="e"><v>#N/A</v></c></row>\n' for i in range(1, 40))
+
+
+@pytest.mark.parametrize("odd", [
+    "", '<row r="50"><c r="A50"><f>1+1</f><v>2</v></c></row>', '<!-- </row> --><row r="50"><c r="A50"><v>2</v></c></row>', "<row r='50'><c r='B50'><v>2</v></c></row>", '<row><c><v>4</v></c><c t="inlineStr"><is><r><t>ri</t></r><r><t>ch</t></r></is></c></row>',
+    '<row r="50"><c r="A50" t="str"><v><![CDATA[</row>]]></v></c></row>', '<row r="50"/><row r="51"><c t="str" r="C51"><v>a\r\nb</v></c></row>', '<row r="50"><c r="A50" t="inlineStr"><is><t/></is></c><c r="B50"><v></v></c><c r="C50"></c></row>',
+    '<row r="50" x="/"><c r="A50" t="inlineStr"><v>3</v></c><c r="B50" t="str"><v>a\rb</v></c></row>',
+])
+@pytest.mark.parametrize("piece", [37, 700, 1 << 16])
+def test_plain_rows_and_others(tmp_path, monkeypatch, odd, piece):
+    """Rows as most programs write them, others before, between and after them, in pieces of any size: what the XML parser alone gives."""
+    monkeypatch.setattr(workbooks, "_PIECE", piece)
+    later = PLAIN.replace('r="', 'r="1').replace('"1A', '"A')  # rows 11 to 139
+    for sheet in (PLAIN + odd, odd + later, PLAIN + odd + later):
+        path = _foreign(tmp_path / "x.xlsx", sheet)
+        got = list(workbooks.rows(path, "xl/worksheets/other.xml"))
+        with monkeypatch.context() as m:
+            m.setattr(workbooks, "_plain_rows", lambda text: None)
+            assert got == list(workbooks.rows(path, "xl/worksheets/other.xml"))
+        assert len(got) == sheet.count("<row")
+        if sheet.startswith("<row r=\"1\""):
+            assert got[1] == (1, {0: 2.0, 28: "a & A<2 ", 29: "x", 30: True})

@@ -16,7 +16,7 @@ A_BOOK = 150
 def _files(v, df, order, **how) -> list[str]:
     folder = sinks.scratch(v.spark, "workbooks")
     written = workbooks.write_workbooks(df, folder, order, **how)
-    return [r.path for r in v.spark.read.parquet(sinks.write_table(written, f"{folder}/files")).orderBy("workbook").collect()]
+    return [r.path for r in v.spark.read.parquet(sinks.write_table(written, f"{folder}/files")).orderBy("workbook", "path").collect()]
 
 
 def _series_files(v, rows, sheet, **how) -> list[str]:
@@ -98,9 +98,9 @@ c AS (SELECT 'lines-' || (l_orderkey % 40) AS sheet, l_linenumber, l_quantity, l
 SELECT sheet, (4 * count(*))::BIGINT AS n_cells, round(sum(l_linenumber + l_quantity), 2) AS numbers, count_if(l_returnflag = 'R')::BIGINT AS r_flags, min(l_shipdate)::DATE AS first_day FROM c GROUP BY ALL""")
 def _(v):
     lines = v.table("lineitem").select(
-        F.format_string("lines-%d", F.col("l_orderkey") % 40).alias("sheet"), F.format_string("book %d", F.col("l_orderkey") % 8).alias("workbook"), "l_linenumber", "l_quantity", F.col("l_shipdate").cast("date").alias("l_shipdate"), "l_returnflag"
+        F.concat(F.lit("lines-"), F.col("l_orderkey") % 40).alias("sheet"), F.concat(F.lit("book "), F.col("l_orderkey") % 8).alias("workbook"), "l_linenumber", "l_quantity", F.col("l_shipdate").cast("date").alias("l_shipdate"), "l_returnflag"
     )
-    cells = workbooks.read_workbook(v.spark, _files(v, lines, ["l_shipdate"]))
+    cells = workbooks.read_workbook(v.spark, _files(v, lines, ["l_shipdate"], split=True))
     return rounded(cells.groupBy("sheet").agg(
         F.count("*").alias("n_cells"), F.sum("number").alias("numbers"), F.count_if(F.col("text") == "R").alias("r_flags"), F.min("time").cast("date").alias("first_day")
     ), 2)

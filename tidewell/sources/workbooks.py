@@ -14,10 +14,12 @@ import json
 import re
 import uuid
 import zipfile
+from functools import cache
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,10 @@ PLACES = {"sheet": "string", "sheet_no": "int", "row": "long"}
 #: The schema without a given one: a row for each cell that isn't empty.
 CELLS = "sheet string, sheet_no int, row long, column int, header string, text string, number double, time timestamp_ntz"
 _BATCH = 2000
+#: Bytes of a sheet that are parsed at once, and values of cells that are kept to be used again.
+_PIECE, _KNOWN = 1 << 16, 4096
+#: Rows of a sheet, at most: a fixed value of the format.
+MOST_ROWS = 1 << 20
 
 
 def open_file(path: str):
@@ -93,52 +99,148 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
 
 def _text(e) -> str:
     """All text of a string item but phonetic hints."""
+    if len(e) == 1 and e[0].tag.endswith("}t"):
+        return e[0].text or ""
     return "".join(t.text or "" for part in e if _plain(part.tag) in ("t", "r") for t in ([part] if _plain(part.tag) == "t" else part) if _plain(t.tag) == "t")
 
 
-def _column(ref: str) -> int:
+@cache
+def _column(letters: str) -> int:
     n = 0
-    for c in ref:
-        if not c.isalpha():
-            break
-        n = n * 26 + ord(c.upper()) - 64
+    for c in letters.upper():
+        n = n * 26 + ord(c) - 64
     return n - 1
 
 
-def rows(path: str, member: str):
-    """(row, {column: value}) of a sheet, both from 0. Values are str, float, bool or datetime; error cells and empty ones are left out."""
+#: A row's start or a cell as most programs write them; a chunk with anything else in it goes to the XML parser.
+_PLAIN = re.compile(
+    r'<row r="(\d+)"[^<>/]*>|<c r="([A-Z]+)\d+"(?: s="(\d+)")?(?: t="(?!inlineStr)(\w+)")?(?:/>|><v>([^<]+)</v></c>)|<c r="([A-Z]+)\d+"(?: s="\d+")? t="inlineStr"><is><t(?: [^<>]*[^/<>])?>([^<]*)</t></is></c>'
+)
+_ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def _unescaped(text: str) -> str:
+    """Text without entities and references to characters."""
+    return re.sub("&([^;]*);", lambda m: chr(int("0" + m[1][1:], 16 if m[1][1] == "x" else 10)) if m[1].startswith("#") else _ENTITIES[m[1]], text)
+
+
+def _plain_rows(text: str) -> list | None:
+    """What _raw_rows gives for a text of whole rows; None if there is more in it than _PLAIN knows."""
+    out, cells, tags, escaped = [], [], 0, "&" in text
+    for row, letters, style, kind, number, text_letters, inline in _PLAIN.findall(text):
+        if row:
+            cells = []
+            out.append((int(row) - 1, cells))
+            tags += 2
+        elif number:
+            tags += 4
+            if kind != "e":
+                cells.append((_column(letters), (kind, style, _unescaped(number) if escaped else number)))
+        elif text_letters:
+            tags += 6
+            cells.append((_column(text_letters), ("inlineStr", "", _unescaped(inline) if escaped else inline)))
+        else:
+            tags += 1
+    return out if tags == text.count("<") and "\r" not in text else None
+
+
+def _tree_rows(start: bytes, f):
+    """What _raw_rows gives, by a tree that the parser builds without a call a cell; complete rows are taken from it after each piece and let go."""
+
+    def raw(rows_):
+        for row in rows_:
+            cells, col = [], -1
+            for c in row:
+                ref, kind = c.get("r"), c.get("t") or "n"
+                col = _column(ref.rstrip("0123456789")) if ref else col + 1
+                wanted = "is" if kind == "inlineStr" else "v"
+                x = next((x for x in c if _plain(x.tag) == wanted), None)
+                if x is not None and kind != "e":
+                    cells.append((col, (kind, c.get("s") or "", _text(x) if kind == "inlineStr" else x.text or "")))
+            yield int(row.get("r")) - 1 if row.get("r") else None, cells
+
+    tree = ElementTree.TreeBuilder()
+    parser, root, data = ElementTree.XMLParser(target=tree), None, None
+    piece = start or f.read(_PIECE)
+    while piece:
+        parser.feed(piece)
+        root = tree.close() if root is None else root  # the root as built so far
+        if data is None and root is not None:
+            data = next((e for e in root if _plain(e.tag) == "sheetData"), None)
+        if data is not None:
+            if root[-1] is not data:  # the rows have ended
+                break
+            whole = data[:-1]
+            del data[:-1]
+            yield from raw(whole)
+        piece = f.read(_PIECE)
+    else:
+        parser.close()
+    if data is not None:
+        yield from raw(data)
+
+
+def _raw_rows(f):
+    """(row, [(column, (kind, style, text))]) of a sheet's XML, row and column from 0; a row that names no place has None."""
+    rest = b""
+    while b"<sheetData>" not in rest and len(rest) < 16 * _PIECE and (piece := f.read(_PIECE)):
+        rest += piece
+    head, data, now = rest.partition(b"<sheetData>")
+    encoding = re.search(rb"encoding=.([A-Za-z0-9_-]+)", head[:200])
+    if data and b"<!" not in head and (encoding is None or encoding[1].lower() == b"utf-8"):
+        while True:
+            cut = now.rfind(b"</row>") + 6
+            if cut > 5:
+                found = _plain_rows(now[:cut].decode())
+                if found is None:
+                    break
+                yield from found
+                now = now[cut:]
+            if not (piece := f.read(_PIECE)):
+                break
+            now += piece
+        rest = head + data + now
+    yield from _tree_rows(rest, f)
+
+
+def rows(path: str, member: str, convert=lambda x: x):
+    """(row, {column: value}) of a sheet, both from 0. Values are str, float, bool or datetime, each as convert makes it; error cells and empty ones are left out."""
     with open_file(path) as f, zipfile.ZipFile(f) as z:
         dates, shared = _date_styles(z), None
         first = datetime.datetime(1899, 12, 30)
         for e in _children(z, "xl/workbook.xml", "workbookPr"):
             if e.get("date1904") in ("1", "true"):
                 first = datetime.datetime(1904, 1, 1)
-        at = -1
-        for row in _children(z, member, "row"):
-            at = int(row.get("r")) - 1 if row.get("r") else at + 1
-            cells, col = {}, -1
-            for c in row:
-                col = _column(c.get("r")) if c.get("r") else col + 1
-                kind = c.get("t") or "n"
-                raw = next((x for x in c if _plain(x.tag) == ("is" if kind == "inlineStr" else "v")), None)
-                if raw is None or kind == "e":
-                    continue
-                if kind == "inlineStr":
-                    cells[col] = _text(raw)
-                elif kind == "s":
-                    if shared is None:
-                        shared = pa.array([_text(si) for si in _children(z, "xl/sharedStrings.xml", "si")], pa.string())
-                    cells[col] = shared[int(raw.text)].as_py()
-                elif kind == "b":
-                    cells[col] = raw.text == "1"
-                elif kind == "d":
-                    cells[col] = datetime.datetime.fromisoformat(raw.text.rstrip("Z"))
-                elif kind == "str":
-                    cells[col] = raw.text or ""
-                elif raw.text:
-                    number = float(raw.text)
-                    cells[col] = first + datetime.timedelta(seconds=round(number * 86400, 3)) if int(c.get("s") or 0) in dates else number
-            yield at, cells
+
+        def value(kind, style, text):
+            nonlocal shared
+            if kind in ("inlineStr", "str"):
+                return text
+            if kind == "s":
+                if shared is None:
+                    shared = pa.array([_text(si) for si in _children(z, "xl/sharedStrings.xml", "si")], pa.string())
+                return shared[int(text)].as_py()
+            if kind == "b":
+                return text == "1"
+            if kind == "d":
+                return datetime.datetime.fromisoformat(text.rstrip("Z"))
+            number = float(text)
+            return first + datetime.timedelta(seconds=round(number * 86400, 3)) if int(style or 0) in dates else number
+
+        at, known = -1, {}
+        with z.open(member) as stream:
+            for place, raw in _raw_rows(stream):
+                at = at + 1 if place is None else place
+                cells = {}
+                for col, key in raw:
+                    # equal cells have equal values, which are made once
+                    if key in known:
+                        cells[col] = known[key]
+                    elif key[2] or key[0] in ("inlineStr", "str", "b"):
+                        if len(known) >= _KNOWN:
+                            known.clear()
+                        cells[col] = known[key] = convert(value(*key))
+                yield at, cells
 
 
 def as_text(x) -> str | None:
@@ -215,23 +317,46 @@ class _Reader(DataSourceReader):
         return [Sheets(found[i : i + each]) for i in range(0, len(found), each)] or [Sheets([])]  # a source must have a partition
 
     def read(self, part: Sheets):
-        held = []
-        for path, name, number, member in part.sheets:
-            names = None
-            for at, cells in rows(path, member):
-                if at < self.header or names is None:
-                    if at >= self.header:
-                        names = _headers(cells)
-                    continue
-                where = (name, number, at)
-                if self.long:
-                    for col, x in sorted(cells.items()):
-                        held.append((*where, col, names.get(col), as_text(x), as_number(x), _as_time(x)))
-                elif cells:
-                    held.append(self._typed(dict(zip(PLACES, where, strict=True)), {names[c]: x for c, x in cells.items() if c in names}))
-                if len(held) >= _BATCH:
-                    yield self._batch(held)
-                    held = []
+        for sheet in part.sheets:
+            yield from self._cells(*sheet) if self.long else self._rows(*sheet)
+
+    def _cells(self, path: str, name: str, number: int, member: str):
+        ats, cols, casts, names = [], [], [], None
+        for at, cells in rows(path, member, lambda x: (as_text(x), as_number(x), _as_time(x))):
+            if at < self.header or names is None:
+                if at >= self.header:
+                    names = _headers({col: x[0] for col, x in cells.items()})
+                continue
+            for col in cells if len(cells) < 2 else sorted(cells):
+                ats.append(at)
+                cols.append(col)
+                casts.append(cells[col])
+            if len(casts) >= 5 * _BATCH:
+                yield self._batch_of_cells(name, number, names, ats, cols, casts)
+                ats, cols, casts = [], [], []
+        if casts:
+            yield self._batch_of_cells(name, number, names, ats, cols, casts)
+
+    def _batch_of_cells(self, name: str, number: int, names: dict, ats: list, cols: list, casts: list) -> pa.RecordBatch:
+        fields = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in self.schema])
+        column = pa.array(cols, pa.int32())
+        header = pa.array([names.get(i) for i in range(max(cols) + 1)], pa.string()).take(column)
+        same = [pa.repeat(pa.scalar(x, fields.field(i).type), len(cols)) for i, x in enumerate((name, number))]
+        values = [pa.array(x, fields.field(i).type) for i, x in enumerate(zip(*casts, strict=True), 5)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(ats, fields.field(2).type), column, header, *values], schema=fields)
+
+    def _rows(self, path: str, name: str, number: int, member: str):
+        held, names = [], None
+        for at, cells in rows(path, member):
+            if at < self.header or names is None:
+                if at >= self.header:
+                    names = _headers(cells)
+                continue
+            if cells:
+                held.append(self._typed(dict(zip(PLACES, (name, number, at), strict=True)), {names[c]: x for c, x in cells.items() if c in names}))
+            if len(held) >= _BATCH:
+                yield self._batch(held)
+                held = []
         if held:
             yield self._batch(held)
 
@@ -363,7 +488,7 @@ class WorkbookWriter:
     """Writes sheets one after the other, rows as they come. With shared=True texts go to the table of shared strings, which is held until the end."""
 
     def __init__(self, out, shared: bool = False):
-        self.zip, self.names, self.now, self.at = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), [], None, 0
+        self.zip, self.names, self.now, self.at = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1), [], None, 0
         self.strings: dict[str, int] | None = {} if shared else None
 
     def sheet(self, name: str) -> None:
@@ -380,6 +505,23 @@ class WorkbookWriter:
         cells = "".join(self._cell(f"{_letters(c)}{self.at}", v) for c, v in enumerate(values) if v is not None)
         self.now.write(f'<row r="{self.at}">{cells}</row>'.encode())
 
+    def rows(self, columns: list[pa.Array], n: int) -> None:
+        """n rows, by columns: of many rows, equal values of a column are written out once."""
+        if n < 50 or not columns:
+            for values in list(zip(*(c.to_pylist() for c in columns), strict=True)) or [()] * n:
+                self.row(values)
+            return
+        at = pc.cast(pa.array(range(self.at + 1, self.at + 1 + n)), pa.string())
+        self.at += n
+        cells = []
+        for c, column in enumerate(columns):
+            distinct = column.dictionary_encode()
+            ends = pa.array([self._cell("", v)[6:] or None for v in distinct.dictionary.to_pylist()], pa.string())
+            cells.append(pc.binary_join_element_wise(f'<c r="{_letters(c)}', at, ends.take(distinct.indices), ""))
+        # a cell without a value is null, and left out
+        text = pc.binary_join_element_wise('<row r="', at, '">', *cells, "</row>", "", null_handling="skip")
+        self.now.write(text.buffers()[2][: pc.sum(pc.binary_length(text)).as_py()])
+
     def _cell(self, ref: str, v) -> str:
         if isinstance(v, bool):
             return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
@@ -415,19 +557,24 @@ class WorkbookWriter:
         self.zip.close()
 
 
-def write_workbooks(df: DataFrame, folder: str, order: list[str], title_rows: int = 0, shared: bool = False) -> DataFrame:
+def write_workbooks(df: DataFrame, folder: str, order: list[str], title_rows: int = 0, shared: bool = False, split: bool = False) -> DataFrame:
     """Write df (workbook, sheet, columns ...) as one file for each workbook, a sheet for each sheet, rows in the order of `order`.
 
     Columns are df's others, in their order; above them stand title_rows rows of
-    remarks. A task writes one workbook after the other. Returns (workbook,
-    path); only files named there count, as a repeated task writes anew.
+    remarks. A task writes one workbook after the other. With split=True a task
+    writes a range of the rows in that order: a workbook, and a sheet of it, may
+    be continued in another file, and always is before a sheet has more rows than
+    the format allows. Returns (workbook, path), by path in order; only files
+    named there count, as a repeated task writes anew.
     """
     columns = [c for c in df.columns if c not in ("workbook", "sheet")]
 
     def run(batches):
         from pyarrow import fs
+        from pyspark import TaskContext
 
         now = book = sheet = out = path = None
+        task, files = TaskContext.get().partitionId(), 0
 
         def finished():
             now.close()
@@ -435,24 +582,44 @@ def write_workbooks(df: DataFrame, folder: str, order: list[str], title_rows: in
             return pa.RecordBatch.from_pylist([{"workbook": book, "path": path}])
 
         for b in batches:
-            for r in b.to_pylist():
-                if now is None or r["workbook"] != book:
+            start = 0
+            books, names = b.column("workbook"), b.column("sheet")
+            values = [b.column(c) for c in columns]
+            while start < b.num_rows:
+                key = (books[start].as_py(), names[start].as_py())
+                full = split and now is not None and now.at >= MOST_ROWS
+                if now is None or key[0] != book or (full and key == (book, sheet)):
                     if now is not None:
                         yield finished()
-                    book, sheet = r["workbook"], None
-                    path = f"{folder}/{re.sub('[^A-Za-z0-9_-]', '_', str(book))}-{uuid.uuid4().hex[:8]}.xlsx"
+                    book, sheet = key[0], None
+                    path = f"{folder}/{re.sub('[^A-Za-z0-9_-]', '_', str(book))}-" + (f"{task:05d}-{files:05d}-" if split else "") + f"{uuid.uuid4().hex[:8]}.xlsx"
+                    files += 1
                     store, inner = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                     store.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(inner, compression=None)
                     now = WorkbookWriter(out, shared)
-                if r["sheet"] != sheet:
-                    sheet = r["sheet"]
+                if key[1] != sheet:
+                    sheet = key[1]
                     now.sheet(sheet)
                     for k in range(title_rows):
                         now.row([f"remark {k + 1}"])
                     now.row(columns)
-                now.row([r[c] for c in columns])
+                end = _end_of_run(books, names, start)
+                end = min(end, start + max(1, MOST_ROWS - now.at)) if split else end
+                now.rows([v.slice(start, end - start) for v in values], end - start)
+                start = end
         if now is not None:
             yield finished()
 
-    return df.repartition("workbook").sortWithinPartitions("workbook", "sheet", *order).mapInArrow(run, "workbook string, path string")
+    keys = ("workbook", "sheet", *order)
+    dealt = df.repartitionByRange(*keys) if split else df.repartition("workbook")
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, "workbook string, path string")
+
+
+def _end_of_run(books: pa.Array, names: pa.Array, start: int) -> int:
+    """Where the rows of one sheet end; rows are sorted by workbook and sheet."""
+    low, high, key = start, len(books), (books[start], names[start])
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if (books[middle], names[middle]) == key else (low, middle)
+    return high
