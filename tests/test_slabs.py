@@ -75,3 +75,20 @@ def test_many_small_groups_share_a_batch(spark):
                     want[m, near] = (bodies[m], n)
                     todo.append(d)
     assert have == want
+
+
+@pytest.mark.parametrize("most", [slabs.MOST_EDGES, 0])
+def test_cells_and_labels_kept_off_the_driver(spark, tmp_path, monkeypatch, most):
+    """No table of cells, links or roots is broadcast, however small its files are."""
+    _mask(spark, (9, 7, 5), 0.4).write.parquet(str(tmp_path / "mask"))
+    mask, plans, written = spark.read.parquet(str(tmp_path / "mask")), [], slabs._written
+
+    def spy(df, *to):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *to)
+
+    monkeypatch.setattr(slabs, "_written", spy)
+    got = slabs.label_bodies_blocks(mask, 26, (2, 3, 2), most)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 4 and sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+    assert _rows(got) == _rows(geometry.label_bodies(mask, 26))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,12 +47,16 @@ def perm_cutoff(cells: DataFrame, by: list[str], fallback: float = 0.0, least: i
 OFFSETS = {6: [(1, 0, 0), (0, 1, 0), (0, 0, 1)], 26: [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (c, b, a) > (0, 0, 0)]}
 
 
+def offsets(connectivity: int) -> Column:
+    """A row for each half of the directions, a struct (di, dj, dk)."""
+    return F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in OFFSETS[connectivity])))
+
+
 def body_edges(mask: DataFrame, connectivity: int) -> DataFrame:
     """(model, a, b): flat indices of neighbouring cells of the mask (model, flat, i, j, k), half of all directions."""
     if connectivity not in OFFSETS:
         raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
-    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in OFFSETS[connectivity]))).alias("o")
-    near = mask.select("model", F.col("flat").alias("a"), "i", "j", "k", steps).select(
+    near = mask.select("model", F.col("flat").alias("a"), "i", "j", "k", offsets(connectivity).alias("o")).select(
         "model", "a", (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"),
         (F.col("k") + F.col("o.dk")).alias("k")
     )

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.geometry import OFFSETS, body_edges, labelled
+from tidewell.operators.geometry import OFFSETS, labelled, offsets
 from tidewell.sources import sinks
 
 #: Cells of a block along i, j and k: 65,536 at most in one task.
@@ -28,15 +28,15 @@ def block_labels(mask: DataFrame, connectivity: int, block: tuple[int, int, int]
 
 
 def border_links(cells: DataFrame, connectivity: int, block: tuple[int, int, int]) -> DataFrame:
-    """(model, a, b): labels that touch over a border between blocks, a > b. Only cells at borders are joined."""
-    edge = F.lit(False)
+    """(model, a, b): labels that touch over a border between blocks, a > b. Only cells at borders are joined, with neighbours in other blocks."""
+    edge, other = F.lit(False), F.lit(False)
     for c, n in zip("ijk", block, strict=True):
-        edge = edge | (F.col(c) % n == 0) | (F.col(c) % n == n - 1)
-    border = cells.where(edge)
-    pairs = body_edges(border.select("model", "flat", "i", "j", "k"), connectivity)
-    one, two = (border.select(F.col("model").alias(f"m{x}"), F.col("flat").alias(f"f{x}"), F.col("block").alias(f"k{x}"), F.col("label").alias(f"l{x}")).hint("merge") for x in "12")
-    met = pairs.join(one, (F.col("model") == F.col("m1")) & (F.col("a") == F.col("f1"))).join(two, (F.col("model") == F.col("m2")) & (F.col("b") == F.col("f2")))
-    return met.where("k1 <> k2 and l1 <> l2").select("model", F.greatest("l1", "l2").alias("a"), F.least("l1", "l2").alias("b")).distinct()
+        edge = edge | (F.pmod(c, F.lit(n)) == 0) | (F.pmod(c, F.lit(n)) == n - 1)
+        other = other | (F.floor((F.col(c) + F.col(f"o.d{c}")) / n) != F.floor(F.col(c) / n))
+    border = cells.where(edge).select("model", "i", "j", "k", "label")
+    near = border.withColumn("o", offsets(connectivity)).where(other).select("model", *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "ijk"), F.col("label").alias("near"))
+    met = near.join(border.hint("merge"), ["model", "i", "j", "k"]).where("near <> label")
+    return met.select("model", F.greatest("near", "label").alias("a"), F.least("near", "label").alias("b")).distinct()
 
 
 def _settled_in_tasks(links: DataFrame) -> DataFrame:
@@ -65,10 +65,10 @@ def _settled_by_joins(links: DataFrame, folder: str, rounds: int = 100) -> DataF
     now = _written(both.select("model", F.col("a").alias("label")).distinct().withColumn("root", F.col("label")), folder, "round-0")
     total = None
     for n in range(1, rounds):
-        near = both.join(now.select("model", F.col("label").alias("b"), "root"), ["model", "b"]).groupBy("model", F.col("a").alias("label")).agg(F.min("root").alias("near"))
-        less = now.join(near, ["model", "label"]).select("model", "label", F.least("root", "near").alias("root"))
+        near = both.join(now.select("model", F.col("label").alias("b"), "root").hint("merge"), ["model", "b"]).groupBy("model", F.col("a").alias("label")).agg(F.min("root").alias("near"))
+        less = now.join(near.hint("merge"), ["model", "label"]).select("model", "label", F.least("root", "near").alias("root"))
         up = now.select("model", F.col("label").alias("root"), F.col("root").alias("up"))
-        now = _written(less.join(up, ["model", "root"], "left").select("model", "label", F.least("root", F.coalesce("up", "root")).alias("root")), folder, f"round-{n}")
+        now = _written(less.join(up.hint("merge"), ["model", "root"], "left").select("model", "label", F.least("root", F.coalesce("up", "root")).alias("root")), folder, f"round-{n}")
         last, total = total, now.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if last == total:
             return now
@@ -80,7 +80,9 @@ def label_bodies_blocks(mask: DataFrame, connectivity: int = 26, block: tuple[in
 
     Blocks are labelled in tasks; cells at their borders are joined, which gives
     links between labels; these are settled, in a task a model if it has few,
-    and roots are numbered in the order of their first cells.
+    and roots are numbered in the order of their first cells. Joins sort: the
+    files are far smaller than their rows, so by their size tables that no
+    driver holds would be broadcast.
     """
     if connectivity not in OFFSETS:
         raise ValueError(f"connectivity {connectivity} is neither 6 nor 26")
@@ -89,7 +91,7 @@ def label_bodies_blocks(mask: DataFrame, connectivity: int = 26, block: tuple[in
     links = _written(border_links(cells, connectivity, block), folder, "borders")
     most = links.groupBy("model").count().agg(F.max("count")).first()[0] or 0
     roots = _settled_in_tasks(links) if most <= most_edges else _settled_by_joins(links, folder)
-    cells = cells.join(roots.withColumnRenamed("model", "_m").withColumnRenamed("label", "_l"), (F.col("model") == F.col("_m")) & (F.col("label") == F.col("_l")), "left")
+    cells = cells.join(roots.withColumnRenamed("model", "_m").withColumnRenamed("label", "_l").hint("merge"), (F.col("model") == F.col("_m")) & (F.col("label") == F.col("_l")), "left")
     cells = _written(cells.select("model", "flat", F.coalesce("root", "label").alias("root")), folder, "cells")
     numbered = cells.select("model", "root").distinct().withColumn("body", F.row_number().over(Window.partitionBy("model").orderBy("root")).cast("long"))
-    return cells.join(numbered, ["model", "root"]).select("model", "flat", "body")
+    return cells.join(numbered.hint("merge"), ["model", "root"]).select("model", "flat", "body")
